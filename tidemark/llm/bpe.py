@@ -77,7 +77,7 @@ def decode(ids: Column, rank_file: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def run(column: pa.Array) -> pa.Array:
         enc = encoding(rank_file, pattern)
-        return pa.array([enc.decode_bytes(x) if x else b"" for x in column.to_pylist()], pa.binary())
+        return pa.array([enc.decode_bytes(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in column], pa.binary())
 
     return run(ids)
 
