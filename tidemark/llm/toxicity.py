@@ -33,7 +33,7 @@ from tidemark.llm.common import by_batch, column, texts
 #: Labelled rows of each label to learn from, entries of the lexicon, exception phrases.
 FIT_DOCS, ENTRIES, EXCEPTIONS = 20_000, 2_000, 500
 #: Lengths of word beginnings; log odds that an entry needs, and its least log-likelihood ratio statistic.
-BEGINNINGS, LEAST_WEIGHT, LEAST_G2 = (4, 5, 6, 7, 8, 9), 1.5, 30.0
+BEGINNINGS, LEAST_WEIGHT, LEAST_G2 = (4, 5, 6, 7, 8, 9), 1.5, 26.0
 #: Words that a text counts as at least, so that one match in a few words isn't everything.
 LEAST_WORDS = 50
 
