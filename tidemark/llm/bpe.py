@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lists
+from tidemark.llm.common import importable, lists
 
 #: Characters after which a long text is cut at the next safe place.
 SPLIT_CHARS = 65_536
@@ -84,6 +84,7 @@ def decode(ids: Column, rank_file: str, pattern: str) -> Column:
 
 def round_trip(df: DataFrame, rank_file: str, pattern: str, text: str = "text", split_chars: int = SPLIT_CHARS) -> DataFrame:
     """df with ``ids`` (array<int>) and ``decoded`` (binary)."""
+    importable(df.sparkSession)
     df = df.withColumn("ids", encode(F.col(text), rank_file, pattern, split_chars))
     return df.withColumn("decoded", decode(F.col("ids"), rank_file, pattern))
 

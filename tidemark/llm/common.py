@@ -6,9 +6,11 @@ Words are the runs of bytes between ASCII white space (``[^\\x20\\x09-\\x0D]+``)
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +97,7 @@ def freed(spark: SparkSession) -> None:
 
 def by_batch(df: DataFrame, columns: list, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
     """Rows of ``schema`` from each Arrow batch of ``columns``; make() is called once for each task."""
-    names = [x.split()[0] for x in _split_schema(schema)]
+    names = [x.split()[0].strip("`") for x in _split_schema(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
@@ -104,9 +106,18 @@ def by_batch(df: DataFrame, columns: list, make: Callable[[], Callable[[pa.Recor
                 out = f(batch)
                 yield pa.RecordBatch.from_arrays([out[n] if isinstance(out[n], pa.Array) else pa.array(out[n]) for n in names], names=names)
 
+    importable(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers find this package where the driver found it (unless it was shipped to them)."""
+    root = str(Path(__file__).resolve().parents[2])
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{path}{os.pathsep}{root}".strip(os.pathsep)
+
+
 def _split_schema(schema: str) -> list[str]:
     """Top-level fields of a DDL string."""
     parts, depth, last = [], 0, 0

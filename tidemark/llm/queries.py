@@ -8,12 +8,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, quality, simhash, toxicity
+from tidemark.llm import bpe, langid, linededup, quality, simhash, toxicity
 from tidemark.llm.common import documents, fold
 
+OP3_SQL = """
+WITH lines AS (
+    SELECT doc_id, source, i, u.line, trim(u.line, ' ') AS t
+    FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, i)
+),
+wide AS (SELECT t, min(doc_id) AS first FROM lines WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 8),
+marked AS (
+    SELECT l.doc_id, l.i, l.line,
+           w.t IS NULL OR (l.doc_id = w.first AND row_number() OVER (PARTITION BY l.doc_id, l.t ORDER BY l.i) = 1) AS stays
+    FROM lines l LEFT JOIN wide w ON l.t = w.t
+)
+SELECT doc_id, count(*) FILTER (WHERE NOT stays) AS n_lines_removed,
+       coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE stays), '') AS text
+FROM marked GROUP BY doc_id
+"""
+
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    return linededup.dedup(docs).select("doc_id", "n_lines_removed", "text")
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = fold("doc_id", 5) == 0
@@ -43,9 +64,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_langid, op5_byte_bpe, op6_toxicity, op8_quality, op10_simhash]
+    found = [op3_line_dedup, op4_langid, op5_byte_bpe, op6_toxicity, op8_quality, op10_simhash]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": OP3_SQL}
