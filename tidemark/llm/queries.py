@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, linededup, quality, simhash, toxicity
-from tidemark.llm.common import documents, fold
+from tidemark.llm import bpe, langid, linededup, quality, rans, simhash, toxicity
+from tidemark.llm.common import documents, fold, new_path
 
 OP3_SQL = """
 WITH lines AS (
@@ -27,6 +27,7 @@ SELECT doc_id, count(*) FILTER (WHERE NOT stays) AS n_lines_removed,
 FROM marked GROUP BY doc_id
 """
 
+BPE_JSON, END_ID = public_tokenizers.path("byte_bpe_50k.json"), 2
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -54,6 +55,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "tokens")
+    rans.write(documents(spark, sf_dir).select("doc_id", "text"), folder, BPE_JSON, END_ID)
+    return rans.read_digests(spark, folder)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -64,7 +71,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_line_dedup, op4_langid, op5_byte_bpe, op6_toxicity, op8_quality, op10_simhash]
+    found = [op3_line_dedup, op4_langid, op5_byte_bpe, op6_toxicity, op7_rans, op8_quality, op10_simhash]
     return {f.__name__: f for f in found}
 
 
