@@ -1,26 +1,43 @@
 """Connected components by alternating large-star and small-star steps.
 
 Every step is an aggregation (combined before its shuffle) and an equi-join that adaptive execution can
-split where one node has very many links; nothing is gathered to a task or to the driver.
+split where one node has very many links; nothing is gathered to the driver. Once at most ``LOCAL_LINKS``
+links are left (a bound in memory, not in input), one task finishes them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dropped, saved
+from tidemark.llm.common import column, dropped, importable, saved
+
+LOCAL_LINKS = 2_000_000
+
+
+def joined(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Unites the pairs (x, y) in ``root``, which leads each place to the smallest known place of its component."""
+    while len(x):
+        while (root[root] != root).any():
+            root[:] = root[root]
+        p, q = root[x], root[y]
+        apart = p != q
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
 
 
-def components(spark: SparkSession, links: DataFrame) -> tuple[DataFrame, str | None]:
+def components(spark: SparkSession, links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
     """(node, root) of every node in ``links`` (u, v: long); root is the component's smallest node.
 
-    Loops and repeated links don't matter; no links give no rows. Also returns the path of the table
-    behind the result, for dropped().
+    Loops and repeated links don't matter; no links give no rows.
     """
     edges, path = saved(spark, links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     sign = _sign(edges)
-    while sign[0]:
+    while sign[0] > local_links:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -32,8 +49,27 @@ def components(spark: SparkSession, links: DataFrame) -> tuple[DataFrame, str |
         sign, before = _sign(edges), sign
         if sign == before:
             break
+    else:
+        edges = _finished(edges)
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), path
+    return saved(spark, nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")[0]
+
+
+def _finished(edges: DataFrame) -> DataFrame:
+    """Links from each node but the smallest to the smallest of its component, made in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [(column(b, "u").to_numpy(), column(b, "v").to_numpy()) for b in batches]
+        if ends:
+            u, v = (np.concatenate(x) for x in zip(*ends, strict=True))
+            nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+            root = np.arange(len(nodes))
+            joined(root, place[: len(u)], place[len(u) :])
+            led = np.flatnonzero(root != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[led]), pa.array(nodes[root[led]])], names=["u", "v"])
+
+    importable(edges.sparkSession)
+    return edges.coalesce(1).mapInArrow(run, "u long, v long")
 
 
 def _sign(edges: DataFrame) -> tuple:

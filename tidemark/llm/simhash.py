@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import by_batch, column, dropped, saved, texts
-from tidemark.llm.graphs import components
+from tidemark.llm.graphs import components, joined
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 2
 #: Fingerprints that a tile holds at most, but for the unevenness of hashing; lanes to choose from.
-TILE, LANES = 8192, (4, 8)
+TILE, LANES = 8192, (2, 4, 8)
 _STEP = 1 << 20  # pairs that are compared at once
 
 
@@ -79,24 +79,11 @@ def linked(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.nd
     for i in range(0, len(a), step):
         x, y = np.nonzero(np.bitwise_count(a[i : i + step, None] ^ b[None, :]) <= radius)
         if len(x):
-            _join(root, x + i, y if same else y + len(a))
+            joined(root, x + i, y if same else y + len(a))
     u = np.flatnonzero(root != np.arange(len(both)))
     return both[u], both[root[u]]
 
 
-def _join(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
-    """Unites the pairs (x, y) in ``root``, which holds each node's smallest known fellow."""
-    while True:
-        while (root[root] != root).any():
-            root[:] = root[root]
-        p, q = root[x], root[y]
-        open_ = p != q
-        if not open_.any():
-            return
-        x, y, p, q = x[open_], y[open_], p[open_], q[open_]
-        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
-
-
 def links(spark: SparkSession, distinct: DataFrame, radius: int = RADIUS, tile: int = TILE, lanes: tuple[int, ...] = LANES) -> DataFrame:
     """(u, v): a forest of the links between the distinct fingerprints ``fp``."""
     for n in lanes:
@@ -130,7 +117,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     prints, _ = saved(spark, fingerprints(df, key, text), "fingerprints")
     groups, _ = saved(spark, prints.groupBy("fp").agg(F.min(key).alias("first")), "groups")
     found, path = saved(spark, links(spark, groups.select("fp"), radius, tile, lanes), "forest")
-    nodes, _ = components(spark, found)
+    nodes = components(spark, found)
     dropped(spark, path)
     of = nodes.select(F.col("node").alias("fp"), "root").join(groups, "fp")
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
