@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, linededup, quality, rans, simhash, toxicity
+from tidemark.llm import bpe, langid, linededup, lmscore, mixing, quality, rans, simhash, toxicity
 from tidemark.llm.common import documents, fold, new_path
 
 OP3_SQL = """
@@ -27,10 +27,18 @@ SELECT doc_id, count(*) FILTER (WHERE NOT stays) AS n_lines_removed,
 FROM marked GROUP BY doc_id
 """
 
+#: Shares of the expected tokens by domain.
+TARGETS = {"good": 0.90, "low": 0.08, "toxic": 0.02}
 BPE_JSON, END_ID = public_tokenizers.path("byte_bpe_50k.json"), 2
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = fold("doc_id", 7) == 2
+    return lmscore.score(docs, docs.where(~held_out)).withColumn("held_out", held_out)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     return linededup.dedup(docs).select("doc_id", "n_lines_removed", "text")
@@ -65,13 +73,20 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.domains_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = mixing.mixed_rates(documents(spark, sf_dir).select("doc_id", "text"), labels, TARGETS)
+    names = [F.col("posteriors")[i].alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))]
+    return found.select("doc_id", "n_tokens", "rate", *names)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_line_dedup, op4_langid, op5_byte_bpe, op6_toxicity, op7_rans, op8_quality, op10_simhash]
+    found = [op2_lm_score, op3_line_dedup, op4_langid, op5_byte_bpe, op6_toxicity, op7_rans, op8_quality, op9_mixing, op10_simhash]
     return {f.__name__: f for f in found}
 
 
