@@ -19,12 +19,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Cache, by_batch, column, looked_up, texts
+from tidemark.llm.common import Cache, by_batch, column, importable, looked_up, texts
 
 #: Labelled documents of each language to learn from; languages, words and n-grams that a model holds at most.
 FIT_DOCS, MOST_LANGUAGES, MOST_WORDS, MOST_GRAMS = 3_000, 500, 60_000, 30_000
@@ -115,10 +117,11 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     return Model(languages, index, np.concatenate(parts) if parts else np.zeros((0, len(languages))))
 
 
-def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score) of every row."""
+def predicted(text: Column, model: Model) -> Column:
+    """struct<lang_pred: string, score: double> of each text."""
 
-    def make():
+    @F.arrow_udf("lang_pred string, score double")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: list[np.ndarray] = [np.zeros(len(model.languages))]
 
         def put(word: str) -> int:
@@ -126,10 +129,9 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
             return len(known) - 1
 
         cache = Cache(put)
-
-        def run(batch):
+        for part in columns:
             found = []
-            for t in texts(batch):
+            for t in part.to_pylist():
                 w = letters(t)
                 if not w or not model.languages:
                     found.append((UNKNOWN, 0.0))
@@ -139,8 +141,12 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
             if len(cache) > cache.most:
                 cache.clear()
                 del known[1:]
-            return {key: column(batch, key), "lang_pred": [x for x, _ in found], "score": np.array([y for _, y in found], np.float64)}
+            yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=["lang_pred", "score"])
+
+    return run(text)
 
-        return run
 
-    return by_batch(docs, [F.col(key).cast("long").alias(key), F.col(text).alias("text")], make, f"{key} long, lang_pred string, score double")
+def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, lang_pred, score) of every row."""
+    importable(docs.sparkSession)
+    return docs.select(key, predicted(F.col(text), model).alias("_found")).select(key, "_found.lang_pred", "_found.score")

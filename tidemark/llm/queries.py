@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, linededup, lmscore, mixing, quality, rans, simhash, toxicity
+from tidemark.llm import ann, bpe, langid, linededup, lmscore, mixing, quality, rans, simhash, toxicity
 from tidemark.llm.common import documents, fold, new_path
 
 OP3_SQL = """
@@ -33,6 +33,11 @@ BPE_JSON, END_ID = public_tokenizers.path("byte_bpe_50k.json"), 2
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return ann.nearest(rows, rows.where("vec_id % 20 = 0").select("vec_id"))
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = fold("doc_id", 7) == 2
@@ -86,7 +91,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_lm_score, op3_line_dedup, op4_langid, op5_byte_bpe, op6_toxicity, op7_rans, op8_quality, op9_mixing, op10_simhash]
+    found = [op1_ann, op2_lm_score, op3_line_dedup, op4_langid, op5_byte_bpe, op6_toxicity, op7_rans, op8_quality, op9_mixing, op10_simhash]
     return {f.__name__: f for f in found}
 
 
