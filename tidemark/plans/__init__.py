@@ -1,0 +1,14 @@
+"""Registered queries, bound to the supplied tables."""
+
+from __future__ import annotations
+
+from tidemark.plans import windows  # noqa: F401  registers its queries
+from tidemark.plans.registry import ORACLES, QUERIES
+
+
+def all_queries() -> dict:
+    return dict(QUERIES)
+
+
+def all_oracles() -> dict[str, str]:
+    return dict(ORACLES)
