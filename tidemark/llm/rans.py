@@ -41,8 +41,8 @@ BLOCK_IDS = 1 << 18
 _LOW = np.uint64(1) << np.uint64(31)
 _HEAD = struct.Struct("<4sIIHBxII")
 _MAGIC = b"TRN1"
-#: Parts of texts that a worker keeps, and the longest that it keeps.
-_PARTS, _LONGEST = 300_000, 48
+#: Parts of texts that a worker keeps, their ids, and the longest part that it keeps.
+_PARTS, _IDS, _LONGEST = 500_000, 8_000_000, 48
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 _ODD = re.compile(r"\s\s|\x00")
 
@@ -135,15 +135,19 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 class Parts:
-    """Ids of texts by their parts, each new part being encoded once."""
+    """Ids of texts by their parts, each new part being encoded once; one flat store of ids, with a place for each part."""
 
     def __init__(self, path: str, end_id: int):
-        self.encode, self.end = tokenizer(path), [end_id]
+        self.encode, self.end = tokenizer(path), end_id
+        self.kind = np.dtype("<u2" if max(self.encode.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self._clear()
 
     def _clear(self) -> None:
         self.rows: dict[str, int] = {"": 0}
-        self.ids: list[np.ndarray] = [np.array(self.end, np.uint32)]
+        self.ids, self.used = np.zeros(1 << 16, self.kind), 1
+        self.ids[0] = self.end
+        self.at, self.n = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64)
+        self.count = 1
 
     @staticmethod
     def keys(text: str) -> list[str]:
@@ -152,10 +156,29 @@ class Parts:
             return ["\0" + x for x in _CUT.split(text)]
         found = text.replace("\n", " \n").split(" ")
         found[0] = "\0" + found[0]
+        if not found[-1]:
+            found[-1] = "\0 "  # a blank at the end
         return found
 
+    def _add(self, new: list[str]) -> None:
+        found = [e.ids for e in self.encode.encode_batch_fast([k[1:] if k[0] == "\0" else k if k[0] == "\n" else " " + k for k in new], add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        total = int(n.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), self.kind)])
+        if self.count + len(new) > len(self.at):
+            more = max(len(new), len(self.at))
+            self.at, self.n = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.at, self.n))
+        self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), self.kind, total)
+        self.at[self.count : self.count + len(new)] = self.used + np.cumsum(n) - n
+        self.n[self.count : self.count + len(new)] = n
+        self.rows.update(zip(new, range(self.count, self.count + len(new)), strict=True))
+        self.used, self.count = self.used + total, self.count + len(new)
+
     def batch(self, found: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, one after another, and how many each has (with the end id)."""
+        if len(self.rows) > _PARTS or self.used > _IDS:
+            self._clear()
         keys: list[str] = []
         ends = []
         for x in found:
@@ -164,24 +187,28 @@ class Parts:
                 keys += part[1:] if part[0] == "\0" else part
             keys.append("")
             ends.append(len(keys))
-        if len(self.rows) > _PARTS:
-            self._clear()
-        rows = self.rows
-        new = list(dict.fromkeys(k for k in keys if k not in rows))
-        for k, e in zip(new, self.encode.encode_batch_fast([k[1:] if k[0] == "\0" else k if k[0] == "\n" else " " + k for k in new], add_special_tokens=False), strict=True):
-            rows[k] = len(self.ids)
-            self.ids.append(np.array(e.ids, np.uint32))
-        flat, lens = np.concatenate(self.ids), np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-        at = np.cumsum(lens) - lens
-        row = np.fromiter(map(rows.__getitem__, keys), np.int64, len(keys))
-        n = lens[row]
-        upto = np.cumsum(n)
-        out = flat[np.arange(upto[-1]) + np.repeat(at[row] - (upto - n), n)]
+        new = list(set(keys).difference(self.rows))
+        if new:
+            self._add(new)
+        row = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
         for k in new:
-            if len(k) > _LONGEST:
-                self._clear()
-                break
-        return out, np.diff(upto[np.array(ends) - 1], prepend=0)
+            if len(k) > _LONGEST:  # long parts hardly come again
+                del self.rows[k]
+        n = self.n[row]
+        upto = np.cumsum(n)
+        place = np.repeat(self.at[row] - (upto - n), n)
+        place += np.arange(upto[-1])
+        return self.ids[place], np.diff(upto[np.array(ends) - 1], prepend=0)
+
+
+@lru_cache(maxsize=1)
+def parts_of(path: str, end_id: int) -> Parts:
+    """A worker process's parts, kept from task to task."""
+    return Parts(path, end_id)
+
+
+def _ids(data: pa.BinaryScalar, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(data.as_buffer(), kind)
 
 
 def blocks(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", files: int | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -191,7 +218,7 @@ def blocks(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: s
     ordered = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange(files, "k").sortWithinPartitions("k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, file, block, start = Parts(path, end_id), TaskContext.get().partitionId(), 0, 0
+        parts, file, block, start = parts_of(path, end_id), TaskContext.get().partitionId(), 0, 0
         held: list[tuple] = []
 
         def out():
@@ -199,7 +226,7 @@ def blocks(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: s
             keys, lengths = [k for k, _ in held for k in k], np.concatenate([n for _, (n, _) in held])
             ids = np.concatenate([i for _, (_, i) in held])
             row = pa.RecordBatch.from_arrays(
-                [pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([keys], pa.list_(pa.int64())), lists(lengths, np.array([len(lengths)]), pa.int64()), pa.array([ids.astype("<u4").tobytes()])],
+                [pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([keys], pa.list_(pa.int64())), lists(lengths, np.array([len(lengths)]), pa.int64()), pa.array([ids.tobytes()])],
                 names=["file", "block", "start", "keys", "lengths", "ids"],
             )
             block, start, held = block + 1, start + len(ids), []
@@ -228,12 +255,13 @@ def blocks(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: s
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", files: int | None = None) -> None:
     """The data set in ``folder``: ``frequencies`` (id, freq) and ``blocks`` (file, block, start, keys, lengths, code)."""
     spark: SparkSession = docs.sparkSession
+    kind = Parts(tokenizer_path, end_id).kind
     raw, raw_path = saved(spark, blocks(docs, tokenizer_path, end_id, key, text, files), "raw")
     freed(spark)
 
     def make_counts():
         def run(batch):
-            total = np.bincount(np.concatenate([np.empty(0, "<u4"), *(np.frombuffer(x.as_buffer(), "<u4") for x in column(batch, "ids"))]))
+            total = np.bincount(np.concatenate([np.empty(0, kind), *(_ids(x, kind) for x in column(batch, "ids"))]))
             ids = np.flatnonzero(total)
             return {"id": ids.astype(np.int64), "n": total[ids].astype(np.int64)}
 
@@ -250,7 +278,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, key: s
 
         def run(batch):
             same = {c: column(batch, c) for c in ("file", "block", "start", "keys", "lengths")}
-            return same | {"code": pa.array([coder.encode(np.frombuffer(x.as_buffer(), "<u4")) for x in column(batch, "ids")], pa.binary())}
+            return same | {"code": pa.array([coder.encode(_ids(x, kind).astype(np.uint32)) for x in column(batch, "ids")], pa.binary())}
 
         return run
 
