@@ -31,7 +31,7 @@ LG_K, BAND = 12, 0.25
 
 def line_hashes(text: Column) -> Column:
     """Distinct hashes of the text's lines, without blank ones."""
-    return F.array_distinct(F.transform(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    return F.array_distinct(F.transform(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.xxhash64(x)))
 
 
 def line_hash(line: str) -> int | None:
