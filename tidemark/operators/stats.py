@@ -52,7 +52,8 @@ def pearson(x: Column | str, y: Column | str) -> Column:
     """Aggregate: correlation; null where a side is constant."""
     both = col(x).isNotNull() & col(y).isNotNull()
     a, b = F.when(both, col(x).cast("double")), F.when(both, col(y).cast("double"))
-    return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.corr(a, b))
+    spread = F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.stddev_pop(a) * F.stddev_pop(b))
+    return F.try_divide(F.covar_pop(a, b), spread)
 
 
 def steps(df: DataFrame, keys: list[str], order: str, u: str, signal: str, after: int = 13, dt: float = 5.0) -> DataFrame:

@@ -113,7 +113,7 @@ def cross_correlation(df: DataFrame, keys: list[str], order: str, x: str, y: str
     w = W.partitionBy(*keys).orderBy(order)
     pairs = df.select(*keys, F.col(x).cast("double").alias("x"), *(F.lead(F.col(y).cast("double"), i).over(w).alias(f"_y{i}") for i in range(lags + 1)))
     long = pairs.select(*keys, "x", F.posexplode(F.array(*(F.col(f"_y{i}") for i in range(lags + 1)))).alias("lag", "y")).where("x is not null and y is not null")
-    return long.groupBy(*keys, F.col("lag").cast("long").alias("lag")).agg(F.count("*").alias("n"), F.corr("x", "y").alias("corr"))
+    return long.groupBy(*keys, F.col("lag").cast("long").alias("lag")).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr"))
 
 
 def changes(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
