@@ -150,7 +150,7 @@ def join_attempt_trace(t: Tables) -> DataFrame:
 
 
 @query("""
-x AS (SELECT request_id, min(ts_ns) FILTER (WHERE component = 'prefill') AS prefill_ns, max(ts_ns) FILTER (WHERE component <> 'prefill') AS decode_ns, arg_max(component, struct_pack(a := ts_ns, b := seq)) FILTER (WHERE component <> 'prefill') AS decode_component FROM em GROUP BY request_id)
+x AS (SELECT request_id, min(ts_ns) FILTER (WHERE component = 'prefill') AS prefill_ns, max(ts_ns) FILTER (WHERE component <> 'prefill') AS decode_ns, arg_max(component, struct_pack(a := ts_ns, b := seq, c := component)) FILTER (WHERE component <> 'prefill') AS decode_component FROM em GROUP BY request_id)
 SELECT a.request_id, prefill_ns, decode_ns, decode_component FROM att a LEFT JOIN x ON a.request_id = x.request_id""")
 def join_engine_roles(t: Tables) -> DataFrame:
     decode = F.col("component") != "prefill"
@@ -158,7 +158,7 @@ def join_engine_roles(t: Tables) -> DataFrame:
     return t.att.select("request_id").join(roles, "request_id", "left").select("request_id", "prefill_ns", F.col("d.ts_ns").alias("decode_ns"), F.col("d.component").alias("decode_component"))
 
 
-@query("SELECT request_id, string_agg(seq || ':' || n, ',' ORDER BY ts_ns, seq) AS members, count(*) AS n FROM em WHERE request_id IN (SELECT request_id FROM att WHERE side = 0) GROUP BY request_id")
+@query("SELECT request_id, string_agg(seq || ':' || n, ',' ORDER BY ts_ns, seq, n) AS members, count(*) AS n FROM em WHERE request_id IN (SELECT request_id FROM att WHERE side = 0) GROUP BY request_id")
 def join_semi_members(t: Tables) -> DataFrame:
     rows = t.em.join(t.att.where("side = 0").select("request_id"), "request_id", "left_semi")
     listed = F.array_sort(F.collect_list(F.struct("ts_ns", "seq", "n")))
@@ -284,7 +284,7 @@ def conservation_audit(t: Tables) -> DataFrame:
 
 
 @query("""SELECT request_id, component, CASE WHEN count(*) FILTER (WHERE seq % 2 = 1) > 0 THEN min(ts_ns) FILTER (WHERE seq % 2 = 1) END AS added_ns, max(ts_ns) FILTER (WHERE seq % 2 = 0) AS terminal_ns,
-       coalesce(arg_min(n, struct_pack(a := ts_ns, b := seq)) FILTER (WHERE seq % 2 = 1), arg_max(n, struct_pack(a := ts_ns, b := seq)) FILTER (WHERE seq % 2 = 0)) AS anchor_value, count(*) AS events FROM em GROUP BY ALL""")
+       coalesce(arg_min(n, struct_pack(a := ts_ns, b := seq, c := n)) FILTER (WHERE seq % 2 = 1), arg_max(n, struct_pack(a := ts_ns, b := seq, c := n)) FILTER (WHERE seq % 2 = 0)) AS anchor_value, count(*) AS events FROM em GROUP BY ALL""")
 def engine_requests(t: Tables) -> DataFrame:
     rows = t.em.select("request_id", "component", "ts_ns", "seq", F.col("n").alias("value"), F.when(F.col("seq") % 2 == 1, "added").otherwise("terminal").alias("event_type"))
     return engine.engine_requests(rows, ["request_id", "component"], ["ts_ns", "seq"])
@@ -370,10 +370,10 @@ def dq_forcing_align(t: Tables) -> DataFrame:
     return weekly(t).join(side, ["run", "k"], "left").groupBy("run").agg(F.count("*").alias("windows"), F.count_if(F.col("m").isNull()).alias("unmatched"), F.count_if(F.abs(F.col("n") - F.coalesce("m", F.lit(0))) > 1e-12).alias("different"))
 
 
-@query("""x AS (SELECT request_id, component, n, sum(n) OVER (PARTITION BY request_id, component ORDER BY ts_ns, seq) AS after FROM em), y AS (SELECT request_id, component, after - n AS before, n, CASE WHEN request_id % 25 = 0 THEN after + 1 ELSE after END AS after FROM x)
+@query("""x AS (SELECT request_id, component, n, sum(n) OVER (PARTITION BY request_id, component ORDER BY ts_ns, seq, n ROWS UNBOUNDED PRECEDING) AS after FROM em), y AS (SELECT request_id, component, after - n AS before, n, CASE WHEN request_id % 25 = 0 THEN after + 1 ELSE after END AS after FROM x)
 SELECT request_id, component, count(*) AS iterations, CAST(sum(n) AS BIGINT) AS scheduled, CAST(max(after) AS BIGINT) AS final, bool_and(after = before + n) AND max(after) - min(before) = sum(n) AS exact FROM y GROUP BY ALL""")
 def prefill_reconcile(t: Tables) -> DataFrame:
-    w = W.partitionBy("request_id", "component").orderBy("ts_ns", "seq").rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy("request_id", "component").orderBy("ts_ns", "seq", "n").rowsBetween(W.unboundedPreceding, 0)
     rows = t.em.withColumn("_a", F.sum("n").over(w)).select("request_id", "component", (F.col("_a") - F.col("n")).alias("before"), F.col("n").alias("scheduled"), F.when(F.col("request_id") % 25 == 0, F.col("_a") + 1).otherwise(F.col("_a")).alias("after"))
     top = rows.groupBy("request_id", "component").agg(F.max("after").alias("prompt"))
     found = engine.prefill_exact(rows.join(top, ["request_id", "component"]).withColumn("handoff", F.lit(0)))

@@ -243,7 +243,7 @@ def nearest_before_after(t: Tables) -> DataFrame:
 
 
 @query(f"""
-x AS (SELECT l.request_id, (l.submit_ns + {WEEK - 1}) // {WEEK} AS k, e.component, e.n, e.ts_ns, row_number() OVER (PARTITION BY l.request_id, e.component ORDER BY e.ts_ns DESC, e.seq DESC) AS r
+x AS (SELECT l.request_id, (l.submit_ns + {WEEK - 1}) // {WEEK} AS k, e.component, e.n, e.ts_ns, row_number() OVER (PARTITION BY l.request_id, e.component ORDER BY e.ts_ns DESC, e.seq DESC, e.n DESC) AS r
       FROM life l JOIN em e ON e.request_id = l.request_id AND e.ts_ns < ((l.submit_ns + {WEEK - 1}) // {WEEK} + 4) * {WEEK})
 SELECT request_id, component, ts_ns, n FROM x WHERE r = 1""")
 def asof_membership(t: Tables) -> DataFrame:
