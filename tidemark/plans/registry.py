@@ -95,14 +95,14 @@ life AS (SELECT *, {", ".join(f"{e} AS {n}" for n, e in LIFE.items())} FROM att)
 """
 
 
-def query(sql: str | None = None):
-    """Registers a function of Tables under its name; sql: what follows the views, a select or further views."""
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a function of Tables under its name (or another); sql: what follows the views, a select or further views."""
 
     def put(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        QUERIES[name or f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             body = sql.strip()
-            ORACLES[f.__name__] = (VIEWS + (body if body.startswith("SELECT") else ", " + body)).strip()
+            ORACLES[name or f.__name__] = (VIEWS + (body if body.startswith("SELECT") else ", " + body)).strip()
         return f
 
     return put

@@ -252,7 +252,7 @@ def asof_membership(t: Tables) -> DataFrame:
     return rows.groupBy("request_id", "component").agg(F.max(F.struct("ts_ns", "seq", "n")).alias("x")).select("request_id", "component", "x.ts_ns", "x.n")
 
 
-@query(f"SELECT request_id, seq, {_bins('n * 40')} AS b, least(greatest(n, 0) // 8, 5) AS e FROM em")
+@query(f"SELECT request_id, seq, {_bins('n * 40')} AS b, least(greatest(n, 0) // 8, 5) AS e FROM em", name="bin_irregular")
 def bin_irregular_edges(t: Tables) -> DataFrame:
     return t.em.select("request_id", "seq", bin_irregular(F.col("n") * 40, LENGTHS).alias("b"), bin_equal("n", 40, 8).cast("long").alias("e"))
 
@@ -274,7 +274,7 @@ def case_route_side(t: Tables) -> DataFrame:
 
 
 @query(f"""SELECT event_id, round((ts_ns % {DAY_NS}) / {float(DAY_NS)}, 9) AS phase, round(sin((ts_ns % {DAY_NS}) / {float(DAY_NS)} * 2 * pi()), 6) AS phase_sin,
-           round(cos((ts_ns % {DAY_NS}) / {float(DAY_NS)} * 2 * pi()), 6) AS phase_cos, round(ln(1 + value), 6) AS log_load FROM ev""")
+           round(cos((ts_ns % {DAY_NS}) / {float(DAY_NS)} * 2 * pi()), 6) AS phase_cos, round(ln(1 + value), 6) AS log_load FROM ev""", name="phase_features")
 def phase_feature_map(t: Tables) -> DataFrame:
     return t.ev.select("event_id", *phase_features("ts_ns", DAY_NS, "value")).select("event_id", F.round("phase", 9).alias("phase"), *(F.round(c, 6).alias(c) for c in ("phase_sin", "phase_cos", "log_load")))
 
