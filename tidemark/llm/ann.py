@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import by_batch, column, dropped, freed, importable, lists, saved
 
-NEIGHBOURS, BEAM, OPENED, TOP = 20, 320, 40, 20
+NEIGHBOURS, BEAM, OPENED, TOP = 24, 800, 100, 20
 #: Points of a bucket, of a group at the start, groupings at the start, rounds, share of changes that ends them.
-BUCKET, GROUP, STARTS, ROUNDS, LEAST_CHANGE = 2048, 512, 3, 4, 0.01
+BUCKET, GROUP, STARTS, ROUNDS, LEAST_CHANGE = 2048, 512, 3, 5, 0.01
 #: Reverse neighbours that join at a point in a round, and nearest candidates that a point takes from one meeting.
-REVERSE, TAKEN = 20, 5
+REVERSE, TAKEN = 24, 5
 
 
 def _half(x: pa.Array, n: int) -> np.ndarray:
