@@ -101,10 +101,12 @@ def memberships(docs: DataFrame, model: Classifier, key: str = "doc_id", text: s
         cache = hash_cache(SEED)
 
         def run(batch):
-            found = [words(x) for x in texts(batch)]
-            p = np.array([model.posteriors(looked_up(cache, w)) for w in found])
+            n, p = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, len(model.domains)))
+            for i, x in enumerate(texts(batch)):  # one text's words at a time
+                h = looked_up(cache, words(x))
+                n[i], p[i] = len(h), model.posteriors(h)
             cache.trim()
-            return {key: column(batch, key), "n_tokens": np.array([len(w) for w in found], np.int64), "posteriors": lists(p.ravel(), np.full(len(found), p.shape[1]), pa.float64())}
+            return {key: column(batch, key), "n_tokens": n, "posteriors": lists(p.ravel(), np.full(len(n), p.shape[1]), pa.float64())}
 
         return run
 
