@@ -22,6 +22,9 @@ from tidemark.llm.queries import BPE_RANKS, TARGETS
 
 #: Least posterior of the language of a document that stays.
 LEAST_SCORE = 0.5
+#: Near duplicates here are told by five-word shingles, which unrelated documents hardly share: with operator 10's own
+#: three words, common phrases alone bring most fingerprints of a large corpus within two bits of a neighbour.
+SHINGLE_WORDS, RADIUS = 5, 4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +39,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
+    found = simhash.near_duplicates(docs.select("doc_id", "text"), radius=RADIUS, shingle_words=SHINGLE_WORDS)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").select(docs.columns)
 

@@ -111,10 +111,10 @@ def links(spark: SparkSession, distinct: DataFrame, radius: int = RADIUS, tile:
     return by_batch(pairs, ["a", "b", "same"], make, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE, lanes: tuple[int, ...] = LANES) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE, lanes: tuple[int, ...] = LANES, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(key, fp: long, component_id: long): fingerprint and smallest key of the component of every row."""
     spark = df.sparkSession
-    prints, _ = saved(spark, fingerprints(df, key, text), "fingerprints")
+    prints, _ = saved(spark, fingerprints(df, key, text, shingle_words), "fingerprints")
     groups, _ = saved(spark, prints.groupBy("fp").agg(F.min(key).alias("first")), "groups")
     found, path = saved(spark, links(spark, groups.select("fp"), radius, tile, lanes), "forest")
     nodes = components(spark, found)
