@@ -5,7 +5,7 @@ the next stage's documents. All but the last give the columns of their input.
 
 1. language: drops documents without a letter and those whose language is doubtful.
 2. lines: takes lines that spread over many sources out of all documents but the first.
-3. near_duplicates: keeps the document with the smallest id of each SimHash component.
+3. near_duplicates: keeps the document with the smallest id of each component of documents whose five-word shingles have a Jaccard of 0.8 or more.
 4. mixing: repeats or drops documents by rates that bring the expected tokens of each domain to its target.
 5. bpe: gives the ids and checks that they decode to the text.
 """
@@ -16,15 +16,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, linededup, mixing, simhash
+from tidemark.llm import bpe, langid, linededup, mixing, neardup
 from tidemark.llm.common import documents, fold, importable, saved
 from tidemark.llm.queries import BPE_RANKS, TARGETS
 
 #: Least posterior of the language of a document that stays.
 LEAST_SCORE = 0.5
-#: Near duplicates here are told by five-word shingles, which unrelated documents hardly share: with operator 10's own
-#: three words, common phrases alone bring most fingerprints of a large corpus within two bits of a neighbour.
-SHINGLE_WORDS, RADIUS = 5, 4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs.select("doc_id", "text"), radius=RADIUS, shingle_words=SHINGLE_WORDS)
+    found = neardup.near_duplicates(docs.select("doc_id", "text"))
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").select(docs.columns)
 
