@@ -140,6 +140,14 @@ def test_line_dedup_both_ways(spark):
     assert near.count() == 0
 
 
+def test_line_dedup_both_ways_with_repeated_and_null_keys(spark):
+    rows = [(i, f"shared line\nown {i}", f"s{i}") for i in range(9)] + [(k, t, "s1") for k in (3, None, None) for t in ("shared line\nother", "shared line\nother", "shared line\nown 3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wide = linededup.spread(df)
+    ways = [sorted(map(str, linededup.stripped(df, wide, broadcast_lines=n).collect())) for n in (100, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) == len(rows)
+
+
 def test_language_backs_off_to_characters(spark, docs, empty):
     rows = [(i, "der hund und die katze schlafen" if i % 2 else "the dog and the cat sleep", "de" if i % 2 else "en") for i in range(40)]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

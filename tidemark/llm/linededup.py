@@ -75,9 +75,10 @@ def stripped(docs: DataFrame, boilerplate: DataFrame, key: str = "doc_id", text:
         rows = docs.select(*kept, text, F.lit(None).cast("map<long,long>").alias("_found"))
     else:
         firsts = {}
-        places = docs.select(F.col(key).alias("_k"), F.explode(line_hashes(F.col(text))).alias("line")).join(boilerplate.select("line", "first"), "line")
-        of = places.groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("line", "first"))).alias("_found"))
-        rows = docs.join(of, docs[key].eqNullSafe(of["_k"]), "left").select(*kept, text, "_found")
+        at = F.xxhash64(F.col(text)).alias("_at")  # what is found depends on the text alone; lines of another text with its hash do no harm
+        places = docs.select(at, F.explode(line_hashes(F.col(text))).alias("line")).distinct().join(boilerplate.select("line", "first"), "line")
+        of = places.groupBy("_at").agg(F.map_from_entries(F.collect_list(F.struct("line", "first"))).alias("_found"))
+        rows = docs.join(of, F.xxhash64(docs[text]) == of["_at"], "left").select(*kept, text, "_found")
 
     def make():
         def run(batch):
