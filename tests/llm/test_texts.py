@@ -222,6 +222,20 @@ def test_mixing_meets_its_targets(spark, docs, empty):
     assert mixing.mixed_rates(empty, labels, {"a": 1.0, "b": 1.0}).count() == 0
 
 
+def test_mixing_meets_targets_of_overlapping_posteriors(spark):
+    rng = np.random.default_rng(8)
+    p = np.exp(rng.standard_normal((3000, 3)) * 1.5 + np.log([0.05, 0.9, 0.05]))
+    p /= p.sum(axis=1, keepdims=True)
+    n = rng.integers(1, 400, len(p))
+    soft = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(len(p))], "doc_id long, n_tokens long, posteriors array<double>")
+    fit = mixing.fit_rates(soft, [0.5, 0.4, 0.1])
+    rate = np.array([r.rate for r in mixing.rated(soft, fit[0]).orderBy("doc_id").collect()])
+    assert (rate >= 0).all() and np.allclose((n * rate) @ p / n.sum(), [0.5, 0.4, 0.1], atol=1e-6)
+    with pytest.warns(UserWarning, match="targets"):  # no document is surely of one domain
+        _, reached, aim = mixing.fit_rates(soft.where("posteriors[0] < 0.5"), [1.0, 0.0, 0.0])
+    assert reached[0] < aim[0] * 0.9
+
+
 def test_lm_is_a_distribution_and_its_base_is_exact(spark, docs):
     train = docs.where("doc_id % 3 <> 0")
     got = {r.doc_id: r for r in lmscore.score(docs, train, head=4, vocabulary=4, sample=1).collect()}

@@ -1,26 +1,27 @@
 """Mixing sources to target weights with soft membership (operator 9).
 
-A classifier learned from a labelled table gives every document posteriors over the domains. Nonnegative
-rates r are then fitted so that the expected token totals, the sum over documents of rate * tokens *
-posterior, match the targets. The fit is projected-gradient least squares from r = 1, in variables scaled
-by the square root of the tokens and in a metric that whitens the few domain totals, so its step is one:
+A classifier learned from a labelled table gives every document posteriors over the domains. Fitted are the
+nonnegative rates r nearest to 1 (squares weighted by tokens) whose expected token totals, the sum over
+documents of rate * tokens * posterior, match the targets. They are r = max(0, 1 - posterior . d), where d
+has one number for each domain and is the minimum of a convex piecewise quadratic function, found by
+Newton's method. A penalty of ``SLACK`` on d makes it one: where no rates meet the targets, the totals are
+the nearest in least squares, and a warning tells those reached.
 
-    r <- max(0, r - posterior . G^-1 (totals(r) - targets)),   G = sum tokens * posterior posterior'
-
-A document's rate is a function of its posteriors and of the gradients so far. Hence no rates are stored
-between steps: each step is one aggregation over the posteriors' table, to one number for each domain,
-and loses nothing with an executor.
+A document's rate is a function of its posteriors and d. Hence no rates are stored between steps: each step
+is one aggregation over the posteriors' table, to a few numbers for each step size tried, and loses nothing
+with an executor.
 
 The classifier is a softmax regression over hashed words, fitted in numpy on at most ``FIT_DOCS`` labelled
 documents of each domain, chosen by hash. Posteriors and totals cover every document and its whole text.
 
 Defined results: a null or empty text has no tokens, the class priors as posteriors and counts nothing;
-without labelled rows all domains are equally likely; a domain nobody belongs to is left out of the fit
-(its target can't be met); repeated rows each count; other columns of the input play no part.
+without labelled rows all domains are equally likely; the target of a domain nobody belongs to can't be met; repeated rows each count; other columns of the input play no part.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,8 +32,10 @@ from tidemark.llm.common import by_batch, column, hash_cache, lists, looked_up,
 FIT_DOCS, BUCKETS, SEED = 4_000, 1 << 14, 9
 #: Of the regression: steps of Adam, their size, and the weight of the squared norm.
 STEPS, RATE, DECAY = 60, 0.05, 1e-4
-#: Of the rates: most steps, and the relative error of the totals at which they end.
-MOST_STEPS, TOLERANCE = 60, 1e-9
+#: Of the rates: the penalty, the slope (in shares of the tokens) at which steps end, and the largest error of a total (likewise) without a warning.
+SLACK, TOLERANCE, UNMET = 1e-9, 1e-11, 1e-6
+#: Parts of a Newton step that are tried at once.
+_PARTS = 2.0 ** -np.arange(32)
 
 
 def hashed(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,52 +120,62 @@ def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return column(batch, "n_tokens").to_numpy().astype(float), column(batch, "posteriors").flatten().to_numpy().reshape(batch.num_rows, -1)
 
 
-def rates_of(p: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
-    """Each document's rate after the steps whose gradients are given."""
-    r = np.ones(len(p))
-    for g in history:
-        r = np.maximum(0.0, r - p @ g)
-    return r
+def rates_of(p: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Each document's rate."""
+    return np.maximum(0.0, 1.0 - p @ d)
 
 
-def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Gradients of all steps, the totals they reach and those aimed at; targets are shares of ``total`` (all tokens unless given)."""
+def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What rates_of() takes, the totals reached and those aimed at; targets are shares of ``total`` (all tokens unless given)."""
     k = len(targets)
+    size = 1 + k + k * k
+
+    def tried(points: np.ndarray) -> np.ndarray:
+        """At each point: half the tokens times squared rates, the totals, and the second derivatives."""
 
-    def summed(give, size):
         def make():
             def run(batch):
-                x = give(*_matrix(batch))
-                return {"i": np.arange(size), "x": x}
+                n, p = _matrix(batch)
+                found = []
+                for d in points:
+                    r = rates_of(p, d)
+                    found += [[n @ (r * r) / 2], (n * r) @ p, (p.T @ ((n * (r > 0))[:, None] * p)).ravel()]
+                return {"i": np.arange(len(points) * size), "x": np.concatenate(found)}
 
             return run
 
         rows = by_batch(soft, ["n_tokens", "posteriors"], make, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(size)
+        out = np.zeros(len(points) * size)
         out[[r.i for r in rows]] = [r.x for r in rows]
-        return out
-
-    first = summed(lambda n, p: np.concatenate([(p.T @ (n[:, None] * p)).ravel(), n @ p]), k * k + k)
-    gram, reached = first[: k * k].reshape(k, k), first[k * k :]
-    aim = np.array(targets, float) / (sum(targets) or 1) * (reached.sum() if total is None else total)
-    inverse, history = np.linalg.pinv(gram, hermitian=True), []
-    best = np.inf
-    for _ in range(MOST_STEPS):
-        error = np.abs(reached - aim).max() / max(1.0, aim.sum())
-        if error <= TOLERANCE or error > best * (1 - 1e-6):
+        return out.reshape(-1, size)
+
+    d = np.zeros(k)
+    at = tried(d[None])[0]
+    tokens = at[1 : 1 + k].sum()
+    aim = np.array(targets, float) / (sum(targets) or 1) * (tokens if total is None else total)
+    value = lambda points, found: found[:, 0] + points @ aim + SLACK * tokens / 2 * (points**2).sum(axis=1)
+    while tokens:
+        slope = aim - at[1 : 1 + k] + SLACK * tokens * d
+        if np.abs(slope).max() <= TOLERANCE * tokens:
+            break
+        points = d - _PARTS[:, None] * np.linalg.solve(at[1 + k :].reshape(k, k) + SLACK * tokens * np.eye(k), slope)
+        found = tried(points)
+        values = value(points, found)
+        best = int(np.argmin(values))
+        if not values[best] < value(d[None], at[None])[0]:  # nothing is nearer in this arithmetic
             break
-        best = error
-        history.append(inverse @ (reached - aim))
-        so_far = list(history)
-        reached = summed(lambda n, p, so_far=so_far: (n * rates_of(p, so_far)) @ p, k)
-    return history, reached, aim
+        d, at = points[best], found[best]
+    reached = at[1 : 1 + k]
+    if np.abs(reached - aim).max() > UNMET * max(1.0, aim.sum()):
+        warnings.warn(f"no rates meet the targets: totals {reached.tolist()}, targets {aim.tolist()}", stacklevel=2)
+    return d, reached, aim
 
 
-def rated(soft: DataFrame, history: list[np.ndarray], key: str = "doc_id") -> DataFrame:
+def rated(soft: DataFrame, d: np.ndarray, key: str = "doc_id") -> DataFrame:
     """soft with ``rate``."""
 
     def make():
-        return lambda b: {c: column(b, c) for c in (key, "n_tokens", "posteriors")} | {"rate": rates_of(_matrix(b)[1], history)}
+        return lambda b: {c: column(b, c) for c in (key, "n_tokens", "posteriors")} | {"rate": rates_of(_matrix(b)[1], d)}
 
     return by_batch(soft, [key, "n_tokens", "posteriors"], make, f"{key} long, n_tokens long, posteriors array<double>, rate double")
 
@@ -171,8 +184,8 @@ def mixed_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     """(key, n_tokens, posteriors, rate) of every document."""
     model = fit_classifier(docs, labelled, sorted(targets), key, text)
     soft, _ = saved(docs.sparkSession, memberships(docs, model, key, text), "soft")
-    history, _, _ = fit_rates(soft, [targets[d] for d in model.domains])
-    return rated(soft, history, key)
+    d, _, _ = fit_rates(soft, [targets[x] for x in model.domains])
+    return rated(soft, d, key)
 
 
 def copies(rate: Column, key: Column, seed: int = SEED) -> Column:
