@@ -94,6 +94,23 @@ def test_nearest_neighbours(spark):
     assert sorted((r.query_id, r.vec_id) for r in few) == [(0, 1), (0, 2)]
 
 
+@pytest.mark.parametrize("size", [1.0, 1e6, 1e-6])
+def test_nearest_neighbours_of_isolated_points_and_large_norms(spark, monkeypatch, size):
+    monkeypatch.setattr(ann, "GROUP", 32)  # many cells, as in a large table
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((4, 24))
+    x = np.concatenate([centres[rng.integers(0, 4, 1500)] + 0.1 * rng.standard_normal((1500, 24)), rng.standard_normal((40, 24))])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) * size
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id >= 1500").select("vec_id")).collect()
+    hit = 0
+    for q in range(1500, 1540):
+        rs = {r.vec_id for r in got if r.query_id == q}
+        assert len(rs) == 20
+        hit += len(rs & {i for i in np.argsort(-(x @ x[q])) if i != q and i in set(np.argsort(-(x @ x[q]))[:21])})
+    assert hit / 800 > 0.9
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_pipeline_keeps_what_it_should(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")

@@ -3,7 +3,7 @@
 Nearness is the inner product. Equal vectors are first reduced to one point that keeps its smallest ids,
 as many as an answer can hold, so that copies crowd neither graph nor answers. The graph gives each point
 its ``NEIGHBOURS`` nearest found. It starts from exact neighbours within groups of points whose signs
-under random directions agree, and is then improved by NN-descent: a join of the graph with itself brings
+under random directions agree or are dealt together by hash (so that no point is without), and is then improved by NN-descent: a join of the graph with itself brings
 together, at each point, its neighbours and those that have it as neighbour, and neighbours of neighbours
 that are nearer than a point's worst replace it. Rounds end when hardly anything changes.
 
@@ -13,7 +13,7 @@ Queries travel to the lists, not the lists to the queries. At last, the beam is
 precision on the original vectors.
 
 All tables are partitioned by the hash of a point in buckets of bounded size; nothing goes to the driver
-but counts. The graph's lists carry vectors in half precision.
+but counts. The graph's lists carry vectors in half precision, each with a power of two of its own.
 
 Defined results: vectors that are null or zero, or have null or non-finite components, and rows with a
 null id take no part; vectors of another length than the most frequent one take no part either; of rows
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, column, dropped, freed, importable, lists, saved
+from tidemark.llm.common import by_batch, column, dropped, freed, importable, lists, mixed, saved
 
 NEIGHBOURS, BEAM, OPENED, TOP = 24, 800, 100, 20
 #: Points of a bucket, of a group at the start, groupings at the start, rounds, share of changes that ends them.
@@ -38,16 +38,24 @@ REVERSE, TAKEN = 24, 5
 
 
 def _half(x: pa.Array, n: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x.to_pylist()), np.float16).reshape(n, -1).astype(np.float32) if n else np.zeros((0, 0), np.float32)
+    """Vectors: each is a power of two and components of 1 at most."""
+    if not n:
+        return np.zeros((0, 0), np.float32)
+    flat = np.frombuffer(b"".join(x.to_pylist()), np.int16).reshape(n, -1)
+    return np.ldexp(flat[:, 1:].view(np.float16).astype(np.float32), flat[:, :1].astype(np.int32))
 
 
 def points(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", top: int = TOP) -> DataFrame:
-    """(p, ids: array<long>, v: array<double>, h: binary): a point for each different vector; p is its smallest id."""
+    """(p, ids: array<long>, v: array<double>, h: binary): a point for each different vector; p is its smallest id.
+
+    h is scaled so that the largest component of all vectors is 1 at most; that changes no order of products.
+    """
     v = F.col(vector).cast("array<double>")
     good = F.col(key).isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     used = rows.where(good).select(F.col(key).cast("long").alias("id"), v.alias("v"))
     used = used.groupBy("id").agg(F.min("v").alias("v"))
-    sizes = used.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    sizes = used.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("count"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("largest")).orderBy(F.desc("count"), "n").first()
+    most = int(np.frexp(sizes.largest)[1]) if sizes else 0
     used = used.where(F.size("v") == (sizes.n if sizes else 0)).withColumn("v", F.transform("v", lambda x: x + 0.0))
     kept = top + 1
     part = used.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.slice(F.sort_array(F.collect_list("id")), 1, kept).alias("ids"))
@@ -55,7 +63,9 @@ def points(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", top:
 
     def make():
         def run(batch):
-            flat = column(batch, "v").flatten().to_numpy().astype(np.float16).reshape(batch.num_rows, -1)
+            v = column(batch, "v").flatten().to_numpy().reshape(batch.num_rows, -1)
+            power = np.frexp(np.abs(v).max(axis=1, keepdims=True))[1]
+            flat = np.concatenate([(power - most).astype(np.int16), np.ldexp(v, -power).astype(np.float16).view(np.int16)], axis=1)
             ids = column(batch, "ids")
             return {"p": pa.array([x[0].as_py() for x in ids], pa.int64()), "ids": ids, "v": column(batch, "v"), "h": pa.array([x.tobytes() for x in flat], pa.binary())}
 
@@ -104,7 +114,10 @@ def _pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _start(spark: SparkSession, pts: DataFrame, n: int, buckets: int, k: int, seed: int) -> DataFrame:
-    """(p, q, s): exact neighbours within groups of agreeing signs; oversized groups are dealt out by hash."""
+    """(p, q, s): exact neighbours within groups of agreeing signs; oversized groups are dealt out by hash.
+
+    One more grouping is by hash alone, so that points without company in their cells get neighbours too.
+    """
     width = len(pts.select("v").first().v)
     bits = max(0, int(np.ceil(np.log2(max(1, n / GROUP)))))
     directions = np.random.default_rng(seed).standard_normal((STARTS, bits, width)).astype(np.float32)
@@ -114,7 +127,9 @@ def _start(spark: SparkSession, pts: DataFrame, n: int, buckets: int, k: int, se
             x = _half(column(batch, "h"), batch.num_rows)
             signs = np.einsum("gbw,nw->gnb", directions, x) > 0
             keys = (signs @ (1 << np.arange(bits)).astype(np.int64)).reshape(STARTS, -1)
-            return {"p": pa.concat_arrays([column(batch, "p")] * STARTS), "h": pa.concat_arrays([column(batch, "h")] * STARTS), "g": np.repeat(np.arange(STARTS, dtype=np.int64), batch.num_rows) << 40 | keys.ravel()}
+            dealt = (mixed(column(batch, "p").to_numpy()) % np.uint64(max(1, n // GROUP))).astype(np.int64)
+            keys = np.concatenate([keys.ravel(), dealt])
+            return {"p": pa.concat_arrays([column(batch, "p")] * (STARTS + 1)), "h": pa.concat_arrays([column(batch, "h")] * (STARTS + 1)), "g": np.repeat(np.arange(STARTS + 1, dtype=np.int64), batch.num_rows) << 40 | keys}
 
         return run
 
@@ -159,14 +174,16 @@ def build(spark: SparkSession, pts: DataFrame, k: int = NEIGHBOURS, rounds: int
         return out
 
     graph, path = update(spark.createDataFrame([], _GRAPH), _start(spark, pts, n, buckets, k, seed))
+    if n > 1 and graph.count() != n:
+        raise RuntimeError("points without neighbours at the start")
     for turn in range(rounds):
         links = graph.select("p", F.element_at("score", -1).alias("least"), F.explode(F.arrays_zip("near", "fresh")).alias("x")).select("p", "least", F.col("x.near").alias("q"), F.col("x.fresh").alias("fresh"))
         forward = links.select(F.col("p").alias("at"), F.col("q").alias("p"), "fresh")
         backward = links.select(F.col("q").alias("at"), "p", "fresh").withColumn("r", F.expr(f"row_number() over (partition by at order by xxhash64(at, p, {turn}))")).where(F.col("r") <= REVERSE).drop("r")
-        own = graph.select(F.col("p").alias("at"), "p", F.lit(True).alias("fresh"))
+        own = pts.select(F.col("p").alias("at"), "p", F.lit(True).alias("fresh"))
         members = forward.unionByName(backward).unionByName(own).groupBy("at", "p").agg(F.max("fresh").alias("fresh"))
         worst = graph.select("p", F.when(F.size("score") < k, F.lit(float("-inf"))).otherwise(F.element_at("score", -1)).cast("float").alias("least"))
-        with_vectors = members.join(pts.select("p", "h").join(worst, "p"), "p")
+        with_vectors = members.join(pts.select("p", "h").join(worst, "p", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")).cast("float"))), "p")
         new = with_vectors.groupBy(_bucket("at", buckets).alias("b")).applyInArrow(_meet, "p long, q long, s float")
         after, new_path = update(graph, new)
         dropped(spark, path)
