@@ -236,6 +236,13 @@ def test_mixing_meets_targets_of_overlapping_posteriors(spark):
     assert reached[0] < aim[0] * 0.9
 
 
+def test_lm_learns_from_every_document(spark):
+    rest = spark.range(300).where(F.pmod(F.xxhash64(F.lit("lm"), "id"), F.lit(4)) != 0).select(F.col("id").alias("doc_id"), F.lit("a b c d " * 20).alias("text"))
+    vocabulary = lmscore.vocabulary_of(lmscore.counted(rest))
+    weights = lmscore.trained(rest, vocabulary)
+    assert np.abs(weights["U"] - lmscore.gru.initial(vocabulary.counts)["U"]).max() > 1e-4
+
+
 def test_lm_is_a_distribution_and_its_base_is_exact(spark, docs):
     train = docs.where("doc_id % 3 <> 0")
     got = {r.doc_id: r for r in lmscore.score(docs, train, head=4, vocabulary=4, sample=1).collect()}

@@ -4,9 +4,10 @@ Tokens are a text's words with A-Z lower-cased, then one end. Counts of all trai
 by aggregation over every training document. The model is a recurrent one (``gru``) over the end, the
 most frequent words and one id for all rarer words; a rare word's probability is that id's times its share
 of the rare words' counts, with one count added to each and one more for all words never seen. So the
-model is a distribution over the same tokens as the unigram base. Training takes the documents of one
-hash in ``SAMPLE`` (a share, so it grows with the input); each task trains from the common weights on
-its own documents, and the weights are averaged by tokens in a tree, ``ROUNDS`` times.
+model is a distribution over the same tokens as the unigram base. Training takes
+every document once, in rounds; in each, tasks train from the common weights on their own documents, and
+the weights are averaged by tokens in a tree. There are ``ROUNDS``, and one more for each doubling of the
+tokens beyond ``ROUND_TOKENS``.
 
 The most frequent words, ``HEAD`` at most, are broadcast; the rest of each text's words get their counts
 by an equi-join on the word (none of which is frequent), and sums return to the texts by aggregation.
@@ -31,7 +32,7 @@ from tidemark.llm import gru
 from tidemark.llm.common import by_batch, column, importable, saved, texts
 
 HEAD, VOCABULARY = 300_000, 2048
-SAMPLE, ROUNDS, TEXTS_AT_ONCE = 4, 2, 32
+SAMPLE, ROUNDS, ROUND_TOKENS, TEXTS_AT_ONCE = 1, 2, 1 << 24, 32
 #: Texts among which those of like length are trained on side by side.
 _SORTED = 1024
 #: Counts that a task holds before it hands them on; models that one task adds up.
@@ -123,10 +124,11 @@ def vocabulary_of(counts: DataFrame, head: int = HEAD, vocabulary: int = VOCABUL
     return Vocabulary([words[k] for k in order], c[order] if order else np.zeros(0, np.int64), int(n), int(v), least, vocabulary)
 
 
-def trained(training: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+def trained(training: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, rounds: int | None = None) -> dict[str, np.ndarray]:
     """The recurrent model's weights."""
     spark = training.sparkSession
     importable(spark)
+    rounds = rounds or ROUNDS + max(0, int(np.log2(max(1, vocabulary.n) / ROUND_TOKENS)))
     weights = gru.initial(vocabulary.counts)
     rows_from = training.where(F.pmod(F.xxhash64(F.lit("lm"), key), F.lit(sample)) == 0)
     for k in range(rounds):
