@@ -54,6 +54,13 @@ def normalize_block(t: Tables) -> DataFrame:
     return linear.normalized(rows, normalizer(t), ["vec_id"]).select("vec_id", "dim", F.round("z", 5).alias("z"))
 
 
+@query(f"{_NORM} SELECT vec_id, lo.dim, round(CASE WHEN active THEN (v - mean) / std * weight ELSE 0 END, 5) AS z FROM lo JOIN nw ON lo.dim = nw.dim")
+def normalize_block_all(t: Tables) -> DataFrame:
+    """Every vector; normalize_block has one in ten."""
+    rows = linear.long_form(t.embeddings, "embedding", ["vec_id"])
+    return linear.normalized(rows, normalizer(t), ["vec_id"]).select("vec_id", "dim", F.round("z", 5).alias("z"))
+
+
 @query("""ix AS (SELECT arrival_ns // 604800000000000 AS k, count(*) AS requests, sum(input_tokens) AS tokens, count(*) FILTER (WHERE side = 0) / count(*) AS share FROM att GROUP BY 1),
 u AS (SELECT k, 'requests' AS unit, CAST(requests AS DOUBLE) AS v FROM ix UNION ALL SELECT k, 'tokens', CAST(tokens AS DOUBLE) FROM ix UNION ALL SELECT k, 'ratio', share FROM ix),
 w AS (SELECT k, unit, CASE WHEN unit IN ('requests', 'tokens') THEN ln(1 + v) ELSE v END AS v FROM u), s AS (SELECT unit, avg(v) AS m, stddev_pop(v) AS d FROM w GROUP BY unit)
