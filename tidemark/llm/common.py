@@ -14,12 +14,15 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries that a worker's cache may hold before it is emptied.
 CACHE_ENTRIES = 400_000
+#: Bytes of rows that an operator's function gets at once.
+PIECE_BYTES = 1 << 23
 
 
 def words(text: str | None) -> list[bytes]:
@@ -63,9 +66,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where the session names none and runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -95,21 +100,55 @@ def freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def spread_join(many: DataFrame, one: DataFrame, on: str, by: str, how: str = "inner", parts: int = 16) -> DataFrame:
+    """many joined with ``one``, which has one row for each ``on``; rows of a frequent key are dealt to ``parts`` tasks by the hash of ``by``."""
+    part = "_part"
+    copies = one.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return many.withColumn(part, F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).join(copies, [on, part], how).drop(part)
+
+
 def by_batch(df: DataFrame, columns: list, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
-    """Rows of ``schema`` from each Arrow batch of ``columns``; make() is called once for each task."""
+    """Rows of ``schema`` from each Arrow batch of ``columns``, cut to pieces of bounded size; make() is called once for each task."""
     names = [x.split()[0].strip("`") for x in _split_schema(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            if batch.num_rows:
-                out = f(batch)
+            for piece in pieces(batch):
+                out = f(piece)
                 yield pa.RecordBatch.from_arrays([out[n] if isinstance(out[n], pa.Array) else pa.array(out[n]) for n in names], names=names)
 
     importable(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes, or of one row where that has more."""
+    if batch.nbytes <= most:
+        if batch.num_rows:
+            yield batch
+        return
+    size = np.zeros(batch.num_rows, np.int64)
+    for x in batch.columns:
+        if pa.types.is_string(x.type) or pa.types.is_binary(x.type):
+            size += pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(x.type):
+            size += 8 * pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(np.diff((np.cumsum(size) - size) // most, prepend=0))
+    bounds = [0, *at.tolist(), batch.num_rows]
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers find this package where the driver found it (unless it was shipped to them)."""
     root = str(Path(__file__).resolve().parents[2])

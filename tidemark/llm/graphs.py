@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is an aggregation (combined before its shuffle) and an equi-join that adaptive execution can
-split where one node has very many links; nothing is gathered to the driver. Once at most ``LOCAL_LINKS``
+Every step is an aggregation (combined before its shuffle) and an equi-join in which the links of one node
+are dealt to several tasks; nothing is gathered to the driver. Once at most ``LOCAL_LINKS``
 links are left (a bound in memory, not in input), one task finishes them.
 """
 
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import column, dropped, importable, saved
+from tidemark.llm.common import column, dropped, importable, saved, spread_join
 
 LOCAL_LINKS = 2_000_000
 
@@ -40,9 +40,9 @@ def components(spark: SparkSession, links: DataFrame, local_links: int = LOCAL_L
     while sign[0] > local_links:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = spread_join(both, least, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = spread_join(large, least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         after, new_path = saved(spark, small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         dropped(spark, path)
         edges, path = after, new_path
@@ -52,7 +52,19 @@ def components(spark: SparkSession, links: DataFrame, local_links: int = LOCAL_L
     else:
         edges = _finished(edges)
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return saved(spark, nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")[0]
+    found, _ = saved(spark, nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
+    dropped(spark, path)
+    return found
+
+
+def least_keys(spark: SparkSession, classes: DataFrame, nodes: DataFrame, node: str, first: str) -> DataFrame:
+    """(node, component_id) of every class: the smallest ``first`` of the component that ``nodes`` (node, root) put it in, or its own."""
+    of = nodes.select(F.col("node").alias(node), "root").join(classes, node)
+    least, path = saved(spark, of.groupBy("root").agg(F.min(first).alias("component_id")), "least")
+    known = spread_join(of.select(node, "root"), least, "root", node).select(node, "component_id")
+    found, _ = saved(spark, classes.join(known, node, "left").select(node, F.coalesce("component_id", first).alias("component_id")), "classes")
+    dropped(spark, path)
+    return found
 
 
 def _finished(edges: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ Equal fingerprints are first reduced to one. The distinct ones are laid out in t
 counts: the 64 bits are read as lanes, and a tile holds fingerprints whose lanes have the same counts of
 ones. Since two fingerprints differ in at least as many bits as their lane counts do in sum, only pairs of
 tiles whose counts differ by no more than the radius are compared, bit by bit (exclusive-or and bit count
-in numpy); all others are skipped without loss. Lanes grow finer until the fullest tile is small, and a
-cell that is still too full is split into several tiles, each pair of which is compared by its own row, so
-no task depends on the size of a group. Each pair of tiles gives a spanning forest of the links it finds,
+in numpy); all others are skipped without loss. Lanes grow finer until the fullest cell is small, and a
+cell that is still too full is split into as many tiles as it needs, each pair of which is compared by its
+own row, so no task depends on the size of a group. Pairs of cells are found by their numbers alone; the
+fingerprints join only those that exist. Each pair of tiles gives a spanning forest of the links it finds,
 never all pairs of a group; components come from the forests' union.
 
 Defined results: a null or empty text, or one of white space, has fingerprint zero and is linked like any
@@ -25,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, column, dropped, saved, texts
-from tidemark.llm.graphs import components, joined
+from tidemark.llm.common import by_batch, column, dropped, saved, spread_join, texts
+from tidemark.llm.graphs import components, joined, least_keys
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 2
 #: Fingerprints that a tile holds at most, but for the unevenness of hashing; lanes to choose from.
@@ -90,11 +91,16 @@ def links(spark: SparkSession, distinct: DataFrame, radius: int = RADIUS, tile:
         fullest = distinct.groupBy(cell(n).alias("c")).count().agg(F.max("count")).first()[0] or 0
         if fullest <= tile:
             break
-    parts = -(-fullest // tile) or 1
-    tiles = distinct.select("fp", cell(n).alias("cell"), F.pmod(F.xxhash64("fp"), F.lit(parts)).alias("part")).groupBy("cell", "part").agg(F.collect_list("fp").alias("fps"))
-    near = [sum(x * 65**k for k, x in enumerate(o)) for o in offsets(n, radius)]
-    left = tiles.select(F.col("cell").alias("c"), F.col("part").alias("p"), F.col("fps").alias("a"), F.explode(F.array(*[(F.col("cell") + F.lit(x).cast("long")) for x in near])).alias("cell"))
-    pairs = left.join(tiles, "cell").where("c <> cell or p <= part").select("a", F.col("fps").alias("b"), F.expr("c = cell and p = part").alias("same"))
+    cells, _ = saved(spark, distinct.groupBy(cell(n).alias("cell")).agg(F.ceil(F.count("*") / tile).alias("parts")), "cells")
+    part = F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part")
+    tiles, _ = saved(spark, distinct.withColumn("cell", cell(n)).join(cells, "cell").groupBy("cell", part).agg(F.collect_list("fp").alias("fps")), "tiles")
+    # pairs of cells that exist, by their numbers alone; then pairs of their tiles; the fingerprints come last
+    near = F.array(*[F.col("c") + F.lit(sum(x * 65**k for k, x in enumerate(o))).cast("long") for o in offsets(n, radius)])
+    two = cells.select(F.col("cell").alias("c"), F.col("parts").alias("p")).withColumn("cell", F.explode(near)).join(cells, "cell")
+    of = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), F.col(x) - 1))
+    two = two.withColumn("i", of("p")).withColumn("j", of("parts")).where("c <> cell or i <= j").select("c", "i", "cell", F.col("j").alias("part"))
+    left = tiles.select(F.col("cell").alias("c"), F.col("part").alias("i"), F.col("fps").alias("a"))
+    pairs = two.join(left, ["c", "i"]).join(tiles, ["cell", "part"]).select("a", F.col("fps").alias("b"), F.expr("c = cell and i = part").alias("same"))
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
@@ -115,12 +121,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     """(key, fp: long, component_id: long): fingerprint and smallest key of the component of every row."""
     spark = df.sparkSession
     prints, _ = saved(spark, fingerprints(df, key, text, shingle_words), "fingerprints")
-    groups, _ = saved(spark, prints.groupBy("fp").agg(F.min(key).alias("first")), "groups")
+    groups, groups_path = saved(spark, prints.groupBy("fp").agg(F.min(key).alias("first")), "groups")
     found, path = saved(spark, links(spark, groups.select("fp"), radius, tile, lanes), "forest")
     nodes = components(spark, found)
     dropped(spark, path)
-    of = nodes.select(F.col("node").alias("fp"), "root").join(groups, "fp")
-    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = of.select("fp", "root").join(least, "root").select("fp", "component_id")
-    all_, _ = saved(spark, groups.join(known, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "classes")
-    return prints.join(all_, "fp").select(key, "fp", "component_id")
+    classes = least_keys(spark, groups, nodes, "fp", "first")
+    dropped(spark, groups_path)
+    return spread_join(prints, classes, "fp", key).select(key, "fp", "component_id")
