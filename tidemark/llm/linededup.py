@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, column, saved, texts
+from tidemark.llm.common import by_batch, column, saved, spread_join, texts, unused
 
 LEAST_SITES, BROADCAST_LINES = 8, 200_000
 #: Sketch size (2**12 registers, 1.6 % standard error) and the half-width of the exactly counted band.
@@ -69,21 +69,22 @@ def spread(
 
 def stripped(docs: DataFrame, boilerplate: DataFrame, key: str = "doc_id", text: str = "text", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """docs with boilerplate lines taken out of ``text``, and ``n_lines_removed`` (long)."""
-    kept = [c for c in docs.columns if c not in (text, "n_lines_removed", "_found")]
+    kept = [c for c in docs.columns if c not in (text, "n_lines_removed")]
+    lines_of, at = unused(docs, "_lines"), unused(docs, "_at")
     if boilerplate.count() <= broadcast_lines:
         firsts = dict(boilerplate.select("line", "first").toArrow().to_pandas().itertuples(index=False))
-        rows = docs.select(*kept, text, F.lit(None).cast("map<long,long>").alias("_found"))
+        rows = docs.select(*kept, text, F.lit(None).cast("map<long,long>").alias(lines_of))
     else:
         firsts = {}
-        at = F.xxhash64(F.col(text)).alias("_at")  # what is found depends on the text alone; lines of another text with its hash do no harm
-        places = docs.select(at, F.explode(line_hashes(F.col(text))).alias("line")).distinct().join(boilerplate.select("line", "first"), "line")
-        of = places.groupBy("_at").agg(F.map_from_entries(F.collect_list(F.struct("line", "first"))).alias("_found"))
-        rows = docs.join(of, F.xxhash64(docs[text]) == of["_at"], "left").select(*kept, text, "_found")
+        hashed = docs.withColumn(at, F.xxhash64(F.col(text)))  # what is found depends on the text alone; lines of another text with its hash do no harm
+        places = hashed.select(at, F.explode(line_hashes(F.col(text))).alias("line")).distinct().join(boilerplate.select("line", "first"), "line")
+        of = places.groupBy(at).agg(F.map_from_entries(F.collect_list(F.struct("line", "first"))).alias(lines_of))
+        rows = spread_join(hashed, of, at, key, "left").select(*kept, text, lines_of)
 
     def make():
         def run(batch):
             out, gone = [], []
-            for k, t, found in zip(column(batch, key).to_pylist(), texts(batch, text), column(batch, "_found").to_pylist(), strict=True):
+            for k, t, found in zip(column(batch, key).to_pylist(), texts(batch, text), column(batch, lines_of).to_pylist(), strict=True):
                 t, n = strip_one(k, t, dict(found) if found else firsts)
                 out.append(t)
                 gone.append(n)
