@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from tidemark.llm import neardup
 
 
 def brute(texts):
@@ -42,4 +43,7 @@ def test_near_duplicates_are_those_of_jaccard_08(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
     got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
     assert got == brute(texts)
+    for stars, tile in ((0, 3), (1, 2048)):  # what hubs leave to the tiles
+        found = neardup.near_duplicates(df, stars=stars, tile=tile).collect()
+        assert {r.doc_id for r in found if r.doc_id == r.component_id} == got
     assert corpus_pipeline.near_duplicates(spark, df.where("false"), "").count() == 0

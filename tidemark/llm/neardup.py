@@ -1,17 +1,24 @@
-"""Near duplicates by exact similarity: components of the texts whose shingle sets have a Jaccard of 0.8 or more.
-
-A text is the set of its shingles' hashes; equal sets are first reduced to one. Two sets with that Jaccard
-share at least 0.8 of the larger one, so whatever common order shingles are put in, they share one among
-the first fifth and one more of each (the prefix). Pairs that share none there are skipped without loss.
-The order puts the most common shingles last, which keeps passages that many texts quote out of prefixes.
-
-Candidates are compared by their whole sets. At first each text meets one hub of each of its shingles, so a
-group of like texts gives as many pairs as it has texts; only texts that are still in different components
-then meet pairwise. Pairs within a component are left out, since they can't change it.
-
-Defined results: A-Z is folded; texts with fewer words than a shingle are hashed as a whole; texts without
-words are equal; repeated rows get equal results; an empty table gives an empty one; other columns of the
-input play no part.
+"""SimHash near duplicates whose links are verified on the texts (operator 10 with a check by exact Jaccard).
+
+Texts are linked if their sets of five-word shingles have a Jaccard of 0.8 or more. Equal sets are first
+reduced to one text. The others are candidates by their fingerprints: at that similarity a fingerprint
+differs in about ten bits, and ``RADIUS`` allows for twice as many. Without more, a radius that wide would
+compare everything with everything, so tiles are cut by shingles first: two sets with that Jaccard share at
+least 0.8 of the larger one, so whatever common order shingles are put in, they share one among the first
+fifth and one more of each (the prefix), and texts that share none there are in no common tile, without
+loss. The order puts the most common shingles last, which keeps passages that many texts quote out of
+prefixes.
+
+In tiles, fingerprints are compared in numpy by exclusive-or and bit counts; pairs of tiles whose population
+counts are further apart than the radius are skipped. Whole sets decide on each candidate, and only links
+that hold make components. Beforehand, each text meets one hub of each of its shingles, so that a group of
+like texts gives as many candidates as it has texts; the tiles then hold only texts of shingles whose texts
+are still in different components.
+
+Defined results: A-Z is folded; texts with fewer words than a shingle are hashed as a whole; a null or empty
+text has no words, and texts without words are equal; repeated rows get equal results, rows with a null key
+are linked like others but never give a component its number unless it has no other; an empty table gives an
+empty one; other columns of the input play no part.
 """
 
 from __future__ import annotations
@@ -24,14 +31,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, column, dropped, freed, saved, texts
-from tidemark.llm.graphs import components
+from tidemark.llm.common import by_batch, column, dropped, freed, saved, spread_join, texts
+from tidemark.llm.graphs import components, least_keys
 
 SHINGLE_WORDS, SEED = 5, 42
+#: Bits that fingerprints of like texts may differ in; rows of a tile at most, but for the unevenness of hashing.
+RADIUS, TILE = 20, 2048
 #: Prefixes that a shingle is in before it counts as common; common shingles known to tasks at most (more are ordered like others).
 COMMON, MOST_COMMON = 32, 200_000
 #: Rounds in which texts meet hubs.
-STARS = 3
+STARS = 2
+#: Fingerprints that are compared at once.
+_STEP = 1 << 20
 
 
 def shingles(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -43,21 +54,30 @@ def shingles(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray
     return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), parts), np.uint64))
 
 
+def fingerprint(h: np.ndarray) -> int:
+    """A bit is 1 if it is set in more than half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 8192):
+        ones += np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+
+
 def sets(df: DataFrame, key: str, text: str, shingle_words: int) -> DataFrame:
-    """(key, p: long, h: binary) of every row: p tells equal sets."""
+    """(key, p: long, fp: long, h: binary) of every row: p tells equal sets, fp is the set's fingerprint."""
 
     def make():
         def run(batch):
-            h = [shingles(x, shingle_words).tobytes() for x in texts(batch, text)]
-            return {key: column(batch, key), "p": np.fromiter(map(xxhash.xxh3_64_intdigest, h), np.uint64, len(h)).view(np.int64), "h": pa.array(h, pa.binary())}
+            h = [shingles(x, shingle_words) for x in texts(batch, text)]
+            fp, h = [fingerprint(x) for x in h], [x.tobytes() for x in h]
+            return {key: column(batch, key), "p": np.fromiter(map(xxhash.xxh3_64_intdigest, h), np.uint64, len(h)).view(np.int64), "fp": np.array(fp, np.uint64).view(np.int64), "h": pa.array(h, pa.binary())}
 
         return run
 
-    return by_batch(df, [F.col(key).cast("long").alias(key), text], make, f"{key} long, p long, h binary")
+    return by_batch(df, [F.col(key).cast("long").alias(key), text], make, f"{key} long, p long, fp long, h binary")
 
 
 def prefixes(found: DataFrame, common: np.ndarray) -> DataFrame:
-    """(s, p, n): the prefix of each set of n shingles; ``common`` (sorted) come last."""
+    """(s, p, fp, n): the prefix of each set of n shingles; ``common`` (sorted) come last."""
 
     def make():
         seen: set[int] = set()
@@ -69,7 +89,10 @@ def prefixes(found: DataFrame, common: np.ndarray) -> DataFrame:
                 if x not in seen:
                     seen.add(x)
                     new.append(i)
-            h = h.take(pa.array(new, pa.int64())).to_pylist()
+            if len(seen) > 1_000_000:
+                seen.clear()
+            at = pa.array(new, pa.int64())
+            h, fp = h.take(at).to_pylist(), column(batch, "fp").take(at).to_numpy()
             n = np.array([len(x) // 8 for x in h], np.int64)
             s = np.frombuffer(b"".join(h), np.uint64)
             doc = np.repeat(np.arange(len(n)), n)
@@ -79,16 +102,18 @@ def prefixes(found: DataFrame, common: np.ndarray) -> DataFrame:
             order = np.lexsort((s, last, doc))
             first = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n) < (n - (4 * n + 4) // 5 + 1)[doc]
             at = order[first]
-            return {"s": s[at].view(np.int64), "p": np.array(p, np.int64)[new][doc[at]] if len(new) else np.zeros(0, np.int64), "n": n[doc[at]]}
+            own = doc[at]
+            return {"s": s[at].view(np.int64), "p": np.array(p, np.int64)[new][own] if len(new) else np.zeros(0, np.int64), "fp": fp[own], "n": n[own]}
 
         return run
 
-    return by_batch(found, ["p", "h"], make, "s long, p long, n long")
+    return by_batch(found, ["p", "fp", "h"], make, "s long, p long, fp long, n long")
 
 
 def similar(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets ``whole`` (p, h) have a Jaccard of 0.8 or more."""
-    both = pairs.join(whole.select(F.col("p").alias("u"), F.col("h").alias("a")), "u").join(whole.select(F.col("p").alias("v"), F.col("h").alias("b")), "v")
+    a, b = (whole.select(F.col("p").alias(x), F.col("h").alias(y)) for x, y in (("u", "a"), ("v", "b")))
+    both = spread_join(spread_join(pairs, a, "u", "v"), b, "v", "u")
 
     def make():
         def run(batch):
@@ -104,47 +129,97 @@ def similar(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return by_batch(both, ["u", "v", "a", "b"], make, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, common: int = COMMON, stars: int = STARS) -> DataFrame:
+def candidates(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (u, v) between two tiles, or within one, whose fingerprints, sizes and components allow a link; tiles: p, fp, n, c."""
+    u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    ones = [np.bitwise_count(x[1].view(np.uint64)).astype(int) for x in (a, b)]
+    if ones[0].min() - ones[1].max() > radius or ones[1].min() - ones[0].max() > radius:
+        return u[0], v[0]
+    step = max(1, _STEP // len(b[0]))
+    for i in range(0, len(a[0]), step):
+        p, fp, n, c = (x[i : i + step, None] for x in a)
+        near = (np.bitwise_count((fp ^ b[1]).view(np.uint64)) <= radius) & (c != b[3]) & (5 * np.minimum(n, b[2]) >= 4 * np.maximum(n, b[2]))
+        x, y = np.nonzero(near & (p < b[0]) if same else near)
+        u.append(a[0][i + x])
+        v.append(b[0][y])
+    return np.concatenate(u), np.concatenate(v)
+
+
+def tiled(rows: DataFrame, radius: int, tile: int) -> DataFrame:
+    """(u, v): candidates among rows (s, p, fp, n, c) of equal s in different components c."""
+    spark = rows.sparkSession
+    open_, _ = saved(spark, rows.groupBy("s").agg(F.ceil(F.count("*") / tile).alias("parts"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s", "parts"), "open")
+    kept = spread_join(rows, open_, "s", "p").withColumn("part", F.pmod(F.xxhash64("p"), F.col("parts")))
+    tiles = kept.groupBy("s", "part").agg(F.max("parts").alias("parts"), F.collect_list(F.struct("p", "fp", "n", "c")).alias("rows"))
+    tiles, _ = saved(spark, tiles, "tiles")
+    left = tiles.select("s", F.col("part").alias("i"), F.col("rows").alias("a"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("part"))
+    pairs = left.join(tiles.select("s", "part", F.col("rows").alias("b")), ["s", "part"]).select("a", "b", F.expr("i = part").alias("same"))
+
+    def make():
+        def run(batch):
+            found = [(np.empty(0, np.int64),) * 2]
+            for x, y, same in zip(column(batch, "a"), column(batch, "b"), column(batch, "same").to_pylist(), strict=True):
+                found.append(candidates(*(tuple(z.values.field(k).to_numpy() for k in range(4)) for z in (x, y)), same, radius))
+            return {c: np.concatenate(z) for c, z in zip(("u", "v"), zip(*found, strict=True), strict=True)}
+
+        return run
+
+    return by_batch(pairs, ["a", "b", "same"], make, "u long, v long")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, tile: int = TILE, common: int = COMMON, stars: int = STARS) -> DataFrame:
     """(key, component_id: long): smallest key of the component of every row."""
     spark = df.sparkSession
     found, found_path = saved(spark, sets(df, key, text, shingle_words), "sets")
-    groups, _ = saved(spark, found.groupBy("p").agg(F.min(key).alias("first")), "groups")
+    keys, _ = saved(spark, found.select(key, "p"), "keys")
+    groups, groups_path = saved(spark, keys.groupBy("p").agg(F.min(key).alias("first")), "groups")
     often = prefixes(found, np.zeros(0, np.uint64)).groupBy("s").count().where(F.col("count") > common).orderBy(F.desc("count"), "s").limit(MOST_COMMON).toArrow()
     freed(spark)  # here and below: each step's shuffles are as large as the texts
-    last = np.sort(often["s"].to_numpy().view(np.uint64))
-    rows, rows_path = saved(spark, prefixes(found, last).distinct(), "prefixes")
+    rows, rows_path = saved(spark, prefixes(found, np.sort(often["s"].to_numpy().view(np.uint64))), "prefixes")
+    dropped(spark, found_path)
+
+    def hubs(of: DataFrame, turn: int) -> DataFrame:
+        """The text of each shingle whose hash is least, where the shingle has texts in several components."""
+        hub = F.min(F.struct(F.xxhash64(F.lit(turn), "p").alias("x"), F.col("p").alias("p2"), F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("c").alias("c2"))).alias("hub")
+        return of.groupBy("s").agg(hub, F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s", "hub.*")
+
+    def met(of: DataFrame) -> DataFrame:
+        near = f"c <> c2 and 5 * least(n, n2) >= 4 * greatest(n, n2) and bit_count(fp ^ fp2) <= {radius}"
+        return of.where(near).select(F.least("p", "p2").alias("u"), F.greatest("p", "p2").alias("v"), "p", "x")
+
+    rows = rows.withColumn("c", F.col("p"))
+    first_hubs, hubs_path = saved(spark, hubs(rows, 0), "hubs")
     freed(spark)
-    shared, shared_path = saved(spark, rows.join(rows.groupBy("s").count().where("count > 1").select("s"), "s", "left_semi").withColumn("c", F.col("p")), "shared")
-    dropped(spark, rows_path)
+    joined, joined_path = saved(spark, spread_join(rows, first_hubs, "s", "p"), "shared")
+    dropped(spark, rows_path, hubs_path)
     freed(spark)
-    asked = shared.select("p").distinct().join(groups, "p").select("p", F.col("first").alias(key))
-    whole, whole_path = saved(spark, found.join(asked, ["p", key], "left_semi").select("p", "h").dropDuplicates(["p"]), "whole")
-    kept = found.select(key, "p")
-    rows_of, _ = saved(spark, kept, "keys")
-    dropped(spark, found_path)
+    shared = joined.select("s", "p", "fp", "n", "c").distinct()
+    asked = joined.select("p").distinct().join(groups, "p").select(F.col("first").alias("_first")).distinct()
+    of = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias(text)).join(asked, F.equal_null("_key", "_first"), "left_semi").withColumnRenamed("_key", key)
+    whole, whole_path = saved(spark, sets(of, key, text, shingle_words).select("p", "h").dropDuplicates(["p"]), "whole")
     freed(spark)
 
-    links, nodes = None, None
+    links, paths, nodes = None, [], None
     for turn in range(stars + 1):
-        other = shared.select("s", *(F.col(c).alias(f"{c}2") for c in ("p", "n", "c")))
-        if turn < stars:
-            hub = F.min(F.struct(F.xxhash64(F.lit(turn), "p2").alias("x"), "p2", "n2", "c2")).alias("hub")
-            other = other.groupBy("s").agg(hub).select("s", "hub.p2", "hub.n2", "hub.c2")
-        met = shared.join(other, "s").where("c <> c2 and 5 * least(n, n2) >= 4 * greatest(n, n2)" + (" and p < p2" if turn == stars else ""))
-        pairs, pairs_path = saved(spark, met.select(F.least("p", "p2").alias("u"), F.greatest("p", "p2").alias("v")).distinct(), "pairs")
-        more, _ = saved(spark, similar(pairs, whole), "similar")
+        if turn == stars:
+            one = tiled(shared, radius, tile).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        elif turn == 0:  # each text and the least of its hubs
+            one = met(joined).groupBy("p").agg(F.min(F.struct("x", "u", "v")).alias("m")).select("m.u", "m.v")
+        else:
+            one = met(spread_join(shared, hubs(shared, turn), "s", "p")).select("u", "v")
+        pairs, pairs_path = saved(spark, one.distinct(), "pairs")
+        more, more_path = saved(spark, similar(pairs, whole), "similar")
         dropped(spark, pairs_path)
+        paths.append(more_path)
         links = more if links is None else links.unionByName(more)
         nodes = components(spark, links)
         if turn < stars:
             after = shared.drop("c").join(nodes.select(F.col("node").alias("p"), F.col("root").alias("c")), "p", "left")
-            after, new_path = saved(spark, after.select("s", "p", "n", F.coalesce("c", "p").alias("c")), "shared")
-            dropped(spark, shared_path)
-            shared, shared_path = after, new_path
+            after, new_path = saved(spark, after.select("s", "p", "fp", "n", F.coalesce("c", "p").alias("c")), "shared")
+            dropped(spark, joined_path)
+            shared, joined_path = after, new_path
         freed(spark)
-    dropped(spark, shared_path, whole_path)
-    of = nodes.select(F.col("node").alias("p"), "root").join(groups, "p")
-    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = of.select("p", "root").join(least, "root").select("p", "component_id")
-    all_, _ = saved(spark, groups.join(known, "p", "left").select("p", F.coalesce("component_id", "first").alias("component_id")), "classes")
-    return rows_of.join(all_, "p").select(key, "component_id")
+    dropped(spark, joined_path, whole_path, *paths)
+    classes = least_keys(spark, groups, nodes, "p", "first")
+    dropped(spark, groups_path)
+    return spread_join(keys, classes, "p", key).select(key, "component_id")
