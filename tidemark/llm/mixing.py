@@ -1,21 +1,26 @@
 """Mixing sources to target weights with soft membership (operator 9).
 
-A classifier learned from a labelled table gives every document posteriors over the domains. Fitted are the
-nonnegative rates r nearest to 1 (squares weighted by tokens) whose expected token totals, the sum over
-documents of rate * tokens * posterior, match the targets. They are r = max(0, 1 - posterior . d), where d
-has one number for each domain and is the minimum of a convex piecewise quadratic function, found by
-Newton's method. A penalty of ``SLACK`` on d makes it one: where no rates meet the targets, the totals are
-the nearest in least squares, and a warning tells those reached.
-
-A document's rate is a function of its posteriors and d. Hence no rates are stored between steps: each step
-is one aggregation over the posteriors' table, to a few numbers for each step size tried, and loses nothing
-with an executor.
+A classifier learned from a labelled table gives every document posteriors over the domains. Fitted are
+nonnegative rates r whose expected token totals, the sum over documents of rate * tokens * posterior, match
+the targets: least squares in the totals by projected gradient from r = 1. Each step goes against the
+gradient, which for a document is its posterior times the totals' errors, and sets what would be negative
+to zero. It is scaled by the inverse of the totals' second derivatives over the documents whose rates are
+positive, and rates at zero that the gradient holds there stay (the two-metric projection, which keeps the
+step one of descent). Several lengths of the step are tried in one pass and the best is taken; where none is
+nearer to the targets, the plain gradient is tried; where that isn't either, the rates are the nearest in
+least squares. A warning tells targets that can't be met, and the totals reached are columns of the result.
+
+A document's rate is a function of its posteriors and the steps so far. Hence no rates are stored between
+steps: each is one aggregation over the posteriors' table, to a few numbers for each length tried, and loses
+nothing with an executor.
 
 The classifier is a softmax regression over hashed words, fitted in numpy on at most ``FIT_DOCS`` labelled
 documents of each domain, chosen by hash. Posteriors and totals cover every document and its whole text.
 
 Defined results: a null or empty text has no tokens, the class priors as posteriors and counts nothing;
-without labelled rows all domains are equally likely; the target of a domain nobody belongs to can't be met; repeated rows each count; other columns of the input play no part.
+without labelled documents in the table all domains are equally likely; the target of a domain nobody
+belongs to can't be met; of a document's different labels the one that sorts first holds; repeated rows each
+count; an empty table gives an empty one; other columns of the input play no part.
 """
 
 from __future__ import annotations
@@ -27,15 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, column, hash_cache, lists, looked_up, mixed, saved, texts, words
+from tidemark.llm.common import by_batch, column, dropped, hash_cache, lists, looked_up, mixed, saved, texts, words
 
 FIT_DOCS, BUCKETS, SEED = 4_000, 1 << 14, 9
 #: Of the regression: steps of Adam, their size, and the weight of the squared norm.
 STEPS, RATE, DECAY = 60, 0.05, 1e-4
-#: Of the rates: the penalty, the slope (in shares of the tokens) at which steps end, and the largest error of a total (likewise) without a warning.
-SLACK, TOLERANCE, UNMET = 1e-9, 1e-11, 1e-6
-#: Parts of a Newton step that are tried at once.
-_PARTS = 2.0 ** -np.arange(32)
+#: Of the rates: the largest error of a total (in shares of all tokens) at which steps end, that without a warning, the least part by which a step must lessen the squared error, and the most steps.
+TOLERANCE, UNMET, LEAST_GAIN, MOST_STEPS = 1e-10, 1e-6, 1e-7, 500
+#: Parts of a step that are tried at once; rows of a partition of the posteriors' table.
+_PARTS, _ROWS = 2.0 ** -np.arange(12), 1 << 17
 
 
 def hashed(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +84,8 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], key
         return run
 
     rows = by_batch(sample, ["text", "y"], make, "y int, at array<int>, v array<float>").toArrow().combine_chunks()
+    if not rows.num_rows:  # none of the labelled documents is in the table
+        return Classifier(domains, np.zeros((BUCKETS, k)), np.zeros(k))
     y, at, v = rows["y"].to_numpy(), rows["at"].combine_chunks(), rows["v"].combine_chunks()
     doc = np.repeat(np.arange(len(y)), at.value_lengths().to_numpy())
     at, v = at.flatten().to_numpy(), v.flatten().to_numpy().astype(np.float64)
@@ -120,72 +127,88 @@ def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return column(batch, "n_tokens").to_numpy().astype(float), column(batch, "posteriors").flatten().to_numpy().reshape(batch.num_rows, -1)
 
 
-def rates_of(p: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Each document's rate."""
-    return np.maximum(0.0, 1.0 - p @ d)
+def rates_of(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Each document's rate after the steps (steps, 2, domains): the totals' errors and what they move rates by, both times the posterior."""
+    r = np.ones(len(p))
+    for error, move in steps:
+        held = (r == 0) & (p @ error >= 0)
+        r = np.maximum(0.0, r - p @ move)
+        r[held] = 0.0
+    return r
 
 
 def fit_rates(soft: DataFrame, targets: list[float], total: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What rates_of() takes, the totals reached and those aimed at; targets are shares of ``total`` (all tokens unless given)."""
     k = len(targets)
-    size = 1 + k + k * k
+    size = k + k * k
 
-    def tried(points: np.ndarray) -> np.ndarray:
-        """At each point: half the tokens times squared rates, the totals, and the second derivatives."""
+    def tried(steps: np.ndarray, moves: np.ndarray, error: np.ndarray) -> np.ndarray:
+        """After each of the moves: the totals, and their second derivatives over the positive rates."""
 
         def make():
             def run(batch):
                 n, p = _matrix(batch)
-                found = []
-                for d in points:
-                    r = rates_of(p, d)
-                    found += [[n @ (r * r) / 2], (n * r) @ p, (p.T @ ((n * (r > 0))[:, None] * p)).ravel()]
-                return {"i": np.arange(len(points) * size), "x": np.concatenate(found)}
+                before, found = rates_of(p, steps), []
+                held = (before == 0) & (p @ error >= 0)
+                for move in moves:
+                    r = np.maximum(0.0, before - p @ move)
+                    r[held] = 0.0
+                    found += [(n * r) @ p, (p.T @ ((n * (r > 0))[:, None] * p)).ravel()]
+                return {"i": np.arange(len(moves) * size), "x": np.concatenate(found)}
 
             return run
 
         rows = by_batch(soft, ["n_tokens", "posteriors"], make, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(len(points) * size)
+        out = np.zeros(len(moves) * size)
         out[[r.i for r in rows]] = [r.x for r in rows]
         return out.reshape(-1, size)
 
-    d = np.zeros(k)
-    at = tried(d[None])[0]
-    tokens = at[1 : 1 + k].sum()
+    none, steps = np.zeros(k), np.zeros((0, 2, k))
+    at = tried(steps, none[None], none)[0]
+    tokens = at[:k].sum()
     aim = np.array(targets, float) / (sum(targets) or 1) * (tokens if total is None else total)
-    value = lambda points, found: found[:, 0] + points @ aim + SLACK * tokens / 2 * (points**2).sum(axis=1)
-    while tokens:
-        slope = aim - at[1 : 1 + k] + SLACK * tokens * d
-        if np.abs(slope).max() <= TOLERANCE * tokens:
+    longest = np.linalg.eigvalsh(at[k:].reshape(k, k) / (tokens or 1)).max()  # what the gradient can grow by
+    while tokens and len(steps) < MOST_STEPS:
+        error = (at[:k] - aim) / tokens
+        if np.abs(error).max() <= TOLERANCE:
             break
-        points = d - _PARTS[:, None] * np.linalg.solve(at[1 + k :].reshape(k, k) + SLACK * tokens * np.eye(k), slope)
-        found = tried(points)
-        values = value(points, found)
-        best = int(np.argmin(values))
-        if not values[best] < value(d[None], at[None])[0]:  # nothing is nearer in this arithmetic
+        second = at[k:].reshape(k, k) / tokens
+        scaled = np.linalg.solve(second + 1e-12 * max(longest, 1e-300) * np.eye(k), error)
+        for move in (scaled, error / longest):
+            moves = _PARTS[:, None] * move
+            found = tried(steps, moves, error)
+            squared = (((found[:, :k] - aim) / tokens) ** 2).sum(axis=1)
+            best = int(np.argmin(squared))
+            if squared[best] < (error**2).sum() * (1 - LEAST_GAIN):
+                steps, at = np.concatenate([steps, np.stack([error, moves[best]])[None]]), found[best]
+                break
+        else:  # nothing is nearer
             break
-        d, at = points[best], found[best]
-    reached = at[1 : 1 + k]
+    reached = at[:k]
     if np.abs(reached - aim).max() > UNMET * max(1.0, aim.sum()):
         warnings.warn(f"no rates meet the targets: totals {reached.tolist()}, targets {aim.tolist()}", stacklevel=2)
-    return d, reached, aim
+    return steps, reached, aim
 
 
-def rated(soft: DataFrame, d: np.ndarray, key: str = "doc_id") -> DataFrame:
+def rated(soft: DataFrame, steps: np.ndarray, key: str = "doc_id") -> DataFrame:
     """soft with ``rate``."""
 
     def make():
-        return lambda b: {c: column(b, c) for c in (key, "n_tokens", "posteriors")} | {"rate": rates_of(_matrix(b)[1], d)}
+        return lambda b: {c: column(b, c) for c in (key, "n_tokens", "posteriors")} | {"rate": rates_of(_matrix(b)[1], steps)}
 
     return by_batch(soft, [key, "n_tokens", "posteriors"], make, f"{key} long, n_tokens long, posteriors array<double>, rate double")
 
 
 def mixed_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, posteriors, rate) of every document."""
+    """(key, n_tokens, posteriors, rate, reached, aimed) of every document; the last two are the totals, alike in every row."""
+    spark = docs.sparkSession
     model = fit_classifier(docs, labelled, sorted(targets), key, text)
-    soft, _ = saved(docs.sparkSession, memberships(docs, model, key, text), "soft")
-    d, _, _ = fit_rates(soft, [targets[x] for x in model.domains])
-    return rated(soft, d, key)
+    soft, _ = saved(spark, memberships(docs, model, key, text), "soft")
+    few, path = saved(spark, soft.select("n_tokens", "posteriors").coalesce(max(1, -(-soft.count() // _ROWS))), "few")  # few tasks for each of many steps
+    steps, reached, aim = fit_rates(few, [targets[x] for x in model.domains])
+    dropped(spark, path)
+    totals = [F.array(*[F.lit(float(x)) for x in values]).alias(name) for name, values in (("reached", reached), ("aimed", aim))]
+    return rated(soft, steps, key).select("*", *totals)
 
 
 def copies(rate: Column, key: Column, seed: int = SEED) -> Column:

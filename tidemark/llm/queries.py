@@ -82,6 +82,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = mixing.domains_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     found = mixing.mixed_rates(documents(spark, sf_dir).select("doc_id", "text"), labels, TARGETS)
     names = [F.col("posteriors")[i].alias(f"p_{d}") for i, d in enumerate(sorted(TARGETS))]
+    names += [F.col(c)[i].alias(f"{c}_{d}") for c in ("reached", "aimed") for i, d in enumerate(sorted(TARGETS))]
     return found.select("doc_id", "n_tokens", "rate", *names)
 
 
