@@ -10,7 +10,10 @@ carry the CRC-32 of their ids, which decoding verifies.
 
 Texts are cut where no match of the tokenizer's pre-split pattern can span (before a blank or line end
 after a character that isn't white space); each part that is new to a worker is encoded once by the
-tokenizers library, so the ids are those of the whole text.
+tokenizers library, so the ids are those of the whole text. That holds for the literals of special tokens
+too, which the library replaces by their ids wherever they stand: they have no white space.
+
+The number of files grows with the bytes of text.
 
 Defined results: a null or empty text has no ids but the end id; documents with a null key come first;
 repeated keys keep all their rows; an empty table gives no blocks and an empty result; other columns of
@@ -36,8 +39,8 @@ from tokenizers import Tokenizer
 from tidemark.llm.common import by_batch, column, dropped, freed, importable, lists, saved, texts
 
 LANES, CHECKPOINT, SCALE_BITS = 512, 128, 20
-#: Ids after which a block ends with the document.
-BLOCK_IDS = 1 << 18
+#: Ids after which a block ends with the document; bytes of text in a file at most and at least, before there are as many as shuffle partitions.
+BLOCK_IDS, MOST_BYTES, LEAST_BYTES = 1 << 18, 1 << 28, 1 << 22
 _LOW = np.uint64(1) << np.uint64(31)
 _HEAD = struct.Struct("<4sIIHBxII")
 _MAGIC = b"TRN1"
@@ -129,9 +132,7 @@ class Coder:
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
 
 
 class Parts:
@@ -214,7 +215,9 @@ def _ids(data: pa.BinaryScalar, kind: np.dtype) -> np.ndarray:
 def blocks(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", files: int | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Raw blocks in ascending order of the key: (file, block, start: long, keys, lengths, ids: binary), start within the file."""
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not files:
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        files = max(1, -(-size // MOST_BYTES), min(-(-size // LEAST_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     ordered = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange(files, "k").sortWithinPartitions("k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
