@@ -7,12 +7,15 @@ adds nothing. The predicted language has the largest sum, ties go to the name th
 is its posterior under equal priors.
 
 Fitting takes a bounded sample of labelled rows: about ``FIT_DOCS`` of each language, chosen by hash, and
-keeps the ``MOST_WORDS`` most frequent words and ``MOST_GRAMS`` n-grams of each length. Prediction reads
-every document and its whole text.
-
-Defined results: a null text and one without a letter give ``und`` with score 0, as does everything when
-no labelled row exists; a null language isn't a label; repeated rows get equal results; other columns of
-the input play no part.
+keeps the ``MOST_WORDS`` most frequent words and ``MOST_GRAMS`` n-grams of each length. Every language of
+the labels is learned; the model takes four bytes for each of them and each entry. It is broadcast once,
+and a worker keeps it and its cache of words from task to task. Prediction reads every document and its
+whole text.
+
+Defined results: a letter is what Unicode calls one (``\\p{L}``: neither digits nor fractions nor marks);
+a null text and one without a letter give ``und`` with score 0, as does everything when no labelled row
+exists; a null language isn't a label; rows with a null key aren't learned from; repeated rows get equal
+results; an empty table gives an empty one; other columns of the input play no part.
 """
 
 from __future__ import annotations
@@ -23,22 +26,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Cache, by_batch, column, importable, looked_up, texts
+from tidemark.llm.common import Cache, by_batch, column, dropped, importable, looked_up, saved, texts
 
-#: Labelled documents of each language to learn from; languages, words and n-grams that a model holds at most.
-FIT_DOCS, MOST_LANGUAGES, MOST_WORDS, MOST_GRAMS = 3_000, 500, 60_000, 30_000
+#: Labelled documents of each language to learn from; words and n-grams (of each length) that a model holds at most.
+FIT_DOCS, MOST_WORDS, MOST_GRAMS = 3_000, 60_000, 30_000
 ORDERS, SMOOTHING = (5, 4, 3, 2, 1), 0.5
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+")  # letters, and numbers that aren't digits, as in "½" or "Ⅷ"
+#: Words that are scored together.
+_TOGETHER = 1 << 18
 
 
 def letters(text: str | None) -> list[str]:
     """Lower-case runs of letters."""
-    return _WORD.findall(text.lower()) if text else []
+    found = _WORD.findall(text.lower()) if text else []
+    if not found or "".join(found).isalpha():
+        return found
+    return [x for w in found for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -49,7 +58,7 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies by word and by n-gram: one row of ``table`` for each key of ``rows``."""
+    """Log frequencies by word and by n-gram: one row of ``table`` (float32) for each key of ``rows``."""
 
     def __init__(self, languages: list[str], rows: dict[str, int], table: np.ndarray):
         self.languages, self.rows, self.table = languages, rows, table
@@ -73,18 +82,19 @@ class Model:
         found = letters(text)
         if not found or not self.languages:
             return UNKNOWN, 0.0
-        return self.result(np.sum([self.word(w) for w in found], axis=0))
+        return self.result(np.sum([self.word(w) for w in found], axis=0, dtype=float))
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", fit_docs: int = FIT_DOCS) -> Model:
     """A model from (key, text, lang) rows; give it only those that may be learned from."""
-    rows = labelled.where(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in sizes)
+    spark = labelled.sparkSession
+    rows = labelled.where(F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    sizes = rows.groupBy("lang").count().orderBy("lang").collect()  # one row for each language
+    languages = [r["lang"] for r in sizes]
     if not languages:
-        return Model([], {}, np.zeros((0, 0)))
-    shares = labelled.sparkSession.createDataFrame([(r["lang"], languages.index(r["lang"]), int(min(1.0, fit_docs / r["count"]) * (1 << 30))) for r in sizes], "lang string, l int, below long")
-    sample = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < F.col("below"))
+        return Model([], {}, np.zeros((0, 0), np.float32))
+    shares = spark.createDataFrame([(r["lang"], i, int(min(1.0, fit_docs / r["count"]) * (1 << 30))) for i, r in enumerate(sizes)], "lang string, l int, below long")
+    sample = rows.join(F.broadcast(shares), "lang").where(F.col("k").isNotNull() & (F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < F.col("below")))
 
     def make():
         def run(batch):
@@ -101,52 +111,85 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         return run
 
     counts = by_batch(sample, ["text", "l"], make, "l int, n int, g string, c long").groupBy("n", "g").pivot("l", list(range(len(languages)))).agg(F.sum("c"))
-    names = [str(i) for i in range(len(languages))]
-    counts = counts.select("n", "g", F.array(*[F.coalesce(F.col(x), F.lit(0)) for x in names]).alias("c"))
-    counts = counts.withColumn("all", F.aggregate("c", F.lit(0).cast("long"), lambda a, b: a + b)).checkpoint()
-    index: dict[str, int] = {}
-    parts = []
-    for n in (0, *ORDERS):
-        of = counts.where(F.col("n") == n)
-        totals = np.array(of.agg(*[F.sum(F.col("c")[i]) for i in range(len(languages))]).first(), float)
-        top = of.orderBy(F.desc("all"), "g").limit(MOST_GRAMS if n else MOST_WORDS).select("g", "c").collect()
-        for r in top:
-            index[r.g] = len(index)
-        if top:
-            parts.append(np.log((np.array([r.c for r in top], float) + SMOOTHING) / (totals + SMOOTHING * (len(top) + 1))))
-    return Model(languages, index, np.concatenate(parts) if parts else np.zeros((0, len(languages))))
-
-
-def predicted(text: Column, model: Model) -> Column:
+    counts = counts.select("n", "g", F.array(*[F.coalesce(F.col(str(i)), F.lit(0)) for i in range(len(languages))]).alias("c"))
+    counts, path = saved(spark, counts.withColumn("all", F.aggregate("c", F.lit(0).cast("long"), lambda a, b: a + b)), "grams")
+    totals = {r.n: np.array(r.c, float) for r in counts.groupBy("n").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(len(languages))]).alias("c")).collect()}
+    first = F.row_number().over(W.partitionBy("n").orderBy(F.desc("all"), "g"))  # each task hands on no more than what a model holds
+    top = counts.withColumn("r", first).where(F.col("r") <= F.when(F.col("n") == 0, MOST_WORDS).otherwise(MOST_GRAMS)).where(F.col("r") <= max(MOST_WORDS, MOST_GRAMS)).orderBy("n", "r").select("n", "g", "c").toArrow()
+    n = top["n"].to_numpy()
+    table = top["c"].combine_chunks().flatten().to_numpy().reshape(len(n), -1).astype(np.float32) if len(n) else np.zeros((0, len(languages)), np.float32)
+    for order, total in totals.items():
+        own = n == order
+        table[own] = np.log((table[own] + SMOOTHING) / (total + SMOOTHING * (own.sum() + 1)))
+    dropped(spark, path)
+    return Model(languages, {g: i for i, g in enumerate(top["g"].to_pylist())}, table)
+
+
+class _Kept:
+    """A worker's model with the rows of words it has met; ``of()`` gives the same one from task to task."""
+
+    last: _Kept | None = None
+
+    def __init__(self, model: Model):
+        self.model, self.table = model, np.zeros((1024, len(model.languages)), np.float32)
+        self.rows = Cache(self._put)
+
+    def _put(self, word: str) -> int:
+        if len(self.rows) + 1 > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[len(self.rows)] = self.model.word(word)
+        return len(self.rows)
+
+    def results(self, found: list[str | None]) -> tuple[list[str], list[float]]:
+        model, names, scores = self.model, [UNKNOWN] * len(found), [0.0] * len(found)
+        at, flat, ends = [], [], []
+
+        def give():
+            if flat:
+                rows = looked_up(self.rows, flat)
+                doc = np.repeat(np.arange(len(at)), np.diff(ends, prepend=0))
+                sums = np.stack([np.bincount(doc, self.table[rows, x], len(at)) for x in range(len(model.languages))], axis=1)
+                best = sums.argmax(axis=1)
+                score = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+                for i, b, s in zip(at, best.tolist(), score.tolist(), strict=True):
+                    names[i], scores[i] = model.languages[b], s
+            at.clear(), flat.clear(), ends.clear()
+            self.rows.trim()
+
+        for i, text in enumerate(found):
+            words = letters(text) if model.languages else []
+            if words:
+                at.append(i)
+                flat.extend(words)
+                ends.append(len(flat))
+                if len(flat) >= _TOGETHER:
+                    give()
+        give()
+        return names, scores
+
+    @classmethod
+    def of(cls, model: Model) -> _Kept:
+        if cls.last is None or cls.last.model is not model:
+            cls.last = cls(model)
+        return cls.last
+
+
+def predicted(text: Column, model: Model, spark: SparkSession | None = None) -> Column:
     """struct<lang_pred: string, score: double> of each text."""
+    shared = (spark or SparkSession.active()).sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double")
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: list[np.ndarray] = [np.zeros(len(model.languages))]
-
-        def put(word: str) -> int:
-            known.append(model.word(word))
-            return len(known) - 1
-
-        cache = Cache(put)
+        kept = _Kept.of(shared.value)
         for part in columns:
-            found = []
-            for t in part.to_pylist():
-                w = letters(t)
-                if not w or not model.languages:
-                    found.append((UNKNOWN, 0.0))
-                    continue
-                rows, times = np.unique(looked_up(cache, w), return_counts=True)
-                found.append(model.result(times @ np.array([known[r] for r in rows])))
-            if len(cache) > cache.most:
-                cache.clear()
-                del known[1:]
-            yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=["lang_pred", "score"])
+            names, scores = kept.results(part.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     return run(text)
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score) of every row."""
-    importable(docs.sparkSession)
-    return docs.select(key, predicted(F.col(text), model).alias("_found")).select(key, "_found.lang_pred", "_found.score")
+    spark = docs.sparkSession
+    importable(spark)
+    return docs.select(key, predicted(F.col(text), model, spark).alias("_found")).select(key, "_found.lang_pred", "_found.score")
