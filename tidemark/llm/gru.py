@@ -1,18 +1,20 @@
 """A gated recurrent language model in numpy: class-factored softmax, truncated backpropagation.
 
 Ids are grouped into classes of ``PER_CLASS`` neighbours; the probability of an id is that of its class
-times its own within the class. Texts run side by side, the longest first, in windows; the states are
-carried from window to window, so a text's log-likelihood is that of the complete text. Backpropagation
-ends at the start of its window.
+times its own within the class. Texts run in lanes side by side: a lane takes one text after another, each
+from a state of zeros, and windows of all lanes are worked out together, so that long texts leave no lanes
+idle. The states are carried from window to window, so a text's log-likelihood is that of the complete
+text. Backpropagation ends at the start of its window.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 
-HIDDEN, PER_CLASS, WINDOW = 32, 64, 32
+HIDDEN, PER_CLASS, WINDOW, LANES = 32, 64, 16, 128
 
 
 def initial(counts: np.ndarray, hidden: int = HIDDEN, seed: int = 2) -> dict[str, np.ndarray]:
@@ -34,142 +36,158 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _states(p: dict, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States after each step of the inputs x (steps, texts)."""
+def _states(p: dict, x: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, keep: dict | None = None) -> np.ndarray:
+    """States after each step of the inputs x (steps, lanes); a lane's state is zero before a step that is ``fresh``.
+
+    ``keep`` gets what backpropagation needs.
+    """
     size, out = h.shape[1], np.empty((*x.shape, h.shape[1]), np.float32)
+    if keep is not None:
+        keep |= {"h": np.empty_like(out), "zr": np.empty((*x.shape, 2 * size), np.float32), "n": np.empty_like(out), "g": np.empty_like(out)}
     for t in range(len(x)):
+        if fresh is not None and fresh[t].any():
+            h = np.where(fresh[t][:, None], np.float32(0), h)
         gx, gu = p["T"][x[t]], h @ p["U"]
         zr = _logistic(gx[:, : 2 * size] + gu[:, : 2 * size])
-        z, r = zr[:, :size], zr[:, size:]
-        n = np.tanh(gx[:, 2 * size :] + r * gu[:, 2 * size :])
+        n = np.tanh(gx[:, 2 * size :] + zr[:, size:] * gu[:, 2 * size :])
         if keep is not None:
-            keep.append((h, z, r, n, gu[:, 2 * size :]))
-        h = n + z * (h - n)
+            keep["h"][t], keep["zr"][t], keep["n"][t], keep["g"][t] = h, zr, n, gu[:, 2 * size :]
+        h = n + zr[:, :size] * (h - n)
         out[t] = h
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray, own: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities in place of x (if ``whole``), and the logarithm of each row's own."""
+    x -= x.max(axis=1, keepdims=True)
+    found = x[np.arange(len(x)), own]
+    np.exp(x, out=x)
+    total = x.sum(axis=1, keepdims=True)
+    if whole:
+        x /= total
+    return x, found - np.log(total[:, 0])
 
 
 def _output(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log probability of y given the states h; with ``grad``, also adds up gradients and returns that of h."""
     cls = y // PER_CLASS
-    log_c = _log_softmax(h @ p["C"] + p["c"])
-    found = log_c[np.arange(len(y)), cls]
+    order = np.argsort(cls, kind="stable")
+    h, y, cls = h[order], y[order], cls[order]
+    e, log_p = _softmax(h @ p["C"] + p["c"], cls, grad is not None)
     dh = None
     if grad is not None:
-        e = np.exp(log_c)
         e[np.arange(len(y)), cls] -= 1
         grad["C"] += h.T @ e
         grad["c"] += e.sum(axis=0)
         dh = e @ p["C"].T
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(len(p["c"]) + 1))
+    ends = np.searchsorted(cls, np.arange(len(p["c"]) + 1))
     for k in np.flatnonzero(np.diff(ends)):
-        at = order[ends[k] : ends[k + 1]]
-        rows = slice(k * PER_CLASS, (k + 1) * PER_CLASS)
-        log_w = _log_softmax(h[at] @ p["W"][rows].T + p["w"][rows])
-        own = y[at] - k * PER_CLASS
-        found[at] += log_w[np.arange(len(at)), own]
+        at, rows = slice(ends[k], ends[k + 1]), slice(k * PER_CLASS, (k + 1) * PER_CLASS)
+        own, w = y[at] - k * PER_CLASS, p["W"][rows]
+        e, log_w = _softmax(h[at] @ w.T + p["w"][rows], own, grad is not None)
+        log_p[at] += log_w
         if grad is not None:
-            e = np.exp(log_w)
-            e[np.arange(len(at)), own] -= 1
+            e[np.arange(len(own)), own] -= 1
             grad["W"][rows] += e.T @ h[at]
             grad["w"][rows] += e.sum(axis=0)
-            dh[at] += e @ p["W"][rows]
-    return found, dh
-
-
-def windows(texts: list[np.ndarray], first: int, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(inputs, targets, mask), each (steps, texts still going), of texts sorted by falling length; ``first`` precedes each."""
-    lens = np.array([len(x) for x in texts])
-    flat = np.concatenate(texts) if texts else np.empty(0, np.int64)
-    starts = np.cumsum(lens) - lens
-    t = 0
-    while len(lens) and (n := int(np.searchsorted(-lens, -t, side="left"))):
-        steps = min(window, int(lens[0]) - t)
-        at = t + np.arange(steps)[:, None]
-        mask = at < lens[:n]
-        place = np.where(mask, starts[:n] + at, 0)
-        y = flat[place]
-        x = np.where(at == 0, first, flat[np.maximum(place - 1, 0)])
-        yield np.where(mask, x, 0), y, mask
-        t += steps
-
-
-def log_likelihood(p: dict, texts: list[np.ndarray], first: int, side_by_side: int = 1024, at_once: int = 8192) -> np.ndarray:
-    """Natural log probability of each text. Outputs of several windows are worked out together, so that few long texts cost no more."""
-    out = np.zeros(len(texts))
-    order = np.argsort([-len(x) for x in texts], kind="stable")
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def give() -> None:
-        if held:
-            s, y, doc = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            found, _ = _output(p, s, y)
-            out[:] += np.bincount(doc, found, len(out))
-
-    waiting = 0
-    for i in range(0, len(order), side_by_side):
-        part = order[i : i + side_by_side]
-        h = np.zeros((len(part), p["U"].shape[0]), np.float32)
-        for x, y, mask in windows([texts[k] for k in part], first):
-            s = _states(p, x, h[: x.shape[1]])
-            h = s[-1]
-            held.append((s[mask], y[mask], part[np.nonzero(mask)[1]]))
-            waiting += len(held[-1][1])
-            if waiting >= at_once:
-                give()
-                waiting = 0
-    give()
+            dh[at] += e @ w
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return log_p[back], None if dh is None else dh[back]
+
+
+def windows(texts: list[np.ndarray], first: int, window: int | None = None, lanes: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(inputs, targets, text or -1, whether a text starts), each (steps, lanes); ``first`` precedes each text.
+
+    Lanes are filled by length, the longest texts first; there are no more of them than the longest text leaves work for.
+    Those that end earlier come last, and later windows lack them.
+    """
+    lens = np.array([len(x) for x in texts], np.int64)
+    total = int(lens.sum())
+    if not total:
+        return
+    width = int(min(lanes or LANES, np.count_nonzero(lens), -(-4 * total // lens.max())))  # what is laid out stays in proportion to the texts
+    load, of = [(0, k) for k in range(width)], [[] for _ in range(width)]
+    for i in np.argsort(-lens, kind="stable").tolist():
+        if lens[i]:
+            n, k = load[0]
+            of[k].append(i)
+            heapq.heapreplace(load, (n + int(lens[i]), k))
+    of.sort(key=lambda mine: -lens[mine].sum())
+    loads = np.array([lens[mine].sum() for mine in of])
+    x, y, doc, fresh = (np.zeros((width, loads[0]), kind) for kind in (np.int32, np.int32, np.int32, bool))
+    doc -= 1
+    for k, (mine, n) in enumerate(zip(of, loads, strict=True)):
+        y[k, :n] = np.concatenate([texts[i] for i in mine])
+        x[k, 1:n] = y[k, : n - 1]
+        starts = np.cumsum(lens[mine]) - lens[mine]
+        x[k, starts], fresh[k, starts] = first, True
+        doc[k, :n] = np.repeat(np.array(mine, np.int32), lens[mine])
+    step = window or WINDOW
+    for t in range(0, loads[0], step):
+        part = (slice(0, int(np.searchsorted(-loads, -t, side="left"))), slice(t, t + step))
+        yield x[part].T, y[part].T, doc[part].T, fresh[part].T
+
+
+def log_likelihood(p: dict, texts: list[np.ndarray], first: int) -> np.ndarray:
+    """Natural log probability of each text."""
+    out, h = np.zeros(len(texts)), None
+    for x, y, doc, fresh in windows(texts, first, 2 * WINDOW, 2 * LANES):
+        s = _states(p, x, np.zeros((x.shape[1], p["U"].shape[0]), np.float32) if h is None else h[: x.shape[1]], fresh)
+        on = doc >= 0
+        found, _ = _output(p, s[on], y[on])
+        out += np.bincount(doc[on], found, len(out))
+        h = s[-1]
     return out
 
 
 class Trainer:
     """Adagrad on the mean loss of each window."""
 
-    def __init__(self, p: dict[str, np.ndarray], rate: float = 0.08):
+    def __init__(self, p: dict[str, np.ndarray], squares: dict[str, np.ndarray] | None = None, rate: float = 0.15):
         self.p, self.rate, self.seen = {k: v.copy() for k, v in p.items()}, rate, 0
-        self.squares = {k: np.full_like(v, 1e-3) for k, v in p.items()}
+        self.squares = {k: np.full_like(v, 1e-3) if squares is None else squares[k].copy() for k, v in p.items()}
 
     def train(self, texts: list[np.ndarray], first: int) -> None:
-        """One pass over some texts, side by side."""
-        texts = sorted(texts, key=len, reverse=True)
-        h = np.zeros((len(texts), self.p["U"].shape[0]), np.float32)
-        for x, y, mask in windows(texts, first):
-            h = self._step(x, y, mask, h[: x.shape[1]])
-
-    def _step(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray) -> np.ndarray:
-        p, size, keep = self.p, h.shape[1], []
+        """One pass over some texts, in lanes side by side."""
+        h = None
+        for x, y, doc, fresh in windows(texts, first):
+            h = self._step(x, y, doc >= 0, fresh, np.zeros((x.shape[1], self.p["U"].shape[0]), np.float32) if h is None else h[: x.shape[1]])
+
+    def _step(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> np.ndarray:
+        p, size, keep = self.p, h.shape[1], {}
         grad = {k: np.zeros_like(v) for k, v in p.items() if k != "T"}
-        s = _states(p, x, h, keep)
-        _, dh = _output(p, s[mask], y[mask], grad)
-        ds = np.zeros_like(s)
-        ds[mask] = dh
-        back, dx = np.zeros_like(h), np.empty((*x.shape, 3 * size), np.float32)
+        s = _states(p, x, h, fresh, keep)
+        if mask.all():
+            ds = _output(p, s.reshape(-1, size), y.ravel(), grad)[1].reshape(s.shape)
+        else:
+            ds = np.zeros_like(s)
+            ds[mask] = _output(p, s[mask], y[mask], grad)[1]
+        z, r = keep["zr"][..., :size], keep["zr"][..., size:]
+        of_n = (1 - z) * (1 - keep["n"] ** 2)
+        of_z, of_r = (keep["h"] - keep["n"]) * z * (1 - z), of_n * keep["g"] * r * (1 - r)
+        # what each step's input and state get, for a unit at the step's output
+        units, back, dx, turned = np.concatenate([of_z, of_r, of_n], axis=2).reshape(*x.shape, 3, size), np.zeros_like(h), np.empty((*x.shape, 3, size), np.float32), p["U"].T.copy()
+        ends = fresh.any(axis=1)
+        du = np.empty_like(dx)
         for t in range(len(x) - 1, -1, -1):
-            before, z, r, n, gu = keep[t]
             d = ds[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dx[t, :, :size] = d * (before - n) * z * (1 - z)
-            dx[t, :, size : 2 * size] = dn * gu * r * (1 - r)
-            dx[t, :, 2 * size :] = dn
-            du = dx[t].copy()
-            du[:, 2 * size :] *= r
-            grad["U"] += before.T @ du
-            back = d * z + du @ p["U"].T
+            np.multiply(units[t], d[:, None], out=dx[t])
+            du[t, :, :2] = dx[t, :, :2]
+            np.multiply(dx[t, :, 2], r[t], out=du[t, :, 2])
+            back = d * z[t] + du[t].reshape(len(d), -1) @ turned
+            if ends[t]:
+                back[fresh[t]] = 0
+        grad["U"] += keep["h"].reshape(-1, size).T @ du.reshape(-1, 3 * size)
         n = int(mask.sum())
         self.seen += n
-        rows, place = np.unique(x, return_inverse=True)
-        dt = np.zeros((len(rows), 3 * size), np.float32)
-        np.add.at(dt, place.ravel(), dx.reshape(-1, 3 * size))
+        order = np.argsort(x, axis=None, kind="stable")
+        of = x.ravel()[order]
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        dt = np.add.reduceat(dx.reshape(-1, 3 * size)[order], starts, axis=0)
         for k, g in grad.items():
             self._move(p[k], self.squares[k], g / n, ...)
-        self._move(p["T"], self.squares["T"], dt / n, rows)
+        self._move(p["T"], self.squares["T"], dt / n, of[starts])
         return s[-1]
 
     def _move(self, value: np.ndarray, squares: np.ndarray, g: np.ndarray, at) -> None:

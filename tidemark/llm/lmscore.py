@@ -6,7 +6,7 @@ most frequent words and one id for all rarer words; a rare word's probability is
 of the rare words' counts, with one count added to each and one more for all words never seen. So the
 model is a distribution over the same tokens as the unigram base. Training takes
 every document once, in rounds; in each, tasks train from the common weights on their own documents, and
-the weights are averaged by tokens in a tree. There are ``ROUNDS``, and one more for each doubling of the
+the weights and the sums of squares that their steps go by are averaged by tokens in a tree. There are ``ROUNDS``, and one more for each doubling of the
 tokens beyond ``ROUND_TOKENS``.
 
 The most frequent words, ``HEAD`` at most, are broadcast; the rest of each text's words get their counts
@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import gru
-from tidemark.llm.common import by_batch, column, importable, saved, texts
+from tidemark.llm.common import by_batch, column, dropped, importable, saved, texts
 
 HEAD, VOCABULARY = 300_000, 2048
-SAMPLE, ROUNDS, ROUND_TOKENS, TEXTS_AT_ONCE = 1, 2, 1 << 24, 32
-#: Texts among which those of like length are trained on side by side.
-_SORTED = 1024
+SAMPLE, ROUNDS, ROUND_TOKENS = 1, 2, 1 << 24
+#: Texts, and their tokens, that are dealt to lanes together.
+_TEXTS, _TOKENS = 4096, 1 << 21
 #: Counts that a task holds before it hands them on; models that one task adds up.
 _HELD, _FAN_IN = 400_000, 16
 END, RARE = 0, 1  # ids; the words follow
@@ -114,9 +114,9 @@ def sequences(row: np.ndarray, n: np.ndarray, vocabulary: Vocabulary) -> list[np
 
 def vocabulary_of(counts: DataFrame, head: int = HEAD, vocabulary: int = VOCABULARY) -> Vocabulary:
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    sizes = counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toArrow()  # as many rows as there are different counts
-    upto = np.cumsum(sizes["n"].to_numpy()) if sizes.num_rows else np.zeros(0)
-    fits = sizes["c"].to_numpy()[upto <= head] if sizes.num_rows else np.zeros(0)
+    # how many words there are from each of at most a thousand counts on
+    sizes = counts.groupBy(F.floor(16 * F.log2("c")).alias("b")).agg(F.min("c").alias("c"), F.count("*").alias("n")).orderBy(F.desc("b")).toArrow()
+    fits = sizes["c"].to_numpy()[np.cumsum(sizes["n"].to_numpy()) <= head] if sizes.num_rows else np.zeros(0)
     least = int(fits[-1]) if len(fits) else int(v) + int(n) + 1
     rows = counts.where((F.col("c") >= least) | (F.length("word") == 0)).toArrow()
     words, c = rows["word"].to_pylist(), rows["c"].to_numpy()
@@ -129,39 +129,42 @@ def trained(training: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", te
     spark = training.sparkSession
     importable(spark)
     rounds = rounds or ROUNDS + max(0, int(np.log2(max(1, vocabulary.n) / ROUND_TOKENS)))
-    weights = gru.initial(vocabulary.counts)
+    weights, squares = gru.initial(vocabulary.counts), None
     rows_from = training.where(F.pmod(F.xxhash64(F.lit("lm"), key), F.lit(sample)) == 0)
     for k in range(rounds):
-        start = weights
+        start = spark.sparkContext.broadcast((vocabulary, weights, squares))
         part = rows_from.where(F.pmod(F.xxhash64(F.lit("round"), key), F.lit(rounds)) == k).select(F.col(text).alias("text"))
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            rows, trainer, held = rows_of(vocabulary), gru.Trainer(start), []
+            vocabulary, weights, squares = start.value
+            rows, trainer, held = rows_of(vocabulary), gru.Trainer(weights, squares), []
 
             def learn():
-                row, n = ids_of(held, rows, vocabulary)
-                found = sorted(sequences(row, n, vocabulary), key=len)
+                trainer.train(held, END)
                 held.clear()
-                parts = [found[i : i + TEXTS_AT_ONCE] for i in range(0, len(found), TEXTS_AT_ONCE)]
-                for i in np.random.default_rng(len(parts)).permutation(len(parts)):
-                    trainer.train(parts[i], END)
 
             for batch in batches:
-                for x in texts(batch):
-                    held.append(tokens(x))
-                    if len(held) == _SORTED:
+                found = texts(batch)
+                for i in range(0, len(found), 256):  # the words of so many texts are held at once
+                    row, n = ids_of([tokens(x) for x in found[i : i + 256]], rows, vocabulary)
+                    held += [x.astype(np.int32) for x in sequences(row, n, vocabulary)]
+                    if len(held) >= _TEXTS or sum(map(len, held)) >= _TOKENS:
                         learn()
             if held:
                 learn()
             if trainer.seen:
-                yield _model(TaskContext.get().partitionId(), trainer.seen, gru.packed(trainer.p) * trainer.seen)
+                yield _model(TaskContext.get().partitionId(), trainer.seen, np.concatenate([gru.packed(trainer.p), gru.packed(trainer.squares)]) * trainer.seen)
 
-        models, _ = saved(spark, part.mapInArrow(run, _MODEL), "models")
+        models, path = saved(spark, part.mapInArrow(run, _MODEL), "models")
         while models.count() > 1:
             models = models.withColumn("task", F.expr(f"task div {_FAN_IN}"))
-            models, _ = saved(spark, models.groupBy("task").applyInArrow(_added, _MODEL), "models")
+            fewer, new_path = saved(spark, models.groupBy("task").applyInArrow(_added, _MODEL), "models")
+            dropped(spark, path)
+            models, path = fewer, new_path
         if row := models.first():
-            weights = gru.unpacked(np.frombuffer(row.weights, np.float32) / row.seen, weights)
+            both = np.frombuffer(row.weights, np.float32) / row.seen
+            weights, squares = gru.unpacked(both[: len(both) // 2], weights), gru.unpacked(both[len(both) // 2 :], weights)
+        dropped(spark, path)
     return weights
 
 
