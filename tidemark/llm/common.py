@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Entries that a worker's cache may hold before it is emptied.
 CACHE_ENTRIES = 400_000
+#: Rows of one key that a task of spread_join() gets, but for the unevenness of hashing; rows that are broadcast at most.
+ROWS, BROADCAST_ROWS = 2_000, 200_000
 #: Bytes of rows that an operator's function gets at once.
 PIECE_BYTES = 1 << 23
 
@@ -108,11 +110,23 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def spread_join(many: DataFrame, one: DataFrame, on: str, by: str, how: str = "inner", parts: int = 16) -> DataFrame:
-    """many joined with ``one``, which has one row for each ``on``; rows of a frequent key are dealt to ``parts`` tasks by the hash of ``by``."""
-    part = "_part"
-    copies = one.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return many.withColumn(part, F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).join(copies, [on, part], how).drop(part)
+def spread_join(many: DataFrame, one: DataFrame, on: str, by: str, how: str = "inner", rows: int = ROWS) -> DataFrame:
+    """many joined with ``one``, which has one row for each ``on``; keys of more than ``rows`` rows are dealt to several tasks by the hash of ``by``.
+
+    Frequent keys are counted first, and only their rows of ``one`` are copied; ``many`` is read twice.
+    """
+    spark = many.sparkSession
+    parts, part = unused(many, "_parts"), unused(many, "_part")
+    hot, path = saved(spark, many.groupBy(on).count().where(F.col("count") > rows).select(on, F.ceil(F.col("count") / rows).alias(parts)), "hot")
+    n = hot.count()
+    if not n:
+        dropped(spark, path)
+        return many.join(one, on, how)
+    if n <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+    left = many.join(hot, on, "left").withColumn(part, F.coalesce(F.pmod(F.xxhash64(by), F.col(parts)), F.lit(0))).drop(parts)
+    right = one.join(hot, on, "left").withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(parts)
+    return left.join(right, [on, part], how).drop(part)
 
 
 def by_batch(df: DataFrame, columns: list, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:

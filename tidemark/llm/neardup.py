@@ -113,7 +113,7 @@ def prefixes(found: DataFrame, common: np.ndarray) -> DataFrame:
 def similar(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets ``whole`` (p, h) have a Jaccard of 0.8 or more."""
     a, b = (whole.select(F.col("p").alias(x), F.col("h").alias(y)) for x, y in (("u", "a"), ("v", "b")))
-    both = spread_join(spread_join(pairs, a, "u", "v"), b, "v", "u")
+    both = spread_join(pairs, b, "v", "u").join(a, "u")  # many texts u have the same hub v, few hubs have the same text
 
     def make():
         def run(batch):
@@ -185,7 +185,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 
     def met(of: DataFrame) -> DataFrame:
         near = f"c <> c2 and 5 * least(n, n2) >= 4 * greatest(n, n2) and bit_count(fp ^ fp2) <= {radius}"
-        return of.where(near).select(F.least("p", "p2").alias("u"), F.greatest("p", "p2").alias("v"), "p", "x")
+        return of.where(near).select(F.col("p").alias("u"), F.col("p2").alias("v"), "x")
 
     rows = rows.withColumn("c", F.col("p"))
     first_hubs, hubs_path = saved(spark, hubs(rows, 0), "hubs")
@@ -202,11 +202,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     links, paths, nodes = None, [], None
     for turn in range(stars + 1):
         if turn == stars:
-            one = tiled(shared, radius, tile).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+            one = tiled(shared, radius, tile)
         elif turn == 0:  # each text and the least of its hubs
-            one = met(joined).groupBy("p").agg(F.min(F.struct("x", "u", "v")).alias("m")).select("m.u", "m.v")
+            one = met(joined).groupBy("u").agg(F.min(F.struct("x", "v")).alias("m")).select("u", "m.v")
         else:
-            one = met(spread_join(shared, hubs(shared, turn), "s", "p")).select("u", "v")
+            some, some_path = saved(spark, hubs(shared, turn), "hubs")
+            one = met(spread_join(shared, some, "s", "p")).select("u", "v")
         pairs, pairs_path = saved(spark, one.distinct(), "pairs")
         more, more_path = saved(spark, similar(pairs, whole), "similar")
         dropped(spark, pairs_path)
