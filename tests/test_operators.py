@@ -1,5 +1,6 @@
 """Single operators on small tables: half-open ownership, conservation, isolation, recovery of parameters, faults."""
 
+import json
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import bin_equal, bin_irregular, boundary_after, boundary_at_or_after, or_else, seed_of, side_of, window_index
 from tidemark.operators import engine, events, linear, snapshots, states, stats, survival, time, workloads
+from tidemark.sources import logs
 
 
 def values(df, *order):
@@ -184,11 +186,60 @@ def test_rollout_is_free_and_stops(spark):
     assert got["a", 3] == [8000.0] and got["b", 0] == [1e5] and got["b", 1] is None and got["b", 2] is None
 
 
-def test_cohorts_conserve(spark):
-    state, inflow = np.array([[3.0, 2.0, 1.0]]), np.array([2.0])
-    after, left = survival.advance(state, inflow, np.array([0.5, 0.25, 1.0]))
-    assert after.sum() + left.sum() == pytest.approx(state.sum() + inflow.sum())
-    assert survival.age_edges([0.3, 0.31, 0.9], 0.2) == pytest.approx([0.0, 0.4, 1.0, float("inf")])
+def test_cohorts_follow_a_walk_by_windows(spark):
+    edges, rates, ages = [0.0, 1.0, 3.0, float("inf")], {0: 0.5, 1: 0.25, 2: 0.1}, 4
+    inflow = {(0, 0): 8.0, (0, 1): 4.0, (0, 5): 2.0, (1, 2): 10.0}
+    hazards = spark.createDataFrame([(side, b, h) for side in (0, 1) for b, h in rates.items()], "side int, bin int, hazard double")
+    steps = survival.hazard_by_step(hazards, ["side"], edges, ages)
+    windows = spark.createDataFrame([(0, 0, 40), (1, 0, 40)], "side int, lo long, hi long")
+    got = {(r.side, r.k): (r.stock, r.outflow) for r in survival.cohorts(spark.createDataFrame([(s, k, n) for (s, k), n in inflow.items()], "side int, k long, n double"), steps, ["side"], windows).collect()}
+    for side in (0, 1):
+        by_age = [0.0] * (ages + 1)
+        for k in range(41):
+            stock = sum(by_age)
+            by_age[0] += inflow.get((side, k), 0.0)
+            h = [rates[0 if a < 1 else 1 if a < 3 else 2] for a in range(ages + 1)]
+            left = sum(x * y for x, y in zip(by_age, h, strict=True))
+            assert got[side, k] == pytest.approx((stock, left), abs=1e-9)
+            stay = [x * (1 - y) for x, y in zip(by_age, h, strict=True)]
+            by_age = [0.0, *stay[: ages - 1], stay[ages - 1] + stay[ages]]
+
+
+def test_scan_equals_the_recurrence(spark):
+    rng = np.random.default_rng(3)
+    for decay in (0.0, 0.3, 0.999, 1.0):
+        x = rng.standard_normal(700)
+        df = spark.createDataFrame([(None, i, float(v)) for i, v in enumerate(x)] + [("b", 0, 1.0)], "g string, k long, x double")
+        got = [r.m for r in time.scan(df, ["g"], "k", decay, F.col("x"), "m").where("g is null").orderBy("k").collect()]
+        m, want = 0.0, []
+        for v in x:
+            m = decay * m + v
+            want.append(m)
+        assert np.allclose(got, want, atol=1e-9)
+
+
+def test_percentiles_of_counts(spark):
+    rng = np.random.default_rng(4)
+    rows = [(None if g == 2 else g, float(v)) for g in range(3) for v in rng.integers(0, 30, 41)] + [(7, None)]
+    got = {r.g: r for r in stats.percentiles(spark.createDataFrame(rows, "g int, x double"), ["g"], "x", {"a": 0.0, "b": 0.37, "c": 1.0}).collect()}
+    for g in (None, 0, 1):
+        x = [v for k, v in rows if k == g]
+        assert [got[g].a, got[g].b, got[g].c] == pytest.approx(list(np.percentile(x, [0, 37, 100])))
+    assert got[7].b is None
+
+
+def test_age_edges():
+    # nought, one and two steps always; quantiles rounded up to whole steps; at least four finite edges, seven at most
+    assert survival.age_edges(0.3, 0.31, 0.9, 1.0, 0.2) == pytest.approx([0.0, 0.2, 0.4, 1.0, float("inf")])
+    assert survival.age_edges(0.1, 0.1, 0.1, 0.1, 0.2) == pytest.approx([0.0, 0.2, 0.4, 0.6, float("inf")])
+    assert survival.age_edges(1.0, 2.0, 3.0, 4.0, 0.2) == pytest.approx([0.0, 0.2, 0.4, 1.0, 2.0, 3.0, 4.0, float("inf")])
+
+
+def test_log_lines_are_checked(spark):
+    good = {f.split()[0]: 1 if f.split()[1] in ("bigint", "int") else "a" for f in logs.ENVELOPE.split(", ")} | {"schema_version": logs.VERSION, "payload": {}, "trace_id": None}
+    lines = [good, good | {"schema_version": "other"}, good | {"attempt_id": -1}, {k: v for k, v in good.items() if k != "request_id"}, good | {"event_seq": 0}, good | {"payload": "x"}, good | {"run_id": None}]
+    df = spark.createDataFrame([(json.dumps(x),) for x in lines] + [("{bad",)], "value string")
+    assert [r.damage for r in logs.event_rows(df).collect()] == [None, "unsupported_schema_version", "attempt_negative", "field_missing", "sequence_not_positive", "payload_not_object", "field_missing", "not_json"]
 
 
 def test_snapshot_rules(spark):
@@ -203,3 +254,14 @@ def test_workloads():
     assert workloads.schedule("prbs", 60, (0.3, 0.7), 5, 7) == workloads.schedule("prbs", 60, (0.3, 0.7), 5, 7)
     n = len(list(workloads.arrivals(workloads.rate("poisson", 5, 200), 5, 200, 3)))
     assert 850 < n < 1150 and len(workloads.matrix({"a": [1, 2], "b": [1, 2, 3]})) == 6
+
+
+def test_rates(spark):
+    for kind, want in {"step-up": [0.6, 0.6, 1.7, 1.7], "step-down": [1.7, 1.7, 0.8, 0.8], "ramp-up": [0.6, 0.925, 1.25, 1.9], "held-out-composite": [1.8, 1.8, 1.0, 1.6], "on_off_burst": [4.0, 0.0, 4.0, 4.0]}.items():
+        at = workloads.rate(kind, 2.0, 20.0)
+        got = [at(t) for t in (0, 5, 10, 20)]
+        assert got == pytest.approx(want), kind
+        df = spark.createDataFrame([(float(t),) for t in (0, 5, 10, 20)], "t double")
+        assert [r[0] for r in df.select(workloads.rate_column(F.col("t"), kind, 2.0, 20.0)).collect()] == pytest.approx(want), kind
+    with pytest.raises(ValueError, match="average"):
+        workloads.rate("on_off_burst", 1.0, 10.0, multiplier=1.8)

@@ -40,3 +40,51 @@ def migrations(emissions: DataFrame) -> DataFrame:
     """Requests served by more than one decoder: a control change must not move them."""
     g = emissions.groupBy("run_id", "request_id").agg(F.countDistinct("component").alias("n")).where("n > 1")
     return violations(g, "decoder_migration", F.col("request_id"), F.col("n"))
+
+
+def run_rules(windows: DataFrame, applied: DataFrame, fast: int, levels: list[float], least_variance: float, most_step: float, least_moves: int, least_dwell_ns: int) -> DataFrame:
+    """What a control run must be to enter a dataset. windows: (run_id, window_id, u, applied_ns, command_id, source); applied: (run_id, command_id, generation).
+
+    A run with fewer or more windows than ``fast``, levels it never visits, too little variance or too few moves, moves that are
+    too large or too soon after one another, input that no command accounts for, or generations that don't rise.
+    """
+    w = W.partitionBy("run_id").orderBy("window_id")
+    moved = windows.withColumn("_d", F.col("u") - F.lag("u").over(w)).withColumn("_m", F.abs("_d") > 1e-12)
+    times = moved.where("_m").select("run_id", "window_id", (F.col("applied_ns") - F.lag("applied_ns").over(w)).alias("_t")).groupBy("run_id").agg(F.min("_t").alias("_dwell"))
+    known = applied.select("run_id", "command_id").distinct().withColumn("_known", F.lit(True))
+    rows = moved.join(known, ["run_id", "command_id"], "left")
+    level = F.collect_set(F.round("u", 6))
+    bad = F.col("u").isNull() | F.isnan("u") | (F.abs("u") == float("inf"))
+    g = rows.groupBy("run_id").agg(
+        F.count("*").alias("n"), F.count_if(bad).alias("bad"), level.alias("seen"), F.var_pop("u").alias("var"), F.max(F.abs("_d")).alias("step"), F.count_if("_m").alias("moves"),
+        F.count_if(~F.col("source").eqNullSafe(F.lit("actuator_applied"))).alias("other"), F.count_if(F.col("_known").isNull()).alias("unknown"), F.count_if(~F.startswith(F.coalesce("command_id", F.lit("")), F.col("run_id").cast("string"))).alias("foreign"),
+    ).join(times, "run_id", "left")
+    wanted = F.array(*(F.lit(float(x)) for x in levels))
+    rules = {
+        "fast_window_count": F.col("n") != fast, "control_array_nonfinite": F.col("bad") > 0, "u_not_from_actuator_applied": F.col("other") > 0, "cross_run_control_command": F.col("foreign") > 0,
+        "control_levels_incomplete": F.size(F.array_except(wanted, "seen")) > 0, "control_variance_too_low": F.coalesce("var", F.lit(0.0)) < least_variance, "control_delta_violation": F.col("step") > most_step + 1e-10,
+        "insufficient_control_transitions": F.col("moves") < least_moves, "actual_dwell_too_short": F.col("_dwell") < least_dwell_ns, "u_without_actuator_event": F.col("unknown") > 0,
+    }
+    codes = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())))
+    out = violations(g.select("run_id", F.explode(codes).alias("c")), F.col("c"), F.lit(None), F.lit(None))
+    wg = W.partitionBy("run_id").orderBy("applied_ns", "command_id")
+    back = applied.select("run_id", "command_id", "generation", "applied_ns").distinct().withColumn("_b", F.lag("generation").over(wg)).where("generation <= _b").groupBy("run_id").agg(F.count("*").alias("n"))
+    return out.unionByName(violations(back, "control_generation_not_strictly_monotonic", F.lit(None), F.col("n")))
+
+
+def smoke_rules(events: DataFrame, fields: list[str], types: list[str]) -> DataFrame:
+    """events: (run_id, event_type, event_seq, ts_ns, trace_id, attempt_id, decoder, command_id, applied_ns, fields: array of names present).
+
+    Control events have all fields and all types occur; the first controlled route of a command isn't before it was applied; no attempt has two decoders.
+    """
+    control = F.col("event_type").isin(*types)
+    gone = F.array_except(F.array(*map(F.lit, fields)), F.coalesce("fields", F.array().cast("array<string>")))
+    out = violations(events.where(control).withColumn("_g", gone).where(F.size("_g") > 0), "control_field_missing", F.col("event_seq"), F.array_join(F.array_sort("_g"), ","))
+    seen = events.groupBy("run_id").agg(F.collect_set(F.when(control, F.col("event_type"))).alias("s")).withColumn("_g", F.array_except(F.array(*map(F.lit, types)), "s"))
+    out = out.unionByName(violations(seen.where(F.size("_g") > 0), "control_event_type_missing", F.lit(None), F.array_join(F.array_sort("_g"), ",")))
+    routes = events.where("event_type = 'p_to_d_route' and command_id is not null").groupBy("run_id", "command_id").agg(F.min(F.struct("event_seq", "ts_ns")).alias("r"))
+    applied = events.where("event_type = 'actuator_applied'").groupBy("run_id", "command_id").agg(F.max_by("applied_ns", "event_seq").alias("applied_ns")).join(routes, ["run_id", "command_id"], "left")
+    early = F.when(F.col("r").isNull(), "no_controlled_route").when(F.col("r.ts_ns") < F.col("applied_ns"), "route_before_apply")
+    out = out.unionByName(violations(applied.withColumn("_e", early).where("_e is not null"), "first_effect_before_apply", F.col("command_id"), F.col("_e")))
+    moved = events.where("event_type = 'p_to_d_route'").groupBy("run_id", "trace_id", "attempt_id").agg(F.countDistinct("decoder").alias("n")).where("n <> 1")
+    return out.unionByName(violations(moved, "attempt_decoder_migration", F.concat_ws("/", "trace_id", "attempt_id"), F.col("n")))

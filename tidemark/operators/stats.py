@@ -21,7 +21,7 @@ def pct_floor(x: Column | str, q: float) -> Column:
 
 
 def pct_linear(x: Column | str, q: float) -> Column:
-    """Aggregate: linear interpolation between neighbours; exact."""
+    """Aggregate: linear interpolation between neighbours; exact, for groups of bounded size (see percentiles() for others)."""
     return F.percentile(col(x), F.lit(q))
 
 
@@ -32,10 +32,46 @@ def pct_floor_by(df: DataFrame, keys: list[str], value: str, qs: list[float], na
     return ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("_i") == F.floor((F.col("_n") - 1) * F.lit(q)), F.col("_v"))).alias(n) for q, n in zip(qs, names, strict=True)))
 
 
-def bundle(x: Column | str, digits: int = 3) -> list[Column]:
-    """Aggregates: count, avg, p50, p90, p95, p99 and max of the finite values."""
-    v = finite(x)
-    return [F.count(v).alias("n"), F.round(F.avg(v), digits).alias("avg"), *(F.round(pct_linear(v, q), digits).alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.95, 0.99)), F.round(F.max(v), digits).alias("max")]
+def percentiles(df: DataFrame, keys: list[str], value: Column | str, qs: dict[str, float]) -> DataFrame:
+    """(keys, a column for each of qs): linearly interpolated percentiles, from counts of distinct values in order.
+
+    Equal values are counted before the shuffle; a group's distinct values are sorted, which can spill, never held.
+    A group without values gives nulls.
+    """
+    counts = df.groupBy(*keys, col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    present = F.when(F.col("_v").isNotNull(), F.col("_c")).otherwise(F.lit(0))
+    w = W.partitionBy(*keys)
+    upto = F.sum(present).over(w.orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0))
+    placed = counts.withColumn("_u", upto).withColumn("_n", F.sum(present).over(w))
+    aggregates = []
+    for i, q in enumerate(qs.values()):
+        at = (F.col("_n") - 1) * F.lit(float(q))
+        low, high = F.floor(at), F.ceil(at)
+        inside = lambda x: F.max(F.when((F.col("_u") > x) & (F.col("_u") - F.col("_c") <= x) & F.col("_v").isNotNull(), F.col("_v")))
+        aggregates += [inside(low).alias(f"_a{i}"), inside(high).alias(f"_b{i}"), F.max(at - low).alias(f"_f{i}")]
+    g = placed.groupBy(*keys).agg(*aggregates)
+    return g.select(*keys, *((F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}")).alias(n) for i, n in enumerate(qs)))
+
+
+def joined_by(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Two tables with one row for each key, null keys among them, side by side."""
+    if not keys:
+        return left.crossJoin(right)  # one row each
+    other = right.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in right.columns if c not in keys))
+    same = F.col(keys[0]).eqNullSafe(F.col("_k0"))
+    for i, k in enumerate(keys[1:], 1):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return left.join(other, same).drop(*(f"_k{i}" for i in range(len(keys))))
+
+
+def bundle(df: DataFrame, keys: list[str], value: Column | str, digits: int = 3) -> DataFrame:
+    """(keys, n, avg, p50, p90, p95, p99, max) of the finite values, rounded half to even."""
+    v = finite(value)
+    rows = df.select(*keys, v.alias("_x"))
+    plain = rows.groupBy(*keys).agg(F.count("_x").alias("n"), F.bround(F.avg("_x"), digits).alias("avg"), F.bround(F.max("_x"), digits).alias("max"))
+    names = {f"p{int(q * 100)}": q for q in (0.5, 0.9, 0.95, 0.99)}
+    found = percentiles(rows, keys, "_x", names)
+    return joined_by(plain, found.select(*keys, *(F.bround(n, digits).alias(n) for n in names)), keys)
 
 
 def cohen_d(df: DataFrame, keys: list[str], level: str, value: str, low: object, high: object, pooled: bool = True, least: int = 2) -> DataFrame:
@@ -63,13 +99,13 @@ def steps(df: DataFrame, keys: list[str], order: str, u: str, signal: str, after
     to the next change or ``after`` rows. The delay ends at the first value a fifth of the way.
     """
     w = W.partitionBy(*keys).orderBy(order)
-    place = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_old", F.lag(u).over(w)).withColumn("_b", F.avg(signal).over(w.rowsBetween(-2, -1)))
+    place = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_old", F.lag(u).over(w)).withColumn("_b", F.avg(finite(signal)).over(w.rowsBetween(-2, -1)))
     moved = F.abs(F.col(u) - F.col("_old")) > 1e-12
     marked = place.withColumn("_c", F.when(moved, F.col("_i"))).withColumn("_seg", F.last("_c", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).where("_seg is not null")
     s = W.partitionBy(*keys, "_seg").orderBy("_i")
     part = marked.withColumn("_k", F.row_number().over(s) - 1).where(F.col("_k") < after)
     listed = part.groupBy(*keys, F.col("_seg").alias("at")).agg(
-        F.min_by("_old", "_k").alias("old_u"), F.min_by(u, "_k").alias("new_u"), F.min_by("_b", "_k").alias("baseline"), F.sort_array(F.collect_list(F.struct("_k", F.col(signal).cast("double").alias("v")))).alias("_v")
+        F.min_by("_old", "_k").alias("old_u"), F.min_by(u, "_k").alias("new_u"), F.min_by("_b", "_k").alias("baseline"), F.sort_array(F.collect_list(F.struct("_k", finite(signal).alias("v")))).alias("_v")
     )
     values = F.transform(F.filter("_v", lambda x: x["v"].isNotNull()), lambda x: x["v"])
     listed = listed.withColumn("_f", values).where((F.col("at") >= 2) & F.col("baseline").isNotNull() & (F.size("_f") >= 2))
@@ -86,13 +122,18 @@ def steps(df: DataFrame, keys: list[str], order: str, u: str, signal: str, after
 
 
 def stratified_median(df: DataFrame, value: str, levels: list[list[str]]) -> DataFrame:
-    """(all key columns, level, median) for each key set, the most specific first; absent keys are null. One GROUPING SETS pass."""
+    """(all key columns, level, median) for each key set, the most specific first; absent keys are null.
+
+    Each level counts equal values before its shuffle.
+    """
     keys = list(dict.fromkeys(k for ks in levels for k in ks))
-    df.createOrReplaceTempView("_stratified")
-    sets = ", ".join(f"({', '.join(ks)})" for ks in levels)
-    present = " + ".join(f"(1 - grouping({k})) * {1 << i}" for i, k in enumerate(keys))
-    level = "CASE " + " ".join(f"WHEN {present} = {sum(1 << keys.index(k) for k in ks)} THEN {i}" for i, ks in enumerate(levels)) + " END"
-    return df.sparkSession.sql(f"SELECT {', '.join(keys)}, {level} AS level, percentile({value}, 0.5) AS median FROM _stratified GROUP BY GROUPING SETS ({sets})")
+    out: DataFrame | None = None
+    for i, ks in enumerate(levels):
+        found = percentiles(df, ks, value, {"median": 0.5})
+        absent = [F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys if k not in ks]
+        part = found.select(*ks, *absent, F.lit(i).alias("level"), "median").select(*keys, "level", "median")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def with_fallback(df: DataFrame, medians: DataFrame, levels: list[list[str]], name: str = "predicted") -> DataFrame:

@@ -95,17 +95,63 @@ def moving(df: DataFrame, keys: list[str], order: str, value: str, scale: int, d
     return df.select("*", F.avg(value).over(back).alias(f"mean_{scale}"), (F.sum(value).over(back) * dt).alias(f"integral_{scale}"), (F.col(value) - F.coalesce(F.lag(value, scale).over(w), first)).alias(f"change_{scale}"))
 
 
-def ewma(df: DataFrame, keys: list[str], order: str, value: str, tau: int, name: str = "memory") -> DataFrame:
-    """df with the exponential memory before each row's update, seeded with the key's first value.
+def scan(df: DataFrame, keys: list[str], order: str, decay: Column | float, value: Column, name: str) -> DataFrame:
+    """df with m = decay * (m of the row before) + value along each key; decay is one number of a key, 0 to 1.
 
-    The recurrence m' = a m + (1 - a) x runs over the values of one key, collected in order; it stays in the JVM.
+    Rows are dealt to blocks over which the decay falls by a factor of e**100. Within a block the sum is a running
+    one of values scaled to the block's start; of the blocks before only the last two can matter. No list is built.
     """
+    rate = -F.log(F.greatest(col(decay) if isinstance(decay, (Column, str)) else F.lit(float(decay)), F.lit(1e-40)))
+    length = F.when(rate > 0, F.greatest(F.floor(F.lit(100.0) / rate), F.lit(1))).otherwise(F.lit(1 << 40))
+    w = W.partitionBy(*keys).orderBy(order)
+    rows = df.withColumn("_v", value.cast("double")).withColumn("_r", rate).withColumn("_i", F.row_number().over(w) - 1).withColumn("_b", F.floor(F.col("_i") / length)).withColumn("_j", F.col("_i") - F.col("_b") * length)
+    block = W.partitionBy(*keys, "_b")
+    inside = F.exp(-F.col("_r") * F.col("_j")) * F.sum(F.col("_v") * F.exp(F.col("_r") * F.col("_j"))).over(block.orderBy("_i").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("_m", inside)
+    ends = rows.groupBy(*keys, "_b").agg(F.max_by("_m", "_i").alias("_e"), F.count("*").alias("_n"), F.first("_r").alias("_q"))
+    wb = W.partitionBy(*keys).orderBy("_b")
+    before = F.coalesce(F.lag("_e").over(wb), F.lit(0.0)) + F.coalesce(F.lag("_e", 2).over(wb) * F.exp(-F.col("_q") * F.lag("_n").over(wb)), F.lit(0.0))
+    ends = ends.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_kb"), before.alias("_before"))
+    same = F.col("_b") == F.col("_kb")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(ends, same, "left").withColumn(name, F.col("_m") + F.coalesce("_before", F.lit(0.0)) * F.exp(-F.col("_r") * (F.col("_j") + 1))).select(*df.columns, name)
+
+
+def ewma(df: DataFrame, keys: list[str], order: str, value: str, tau: int, name: str = "memory") -> DataFrame:
+    """df with the exponential memory before each row's update, seeded with the key's first value: m' = a m + (1 - a) x."""
     a = 2.718281828459045 ** (-1.0 / tau)
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(value).cast("double").alias("_x"), F.struct(*df.columns).alias("_row")))).alias("_s"))
-    start = F.array(F.col("_s")[0]["_x"])
-    # the list of memories grows by one for each row: the last is the one before the next row
-    fold = F.aggregate("_s", start, lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) * a + s["_x"] * (1 - a))))
-    return rows.select(F.explode(F.arrays_zip(F.col("_s"), F.slice(fold, F.lit(1), F.size("_s")).alias("m"))).alias("z")).select("z._s._row.*", F.col("z.m").alias(name))
+    x = F.col(value).cast("double")
+    fed = df.withColumn("_x", F.coalesce(F.lag(x).over(W.partitionBy(*keys).orderBy(order)) * (1 - a), x))
+    return scan(fed, keys, order, a, F.col("_x"), name).drop("_x")
+
+
+def dense_inventory(df: DataFrame, keys: list[str], start: Column | str, end: Column | str, period: int, amounts: dict[str, Column], last: int | Column) -> DataFrame:
+    """inventory() at every boundary up to ``last`` at which an amount isn't 0: unfolded after aggregation, a row for each group and boundary."""
+    found = inventory(df, keys, start, end, period, amounts)
+    until = F.coalesce(F.lead("k").over(W.partitionBy(*keys).orderBy("k")) - 1, F.lit(last) if isinstance(last, int) else last)
+    held = found.withColumn("_z", until).where(" or ".join(f"{n} <> 0" for n in amounts)).where("k <= _z")
+    return held.withColumn("k", F.explode(F.sequence("k", "_z"))).drop("_z")
+
+
+def merged(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """(keys, start, end): the union of each key's intervals; a null end never comes."""
+    w = W.partitionBy(*keys).orderBy(start)
+    never = F.lit((1 << 63) - 1)
+    rows = df.select(*keys, F.col(start).alias("_s"), F.coalesce(end, never).alias("_e"))
+    w = W.partitionBy(*keys).orderBy("_s", "_e")
+    new = F.when(F.col("_s") > F.max("_e").over(w.rowsBetween(W.unboundedPreceding, -1)), 1).otherwise(0)
+    part = rows.withColumn("_n", new).withColumn("_p", F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return part.groupBy(*keys, "_p").agg(F.min("_s").alias(start), F.max("_e").alias("_e")).select(*keys, start, F.nullif(F.col("_e"), never).alias(end))
+
+
+def by_age(df: DataFrame, anchor: str, start: str, end: str, edges: list[int | None], name: str = "bin") -> DataFrame:
+    """Each interval cut at ``anchor`` + edges (the first edge and what lies below it is bin 0, a null last edge never comes): one row for each bin it meets."""
+    cuts = [None, *edges[1:-1], None]
+    at = lambda e: F.lit(None).cast("long") if e is None else F.col(anchor) + F.lit(e).cast("long")
+    pieces = F.array(*(F.struct(F.lit(i).alias("b"), F.greatest(F.col(start), at(a)).alias("s"), F.least(F.col(end), at(b)).alias("e")) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))))
+    cut = df.withColumn("_x", F.explode(pieces)).where("_x.e is null or _x.s < _x.e")
+    return cut.withColumn(start, F.col("_x.s")).withColumn(end, F.col("_x.e")).withColumn(name, F.col("_x.b")).drop("_x")
 
 
 def cross_correlation(df: DataFrame, keys: list[str], order: str, x: str, y: str, lags: int) -> DataFrame:
@@ -116,6 +162,17 @@ def cross_correlation(df: DataFrame, keys: list[str], order: str, x: str, y: str
     return long.groupBy(*keys, F.col("lag").cast("long").alias("lag")).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr"))
 
 
+def lag_of_best(df: DataFrame, keys: list[str], order: str, x: str, y: str, lags: int) -> DataFrame:
+    """(keys, lag, corr): of the lags -lags to lags the one at which x and y, ``lag`` rows later, correlate most (in absolute value; ties: the nearest to 0, then the lesser)."""
+    w = W.partitionBy(*keys).orderBy(order)
+    shifts = list(range(-lags, lags + 1))
+    pairs = df.select(*keys, F.col(x).cast("double").alias("x"), F.explode(F.array(*(F.struct(F.lit(i).alias("lag"), F.lead(F.col(y).cast("double"), i).over(w).alias("y")) for i in shifts))).alias("z"))
+    long = pairs.select(*keys, "x", "z.lag", "z.y").where("x is not null and y is not null")
+    found = long.groupBy(*keys, "lag").agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr")).where("corr is not null")
+    best = found.groupBy(*keys).agg(F.min(F.struct((-F.round(F.abs("corr"), 9)).alias("a"), F.abs("lag").alias("b"), "lag", "corr")).alias("z"))
+    return best.select(*keys, "z.lag", "z.corr")
+
+
 def changes(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """df with ``segment``: how often the value has changed before or at the row."""
     w = W.partitionBy(*keys).orderBy(order)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.expressions import DAY_NS, UUID, ratio, window_index
-from tidemark.operators import engine, events, states, time
+from tidemark.functions.expressions import DAY_NS, UUID, boundary_at_or_after, ratio, window_index
+from tidemark.operators import engine, events, states, stats, time
 from tidemark.plans.registry import Tables, query
-from tidemark.plans.windows import AT, FIRST, LAST, WEEK, weekly
+from tidemark.plans.windows import AT, BOUNDS, WEEK, bounds, last_boundary, weekly
 from tidemark.sources import logs
 
 DAMAGE = "event_id % 97 <> 0"  # leaves gaps in the sequences
@@ -265,7 +265,7 @@ def outflows(t: Tables) -> DataFrame:
     return g.where("_s = 2").drop("_s")
 
 
-@query(f"""{_STAGES}, b AS (SELECT generate_series AS k FROM generate_series({FIRST}, {LAST})),
+@query(f"""{_STAGES}, {BOUNDS}, b AS (SELECT unnest(generate_series(lo, hi)) AS k FROM bounds),
 i AS (SELECT (route_ns + {WEEK - 1}) // {WEEK} AS a, (terminal_ns + {WEEK - 1}) // {WEEK} AS z FROM st),
 q AS (SELECT b.k, count(i.a) AS n FROM b LEFT JOIN i ON i.a <= b.k AND b.k < i.z GROUP BY b.k),
 f AS (SELECT b.k, (SELECT count(*) FROM i WHERE a = b.k) - (SELECT count(*) FROM i WHERE z = b.k) AS net FROM b),
@@ -273,8 +273,7 @@ r AS (SELECT q.k, q.n - lag(q.n) OVER (ORDER BY q.k) - f.net AS residual FROM q
 SELECT count(residual) AS windows, count(*) FILTER (WHERE residual = 0) AS exact, CAST(sum(abs(residual)) AS BIGINT) AS error FROM r""")
 def conservation_audit(t: Tables) -> DataFrame:
     """Change of the active inventory against arrivals less departures, at all boundaries."""
-    whole = time.ranges_of(t.spark.range(FIRST, LAST + 1).withColumnRenamed("id", "k"), [], "k")
-    boundaries = whole.select(F.explode(F.sequence("lo", "hi")).alias("k"))
+    boundaries = bounds(t).select(F.explode(F.sequence("lo", "hi")).alias("k"))
     q = time.inventory(staged(t), [], "route_ns", "terminal_ns", WEEK, {"n": F.lit(1).cast("long")})
     net = flows(t).where("flow in ('route', 'terminal')").groupBy("k").agg(F.sum(F.when(F.col("flow") == "route", F.col("n")).otherwise(-F.col("n"))).alias("net"))
     w = W.orderBy("k")  # one row for each boundary
@@ -319,7 +318,9 @@ def kv_transfer(t: Tables) -> DataFrame:
 @query(f"{_RANKS} SELECT count(*) AS ranks, count(DISTINCT request_id) AS requests, count(*) FILTER (WHERE success) AS succeeded, CAST(sum(bytes) AS BIGINT) AS bytes, round(quantile_cont(last_complete_ns - first_start_ns, 0.5) / 1e9, 3) AS p50_s, round(avg(blocks), 6) AS blocks FROM kr")
 def kv_summary(t: Tables) -> DataFrame:
     r = engine.transfer_ranks(transfer_events(t))
-    return r.agg(F.count("*").alias("ranks"), F.countDistinct("request_id").alias("requests"), F.count_if("success").alias("succeeded"), F.sum("bytes").alias("bytes"), F.round(F.percentile("transfer_ns", F.lit(0.5)) / 1e9, 3).alias("p50_s"), F.round(F.avg("blocks"), 6).alias("blocks"))
+    plain = r.agg(F.count("*").alias("ranks"), F.countDistinct("request_id").alias("requests"), F.count_if("success").alias("succeeded"), F.sum("bytes").alias("bytes"), F.round(F.avg("blocks"), 6).alias("blocks"))
+    p50 = stats.percentiles(r, [], "transfer_ns", {"p50": 0.5}).select(F.round(F.col("p50") / 1e9, 3).alias("p50_s"))
+    return stats.joined_by(plain, p50, [])
 
 
 @query("""it AS (SELECT rank AS iteration_id, component, sum(n) AS total, count(*) AS members FROM em GROUP BY ALL), mm AS (SELECT rank AS iteration_id, component, sum(n) AS s, count(*) AS c FROM em WHERE request_id % 40 <> 0 GROUP BY ALL)
@@ -352,8 +353,12 @@ p AS (SELECT request_id, r, lag(r) OVER (PARTITION BY request_id ORDER BY k) AS
 SELECT count(*) AS n, count(*) FILTER (WHERE r < b) AS backward FROM p""")
 def dq_state_monotone(t: Tables) -> DataFrame:
     rank = F.element_at(F.create_map(*(x for s, r in states.RANKS.items() for x in (F.lit(s), F.lit(r)))), F.col("state"))
-    rows = states.at_boundaries(t.life, WEEK, FIRST, LAST).select("request_id", "k", rank.alias("r"))
-    return rows.withColumn("b", F.lag("r").over(W.partitionBy("request_id").orderBy("k"))).agg(F.count("*").alias("n"), F.count_if(F.col("r") < F.col("b")).alias("backward"))
+    first = boundary_at_or_after("start_ns", WEEK)
+    after = F.coalesce(boundary_at_or_after("end_ns", WEEK), F.lit(last_boundary(t)) + 1)
+    # a state counts at so many boundaries; only where one gives way to the next can the order fail
+    seen = states.intervals(t.life).select("request_id", rank.alias("r"), first.alias("a"), (after - first).alias("m")).where("m > 0")
+    back = F.col("r") < F.lag("r").over(W.partitionBy("request_id").orderBy("a"))
+    return seen.withColumn("back", back).agg(F.sum("m").alias("n"), F.count_if("back").alias("backward"))
 
 
 @query(f"""wk AS (SELECT run, arrival_ns // {WEEK} AS k, count(*) AS n FROM att WHERE client % 4 = 0 GROUP BY ALL)

@@ -31,7 +31,10 @@ def constant_dims(t: Tables) -> DataFrame:
 @query(f"{_LONG} SELECT dim, round(count(*) FILTER (WHERE v > 0) / count(*), 9) AS positive, round(stddev_pop(v) / nullif(abs(avg(abs(v))), 0), 5) AS variation, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.99), 6) AS p99 FROM lo GROUP BY dim")
 def output_sparsity(t: Tables) -> DataFrame:
     v = F.col("v")
-    return linear.long_form(t.embeddings, "embedding").groupBy("dim").agg(F.round(stats.share(v > 0), 9).alias("positive"), F.round(ratio(F.stddev_pop(v), F.avg(F.abs(v))), 5).alias("variation"), F.round(stats.pct_linear(v, 0.95), 6).alias("p95"), F.round(stats.pct_linear(v, 0.99), 6).alias("p99"))
+    rows = linear.long_form(t.embeddings, "embedding")
+    plain = rows.groupBy("dim").agg(F.round(stats.share(v > 0), 9).alias("positive"), F.round(ratio(F.stddev_pop(v), F.avg(F.abs(v))), 5).alias("variation"))
+    found = stats.percentiles(rows, ["dim"], "v", {"p95": 0.95, "p99": 0.99})
+    return plain.join(found.select("dim", F.round("p95", 6).alias("p95"), F.round("p99", 6).alias("p99")), "dim")
 
 
 @query(f"{_LONG} SELECT CAST(a.dim AS BIGINT) AS i, CAST(b.dim AS BIGINT) AS j, round(sum(a.v * b.v) / count(*), 6) AS g FROM lo a JOIN lo b ON a.vec_id = b.vec_id GROUP BY a.dim, b.dim")
@@ -48,17 +51,19 @@ def normalizer(t: Tables) -> DataFrame:
     return linear.block_normalizer(s, s.select("dim", F.expr("dim div 16").alias("block")))
 
 
-@query(f"{_NORM} SELECT vec_id, lo.dim, round(CASE WHEN active THEN (v - mean) / std * weight ELSE 0 END, 5) AS z FROM lo JOIN nw ON lo.dim = nw.dim WHERE vec_id % 10 = 0")
+_NORMED = f"{_NORM} SELECT vec_id, lo.dim, round(CASE WHEN active THEN (v - mean) / std * weight ELSE 0 END, 5) AS z FROM lo JOIN nw ON lo.dim = nw.dim"
+
+
+@query(_NORMED)
 def normalize_block(t: Tables) -> DataFrame:
-    rows = linear.long_form(t.embeddings.where("vec_id % 10 = 0"), "embedding", ["vec_id"])
+    rows = linear.long_form(t.embeddings, "embedding", ["vec_id"])
     return linear.normalized(rows, normalizer(t), ["vec_id"]).select("vec_id", "dim", F.round("z", 5).alias("z"))
 
 
-@query(f"{_NORM} SELECT vec_id, lo.dim, round(CASE WHEN active THEN (v - mean) / std * weight ELSE 0 END, 5) AS z FROM lo JOIN nw ON lo.dim = nw.dim")
+@query(_NORMED)
 def normalize_block_all(t: Tables) -> DataFrame:
-    """Every vector; normalize_block has one in ten."""
-    rows = linear.long_form(t.embeddings, "embedding", ["vec_id"])
-    return linear.normalized(rows, normalizer(t), ["vec_id"]).select("vec_id", "dim", F.round("z", 5).alias("z"))
+    """The name of the query over every vector while normalize_block had one in ten; now both have all."""
+    return normalize_block(t)
 
 
 @query("""ix AS (SELECT arrival_ns // 604800000000000 AS k, count(*) AS requests, sum(input_tokens) AS tokens, count(*) FILTER (WHERE side = 0) / count(*) AS share FROM att GROUP BY 1),
@@ -148,13 +153,17 @@ def pct_floor_index(t: Tables) -> DataFrame:
 
 @query("SELECT workload, round(quantile_cont(input_tokens, 0.5), 6) AS p50, round(quantile_cont(input_tokens, 0.95), 6) AS p95 FROM att GROUP BY workload")
 def pct_linear(t: Tables) -> DataFrame:
-    return t.att.groupBy("workload").agg(F.round(stats.pct_linear("input_tokens", 0.5), 6).alias("p50"), F.round(stats.pct_linear("input_tokens", 0.95), 6).alias("p95"))
+    return stats.percentiles(t.att, ["workload"], "input_tokens", {"p50": 0.5, "p95": 0.95}).select("workload", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+
+
+_EVEN = "round_even({x}, 3)"
 
 
-@query("x AS (SELECT event_type, CASE WHEN event_id % 20 = 0 THEN NULL ELSE value END AS v FROM ev) SELECT event_type, count(v) AS n, round(avg(v), 3) AS avg, round(quantile_cont(v, 0.5), 3) AS p50, round(quantile_cont(v, 0.9), 3) AS p90, round(quantile_cont(v, 0.95), 3) AS p95, round(quantile_cont(v, 0.99), 3) AS p99, round(max(v), 3) AS max FROM x GROUP BY event_type")
+@query(f"""x AS (SELECT event_type, CASE WHEN event_id % 20 = 0 THEN NULL ELSE value END AS v FROM ev)
+SELECT event_type, count(v) AS n, {_EVEN.format(x="avg(v)")} AS avg, {", ".join(f"{_EVEN.format(x=f'quantile_cont(v, {q})')} AS p{int(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99))}, {_EVEN.format(x="max(v)")} AS max FROM x GROUP BY event_type""")
 def stats_bundle(t: Tables) -> DataFrame:
     bad = F.when(F.col("event_id") % 40 == 0, float("nan")).when(F.col("event_id") % 20 == 0, float("inf")).otherwise(F.col("value"))
-    return t.ev.withColumn("v", bad).groupBy("event_type").agg(*stats.bundle("v"))
+    return stats.bundle(t.ev.withColumn("v", bad), ["event_type"], "v")
 
 
 _GE = "er AS (SELECT workload, status, side, run, CAST(input_tokens AS DOUBLE) AS y, CAST(expected_tokens * 10 AS DOUBLE) AS p FROM att)"
@@ -263,8 +272,10 @@ def survival(t: Tables) -> DataFrame:
 
 @query(f"{_STAY} SELECT side, count(*) AS n, round(quantile_cont((b - a) / {float(DAY_NS)}, 0.75), 6) AS p75, round(quantile_cont((b - a) / {float(DAY_NS)}, 0.95), 6) AS p95, round(avg((b - a) / {float(DAY_NS)}), 6) AS mean FROM sy GROUP BY side")
 def dwell_audit(t: Tables) -> DataFrame:
-    d = (F.col("admission_ns") - F.col("ready_ns")) / float(DAY_NS)
-    return staged(t).withColumn("d", d).groupBy("side").agg(F.count("*").alias("n"), F.round(stats.pct_linear("d", 0.75), 6).alias("p75"), F.round(stats.pct_linear("d", 0.95), 6).alias("p95"), F.round(F.avg("d"), 6).alias("mean"))
+    rows = staged(t).withColumn("d", (F.col("admission_ns") - F.col("ready_ns")) / float(DAY_NS))
+    plain = rows.groupBy("side").agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean"))
+    found = stats.percentiles(rows, ["side"], "d", {"p75": 0.75, "p95": 0.95})
+    return plain.join(found.select("side", F.round("p75", 6).alias("p75"), F.round("p95", 6).alias("p95")), "side")
 
 
 @query(f"""{_STAY}, x AS (SELECT side, a, unnest(generate_series((a + {WEEK - 1}) // {WEEK}, (b + {WEEK - 1}) // {WEEK} - 1)) AS k FROM sy WHERE (a + {WEEK - 1}) // {WEEK} < (b + {WEEK - 1}) // {WEEK})

@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.expressions import DAY_NS, bin_equal, bin_irregular, boundary_after, phase_features, ratio, side_of, signed, window_index
+from tidemark.functions.expressions import DAY_NS, bin_equal, bin_irregular, boundary_after, boundary_at_or_after, phase_features, ratio, side_of, signed, window_index
 from tidemark.operators import states, time
 from tidemark.plans.registry import Tables, query
 
 HOUR, WEEK = 3_600_000_000_000, 7 * DAY_NS
-#: Boundaries of the supplied orders' years.
-FIRST, LAST = 1304, 1680
 LENGTHS = [0, 250, 500, 1000, 1500, 2000, 2500, 3000, 4000, 5000]
 _BIN = "CASE " + " ".join(f"WHEN {{x}} >= {a} AND {{x}} < {b} THEN {i}" for i, (a, b) in enumerate(zip(LENGTHS[:-1], LENGTHS[1:], strict=True))) + f" ELSE {len(LENGTHS) - 2} END"
 
@@ -41,6 +39,19 @@ def window_disturbance(t: Tables) -> DataFrame:
     return time.dense(found, ["run"], "k", time.ranges_of(found, ["run"], "k"), dict.fromkeys(sums, 0))
 
 
+#: All boundaries from the first arrival to the last terminal time: what never ends is seen up to there.
+BOUNDS = f"bounds AS (SELECT (min(arrival_ns) + {WEEK - 1}) // {WEEK} AS lo, (greatest(max(arrival_ns), max(terminal_ns)) + {WEEK - 1}) // {WEEK} AS hi FROM life)"
+
+
+def bounds(t: Tables) -> DataFrame:
+    """(lo, hi): one row."""
+    return t.life.agg(F.min("arrival_ns").alias("a"), F.greatest(F.max("arrival_ns"), F.max("terminal_ns")).alias("b")).select(boundary_at_or_after("a", WEEK).alias("lo"), boundary_at_or_after("b", WEEK).alias("hi"))
+
+
+def last_boundary(t: Tables) -> int:
+    return bounds(t).first().hi or 0
+
+
 #: The ladder at one boundary, in SQL: independent of the interval form.
 LADDER = """CASE
     WHEN terminal_event = 'request_rejected' THEN CASE WHEN terminal_ns IS NOT NULL AND t >= terminal_ns THEN NULL ELSE 'ADMITTED' END
@@ -55,13 +66,14 @@ LADDER = """CASE
     WHEN decode_added_ns IS NULL OR t < decode_added_ns THEN 'KV_READY'
     WHEN coalesce(decode_scheduled_ns, decode_added_ns) IS NULL OR t < coalesce(decode_scheduled_ns, decode_added_ns) THEN 'DECODE_WAITING'
     ELSE 'DECODE_RUNNING' END"""
-AT = f"""b AS (SELECT *, k * {WEEK} AS t FROM (SELECT *, unnest(generate_series(greatest({FIRST}, (arrival_ns + {WEEK - 1}) // {WEEK}), {LAST})) AS k FROM life) z),
+AT = f"""{BOUNDS}, b AS (SELECT *, k * {WEEK} AS t FROM (SELECT *, unnest(generate_series((arrival_ns + {WEEK - 1}) // {WEEK}, (SELECT hi FROM bounds))) AS k FROM life) z),
 s AS (SELECT * FROM (SELECT *, {LADDER} AS state FROM b WHERE t >= arrival_ns AND (terminal_ns IS NULL OR t < terminal_ns)) z WHERE state IS NOT NULL)"""
 
 
 @query(f"{AT} SELECT k, state, count(*) AS n, CAST(sum(input_tokens) AS BIGINT) AS tokens FROM s GROUP BY k, state")
 def state_at_boundary(t: Tables) -> DataFrame:
-    return states.at_boundaries(t.life, WEEK, FIRST, LAST).groupBy("k", "state").agg(F.count("*").alias("n"), F.sum("input_tokens").alias("tokens"))
+    amounts = {"n": F.lit(1).cast("long"), "tokens": F.col("input_tokens")}
+    return time.dense_inventory(states.intervals(t.life), ["state"], "start_ns", "end_ns", WEEK, amounts, last_boundary(t)).select("k", "state", "n", "tokens")
 
 
 @query(f"""{AT}
@@ -73,14 +85,20 @@ SELECT k, count(DISTINCT trace_id) AS active_traces, count(*) AS active_attempts
        abs(count(*) FILTER (WHERE side = 0) - count(*) FILTER (WHERE side = 1)) AS imbalance
 FROM s GROUP BY k""")
 def state_scalars(t: Tables) -> DataFrame:
+    """Inventories by state and side at each boundary, added up; the active traces are those of merged intervals."""
+    last = last_boundary(t)
+    spans = states.intervals(t.life)
+    amounts = {"n": F.lit(1).cast("long"), "tokens": F.col("input_tokens")}
+    at = time.dense_inventory(spans, ["state", "side"], "start_ns", "end_ns", WEEK, amounts, last)
+    traces = time.dense_inventory(time.merged(spans, ["trace_id"], "start_ns", "end_ns"), [], "start_ns", "end_ns", WEEK, {"active_traces": F.lit(1).cast("long")}, last)
+    of = lambda c, what="n": F.coalesce(F.sum(F.when(c, F.col(what))), F.lit(0))
     is_ = lambda *x: F.col("state").isin(*x)
-    return states.at_boundaries(t.life, WEEK, FIRST, LAST).groupBy("k").agg(
-        F.countDistinct("trace_id").alias("active_traces"), F.count("*").alias("active_attempts"), F.count_if(is_("PREFILL_WAITING")).alias("prefill_waiting"),
-        F.coalesce(F.sum(F.when(is_("PREFILL_WAITING", "PREFILL_RUNNING"), F.col("input_tokens"))), F.lit(0)).alias("prefill_tokens"),
-        F.count_if(is_("HANDOFF_WAITING", "KV_QUEUED", "KV_TRANSFERRING", "KV_READY")).alias("handoff_pending"), F.count_if(is_("KV_READY", "DECODE_WAITING")).alias("ready_wait"),
-        F.count_if(is_("DECODE_RUNNING") & (F.col("side") == 0)).alias("running_0"), F.count_if(is_("DECODE_RUNNING") & (F.col("side") == 1)).alias("running_1"),
-        F.abs(F.count_if(F.col("side") == 0) - F.count_if(F.col("side") == 1)).alias("imbalance"),
+    sums = at.groupBy("k").agg(
+        F.sum("n").alias("active_attempts"), of(is_("PREFILL_WAITING")).alias("prefill_waiting"), of(is_("PREFILL_WAITING", "PREFILL_RUNNING"), "tokens").alias("prefill_tokens"),
+        of(is_("HANDOFF_WAITING", "KV_QUEUED", "KV_TRANSFERRING", "KV_READY")).alias("handoff_pending"), of(is_("KV_READY", "DECODE_WAITING")).alias("ready_wait"),
+        of(is_("DECODE_RUNNING") & (F.col("side") == 0)).alias("running_0"), of(is_("DECODE_RUNNING") & (F.col("side") == 1)).alias("running_1"), F.abs(of(F.col("side") == 0) - of(F.col("side") == 1)).alias("imbalance"),
     )
+    return sums.join(traces, "k", "left").fillna(0, ["active_traces"])
 
 
 AGES = [0, 7, 14, 28, 56, 112]
@@ -93,11 +111,15 @@ g AS (SELECT k, len_bin, age_bin FROM (SELECT DISTINCT k FROM s) a, (SELECT unne
 SELECT g.k, CAST(g.len_bin AS INTEGER) AS len_bin, CAST(g.age_bin AS INTEGER) AS age_bin, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(mass, 0) AS BIGINT) AS mass
 FROM g LEFT JOIN h ON g.k = h.k AND g.len_bin = h.len_bin AND g.age_bin = h.age_bin""")
 def state_hist2d(t: Tables) -> DataFrame:
-    at = states.at_boundaries(t.life, WEEK, FIRST, LAST)
-    age = F.call_function("div", F.col("k") * F.lit(WEEK) - F.col("submit_ns"), F.lit(DAY_NS))
-    cells = at.where("state = 'PREFILL_WAITING'").groupBy("k", bin_irregular("input_tokens", LENGTHS).alias("len_bin"), bin_irregular(age, AGES).alias("age_bin")).agg(F.count("*").alias("n"), F.sum("input_tokens").alias("mass"))
+    """Waiting stays are cut where their age meets an edge; each piece is in one cell."""
+    last = last_boundary(t)
+    spans = states.intervals(t.life)
+    stays = spans.where("state = 'PREFILL_WAITING'").withColumn("len_bin", bin_irregular("input_tokens", LENGTHS))
+    pieces = time.by_age(stays, "submit_ns", "start_ns", "end_ns", [e * DAY_NS for e in AGES], "age_bin")
+    cells = time.dense_inventory(pieces, ["len_bin", "age_bin"], "start_ns", "end_ns", WEEK, {"n": F.lit(1).cast("long"), "mass": F.col("input_tokens")}, last)
+    some = time.dense_inventory(spans, [], "start_ns", "end_ns", WEEK, {"one": F.lit(1).cast("long")}, last).select("k")
     # the feature index is a fixed small table: every boundary has all its cells
-    grid = at.select("k").distinct().select("k", F.explode(F.sequence(F.lit(0), F.lit(len(LENGTHS) - 2))).alias("len_bin")).select("*", F.explode(F.sequence(F.lit(0), F.lit(len(AGES) - 2))).alias("age_bin"))
+    grid = some.select("k", F.explode(F.sequence(F.lit(0), F.lit(len(LENGTHS) - 2))).alias("len_bin")).select("*", F.explode(F.sequence(F.lit(0), F.lit(len(AGES) - 2))).alias("age_bin"))
     return grid.join(cells, ["k", "len_bin", "age_bin"], "left").fillna(0, ["n", "mass"])
 
 
@@ -138,7 +160,9 @@ def window_assign(t: Tables) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM ev WHERE ts_ns >= 1704585600000000000 AND ts_ns < 1705190400000000000 GROUP BY event_type")
 def window_range_filter(t: Tables) -> DataFrame:
-    return t.ev.where("ts_ns >= 1704585600000000000L and ts_ns < 1705190400000000000L").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    # the bounds are on the column as it is stored, so that the scan gets them
+    rows = t.events.where("ts >= timestamp_ntz'2024-01-07 00:00:00' and ts < timestamp_ntz'2024-01-14 00:00:00'")
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice), 2) AS price FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' GROUP BY ALL")

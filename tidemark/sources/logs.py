@@ -18,31 +18,49 @@ ENVELOPE = (
 NULLABLE = ("trace_id", "attempt_id", "request_id", "external_request_id", "config_id", "experiment_id")
 
 
-def validated(lines: DataFrame, schema: str, seq: str = "seq", payload: str = "payload", nullable: tuple[str, ...] = ()) -> DataFrame:
+#: Fixed value: the version of events that is understood.
+VERSION = "servingrom.telemetry.v1"
+
+
+def validated(lines: DataFrame, schema: str, seq: str = "seq", payload: str = "payload", nullable: tuple[str, ...] = (), version: str | None = None, attempt: str | None = None) -> DataFrame:
     """Typed rows of JSON lines (column ``value``), with ``line`` and ``damage``: why a line isn't an event, else null.
 
-    Other columns of lines are kept.
+    Every field must be there; only ``nullable`` ones may be null. With ``version``, schema_version must be that; ``attempt``
+    names a number that, if not null, isn't negative. Other columns of lines are kept.
     """
     more = [c for c in lines.columns if c != "value"]
     whole = T.StructType.fromDDL(f"{schema}, _corrupt string")
     x = F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    rows = lines.select(F.col("value").alias("line"), *more, x.alias("x"))
     names = [f for f in whole.fieldNames() if f != "_corrupt"]
+    rows = lines.select(F.col("value").alias("line"), *more, x.alias("x"), F.json_object_keys("value").alias("_keys") if nullable else F.lit(None).cast("array<string>").alias("_keys"))
     gone = F.lit(False)
     for n in names:
-        if n not in nullable:
-            gone = gone | F.col(f"x.{n}").isNull()
-    damage = (
-        F.when(F.col("x._corrupt").isNotNull() | F.col("x").isNull(), "not_json").when(gone, "field_missing").when(F.col(f"x.{seq}") <= 0, "sequence_not_positive")
-        .when(~F.startswith(F.ltrim(F.col(f"x.{payload}")), F.lit("{")), "payload_not_object")
-    )
+        gone = gone | (~F.coalesce(F.array_contains("_keys", n), F.lit(False)) if n in nullable else F.col(f"x.{n}").isNull())
+    damage = F.when(F.col("x._corrupt").isNotNull() | F.col("x").isNull(), "not_json").when(gone, "field_missing")
+    if version:
+        damage = damage.when(F.col("x.schema_version") != version, "unsupported_schema_version")
+    damage = damage.when(F.col(f"x.{seq}") <= 0, "sequence_not_positive")
+    if attempt:
+        damage = damage.when(F.col(f"x.{attempt}") < 0, "attempt_negative")
+    damage = damage.when(~F.startswith(F.ltrim(F.col(f"x.{payload}")), F.lit("{")), "payload_not_object")
     return rows.select("line", *more, damage.alias("damage"), *(F.col(f"x.{n}").alias(n) for n in names))
 
 
+def event_rows(lines: DataFrame) -> DataFrame:
+    """Lines as events with the whole envelope."""
+    return validated(lines, ENVELOPE, "event_seq", nullable=NULLABLE, version=VERSION, attempt="attempt_id")
+
+
 def read_events(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """All lines under a run's folder as validated events, with their source_file."""
+    """All lines under a run's folder as validated events, with their source_file and the component whose folder they are in (source_component)."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
-    return validated(raw.select("value", F.col("_metadata.file_path").alias("source_file")), ENVELOPE, "event_seq", nullable=NULLABLE)
+    file = F.col("_metadata.file_path")
+    return event_rows(raw.select("value", file.alias("source_file"), F.element_at(F.split(file, "/"), -2).alias("source_component")))
+
+
+def ordered(events: DataFrame, wall: bool = False) -> DataFrame:
+    """Events by process and sequence, or by wall time and sequence: sorted by ranges, so that files of a table follow one another."""
+    return events.orderBy("ts_wall_ns", "event_seq") if wall else events.orderBy("process_instance_id", "event_seq")
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:

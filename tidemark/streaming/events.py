@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.linear import importable
-from tidemark.sources.logs import ENVELOPE, NULLABLE, validated
+from tidemark.sources.logs import event_rows
 
 
 def read(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFrame:
     """Validated events of JSON-line files as they appear under path."""
     raw = spark.readStream.option("maxFilesPerTrigger", files_at_once).option("recursiveFileLookup", "true").text(path)
-    return validated(raw.select("value"), ENVELOPE, "event_seq", nullable=NULLABLE)
+    return event_rows(raw.select("value"))
 
 
 def window_counts(events: DataFrame, period: str, late: str) -> DataFrame:
