@@ -9,7 +9,7 @@ is its posterior under equal priors.
 Fitting takes a bounded sample of labelled rows: about ``FIT_DOCS`` of each language, chosen by hash, and
 keeps the ``MOST_WORDS`` most frequent words and ``MOST_GRAMS`` n-grams of each length. Every language of
 the labels is learned; the model takes four bytes for each of them and each entry. It is broadcast once,
-and a worker keeps it and its cache of words from task to task. Prediction reads every document and its
+and each task keeps the rows of words it has met. Prediction reads every document and its
 whole text.
 
 Defined results: a letter is what Unicode calls one (``\\p{L}``: neither digits nor fractions nor marks);
@@ -38,8 +38,8 @@ ORDERS, SMOOTHING = (5, 4, 3, 2, 1), 0.5
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")  # letters, and numbers that aren't digits, as in "½" or "Ⅷ"
-#: Words that are scored together.
-_TOGETHER = 1 << 18
+#: Words that are scored together; different words that a task keeps.
+_TOGETHER, _MOST = 1 << 17, 150_000
 
 
 def letters(text: str | None) -> list[str]:
@@ -125,14 +125,12 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     return Model(languages, {g: i for i, g in enumerate(top["g"].to_pylist())}, table)
 
 
-class _Kept:
-    """A worker's model with the rows of words it has met; ``of()`` gives the same one from task to task."""
-
-    last: _Kept | None = None
+class _Known:
+    """A model with the rows of words that were met."""
 
     def __init__(self, model: Model):
         self.model, self.table = model, np.zeros((1024, len(model.languages)), np.float32)
-        self.rows = Cache(self._put)
+        self.rows = Cache(self._put, _MOST)
 
     def _put(self, word: str) -> int:
         if len(self.rows) + 1 > len(self.table):
@@ -167,12 +165,6 @@ class _Kept:
         give()
         return names, scores
 
-    @classmethod
-    def of(cls, model: Model) -> _Kept:
-        if cls.last is None or cls.last.model is not model:
-            cls.last = cls(model)
-        return cls.last
-
 
 def predicted(text: Column, model: Model, spark: SparkSession | None = None) -> Column:
     """struct<lang_pred: string, score: double> of each text."""
@@ -180,9 +172,9 @@ def predicted(text: Column, model: Model, spark: SparkSession | None = None) ->
 
     @F.arrow_udf("lang_pred string, score double")
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kept = _Kept.of(shared.value)
+        known = _Known(shared.value)
         for part in columns:
-            names, scores = kept.results(part.to_pylist())
+            names, scores = known.results(part.to_pylist())
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     return run(text)
