@@ -3,16 +3,16 @@
 Texts are linked if their sets of five-word shingles have a Jaccard of 0.8 or more. Equal sets are first
 reduced to one text. The others are candidates by their fingerprints: at that similarity a fingerprint
 differs in about ten bits, and ``RADIUS`` allows for twice as many. Without more, a radius that wide would
-compare everything with everything, so tiles are cut by shingles first: two sets with that Jaccard share at
-least 0.8 of the larger one, so whatever common order shingles are put in, they share one among the first
-fifth and one more of each (the prefix), and texts that share none there are in no common tile, without
-loss. The order puts the most common shingles last, which keeps passages that many texts quote out of
-prefixes.
+compare everything with everything, so tiles are cut first: each set has ``BANDS`` keys, each the hash of
+``BAND_ROWS`` minima of the set under as many orders, and texts are in a common tile where they have a key in
+common. Of sets at the threshold three in a hundred thousand have none (of more similar ones fewer yet, and
+fewer than one pair in a thousand differs in more bits than the radius), while texts that only quote the same
+passage, however many there are, hardly ever have one.
 
 In tiles, fingerprints are compared in numpy by exclusive-or and bit counts; pairs of tiles whose population
 counts are further apart than the radius are skipped. Whole sets decide on each candidate, and only links
-that hold make components. Beforehand, each text meets one hub of each of its shingles, so that a group of
-like texts gives as many candidates as it has texts; the tiles then hold only texts of shingles whose texts
+that hold make components. Beforehand, each text meets one hub of each of its keys, so that a group of
+like texts gives as many candidates as it has texts; the tiles then hold only texts of keys whose texts
 are still in different components.
 
 Defined results: A-Z is folded; texts with fewer words than a shingle are hashed as a whole; a null or empty
@@ -31,14 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, column, dropped, freed, saved, spread_join, texts
+from tidemark.llm.common import BROADCAST_ROWS, by_batch, column, dropped, freed, lists, mixed, saved, spread_join, texts
 from tidemark.llm.graphs import components, least_keys
 
 SHINGLE_WORDS, SEED = 5, 42
 #: Bits that fingerprints of like texts may differ in; rows of a tile at most, but for the unevenness of hashing.
 RADIUS, TILE = 20, 2048
-#: Prefixes that a shingle is in before it counts as common; common shingles known to tasks at most (more are ordered like others).
-COMMON, MOST_COMMON = 32, 200_000
+#: Keys of a set, and minima in each.
+BANDS, BAND_ROWS = 20, 4
 #: Rounds in which texts meet hubs.
 STARS = 2
 #: Fingerprints that are compared at once.
@@ -62,56 +62,64 @@ def fingerprint(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
+_ORDERS = np.random.default_rng(10).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def keys_of(h: np.ndarray) -> np.ndarray:
+    """A key for each band of a set that isn't empty."""
+    least = np.full(len(_ORDERS), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(h), 2048):
+        np.minimum(least, ((h[i : i + 2048, None] ^ _ORDERS) * _ODD).min(axis=0), out=least)
+    rows = least.reshape(BANDS, BAND_ROWS)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(BAND_ROWS):
+        out = mixed(out * _ODD + rows[:, k])
+    return out
+
+
 def sets(df: DataFrame, key: str, text: str, shingle_words: int) -> DataFrame:
-    """(key, p: long, fp: long, h: binary) of every row: p tells equal sets, fp is the set's fingerprint."""
+    """(key, p: long, h: binary) of every row: p tells equal sets."""
 
     def make():
         def run(batch):
-            h = [shingles(x, shingle_words) for x in texts(batch, text)]
-            fp, h = [fingerprint(x) for x in h], [x.tobytes() for x in h]
-            return {key: column(batch, key), "p": np.fromiter(map(xxhash.xxh3_64_intdigest, h), np.uint64, len(h)).view(np.int64), "fp": np.array(fp, np.uint64).view(np.int64), "h": pa.array(h, pa.binary())}
+            h = [shingles(x, shingle_words).tobytes() for x in texts(batch, text)]
+            return {key: column(batch, key), "p": np.fromiter(map(xxhash.xxh3_64_intdigest, h), np.uint64, len(h)).view(np.int64), "h": pa.array(h, pa.binary())}
 
         return run
 
-    return by_batch(df, [F.col(key).cast("long").alias(key), text], make, f"{key} long, p long, fp long, h binary")
+    return by_batch(df, [F.col(key).cast("long").alias(key), text], make, f"{key} long, p long, h binary")
 
 
-def prefixes(found: DataFrame, common: np.ndarray) -> DataFrame:
-    """(s, p, fp, n): the prefix of each set of n shingles; ``common`` (sorted) come last."""
+def prints(df: DataFrame, key: str, text: str, shingle_words: int) -> DataFrame:
+    """(key, p, fp: long, n: long, s: array<long>) of every row: fingerprint, size and keys of its set; a set that the task has met before has no keys."""
 
     def make():
         seen: set[int] = set()
 
         def run(batch):
-            p, h = column(batch, "p").to_pylist(), column(batch, "h")
-            new = []
-            for i, x in enumerate(p):  # copies within a task go at once
-                if x not in seen:
-                    seen.add(x)
-                    new.append(i)
-            if len(seen) > 1_000_000:
+            h = [shingles(x, shingle_words) for x in texts(batch, text)]
+            p = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in h), np.uint64, len(h)).view(np.int64)
+            s = []
+            for x, k in zip(h, p.tolist(), strict=True):
+                new = len(x) and k not in seen
+                seen.add(k)
+                s.append(keys_of(x).view(np.int64) if new else np.zeros(0, np.int64))
+            if len(seen) > 500_000:
                 seen.clear()
-            at = pa.array(new, pa.int64())
-            h, fp = h.take(at).to_pylist(), column(batch, "fp").take(at).to_numpy()
-            n = np.array([len(x) // 8 for x in h], np.int64)
-            s = np.frombuffer(b"".join(h), np.uint64)
-            doc = np.repeat(np.arange(len(n)), n)
-            last = np.zeros(len(s), bool)
-            if len(common):
-                last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-            order = np.lexsort((s, last, doc))
-            first = np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n) < (n - (4 * n + 4) // 5 + 1)[doc]
-            at = order[first]
-            own = doc[at]
-            return {"s": s[at].view(np.int64), "p": np.array(p, np.int64)[new][own] if len(new) else np.zeros(0, np.int64), "fp": fp[own], "n": n[own]}
+            n = np.array([len(x) for x in s], np.int64)
+            return {key: column(batch, key), "p": p, "fp": np.array([fingerprint(x) for x in h], np.uint64).view(np.int64), "n": np.array([len(x) for x in h], np.int64), "s": lists(np.concatenate([np.zeros(0, np.int64), *s]), n, pa.int64())}
 
         return run
 
-    return by_batch(found, ["p", "fp", "h"], make, "s long, p long, fp long, n long")
+    return by_batch(df, [F.col(key).cast("long").alias(key), text], make, f"{key} long, p long, fp long, n long, s array<long>")
 
 
 def similar(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     """The pairs (u, v) whose sets ``whole`` (p, h) have a Jaccard of 0.8 or more."""
+    if pairs.count() <= BROADCAST_ROWS:
+        asked = pairs.select(F.col("u").alias("p")).unionByName(pairs.select(F.col("v").alias("p"))).distinct()
+        whole = whole.join(F.broadcast(asked), "p", "left_semi")
     a, b = (whole.select(F.col("p").alias(x), F.col("h").alias(y)) for x, y in (("u", "a"), ("v", "b")))
     both = spread_join(pairs, b, "v", "u").join(a, "u")  # many texts u have the same hub v, few hubs have the same text
 
@@ -167,19 +175,16 @@ def tiled(rows: DataFrame, radius: int, tile: int) -> DataFrame:
     return by_batch(pairs, ["a", "b", "same"], make, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, tile: int = TILE, common: int = COMMON, stars: int = STARS) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, tile: int = TILE, stars: int = STARS) -> DataFrame:
     """(key, component_id: long): smallest key of the component of every row."""
     spark = df.sparkSession
-    found, found_path = saved(spark, sets(df, key, text, shingle_words), "sets")
-    keys, _ = saved(spark, found.select(key, "p"), "keys")
-    groups, groups_path = saved(spark, keys.groupBy("p").agg(F.min(key).alias("first")), "groups")
-    often = prefixes(found, np.zeros(0, np.uint64)).groupBy("s").count().where(F.col("count") > common).orderBy(F.desc("count"), "s").limit(MOST_COMMON).toArrow()
-    freed(spark)  # here and below: each step's shuffles are as large as the texts
-    rows, rows_path = saved(spark, prefixes(found, np.sort(often["s"].to_numpy().view(np.uint64))), "prefixes")
-    dropped(spark, found_path)
+    found, found_path = saved(spark, prints(df, key, text, shingle_words), "prints")
+    groups, groups_path = saved(spark, found.groupBy("p").agg(F.min(key).alias("first")), "groups")
+    rows = found.select(F.explode("s").alias("s"), "p", "fp", "n").withColumn("c", F.col("p"))
+    keys = found.select(key, "p")
 
     def hubs(of: DataFrame, turn: int) -> DataFrame:
-        """The text of each shingle whose hash is least, where the shingle has texts in several components."""
+        """The text of each key whose hash is least, where the key has texts in several components."""
         hub = F.min(F.struct(F.xxhash64(F.lit(turn), "p").alias("x"), F.col("p").alias("p2"), F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("c").alias("c2"))).alias("hub")
         return of.groupBy("s").agg(hub, F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s", "hub.*")
 
@@ -187,16 +192,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
         near = f"c <> c2 and 5 * least(n, n2) >= 4 * greatest(n, n2) and bit_count(fp ^ fp2) <= {radius}"
         return of.where(near).select(F.col("p").alias("u"), F.col("p2").alias("v"), "x")
 
-    rows = rows.withColumn("c", F.col("p"))
     first_hubs, hubs_path = saved(spark, hubs(rows, 0), "hubs")
     freed(spark)
     joined, joined_path = saved(spark, spread_join(rows, first_hubs, "s", "p"), "shared")
-    dropped(spark, rows_path, hubs_path)
-    freed(spark)
+    dropped(spark, hubs_path)
+    freed(spark)  # here and below: steps' shuffles are as large as the texts
     shared = joined.select("s", "p", "fp", "n", "c").distinct()
     asked = joined.select("p").distinct().join(groups, "p").select(F.col("first").alias("_first")).distinct()
     of = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias(text)).join(asked, F.equal_null("_key", "_first"), "left_semi").withColumnRenamed("_key", key)
-    whole, whole_path = saved(spark, sets(of, key, text, shingle_words).select("p", "h").dropDuplicates(["p"]), "whole")
+    whole, whole_path = saved(spark, sets(of, key, text, shingle_words).select("p", "h"), "whole")
+    if whole.count() > whole.select("p").distinct().count():  # rows that repeat a key
+        whole = whole.dropDuplicates(["p"])
     freed(spark)
 
     links, paths, nodes = None, [], None
