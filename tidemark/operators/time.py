@@ -166,7 +166,8 @@ def lag_of_best(df: DataFrame, keys: list[str], order: str, x: str, y: str, lags
     """(keys, lag, corr): of the lags -lags to lags the one at which x and y, ``lag`` rows later, correlate most (in absolute value; ties: the nearest to 0, then the lesser)."""
     w = W.partitionBy(*keys).orderBy(order)
     shifts = list(range(-lags, lags + 1))
-    pairs = df.select(*keys, F.col(x).cast("double").alias("x"), F.explode(F.array(*(F.struct(F.lit(i).alias("lag"), F.lead(F.col(y).cast("double"), i).over(w).alias("y")) for i in shifts))).alias("z"))
+    wide = df.select(*keys, F.col(x).cast("double").alias("x"), F.array(*(F.struct(F.lit(i).alias("lag"), F.lead(F.col(y).cast("double"), i).over(w).alias("y")) for i in shifts)).alias("_a"))
+    pairs = wide.select(*keys, "x", F.explode("_a").alias("z"))
     long = pairs.select(*keys, "x", "z.lag", "z.y").where("x is not null and y is not null")
     found = long.groupBy(*keys, "lag").agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr")).where("corr is not null")
     best = found.groupBy(*keys).agg(F.min(F.struct((-F.round(F.abs("corr"), 9)).alias("a"), F.abs("lag").alias("b"), "lag", "corr")).alias("z"))
