@@ -245,7 +245,13 @@ def stage_flows(t: Tables) -> DataFrame:
 _NET = {"handoff": {"route": 1, "kv_ready": -1}, "waiting": {"kv_ready": 1, "admission": -1}, "running": {"admission": 1, "terminal": -1}}
 
 
-@query("SELECT 'handoff' AS stage, 0 AS mismatches UNION ALL SELECT 'waiting', 0 UNION ALL SELECT 'running', 0")
+_MOVES = (("handoff", "route_ns", 1), ("handoff", "ready_ns", -1), ("waiting", "ready_ns", 1), ("waiting", "admission_ns", -1), ("running", "admission_ns", 1), ("running", "terminal_ns", -1))
+
+
+@query(f"""{_STAGES}, fl AS ({" UNION ALL ".join(f"SELECT side, '{s}' AS stage, ({c} + {WEEK - 1}) // {WEEK} AS k, {v} AS d FROM st" for s, c, v in _MOVES)}),
+iv AS ({" UNION ALL ".join(f"SELECT side, '{s}' AS stage, ({a} + {WEEK - 1}) // {WEEK} AS a, ({b} + {WEEK - 1}) // {WEEK} AS b FROM st" for s, (a, b) in _SPAN.items())}), g AS (SELECT DISTINCT side, stage, k FROM fl),
+x AS (SELECT g.stage, (SELECT count(*) FROM iv WHERE iv.side = g.side AND iv.stage = g.stage AND a <= g.k AND g.k < b) AS actual, (SELECT sum(d) FROM fl WHERE fl.side = g.side AND fl.stage = g.stage AND fl.k <= g.k) AS predicted FROM g)
+SELECT stage, CAST(count(*) FILTER (WHERE predicted <> actual) AS INTEGER) AS mismatches FROM x GROUP BY stage""")
 def replay_check(t: Tables) -> DataFrame:
     """Where the running sum of a stage's flows isn't its inventory: nowhere, at any boundary where either changes."""
     f = flows(t).groupBy("side", "k").pivot("flow", ["route", "kv_ready", "admission", "terminal"]).sum("n").fillna(0)

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.expressions import DAY_NS, ratio, window_index
-from tidemark.operators import linear, stats, survival as life, time
-from tidemark.plans.events import staged
+from tidemark.functions.expressions import DAY_NS, ratio, signed, window_index
+from tidemark.operators import dynamics, linear, stats, survival as life, time
+from tidemark.plans.events import flows, staged
 from tidemark.plans.registry import Tables, query
 from tidemark.plans.windows import WEEK, weekly
 
 _LONG = "lo AS (SELECT vec_id, label, CAST(i - 1 AS INTEGER) AS dim, CAST(v AS DOUBLE) AS v FROM (SELECT vec_id, label, unnest(embedding) AS v, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) z)"
 _FS = "fs AS (SELECT dim, count(*) AS n, avg(v) AS mean, stddev_pop(v) AS std, count(*) FILTER (WHERE v <> 0) AS nonzero, min(v) AS lo, max(v) AS hi FROM lo GROUP BY dim)"
 _R = 6
+_STAY = "sy AS (SELECT side, expected_tokens AS mass, arrival_ns + (2 + request_id % 9) * 86400000000000 AS a, arrival_ns + (12 + request_id % 15) * 86400000000000 AS b FROM att)"
 
 
 @query(f"{_LONG}, {_FS} SELECT dim, n, round(mean, 6) AS mean, round(std, 6) AS std, nonzero, round(lo, 6) AS lo, round(hi, 6) AS hi FROM fs")
@@ -110,6 +111,78 @@ def pod_energy(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(found, "rank int, energy double, error double")
 
 
+@query(f"""{_NORM}, z AS (SELECT vec_id, lo.dim, CASE WHEN active THEN (v - mean) / std * weight ELSE 0 END AS z FROM lo JOIN nw ON lo.dim = nw.dim),
+g AS (SELECT a.dim AS i, b.dim AS j, sum(a.z * b.z) AS g FROM z a JOIN z b ON a.vec_id = b.vec_id GROUP BY a.dim, b.dim)
+SELECT count(DISTINCT i) AS dims, round(sum(g * g) / pow(sum(g) FILTER (WHERE i = j), 2), 9) AS concentration FROM g""")
+def pod_moments(t: Tables) -> DataFrame:
+    """The sum of squared eigenvalues over the square of their sum, from the spectrum; SQL has them as the moments' norm and trace."""
+    width = len(t.embeddings.select("embedding").first()[0])
+    rows = linear.normalized(linear.long_form(t.embeddings, "embedding", ["vec_id"]), normalizer(t), ["vec_id"])
+    wide = rows.groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "z"))), lambda x: x["z"]).alias("z"))
+    v = linear.pod(wide, "z", width).eigenvalues
+    return t.spark.createDataFrame([(width, float((v**2).sum() / v.sum() ** 2))], "dims long, c double").select("dims", F.round("c", 9).alias("concentration"))
+
+
+@query(f"""{_STAY}, x AS (SELECT ln(1 + mass) AS f, (b - a) / 1e9 AS d FROM sy), m AS (SELECT count(*) AS n, avg(f) AS m, stddev_pop(f) AS s FROM x), y AS (SELECT (f - m) / s AS z, d, ln(1 + d) AS y, n FROM x, m),
+k AS (SELECT avg(y) AS c, sum(z * y) / (count(*) + 10) AS w FROM y) SELECT round(c, 6) AS constant, round(w, 6) AS weight, round(sqrt(avg(pow(exp(c + w * z) - 1 - d, 2))) / 86400, 6) AS error_days FROM y, k GROUP BY c, w""")
+def delay_kernel(t: Tables) -> DataFrame:
+    """Waiting times by the logarithm of the tokens expected: log1p of seconds, standardised feature, ridge of 10."""
+    rows = staged(t).select(((F.col("admission_ns") - F.col("ready_ns")) / 1e9).alias("d"), F.log1p(F.col("expected_tokens").cast("double")).alias("f"))
+    kernel = dynamics.delay(rows, F.col("d"), [F.col("f")], 10.0)
+    e = kernel.column([F.col("f")]) - F.col("d")
+    return rows.agg(F.round(F.sqrt(F.avg(e * e)) / 86400, 6).alias("error_days")).select(F.round(F.lit(float(kernel.model.constant[0])), 6).alias("constant"), F.round(F.lit(float(kernel.model.parts["x"][0, 0])), 6).alias("weight"), "error_days")
+
+
+_FORCE = f"""f AS (SELECT arrival_ns // {WEEK} AS k, CAST(2 * count(*) FILTER (WHERE side = 0) - count(*) AS DOUBLE) AS a, (2 * coalesce(sum(expected_tokens) FILTER (WHERE side = 0), 0) - sum(expected_tokens)) / 1000.0 AS b FROM att GROUP BY 1),
+y AS (SELECT a, b, lead(a) OVER (ORDER BY k) - a AS ya, lead(b) OVER (ORDER BY k) - b AS yb FROM f), m AS (SELECT sum(a * a) + 2 AS aa, sum(a * b) AS ab, sum(b * b) + 2 AS bb, sum(a * ya) AS pa, sum(b * ya) AS qa, sum(a * yb) AS pb, sum(b * yb) AS qb FROM y WHERE ya IS NOT NULL)"""
+
+
+@query(f"""{_FORCE} SELECT round((bb * pa - ab * qa) / (aa * bb - ab * ab), 6) AS a_to_a, round((aa * qa - ab * pa) / (aa * bb - ab * ab), 6) AS b_to_a, round((bb * pb - ab * qb) / (aa * bb - ab * ab), 6) AS a_to_b, round((aa * qb - ab * pb) / (aa * bb - ab * ab), 6) AS b_to_b FROM m""")
+def conservation_model(t: Tables) -> DataFrame:
+    """The inflow-only model of imbalances: no intercept, ridge of 2."""
+    g = t.att.groupBy(window_index("arrival_ns", WEEK).alias("k")).agg(F.count("*").alias("n"), F.count_if(F.col("side") == 0).alias("na"), F.sum("expected_tokens").alias("m"), F.sum(F.when(F.col("side") == 0, F.col("expected_tokens")).otherwise(0)).alias("ma"))
+    f = g.select("k", F.array(signed("n", "na").cast("double"), signed("m", "ma") / 1000.0).alias("f")).withColumn("after", F.lead("f").over(W.orderBy("k")))  # one row for each week
+    rows = f.where("after is not null")
+    theta = dynamics.fitted(rows, dynamics.conservation("f", "f"), dynamics.minus(F.col("after"), F.col("f")), 2.0, intercept=False).parts["forcing"]
+    names = ("a_to_a", "b_to_a", "a_to_b", "b_to_b")
+    return t.spark.createDataFrame([tuple(float(theta[i, j]) for j in (0, 1) for i in (0, 1))], ", ".join(f"{n} double" for n in names)).select(*(F.round(n, 6).alias(n) for n in names))
+
+
+@query(f"""{_FORCE}, e AS (SELECT ya - (a * (bb * pa - ab * qa) + b * (aa * qa - ab * pa)) / (aa * bb - ab * ab) AS e, ya FROM y, m WHERE ya IS NOT NULL) SELECT count(*) AS n, round(sqrt(sum(e * e) / sum(ya * ya)), 9) AS nrmse FROM e""")
+def conservation_error(t: Tables) -> DataFrame:
+    """One-step error of the same model's first output."""
+    g = t.att.groupBy(window_index("arrival_ns", WEEK).alias("k")).agg(F.count("*").alias("n"), F.count_if(F.col("side") == 0).alias("na"), F.sum("expected_tokens").alias("m"), F.sum(F.when(F.col("side") == 0, F.col("expected_tokens")).otherwise(0)).alias("ma"))
+    f = g.select("k", F.array(signed("n", "na").cast("double"), signed("m", "ma") / 1000.0).alias("f")).withColumn("after", F.lead("f").over(W.orderBy("k")))
+    rows = f.where("after is not null").withColumn("y", dynamics.minus(F.col("after"), F.col("f")))
+    model = dynamics.fitted(rows, dynamics.conservation("f", "f"), F.col("y"), 2.0, intercept=False)
+    predicted = model.column(dynamics.conservation("f", "f"))
+    return rows.select(F.col("y")[0].alias("y"), predicted[0].alias("p")).agg(F.count("*").alias("n"), F.round(stats.nrmse(F.col("y"), F.col("p")), 9).alias("nrmse"))
+
+
+@query()
+def dynamic_model(t: Tables) -> DataFrame:
+    """Weekly arrivals with tokens as disturbance and a stepped control: bilinear, one step ahead. Tests hold the model against numpy."""
+    rows = weekly(t).select("run", "k", F.array(F.log1p("n")).alias("z"), F.array(F.log1p("tokens")).alias("d"), F.array((F.expr("k div 7") % 3 * 0.2 + 0.3).cast("double")).alias("u"), F.array(F.lead(F.log1p("n")).over(W.partitionBy("run").orderBy("k"))).alias("y"))
+    rows = dynamics.transitions(rows, "run", "k", ["z", "d"]).where("y[0] is not null")
+    blocks = dynamics.dynamics("z", "d", "u", bilinear=True)
+    model = dynamics.fitted(rows, blocks, F.col("y"), 1.0)
+    return rows.select(F.col("y")[0].alias("y"), model.column(blocks)[0].alias("p")).agg(F.count("*").alias("n"), F.round(stats.nrmse(F.col("y"), F.col("p")), 6).alias("nrmse")).withColumn("radius", F.lit(round(dynamics.dynamic_radius(model, 0.5), 6)))
+
+
+@query()
+def flow_model(t: Tables) -> DataFrame:
+    """Admissions of each side by what waits and what becomes ready, on both sides. Tests hold the model against numpy."""
+    w = flows(t).where("flow in ('kv_ready', 'admission')").groupBy("side", "k").pivot("flow", ["kv_ready", "admission"]).agg(F.sum("n")).fillna(0)
+    waiting = F.sum(F.col("kv_ready") - F.col("admission")).over(W.partitionBy("side").orderBy("k").rowsBetween(W.unboundedPreceding, -1))
+    own = w.withColumn("waiting", F.coalesce(waiting, F.lit(0)))
+    total = own.groupBy("k").agg(F.sum("waiting").alias("tw"), F.sum("kv_ready").alias("tr"))
+    one = lambda c: F.array(F.col(c).cast("double"))
+    rows = own.join(total, "k").select(one("waiting").alias("s"), one("kv_ready").alias("i"), one("tw").alias("ts"), one("tr").alias("ti"), one("admission").alias("y"))
+    found = dynamics.flow(rows, "s", "i", "ts", "ti", "y", 1.0)
+    p = found.column(*(F.col(c) for c in ("s", "i", "ts", "ti")))[0]
+    return rows.select(F.col("y")[0].alias("y"), p.alias("p"), (F.col("s")[0] + F.col("i")[0]).alias("most")).agg(F.count("*").alias("n"), F.round(stats.nrmse(F.col("y"), F.col("p")), 6).alias("nrmse"), F.count_if((F.col("p") < 0) | (F.col("p") > F.greatest("most", F.lit(0.0)))).alias("beyond"))
+
+
 @query(f"""wk AS (SELECT run, arrival_ns // {WEEK} AS k, CAST(count(*) AS DOUBLE) AS n FROM att GROUP BY ALL), p AS (SELECT n AS x, lead(n) OVER (PARTITION BY run ORDER BY k) AS y FROM wk), q AS (SELECT x, y FROM p WHERE y IS NOT NULL),
 m AS (SELECT count(*) AS c, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM q)
 SELECT round((sxy - sx * sy / c) / (sxx - sx * sx / c + 10), 6) AS slope, round((sy - (sxy - sx * sy / c) / (sxx - sx * sx / c + 10) * sx) / c, 5) AS intercept FROM m""")
@@ -217,9 +290,9 @@ def stratified_median(t: Tables) -> DataFrame:
 
 
 @query("""q AS (SELECT workload, run, expected_tokens, row_number() OVER (PARTITION BY run ORDER BY expected_tokens) - 1 AS i, count(*) OVER (PARTITION BY run) AS n, status, side FROM att)
-SELECT run, max(n) AS requests, count(*) FILTER (WHERE side = 0) AS backend_0, round(count(*) FILTER (WHERE status = 'P') / count(*), 9) AS rejected, max(expected_tokens) FILTER (WHERE i = floor((n - 1) * CAST(0.5 AS DOUBLE))) AS p50, max(expected_tokens) FILTER (WHERE i = floor((n - 1) * CAST(0.95 AS DOUBLE))) AS p95 FROM q GROUP BY run""")
+SELECT run, max(n) AS requests, count(*) FILTER (WHERE side = 0) AS backend_0, round(count(*) FILTER (WHERE status = 'P') / count(*), 9) AS rejected, max(expected_tokens) FILTER (WHERE i = floor((n - 1) * CAST(0.5 AS DOUBLE))) AS p50, max(expected_tokens) FILTER (WHERE i = floor((n - 1) * CAST(0.95 AS DOUBLE))) AS p95, max(expected_tokens) FILTER (WHERE i = floor((n - 1) * CAST(0.99 AS DOUBLE))) AS p99 FROM q GROUP BY run""")
 def run_metrics(t: Tables) -> DataFrame:
-    p = stats.pct_floor_by(t.att, ["run"], "expected_tokens", [0.5, 0.95], ["p50", "p95"])
+    p = stats.pct_floor_by(t.att, ["run"], "expected_tokens", [0.5, 0.95, 0.99], ["p50", "p95", "p99"])
     g = t.att.groupBy("run").agg(F.count("*").alias("requests"), F.count_if(F.col("side") == 0).alias("backend_0"), F.round(stats.share(F.col("status") == "P"), 9).alias("rejected"))
     return g.join(p, "run")
 
@@ -240,11 +313,20 @@ def derived_kpi(t: Tables) -> DataFrame:
     return t.att.groupBy("run", window_index("arrival_ns", WEEK).alias("k")).agg(F.round(F.count("*") / 7.0, 6).alias("rate"), (F.count_if(p) > 0).alias("valid"), F.round(ratio(F.sum(F.when(p, F.col("input_tokens"))), F.count_if(p)), 6).alias("mean"))
 
 
-@query()
+@query(f"""wk AS (SELECT run, arrival_ns // {WEEK} AS k, count(*) AS n FROM att GROUP BY ALL),
+r AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY k) - 1 AS i, CASE (k // 7) % 3 WHEN 0 THEN 0.3 WHEN 1 THEN 0.5 ELSE 0.7 END AS u, CAST(n AS DOUBLE) AS v FROM wk),
+c AS (SELECT run, i, old, u FROM (SELECT *, lag(u) OVER (PARTITION BY run ORDER BY i) AS old FROM r) z WHERE abs(u - old) > 1e-12),
+e AS (SELECT *, least(coalesce(lead(i) OVER (PARTITION BY run ORDER BY i), (SELECT max(r.i) + 1 FROM r WHERE r.run = c.run)), i + 13) AS stop FROM c),
+p AS (SELECT e.run, e.i AS "at", old, e.u, stop, (SELECT avg(v) FROM r WHERE r.run = e.run AND r.i IN (e.i - 2, e.i - 1)) AS b, (SELECT avg(v) FROM r WHERE r.run = e.run AND r.i >= greatest(e.i, stop - 3) AND r.i < stop) AS t FROM e WHERE e.i >= 2 AND stop - e.i >= 2),
+q AS (SELECT *, t - b AS a FROM p)
+SELECT run, "at", CAST(old AS DOUBLE) AS old_u, CAST(u AS DOUBLE) AS new_u, round(b, 6) AS baseline, round(t, 6) AS plateau, round(a, 6) AS amplitude, a * sign(u - old) > 0 AS direction_correct,
+       CASE WHEN abs(a) > 1e-12 THEN (SELECT min(r.i - q."at") * CAST(5 AS DOUBLE) FROM r WHERE r.run = q.run AND r.i >= q."at" AND r.i < stop AND (v - (b + 0.2 * a)) * a >= 0) END AS response_delay,
+       CASE WHEN abs(a) > 1e-12 THEN (SELECT min(o.i - q."at") * CAST(5 AS DOUBLE) FROM r o WHERE o.run = q.run AND o.i >= q."at" AND o.i <= stop - 2 AND NOT EXISTS (SELECT 1 FROM r x WHERE x.run = q.run AND x.i >= o.i AND x.i < stop AND abs(x.v - t) > greatest(abs(a) * 0.2, 1e-9))) END AS settling_time FROM q""")
 def step_response(t: Tables) -> DataFrame:
     """Responses of weekly arrivals to a control that changes every seven weeks."""
     rows = weekly(t).withColumn("u", F.element_at(F.array(F.lit(0.3), F.lit(0.5), F.lit(0.7)), (F.expr("k div 7") % 3 + 1).cast("int")))
-    return stats.steps(rows, ["run"], "k", "u", "n")
+    found = stats.steps(rows, ["run"], "k", "u", "n")
+    return found.select(*(F.round(c, _R).alias(c) if c in ("baseline", "plateau", "amplitude") else F.col(c) for c in found.columns))
 
 
 @query(f"""wk AS (SELECT run, arrival_ns // {WEEK} AS k, CASE WHEN arrival_ns // {WEEK} % 6 = 0 THEN NULL ELSE count(*) END AS v FROM att GROUP BY run, arrival_ns // {WEEK}) SELECT run, k // 10 AS block, round(avg(v), 6) AS mean, count(v) AS n FROM wk GROUP BY ALL""")
@@ -253,7 +335,6 @@ def slow_mean(t: Tables) -> DataFrame:
     return weekly(t).groupBy("run", window_index("k", 10).alias("block")).agg(F.round(F.avg(stats.finite(v)), 6).alias("mean"), F.count(stats.finite(v)).alias("n"))
 
 
-_STAY = "sy AS (SELECT side, expected_tokens AS mass, arrival_ns + (2 + request_id % 9) * 86400000000000 AS a, arrival_ns + (12 + request_id % 15) * 86400000000000 AS b FROM att)"
 _EDGES = [0, 2, 5, 9, float("inf")]
 
 
