@@ -63,8 +63,7 @@ def arrival_histograms(t: Tables) -> DataFrame:
 _DONE = "e = 'request_complete'"
 
 
-@query(f"""
-q AS (SELECT request_id, count(*) AS m, min(ts_ns) AS a, max(ts_ns) AS b, sum(n) AS out FROM em GROUP BY request_id),
+_OUTPUTS = f"""q AS (SELECT request_id, count(*) AS m, min(ts_ns) AS a, max(ts_ns) AS b, sum(n) AS out FROM em GROUP BY request_id),
 f AS (SELECT l.terminal_ns // {WEEK} AS k, l.terminal_event AS e, l.input_tokens, q.out, CASE WHEN m >= 2 THEN (b - a) / (m - 1) / 1e6 END AS tpot, (a - l.arrival_ns) / 1e6 AS ttft FROM life l LEFT JOIN q ON q.request_id = l.request_id WHERE l.terminal_ns IS NOT NULL),
 t AS (SELECT k, count(*) FILTER (WHERE {_DONE}) AS completed, sum(out) FILTER (WHERE {_DONE}) AS completed_output, sum(input_tokens) FILTER (WHERE {_DONE}) AS completed_prompt,
       count(*) FILTER (WHERE {_DONE} AND ttft <= 5e9 AND (tpot IS NULL OR tpot <= 2e9)) AS good, sum(out) FILTER (WHERE {_DONE} AND ttft <= 5e9 AND (tpot IS NULL OR tpot <= 2e9)) AS good_output,
@@ -75,8 +74,11 @@ o AS (SELECT ts_ns // {WEEK} AS k, sum(n) FILTER (WHERE component = 'decode-0')
 kr AS (SELECT request_id, rank % 2 AS r, max(ts_ns) FILTER (WHERE seq % 4 = 3) AS c, coalesce(sum(n * 4096) FILTER (WHERE seq % 4 = 3 AND n % 5 <> 0), 0) AS bytes, count(*) FILTER (WHERE seq % 4 = 3) > 0 AND count(*) FILTER (WHERE seq % 4 = 0) = 0 AND count(*) FILTER (WHERE seq % 4 = 2) = count(*) FILTER (WHERE seq % 4 = 3) AS ok FROM em GROUP BY 1, 2),
 x AS (SELECT max(c) AS ready, sum(bytes) AS bytes, count(*) FILTER (WHERE ok) = 2 AND bool_and(ok) AS ok FROM kr GROUP BY request_id), v AS (SELECT ready // {WEEK} AS k, count(*) AS kv_completed, sum(bytes) AS kv_bytes, count(*) FILTER (WHERE NOT ok) AS kv_failed FROM x WHERE ready IS NOT NULL GROUP BY 1),
 ks AS (SELECT k FROM t UNION SELECT k FROM o UNION SELECT k FROM v)
-SELECT ks.k, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("completed", "completed_output", "completed_prompt", "good", "good_output", "ttft_violations", "tpot_violations", "rejected", "cancelled", "failed", "emitted_0", "emitted_1", "kv_completed", "kv_bytes", "kv_failed", "prefill_scheduled", "decode_scheduled"))},
-       coalesce(ttft_sum, 0) AS ttft_sum, coalesce(tpot_sum, 0) AS tpot_sum FROM ks LEFT JOIN t ON t.k = ks.k LEFT JOIN o ON o.k = ks.k LEFT JOIN v ON v.k = ks.k""")
+wo AS (SELECT ks.k, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("completed", "completed_output", "completed_prompt", "good", "good_output", "ttft_violations", "tpot_violations", "rejected", "cancelled", "failed", "emitted_0", "emitted_1", "kv_completed", "kv_bytes", "kv_failed", "prefill_scheduled", "decode_scheduled"))},
+       coalesce(ttft_sum, 0) AS ttft_sum, coalesce(tpot_sum, 0) AS tpot_sum FROM ks LEFT JOIN t ON t.k = ks.k LEFT JOIN o ON o.k = ks.k LEFT JOIN v ON v.k = ks.k)"""
+
+
+@query(f"{_OUTPUTS} SELECT * FROM wo")
 def window_outputs(t: Tables) -> DataFrame:
     """All nineteen outputs of each window: three aggregations of different events, put side by side."""
     q = t.em.groupBy("request_id").agg(ratio(F.max("ts_ns") - F.min("ts_ns"), F.count("*") - 1).alias("_g"), F.min("ts_ns").alias("_a"), F.sum("n").alias("out"))
@@ -97,6 +99,39 @@ def window_outputs(t: Tables) -> DataFrame:
     return ends.join(tokens, "k", "full").join(moved, "k", "full").fillna(0)
 
 
+_STATES = ("PREFILL_WAITING", "DECODE_WAITING", "DECODE_RUNNING")
+
+
+@query(f"""{_OUTPUTS}, {AT}, sc AS (SELECT k, count(*) FILTER (WHERE state = 'PREFILL_WAITING') AS pw, {", ".join(f"count(*) FILTER (WHERE state = '{st}' AND side = {i}) AS {n}{i}" for st, n in (("DECODE_WAITING", "dw"), ("DECODE_RUNNING", "dr")) for i in (0, 1))} FROM s GROUP BY k),
+x AS (SELECT wo.*, row_number() OVER (ORDER BY wo.k) - 1 AS i, coalesce(pw, 0) AS pw, coalesce(dw0, 0) AS dw0, coalesce(dw1, 0) AS dw1, coalesce(dr0, 0) AS dr0, coalesce(dr1, 0) AS dr1 FROM wo LEFT JOIN sc ON sc.k = wo.k)
+SELECT i // 25 AS slow, CAST(sum(completed) AS BIGINT) AS completed, CAST(sum(completed_output) AS BIGINT) AS completed_output, round(sum(completed_output) / 5.0, 6) AS throughput, round(sum(good_output) / 5.0, 6) AS goodput,
+       round(sum(ttft_sum) / nullif(sum(completed), 0), 4) AS ttft_mean, round(sum(tpot_sum) / nullif(sum(completed), 0), 4) AS tpot_mean, {", ".join(f"round(CAST(sum({c}) AS DOUBLE) * CAST(0.2 AS DOUBLE), 6) AS {c}_integral" for c in ("pw", "dw0", "dw1", "dr0", "dr1"))},
+       round(CAST(sum(dw0 - dw1) AS DOUBLE) * CAST(0.2 AS DOUBLE), 6) AS dw_imbalance, round(CAST(sum(dr0 - dr1) AS DOUBLE) * CAST(0.2 AS DOUBLE), 6) AS dr_imbalance,
+       CAST(sum(kv_bytes) AS BIGINT) AS kv_bytes, CAST(sum(prefill_scheduled) AS BIGINT) AS prefill_scheduled, CAST(sum(decode_scheduled) AS BIGINT) AS decode_scheduled FROM x GROUP BY 1 HAVING count(*) = 25""")
+def slow_kpis(t: Tables) -> DataFrame:
+    """Windows' outputs and inventories rolled up by twenty-five: sums, rates, means, integrals over time and imbalances."""
+    at = time.dense_inventory(states.intervals(t.life).where(F.col("state").isin(*_STATES)), ["state", "side"], "start_ns", "end_ns", WEEK, {"n": F.lit(1).cast("long")}, last_boundary(t))
+    of = lambda state, side=None: F.sum(F.when((F.col("state") == state) & (F.lit(True) if side is None else F.col("side") == side), F.col("n")))
+    counts = at.groupBy("k").agg(of("PREFILL_WAITING").alias("pw"), of("DECODE_WAITING", 0).alias("dw0"), of("DECODE_WAITING", 1).alias("dw1"), of("DECODE_RUNNING", 0).alias("dr0"), of("DECODE_RUNNING", 1).alias("dr1"))
+    x = window_outputs(t).join(counts, "k", "left").fillna(0).withColumn("_i", F.row_number().over(W.orderBy("k")) - 1)  # one row for each window of one calendar
+    held = lambda c: F.round(F.sum(c).cast("double") * 0.2, 6)
+    g = x.groupBy(window_index("_i", 25).alias("slow")).agg(
+        F.count("*").alias("_n"), F.sum("completed").alias("completed"), F.sum("completed_output").alias("completed_output"), F.round(F.sum("completed_output") / 5.0, 6).alias("throughput"), F.round(F.sum("good_output") / 5.0, 6).alias("goodput"),
+        F.round(ratio(F.sum("ttft_sum"), F.sum("completed")), 4).alias("ttft_mean"), F.round(ratio(F.sum("tpot_sum"), F.sum("completed")), 4).alias("tpot_mean"), *(held(c).alias(f"{c}_integral") for c in ("pw", "dw0", "dw1", "dr0", "dr1")),
+        held(F.col("dw0") - F.col("dw1")).alias("dw_imbalance"), held(F.col("dr0") - F.col("dr1")).alias("dr_imbalance"), F.sum("kv_bytes").alias("kv_bytes"), F.sum("prefill_scheduled").alias("prefill_scheduled"), F.sum("decode_scheduled").alias("decode_scheduled"),
+    )
+    return g.where("_n = 25").drop("_n")
+
+
+@query("""x AS (SELECT workload, request_id, (terminal_ns - arrival_ns) / 1e9 AS s, arrival_ns, terminal_ns, terminal_event = 'request_complete' AS ok, expected_tokens FROM life WHERE terminal_ns IS NOT NULL)
+SELECT workload, count(*) AS requests, count(*) FILTER (WHERE ok) AS succeeded, round(quantile_cont(s, 0.5) FILTER (WHERE ok), 3) AS p50, round(quantile_cont(s, 0.95) FILTER (WHERE ok), 3) AS p95, round(quantile_cont(s, 0.99) FILTER (WHERE ok), 3) AS p99, round(avg(s) FILTER (WHERE ok), 3) AS mean,
+       round(count(*) FILTER (WHERE ok) / ((max(terminal_ns) - min(arrival_ns)) / 1e9) * 86400, 9) AS requests_a_day, round(sum(expected_tokens) FILTER (WHERE ok) / ((max(terminal_ns) - min(arrival_ns)) / 1e9) * 86400, 6) AS tokens_a_day FROM x GROUP BY workload""")
+def load_summary(t: Tables) -> DataFrame:
+    """What a load test reports: successes, latency percentiles, throughput over the time it took."""
+    rows = t.life.where("terminal_ns is not null").select("workload", ((F.col("terminal_ns") - F.col("arrival_ns")) / 1e9).alias("s"), "arrival_ns", "terminal_ns", (F.col("terminal_event") == "request_complete").alias("ok"), "expected_tokens")
+    return vectors.load_summary(rows, ["workload"])
+
+
 @query(f"""SELECT event_id, round((ts_ns % {DAY_NS}) / {float(DAY_NS)}, 9) AS phase, round(sin((ts_ns % {DAY_NS}) / {float(DAY_NS)} * 2 * pi()), 6) AS phase_sin, round(cos((ts_ns % {DAY_NS}) / {float(DAY_NS)} * 2 * pi()), 6) AS phase_cos,
        round(ln(1 + k), 6) AS log_input_tokens, round(ln(1 + k * 2), 6) AS log_expected_tokens, round(ln(1 + k * 4096), 6) AS log_kv_bytes, round(ln(1 + k // 3), 6) AS log_block_count, 0.5 AS load, CASE WHEN process % 2 = 0 THEN 1.0 ELSE 0.0 END AS mixed_bimodal,
        CASE WHEN process % 3 = 0 THEN 1.0 ELSE 0.0 END AS on_off_burst, round(ln(1 + process), 6) AS log_total_running_requests, round(ln(1 + value), 6) AS log_total_running_tokens FROM ev""")
