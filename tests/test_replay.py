@@ -4,6 +4,7 @@ import json
 
 from tidemark.operators import replay
 from tidemark.sources import logs, sinks
+from tidemark.streaming.events import finished_traces, read, to_table
 
 STEPS = [
     ("proxy", "request_arrival", 0, {"input_tokens": 7}), ("proxy", "admission_decision", 1, {"accepted": True}), ("proxy", "prefill_http_submit", 5, {}), ("prefill", "engine_request_added", 8, {}), ("prefill", "engine_request_terminal", 18, {}),
@@ -60,3 +61,11 @@ def test_rotated_lines_keep_order_and_size(spark, tmp_path):
     long = spark.createDataFrame([("r", 1, "a", 2), ("r", 1, "b", 3), ("r", 2, "a", 1)], "run_id string, window_id int, name string, v int")
     sinks.write_sidecar(long, str(tmp_path / "wide"), ["run_id", "window_id"], "name", "v", ["a", "b", "c"])
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "wide")).select("window_id", "a", "b", "c").collect())) == [(1, 2, 3, 0), (2, 1, 0, 0)]
+
+
+def test_traces_finish_once_in_a_stream(spark, tmp_path):
+    write(tmp_path / "raw", skip={(2, "request_complete")})
+    stream = finished_traces(read(spark, str(tmp_path / "raw/proxy"), files_at_once=1))
+    to_table(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    rows = {r.trace_id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert sorted(rows) == ["t0", "t1"] and (rows["t0"].request_arrival, rows["t0"].decode_first_byte, rows["t0"].terminal_event, rows["t0"].terminal_mono_ns) == (1000, 1035, "request_complete", 1047)

@@ -423,6 +423,12 @@ def workload_summary(t: Tables) -> DataFrame:
     return t.att.groupBy("run", "workload").agg(F.count("*").alias("requests"), f.alias("finished"), F.round(ratio(f, F.count("*")), 9).alias("success_ratio"), F.round(F.avg("input_tokens"), 6).alias("input_tokens"))
 
 
+@query("SELECT workload, run, round(quantile_cont(input_tokens, 0.5), 6) AS p50, round(quantile_cont(input_tokens, 0.9), 6) AS p90, round(quantile_cont(input_tokens, 0.99), 6) AS p99 FROM att GROUP BY ALL")
+def workload_percentiles(t: Tables) -> DataFrame:
+    found = stats.percentiles(t.att, ["workload", "run"], "input_tokens", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return found.select("workload", "run", *(F.round(c, 6).alias(c) for c in ("p50", "p90", "p99")))
+
+
 @query("SELECT w.workload, l.load, r.rate, 's' || s.seed AS seed FROM (SELECT DISTINCT workload FROM att) w, (SELECT unnest(generate_series(1, 4)) AS load) l, (SELECT unnest(['poisson', 'burst']) AS rate) r, (SELECT unnest(generate_series(1, 3)) AS seed) s")
 def run_matrix(t: Tables) -> DataFrame:
     # factors of an experiment: a handful of values each, unfolded rather than joined

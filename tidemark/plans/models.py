@@ -277,6 +277,17 @@ def backlog_trend(t: Tables) -> DataFrame:
     return late.groupBy("run").agg(F.round(F.regr_slope("n", "k"), 6).alias("slope"), F.count("*").alias("samples"))
 
 
+@query(f"""wk AS (SELECT run, arrival_ns // {WEEK} AS k, count(*) AS n FROM att GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY run) AS c FROM wk),
+h AS (SELECT *, i - c // 2 AS j, c - c // 2 AS m FROM r WHERE i >= c // 2)
+SELECT run, round(avg(n) FILTER (WHERE j >= m - greatest(m // 4, 1)) - avg(n) FILTER (WHERE j < greatest(m // 4, 1)), 6) AS growth FROM h GROUP BY run""")
+def backlog_growth(t: Tables) -> DataFrame:
+    """Of the second half of a run's samples: the mean of the last quarter less that of the first."""
+    w = W.partitionBy("run")
+    r = weekly(t).withColumn("i", F.row_number().over(w.orderBy("k")) - 1).withColumn("c", F.count("*").over(w)).withColumn("j", F.col("i") - F.expr("c div 2")).withColumn("m", F.col("c") - F.expr("c div 2")).where("j >= 0")
+    q = F.greatest(F.expr("m div 4"), F.lit(1))
+    return r.groupBy("run").agg(F.round(F.avg(F.when(F.col("j") >= F.col("m") - q, F.col("n"))) - F.avg(F.when(F.col("j") < q, F.col("n"))), 6).alias("growth"))
+
+
 _LEVELS = [["workload", "status", "side"], ["workload", "status"], ["workload"], []]
 
 

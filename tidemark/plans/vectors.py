@@ -73,7 +73,7 @@ t AS (SELECT k, count(*) FILTER (WHERE {_DONE}) AS completed, sum(out) FILTER (W
 o AS (SELECT ts_ns // {WEEK} AS k, sum(n) FILTER (WHERE component = 'decode-0') AS emitted_0, sum(n) FILTER (WHERE component = 'decode-1') AS emitted_1, sum(n) FILTER (WHERE component = 'prefill') AS prefill_scheduled, sum(n) FILTER (WHERE component <> 'prefill') AS decode_scheduled FROM em GROUP BY 1),
 kr AS (SELECT request_id, rank % 2 AS r, max(ts_ns) FILTER (WHERE seq % 4 = 3) AS c, coalesce(sum(n * 4096) FILTER (WHERE seq % 4 = 3 AND n % 5 <> 0), 0) AS bytes, count(*) FILTER (WHERE seq % 4 = 3) > 0 AND count(*) FILTER (WHERE seq % 4 = 0) = 0 AND count(*) FILTER (WHERE seq % 4 = 2) = count(*) FILTER (WHERE seq % 4 = 3) AS ok FROM em GROUP BY 1, 2),
 x AS (SELECT max(c) AS ready, sum(bytes) AS bytes, count(*) FILTER (WHERE ok) = 2 AND bool_and(ok) AS ok FROM kr GROUP BY request_id), v AS (SELECT ready // {WEEK} AS k, count(*) AS kv_completed, sum(bytes) AS kv_bytes, count(*) FILTER (WHERE NOT ok) AS kv_failed FROM x WHERE ready IS NOT NULL GROUP BY 1),
-ks AS (SELECT k FROM t UNION SELECT k FROM o UNION SELECT k FROM v)
+ks AS (SELECT k FROM t UNION SELECT k FROM o UNION SELECT k FROM v),
 wo AS (SELECT ks.k, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("completed", "completed_output", "completed_prompt", "good", "good_output", "ttft_violations", "tpot_violations", "rejected", "cancelled", "failed", "emitted_0", "emitted_1", "kv_completed", "kv_bytes", "kv_failed", "prefill_scheduled", "decode_scheduled"))},
        coalesce(ttft_sum, 0) AS ttft_sum, coalesce(tpot_sum, 0) AS tpot_sum FROM ks LEFT JOIN t ON t.k = ks.k LEFT JOIN o ON o.k = ks.k LEFT JOIN v ON v.k = ks.k)"""
 
@@ -103,11 +103,11 @@ _STATES = ("PREFILL_WAITING", "DECODE_WAITING", "DECODE_RUNNING")
 
 
 @query(f"""{_OUTPUTS}, {AT}, sc AS (SELECT k, count(*) FILTER (WHERE state = 'PREFILL_WAITING') AS pw, {", ".join(f"count(*) FILTER (WHERE state = '{st}' AND side = {i}) AS {n}{i}" for st, n in (("DECODE_WAITING", "dw"), ("DECODE_RUNNING", "dr")) for i in (0, 1))} FROM s GROUP BY k),
-x AS (SELECT wo.*, row_number() OVER (ORDER BY wo.k) - 1 AS i, coalesce(pw, 0) AS pw, coalesce(dw0, 0) AS dw0, coalesce(dw1, 0) AS dw1, coalesce(dr0, 0) AS dr0, coalesce(dr1, 0) AS dr1 FROM wo LEFT JOIN sc ON sc.k = wo.k)
+kp AS (SELECT wo.*, row_number() OVER (ORDER BY wo.k) - 1 AS i, coalesce(pw, 0) AS pw, coalesce(dw0, 0) AS dw0, coalesce(dw1, 0) AS dw1, coalesce(dr0, 0) AS dr0, coalesce(dr1, 0) AS dr1 FROM wo LEFT JOIN sc ON sc.k = wo.k)
 SELECT i // 25 AS slow, CAST(sum(completed) AS BIGINT) AS completed, CAST(sum(completed_output) AS BIGINT) AS completed_output, round(sum(completed_output) / 5.0, 6) AS throughput, round(sum(good_output) / 5.0, 6) AS goodput,
        round(sum(ttft_sum) / nullif(sum(completed), 0), 4) AS ttft_mean, round(sum(tpot_sum) / nullif(sum(completed), 0), 4) AS tpot_mean, {", ".join(f"round(CAST(sum({c}) AS DOUBLE) * CAST(0.2 AS DOUBLE), 6) AS {c}_integral" for c in ("pw", "dw0", "dw1", "dr0", "dr1"))},
        round(CAST(sum(dw0 - dw1) AS DOUBLE) * CAST(0.2 AS DOUBLE), 6) AS dw_imbalance, round(CAST(sum(dr0 - dr1) AS DOUBLE) * CAST(0.2 AS DOUBLE), 6) AS dr_imbalance,
-       CAST(sum(kv_bytes) AS BIGINT) AS kv_bytes, CAST(sum(prefill_scheduled) AS BIGINT) AS prefill_scheduled, CAST(sum(decode_scheduled) AS BIGINT) AS decode_scheduled FROM x GROUP BY 1 HAVING count(*) = 25""")
+       CAST(sum(kv_bytes) AS BIGINT) AS kv_bytes, CAST(sum(prefill_scheduled) AS BIGINT) AS prefill_scheduled, CAST(sum(decode_scheduled) AS BIGINT) AS decode_scheduled FROM kp GROUP BY 1 HAVING count(*) = 25""")
 def slow_kpis(t: Tables) -> DataFrame:
     """Windows' outputs and inventories rolled up by twenty-five: sums, rates, means, integrals over time and imbalances."""
     at = time.dense_inventory(states.intervals(t.life).where(F.col("state").isin(*_STATES)), ["state", "side"], "start_ns", "end_ns", WEEK, {"n": F.lit(1).cast("long")}, last_boundary(t))

@@ -55,3 +55,40 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
 
 def each_batch(stream: DataFrame, put: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> object:
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
+
+
+#: Events that end a trace, and those whose first time a finished trace is given with.
+ENDS = ("request_complete", "request_rejected", "request_cancel", "request_error")
+TIMES = ("request_arrival", "prefill_http_submit", "prefill_http_complete", "p_to_d_route", "decode_first_byte")
+
+
+def finished_traces(events: DataFrame) -> DataFrame:
+    """(run_id, trace_id, terminal_event, terminal_mono_ns, a first time for each of TIMES) of each trace once it has ended.
+
+    The state of a trace is one number for each of TIMES, and whether it has ended: a second end gives no row, and events
+    may come in any order within and across batches as long as the end isn't the first to come in an earlier one.
+    """
+    importable(events.sparkSession)
+    columns = ["run_id", "trace_id", "terminal_event", "terminal_mono_ns", *TIMES]
+
+    def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *seen, over = state.get if state.exists else (*[-1] * len(TIMES), False)
+        ends = []
+        for p in parts:
+            for kind, ts in zip(p["event_type"], p["ts_mono_ns"], strict=True):
+                if kind in TIMES:
+                    i = TIMES.index(kind)
+                    seen[i] = int(ts) if seen[i] < 0 else min(seen[i], int(ts))
+                elif kind in ENDS:
+                    ends.append((int(ts), kind))
+        rows = []
+        if ends and not over:
+            ts, kind = min(ends)
+            rows.append((*key, kind, ts, *(None if x < 0 else x for x in seen)))
+            over = True
+        state.update((*seen, over))
+        yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in columns[3:]})
+
+    kept = events.where("damage is null and trace_id is not null").select("run_id", "trace_id", "event_type", "ts_mono_ns")
+    out = "run_id string, trace_id string, terminal_event string, terminal_mono_ns long, " + ", ".join(f"{c} long" for c in TIMES)
+    return kept.groupBy("run_id", "trace_id").applyInPandasWithState(follow, out, ", ".join(f"{c} long" for c in TIMES) + ", over boolean", "append", GroupStateTimeout.NoTimeout)
