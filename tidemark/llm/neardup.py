@@ -9,11 +9,12 @@ common. Of sets at the threshold three in a hundred thousand have none (of more
 fewer than one pair in a thousand differs in more bits than the radius), while texts that only quote the same
 passage, however many there are, hardly ever have one.
 
-In tiles, fingerprints are compared in numpy by exclusive-or and bit counts; pairs of tiles whose population
-counts are further apart than the radius are skipped. Whole sets decide on each candidate, and only links
-that hold make components. Beforehand, each text meets one hub of each of its keys, so that a group of
-like texts gives as many candidates as it has texts; the tiles then hold only texts of keys whose texts
-are still in different components.
+First, each text meets one hub of each of its keys, so that a group of like texts gives as many candidates
+as it has texts, and whole sets decide on each. What is then left are keys whose texts are still in different
+components. Texts that such keys connect are laid out in tiles with their sets; in a tile, or between two,
+fingerprints are compared in numpy by exclusive-or and bit counts (pairs of tiles whose population counts are
+further apart than the radius are skipped), whole sets decide on the candidates at once, and what leaves the
+tile is a forest of the links that hold, never pairs of a group.
 
 Defined results: A-Z is folded; texts with fewer words than a shingle are hashed as a whole; a null or empty
 text has no words, and texts without words are equal; repeated rows get equal results, rows with a null key
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_ROWS, by_batch, column, dropped, freed, lists, mixed, saved, spread_join, texts
+from tidemark.llm.common import BROADCAST_ROWS, PIECE_BYTES, by_batch, column, dropped, freed, importable, lists, mixed, saved, spread_join, texts
 from tidemark.llm.graphs import components, least_keys
 
 SHINGLE_WORDS, SEED = 5, 42
@@ -41,8 +42,6 @@ RADIUS, TILE = 20, 2048
 BANDS, BAND_ROWS = 20, 4
 #: Rounds in which texts meet hubs.
 STARS = 2
-#: Fingerprints that are compared at once.
-_STEP = 1 << 20
 
 
 def shingles(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -137,42 +136,70 @@ def similar(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return by_batch(both, ["u", "v", "a", "b"], make, "u long, v long")
 
 
-def candidates(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (u, v) between two tiles, or within one, whose fingerprints, sizes and components allow a link; tiles: p, fp, n, c."""
-    u, v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    ones = [np.bitwise_count(x[1].view(np.uint64)).astype(int) for x in (a, b)]
-    if ones[0].min() - ones[1].max() > radius or ones[1].min() - ones[0].max() > radius:
-        return u[0], v[0]
-    step = max(1, _STEP // len(b[0]))
-    for i in range(0, len(a[0]), step):
-        p, fp, n, c = (x[i : i + step, None] for x in a)
-        near = (np.bitwise_count((fp ^ b[1]).view(np.uint64)) <= radius) & (c != b[3]) & (5 * np.minimum(n, b[2]) >= 4 * np.maximum(n, b[2]))
-        x, y = np.nonzero(near & (p < b[0]) if same else near)
-        u.append(a[0][i + x])
-        v.append(b[0][y])
-    return np.concatenate(u), np.concatenate(v)
-
-
-def tiled(rows: DataFrame, radius: int, tile: int) -> DataFrame:
-    """(u, v): candidates among rows (s, p, fp, n, c) of equal s in different components c."""
-    spark = rows.sparkSession
-    open_, _ = saved(spark, rows.groupBy("s").agg(F.ceil(F.count("*") / tile).alias("parts"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s", "parts"), "open")
-    kept = spread_join(rows, open_, "s", "p").withColumn("part", F.pmod(F.xxhash64("p"), F.col("parts")))
-    tiles = kept.groupBy("s", "part").agg(F.max("parts").alias("parts"), F.collect_list(F.struct("p", "fp", "n", "c")).alias("rows"))
-    tiles, _ = saved(spark, tiles, "tiles")
-    left = tiles.select("s", F.col("part").alias("i"), F.col("rows").alias("a"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("part"))
-    pairs = left.join(tiles.select("s", "part", F.col("rows").alias("b")), ["s", "part"]).select("a", "b", F.expr("i = part").alias("same"))
-
-    def make():
-        def run(batch):
-            found = [(np.empty(0, np.int64),) * 2]
-            for x, y, same in zip(column(batch, "a"), column(batch, "b"), column(batch, "same").to_pylist(), strict=True):
-                found.append(candidates(*(tuple(z.values.field(k).to_numpy() for k in range(4)) for z in (x, y)), same, radius))
-            return {c: np.concatenate(z) for c, z in zip(("u", "v"), zip(*found, strict=True), strict=True)}
+def forest(p: np.ndarray, fp: np.ndarray, c: np.ndarray, h: list[np.ndarray], left: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links that hold and join components c: between the texts that are ``left`` and the others, or among all if all are left."""
+    n = np.array([len(x) for x in h])
+    _, ids = np.unique(np.concatenate(h), return_inverse=True)
+    doc = np.repeat(np.arange(len(h)), n)
+    ends = np.searchsorted(np.sort(ids), np.arange(ids.max() + 2))
+    holders = doc[np.argsort(ids, kind="stable")]  # the texts that have each shingle
+    starts = np.cumsum(n) - n
+    names, group = np.unique(c, return_inverse=True)
+    root = np.arange(len(names))
+    out = []
+    same = bool(left.all())
+    for i in np.flatnonzero(left):
+        near = (np.bitwise_count((fp ^ fp[i]).view(np.uint64)) <= radius) & (root[group] != root[group[i]])
+        near &= np.arange(len(p)) > i if same else ~left
+        if not near.any():
+            continue
+        mine = ids[starts[i] : starts[i] + n[i]]
+        many = ends[mine + 1] - ends[mine]
+        at = np.repeat(ends[mine] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        shared = np.bincount(holders[at], minlength=len(p))
+        for k in np.flatnonzero(near & (9 * shared >= 4 * (n + n[i]))):
+            a, b = root[group[i]], root[group[k]]
+            if a != b:
+                root[root == max(a, b)] = min(a, b)
+                out.append((int(p[i]), int(p[k])))
+    return out
 
-        return run
 
-    return by_batch(pairs, ["a", "b", "same"], make, "u long, v long")
+def tiled(rows: DataFrame, whole: DataFrame, radius: int, tile: int) -> DataFrame:
+    """(u, v): a forest of the links among texts of rows (s, p, fp, n, c) that keys s in several components connect; whole: (p, h)."""
+    spark = rows.sparkSession
+    open_, _ = saved(spark, rows.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("p").alias("hub")).where("lo <> hi").select("s", "hub"), "open")
+    kept, _ = saved(spark, spread_join(rows, open_, "s", "p"), "kept")
+    nodes = components(spark, kept.select(F.col("p").alias("u"), F.col("hub").alias("v")))
+    some = kept.select("p", "fp", "n", "c").distinct().join(nodes.select(F.col("node").alias("p"), F.col("root").alias("g")), "p")
+    some, _ = saved(spark, some, "some")
+    sizes = some.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") * 8 / PIECE_BYTES)).alias("parts"))
+    sizes, _ = saved(spark, sizes, "sizes")
+    texts_ = spread_join(some, sizes, "g", "p").withColumn("part", F.pmod(F.xxhash64("p"), F.col("parts"))).join(whole, "p")
+    # a text goes to each pair of tiles with its own: as the left one or as the other
+    last = F.col("parts") - 1
+    turns = F.concat(F.transform(F.sequence(F.col("part"), last), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"))), F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("part")), lambda i: i < F.col("part")), lambda i: F.struct(i.alias("i"), F.col("part").alias("j"))))
+    placed = texts_.withColumn("t", F.explode(turns)).select("g", "t.i", "t.j", (F.col("part") == F.col("t.i")).alias("left"), "p", "fp", "c", "h")
+    buckets = max(1, int(some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) * 8 // PIECE_BYTES)
+    deal = F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(F.xxhash64("g"), F.lit(buckets))).otherwise(F.xxhash64("g", "i", "j"))
+
+    def run(t: pa.Table) -> pa.Table:
+        g, i, j = (t[x].to_numpy() for x in ("g", "i", "j"))
+        p, fp, c = (t[x].to_numpy() for x in ("p", "fp", "c"))
+        left = t["left"].to_numpy(zero_copy_only=False)
+        found = []
+        order = np.lexsort((p, j, i, g))
+        breaks = np.flatnonzero(np.any([np.diff(x[order]) != 0 for x in (g, i, j)], axis=0)) + 1
+        h = t["h"].combine_chunks()
+        for at in np.split(order, breaks):
+            ones = np.bitwise_count(fp[at].view(np.uint64)).astype(int)
+            l = left[at]  # noqa: E741
+            if l.all() or (ones[l].min() - ones[~l].max() <= radius and ones[~l].min() - ones[l].max() <= radius if l.any() else False):
+                found += forest(p[at], fp[at], c[at], [np.frombuffer(h[int(k)].as_buffer(), np.uint64) for k in at], l, radius)
+        return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([y for _, y in found], pa.int64())})
+
+    importable(spark)
+    return placed.groupBy(deal.alias("deal"), F.expr("i = 0 and j = 0").alias("whole")).applyInArrow(run, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, tile: int = TILE, stars: int = STARS) -> DataFrame:
@@ -205,11 +232,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
         whole = whole.dropDuplicates(["p"])
     freed(spark)
 
-    links, paths, nodes = None, [], None
-    for turn in range(stars + 1):
-        if turn == stars:
-            one = tiled(shared, radius, tile)
-        elif turn == 0:  # each text and the least of its hubs
+    links, paths = None, []
+
+    def linked(more: DataFrame) -> DataFrame:
+        nonlocal links
+        links = more if links is None else links.unionByName(more)
+        return components(spark, links)
+
+    for turn in range(stars):
+        if turn == 0:  # each text and the least of its hubs
             one = met(joined).groupBy("u").agg(F.min(F.struct("x", "v")).alias("m")).select("u", "m.v")
         else:
             some, some_path = saved(spark, hubs(shared, turn), "hubs")
@@ -218,14 +249,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
         more, more_path = saved(spark, similar(pairs, whole), "similar")
         dropped(spark, pairs_path)
         paths.append(more_path)
-        links = more if links is None else links.unionByName(more)
-        nodes = components(spark, links)
-        if turn < stars:
-            after = shared.drop("c").join(nodes.select(F.col("node").alias("p"), F.col("root").alias("c")), "p", "left")
-            after, new_path = saved(spark, after.select("s", "p", "fp", "n", F.coalesce("c", "p").alias("c")), "shared")
-            dropped(spark, joined_path)
-            shared, joined_path = after, new_path
+        nodes = linked(more)
+        after = shared.drop("c").join(nodes.select(F.col("node").alias("p"), F.col("root").alias("c")), "p", "left")
+        after, new_path = saved(spark, after.select("s", "p", "fp", "n", F.coalesce("c", "p").alias("c")), "shared")
+        dropped(spark, joined_path)
+        shared, joined_path = after, new_path
         freed(spark)
+    more, more_path = saved(spark, tiled(shared, whole, radius, tile), "tiled")
+    paths.append(more_path)
+    nodes = linked(more)
+    freed(spark)
     dropped(spark, joined_path, whole_path, *paths)
     classes = least_keys(spark, groups, nodes, "p", "first")
     dropped(spark, groups_path)
