@@ -7,7 +7,8 @@ adds nothing. The predicted language has the largest sum, ties go to the name th
 is its posterior under equal priors.
 
 Fitting takes a bounded sample of labelled rows: about ``FIT_DOCS`` of each language, chosen by hash, and
-keeps the ``MOST_WORDS`` most frequent words and ``MOST_GRAMS`` n-grams of each length. Every language of
+keeps the most frequent words and n-grams of each length, ``MOST_WORDS`` and ``MOST_GRAMS`` at most (those as
+frequent as one another go together). Every language of
 the labels is learned; the model takes four bytes for each of them and each entry. It is broadcast once,
 and each task keeps the rows of words it has met. Prediction reads every document and its
 whole text.
@@ -27,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Cache, by_batch, column, dropped, importable, looked_up, saved, texts
@@ -114,8 +114,17 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     counts = counts.select("n", "g", F.array(*[F.coalesce(F.col(str(i)), F.lit(0)) for i in range(len(languages))]).alias("c"))
     counts, path = saved(spark, counts.withColumn("all", F.aggregate("c", F.lit(0).cast("long"), lambda a, b: a + b)), "grams")
     totals = {r.n: np.array(r.c, float) for r in counts.groupBy("n").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(len(languages))]).alias("c")).collect()}
-    first = F.row_number().over(W.partitionBy("n").orderBy(F.desc("all"), "g"))  # each task hands on no more than what a model holds
-    top = counts.withColumn("r", first).where(F.col("r") <= F.when(F.col("n") == 0, MOST_WORDS).otherwise(MOST_GRAMS)).where(F.col("r") <= max(MOST_WORDS, MOST_GRAMS)).orderBy("n", "r").select("n", "g", "c").toArrow()
+    # how many entries of each length there are from each of at most a thousand counts on: all that are as frequent are in or out
+    sizes = counts.groupBy("n", F.floor(16 * F.log2("all")).alias("b")).agg(F.min("all").alias("least"), F.count("*").alias("size")).orderBy("n", F.desc("b")).collect()
+    least, so_far = {}, Counter()
+    for r in sizes:
+        so_far[r.n] += r.size
+        if so_far[r.n] <= (MOST_GRAMS if r.n else MOST_WORDS):
+            least[r.n] = r.least
+    kept = F.lit(False)
+    for n, c in least.items():
+        kept = kept | ((F.col("n") == n) & (F.col("all") >= c))
+    top = counts.where(kept).select("n", "g", "c").toArrow()
     n = top["n"].to_numpy()
     table = top["c"].combine_chunks().flatten().to_numpy().reshape(len(n), -1).astype(np.float32) if len(n) else np.zeros((0, len(languages)), np.float32)
     for order, total in totals.items():
