@@ -6,8 +6,8 @@ document's score is the mean log-likelihood ratio of its n-grams, so length does
 where the score is at least a fixed threshold and no base rule failed. Nothing is drawn at random.
 
 The counts cover every document and its whole text; each task adds up its own documents before the
-shuffle, and the driver gets one row for each bucket. The trusted documents are those labelled with good
-quality, at most ``TRUSTED_DOCS`` of them, chosen by hash, so that their ids can be broadcast.
+shuffle, and the driver gets one row for each bucket. The trusted documents are all that are labelled with
+good quality; their ids are broadcast only if they were counted to be few, else documents are joined to them.
 
 Defined results: a null or empty text has no words, no score and fails the base rules; without trusted
 documents every score is 0; a label for which several rows differ counts as the higher; repeated rows get
@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, column, hash_cache, importable, looked_up, mixed, texts, words
+from tidemark.llm.common import BROADCAST_ROWS, by_batch, column, hash_cache, importable, looked_up, mixed, texts, words
 
 BUCKETS, SMOOTHING, SEED = 1 << 20, 0.5, 8
-#: Trusted documents at most; the least mean log-likelihood ratio of a document that is kept.
-TRUSTED_DOCS, THRESHOLD = 100_000, -0.1
+#: The least mean log-likelihood ratio of a document that is kept.
+THRESHOLD = -0.1
 #: The base rules: fewest words, and the largest share of words in repeated windows in percent.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 50, 50, 3
 
@@ -70,7 +70,9 @@ def lines_again(text: str) -> int:
 
 def counts(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarray:
     """Counts by bucket of the raw corpus (row 0) and of the trusted documents (row 1)."""
-    marked = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text")).join(F.broadcast(trusted.select(F.col(key).alias("k"), F.lit(1).alias("t"))), "k", "left")
+    ids = trusted.select(F.col(key).alias("k"), F.lit(1).alias("t"))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    marked = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text")).join(ids, "k", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, total = hash_cache(SEED), np.zeros((2, BUCKETS), np.int64)
@@ -101,10 +103,10 @@ def ratios(total: np.ndarray) -> np.ndarray:
     return (np.log(p[1]) - np.log(p[0])).astype(np.float32)
 
 
-def trusted_of(labels: DataFrame, key: str = "doc_id", quality: str = "quality", most: int = TRUSTED_DOCS) -> DataFrame:
-    """Ids of the documents labelled good, a bounded number of them."""
-    good = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias(key)).agg(F.max(quality).alias("q")).where("q = 1")
-    return good.orderBy(F.xxhash64(key)).limit(most).select(key)
+def trusted_of(labels: DataFrame, key: str = "doc_id", quality: str = "quality") -> DataFrame:
+    """Ids of the documents labelled good."""
+    good = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias(key)).agg(F.max(quality).alias("q"))
+    return good.where("q = 1").select(key)
 
 
 def judged(docs: DataFrame, ratio: np.ndarray, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
