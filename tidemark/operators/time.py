@@ -129,7 +129,8 @@ def ewma(df: DataFrame, keys: list[str], order: str, value: str, tau: int, name:
 def dense_inventory(df: DataFrame, keys: list[str], start: Column | str, end: Column | str, period: int, amounts: dict[str, Column], last: int | Column) -> DataFrame:
     """inventory() at every boundary up to ``last`` at which an amount isn't 0: unfolded after aggregation, a row for each group and boundary."""
     found = inventory(df, keys, start, end, period, amounts)
-    until = F.coalesce(F.lead("k").over(W.partitionBy(*keys).orderBy("k")) - 1, F.lit(last) if isinstance(last, int) else last)
+    end = F.lit(last) if isinstance(last, int) else last
+    until = F.least(F.lead("k").over(W.partitionBy(*keys).orderBy("k")) - 1, end)  # a null of the last change gives way
     held = found.withColumn("_z", until).where(" or ".join(f"{n} <> 0" for n in amounts)).where("k <= _z")
     return held.withColumn("k", F.explode(F.sequence("k", "_z"))).drop("_z")
 
