@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, langid, linededup, lmscore, mixing, quality, rans, simhash, toxicity
+from tidemark.llm import ann, bpe, divergence, hardneg, langid, linededup, lmscore, mixing, packing, quality, rans, simhash, toxicity
 from tidemark.llm.common import documents, fold, new_path
 
 OP3_SQL = """
@@ -27,9 +27,61 @@ SELECT doc_id, count(*) FILTER (WHERE NOT stays) AS n_lines_removed,
 FROM marked GROUP BY doc_id
 """
 
+OP12_SQL = """
+WITH rows AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+),
+scores AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+    FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+),
+negatives AS (
+    SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+           other_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+)
+SELECT * FROM negatives WHERE rank <= 5
+"""
+
+OP13_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+found AS (
+    SELECT d, lang, source, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+    FROM (SELECT d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs)
+),
+kept AS (SELECT lang, term, count(*) AS n FROM found GROUP BY ALL HAVING count(DISTINCT d) >= 3),
+langs AS (SELECT l.lang, count(term) AS v, coalesce(sum(n), 0) AS n FROM (SELECT DISTINCT lang FROM docs) l LEFT JOIN kept USING (lang) GROUP BY ALL),
+sources AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT s.lang, s.source, coalesce(sum(n), 0) AS n FROM sources s LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+p AS (
+    SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS count, CAST(1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (s.n + l.v) AS BIGINT) AS p, CAST(1 + 1000000000::HUGEINT * (k.n + 1) // (l.n + l.v) AS BIGINT) AS q
+    FROM sizes s JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+    FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (
+        SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+        FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+    ) f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+),
+every AS (
+    SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value FROM pairs
+    UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE count > 0 AND p > q
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every QUALIFY part = 'pair' OR rank <= 200
+"""
+
 #: Shares of the expected tokens by domain.
 TARGETS = {"good": 0.90, "low": 0.08, "toxic": 0.02}
-BPE_JSON, END_ID = public_tokenizers.path("byte_bpe_50k.json"), 2
+BPE_JSON, END_ID, PACK_END_ID = public_tokenizers.path("byte_bpe_50k.json"), 2, 0
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -91,10 +143,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir).select("doc_id", "text"), BPE_JSON, PACK_END_ID)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(rows.select("vec_id", label.alias("label"), F.col("embedding").alias("vector")), 100)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir).select("text", "lang", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_ann, op2_lm_score, op3_line_dedup, op4_langid, op5_byte_bpe, op6_toxicity, op7_rans, op8_quality, op9_mixing, op10_simhash]
+    found = [op1_ann, op2_lm_score, op3_line_dedup, op4_langid, op5_byte_bpe, op6_toxicity, op7_rans, op8_quality, op9_mixing, op10_simhash, op11_packing, op12_hard_negatives, op13_divergence]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op12_hard_negatives": OP12_SQL, "op13_divergence": OP13_SQL}
