@@ -58,6 +58,16 @@ def test_packing_holds_every_token_once(spark, parts):
     assert packing.pack(df.where("false"), BPE_JSON, 0).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizers_library(monkeypatch):
+    rng, fresh, enc = random.Random(8), Tokenizer.from_file(BPE_JSON), packing.encoding(BPE_JSON)
+    pieces = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "\t", "\r\n", "'s", "don't", " 12", "é", "中", "a", "\x00", "\x85", "\u2003", "\u200b", "..", "a" * 90, " " * 50]
+    odd = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)}\n{chr(c)} !{chr(c)}" for c in rng.sample([*range(0xD800), *range(0xE000, 0x110000)], 5000)]
+    for long in (packing.LONG, 7):
+        monkeypatch.setattr(packing, "LONG", long)
+        for t in odd + ["".join(rng.choices(pieces, k=rng.randrange(1, 14))) for _ in range(5000)]:
+            assert packing.ids_of(enc, t).tolist() == fresh.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_fullest_closes_first():
     bins = packing.Bins(100, 2)
     assert bins.put(60, "a") == [] and bins.put(70, "b") == [] and bins.put(25, "c") == []  # c joins b: 95
