@@ -93,10 +93,13 @@ def test_flows_are_bounded_and_delays_recovered(spark, tmp_path):
     assert np.allclose([r.p for r in got], want)
     assert spark.createDataFrame([([0.0, 0.0],) * 4], "a array<double>, b array<double>, c array<double>, d array<double>").select(model.column(*(F.col(c) for c in "abcd"))).first()[0] == [0.0, 0.0]
     f = rng.standard_normal((90, 2))
-    seconds = np.expm1(0.8 + f @ [0.3, -0.2])
+    seconds = np.expm1(3 + f @ [0.3, -0.2])
+    assert seconds.min() > 0
     rows = spark.createDataFrame([(float(s), float(a), float(b), 1.0) for s, (a, b) in zip(seconds, f, strict=True)], "s double, a double, b double, c double")
     kernel = dynamics.delay(rows, F.col("s"), [F.col("a"), F.col("b"), F.col("c")], 1e-9)
     assert rows.select(F.max(F.abs(kernel.column([F.col("a"), F.col("b"), F.col("c")]) - F.col("s")))).first()[0] < 1e-6
+    low = spark.createDataFrame([(-40.0, 0.0, 1.0)], "a double, b double, c double")
+    assert low.select(kernel.column([F.col("a"), F.col("b"), F.col("c")])).first()[0] == 0.0  # a delay is never negative
     events = dynamics.predicted_events(spark.createDataFrame([(100, 2.0)], "t long, w double"), "t", F.lit(-1.0), lambda _: F.col("w")).first()
     assert (events.kv_ready_predicted, events.admission_predicted) == (100, 2_000_000_100)
     dynamics.written(spark, kernel.model.parts | {"mean": kernel.mean}, str(tmp_path / "m"))

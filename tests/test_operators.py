@@ -236,10 +236,10 @@ def test_age_edges():
 
 
 def test_log_lines_are_checked(spark):
-    good = {f.split()[0]: 1 if f.split()[1] in ("bigint", "int") else "a" for f in logs.ENVELOPE.split(", ")} | {"schema_version": logs.VERSION, "payload": {}, "trace_id": None}
+    good = {f.split()[0]: 1 if f.split()[1] in ("bigint", "int") else "a" for f in logs.ENVELOPE.split(", ")} | {"schema_version": "telemetry.v1", "payload": {}, "trace_id": None}
     lines = [good, good | {"schema_version": "other"}, good | {"attempt_id": -1}, {k: v for k, v in good.items() if k != "request_id"}, good | {"event_seq": 0}, good | {"payload": "x"}, good | {"run_id": None}]
     df = spark.createDataFrame([(json.dumps(x),) for x in lines] + [("{bad",)], "value string")
-    assert [r.damage for r in logs.event_rows(df).collect()] == [None, "unsupported_schema_version", "attempt_negative", "field_missing", "sequence_not_positive", "payload_not_object", "field_missing", "not_json"]
+    assert [r.damage for r in logs.event_rows(df, "telemetry.v1").collect()] == [None, "unsupported_schema_version", "attempt_negative", "field_missing", "sequence_not_positive", "payload_not_object", "field_missing", "not_json"]
 
 
 def test_snapshot_rules(spark):
@@ -265,3 +265,18 @@ def test_rates(spark):
         assert [r[0] for r in df.select(workloads.rate_column(F.col("t"), kind, 2.0, 20.0)).collect()] == pytest.approx(want), kind
     with pytest.raises(ValueError, match="average"):
         workloads.rate("on_off_burst", 1.0, 10.0, multiplier=1.8)
+
+
+def test_damaged_flows_leave_a_residual(spark):
+    spans = spark.createDataFrame([(1, 3, 25), (2, 10, 31), (3, 12, 18)], "id long, a long, b long")
+    rows = [("in", t, 1) for t in (3, 10, 12)] + [("out", t, 1) for t in (25, 31, 18)]
+    stocks = {"n": time.inventory(spans, [], "a", "b", 10, {"q": F.lit(1).cast("long")})}
+    moved = lambda r: spark.createDataFrame(r, "name string, ts long, v long")
+    of = {"c": ("n", "in", "out")}
+    found = lambda r: vectors.closures(vectors.balances(stocks, moved(r), of, 10)).first()
+    good = found(rows)
+    assert (good.rows, good.nrmse, good.exact) == (4, 0.0, 1.0)
+    bad = found(rows[1:])
+    assert bad.exact == 0.75 and bad.nrmse > 0
+    left = vectors.falling(spark.createDataFrame([(1, 3, 25, 9)], "id long, start_ns long, end_ns long, total long"), spark.createDataFrame([(1, 5, 2), (1, 5, 1), (1, 20, 4)], "id long, ts_ns long, n long"), "id", "total", "n")
+    assert sorted((r.start_ns, r.end_ns, r.left) for r in left.collect()) == [(3, 5, 9), (5, 20, 6), (20, 25, 2)]

@@ -181,23 +181,43 @@ def outflow_series(t: Tables) -> DataFrame:
     return series.groupBy(window_index("x.ts", WEEK).alias("k"), F.col("x.name").alias("name")).agg(F.sum("x.v").alias("v"))
 
 
-_CLOSE = {"request": ("active_request_inflow", "completion_outflow"), "routed_token": ("decode_added", "emitted_token_service", "terminal_residual_token_outflow"), "active_token": ("active_token_inflow", "emitted_token_service", "terminal_residual_token_outflow")}
-
-
-@query(f"""{_SERIES}, b AS (SELECT name, ts // {WEEK} AS k, sum(v) AS v FROM sr GROUP BY ALL), ks AS (SELECT DISTINCT k FROM b),
-q AS (SELECT ks.k, (SELECT coalesce(sum(v), 0) FROM b WHERE b.k = ks.k AND name = 'active_request_inflow') - (SELECT coalesce(sum(v), 0) FROM b WHERE b.k = ks.k AND name = 'completion_outflow') AS dr,
-      (SELECT coalesce(sum(v), 0) FROM b WHERE b.k = ks.k AND name = 'active_token_inflow') - (SELECT coalesce(sum(v), 0) FROM b WHERE b.k = ks.k AND name = 'scheduled_token_service') - (SELECT coalesce(sum(v), 0) FROM b WHERE b.k = ks.k AND name = 'terminal_residual_token_outflow') AS dt FROM ks),
-c AS ({" UNION ALL ".join(f'''SELECT '{n}' AS closure, q.k, {"dr" if n == "request" else "dt"} AS d, (SELECT coalesce(sum(v), 0) FROM b WHERE b.k = q.k AND name = '{i}') - (SELECT coalesce(sum(v), 0) FROM b WHERE b.k = q.k AND name IN ({", ".join(f"'{o}'" for o in outs)})) AS p FROM q''' for n, (i, *outs) in _CLOSE.items())})
+#: What changes the inventories of running requests and of tokens that are left, by closure: the stock, its inflow, its outflows.
+_CLOSE = {"request": ("requests", "running_admission", "completion_outflow"), "routed_token": ("tokens", "routed_token_inflow", "emitted_token_service", "terminal_residual"), "active_token": ("tokens", "active_token_inflow", "emitted_token_service", "terminal_residual")}
+
+
+@query(f"""{_STAGES}, sg AS (SELECT *, {_SIGN} AS g FROM st), me AS (SELECT s.request_id, s.g, e.ts_ns, e.n % 7 AS e FROM em e JOIN sg s ON s.request_id = e.request_id WHERE e.component <> 'prefill' AND e.ts_ns >= route_ns AND e.ts_ns < terminal_ns),
+pr AS (SELECT sg.*, f.first, coalesce(f.gone, 0) AS gone FROM sg LEFT JOIN (SELECT request_id, min(ts_ns) AS first, sum(e) AS gone FROM me GROUP BY 1) f USING (request_id)),
+fl AS (SELECT 'running_admission' AS name, first AS ts, g AS v FROM pr WHERE first IS NOT NULL UNION ALL SELECT 'completion_outflow', terminal_ns, g FROM pr WHERE first IS NOT NULL UNION ALL SELECT 'routed_token_inflow', ready_ns, g * expected_tokens FROM pr
+       UNION ALL SELECT 'active_token_inflow', route_ns, g * expected_tokens FROM pr UNION ALL SELECT 'emitted_token_service', ts_ns, g * e FROM me UNION ALL SELECT 'terminal_residual', terminal_ns, g * (expected_tokens - gone) FROM pr),
+fk AS (SELECT name, (ts + {WEEK - 1}) // {WEEK} - 1 AS k, sum(v) AS v FROM fl GROUP BY ALL), ks AS (SELECT unnest(generate_series(min(k), max(k))) AS k FROM fk), bs AS (SELECT k FROM ks UNION SELECT k + 1 FROM ks),
+q AS (SELECT k, coalesce((SELECT sum(g) FROM pr WHERE first <= k * {WEEK} AND k * {WEEK} < terminal_ns), 0) AS requests,
+      coalesce((SELECT sum(g * expected_tokens) FROM pr WHERE route_ns <= k * {WEEK} AND k * {WEEK} < terminal_ns), 0) - coalesce((SELECT sum(g * e) FROM me JOIN pr USING (request_id, g) WHERE ts_ns <= k * {WEEK} AND k * {WEEK} < terminal_ns), 0) AS tokens FROM bs),
+d AS (SELECT a.k, CAST(b.requests - a.requests AS DOUBLE) AS requests, CAST(b.tokens - a.tokens AS DOUBLE) AS tokens FROM q a JOIN q b ON b.k = a.k + 1 JOIN ks ON ks.k = a.k),
+c AS ({" UNION ALL ".join(f"SELECT '{n}' AS closure, d.k, {stock} AS d, coalesce((SELECT sum(CASE WHEN name = '{i}' THEN v ELSE -v END) FROM fk WHERE fk.k = d.k AND name IN ({', '.join(repr(x) for x in (i, *outs))})), 0) AS p FROM d" for n, (stock, i, *outs) in _CLOSE.items())})
 SELECT closure, count(*) AS rows, round(avg(d - p), 6) AS residual_mean, round(stddev_pop(d - p), 5) AS residual_std, round(sqrt(sum((d - p) * (d - p)) / greatest(sum(d * d), 1e-30)), 6) AS nrmse, round(avg(CASE WHEN abs(d - p) < 1e-9 THEN 1.0 ELSE 0.0 END), 9) AS exact FROM c GROUP BY closure""")
 def conservation_closures(t: Tables) -> DataFrame:
-    """Three closures of the inventory's change against inflow less outflow: residuals, normalised error, exact share."""
-    names = ["running_admission", "scheduled_token_service", "emitted_token_service", "decode_added", "active_request_inflow", "active_token_inflow", "completion_outflow", "terminal_residual_token_outflow", "kv_ready_transition"]
-    wide = outflow_series(t).groupBy("k").pivot("name", names).agg(F.sum("v")).fillna(0)
-    c = F.col
-    change = {"request": c("active_request_inflow") - c("completion_outflow")}
-    change["routed_token"] = change["active_token"] = c("active_token_inflow") - c("scheduled_token_service") - c("terminal_residual_token_outflow")
-    rows = F.array(*(F.struct(F.lit(n).alias("closure"), change[n].cast("double").alias("d"), (c(i) - sum((c(o) for o in outs), F.lit(0))).cast("double").alias("p")) for n, (i, *outs) in _CLOSE.items()))
-    return vectors.closures(wide.select(F.explode(rows).alias("x")).select("x.*"))
+    """Three closures of the change of an inventory, which comes from the requests' intervals, against the flows that should make it.
+
+    A request runs from its first emission to its end; what is left of it falls with each emission in between. Tokens are
+    booked as routed once they are ready, and as active once the request is: only the second closes.
+    """
+    rows = staged(t).withColumn("g", F.expr(_SIGN))
+    members = t.em.where("component <> 'prefill'").select("request_id", "ts_ns", (F.col("n") % 7).alias("e")).join(rows, "request_id").where("ts_ns >= route_ns and ts_ns < terminal_ns").select("request_id", "g", "ts_ns", "e", "terminal_ns", "expected_tokens")
+    per = members.groupBy("request_id").agg(F.min("ts_ns").alias("first"), F.sum("e").alias("gone"))
+    whole = rows.join(per, "request_id", "left").fillna(0, ["gone"])
+    one = lambda name, ts, v: F.struct(F.lit(name).alias("name"), F.col(ts).alias("ts"), v.cast("long").alias("v"))
+    g, ran = F.col("g"), F.col("first").isNotNull()
+    of_request = F.array(
+        one("running_admission", "first", g), F.when(ran, one("completion_outflow", "terminal_ns", g)), one("routed_token_inflow", "ready_ns", g * F.col("expected_tokens")),
+        one("active_token_inflow", "route_ns", g * F.col("expected_tokens")), one("terminal_residual", "terminal_ns", g * (F.col("expected_tokens") - F.col("gone"))),
+    )
+    moved = whole.select(F.explode(of_request).alias("x")).unionByName(members.select(one("emitted_token_service", "ts_ns", g * F.col("e")).alias("x"))).where("x.ts is not null").select("x.*")
+    left = vectors.falling(whole.select("request_id", "g", F.col("route_ns").alias("start_ns"), F.col("terminal_ns").alias("end_ns"), "expected_tokens"), members.select("request_id", "ts_ns", "e"), "request_id", "expected_tokens", "e")
+    stocks = {
+        "requests": time.inventory(whole, [], "first", "terminal_ns", WEEK, {"q": g}),
+        "tokens": time.inventory(left, [], "start_ns", "end_ns", WEEK, {"q": g * F.col("left")}),
+    }
+    return vectors.closures(vectors.balances(stocks, moved, _CLOSE, WEEK))
 
 
 #: Seven flows of two quantities; tokens that are emitted leave the stage that their request is in.

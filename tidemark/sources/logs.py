@@ -18,10 +18,6 @@ ENVELOPE = (
 NULLABLE = ("trace_id", "attempt_id", "request_id", "external_request_id", "config_id", "experiment_id")
 
 
-#: Fixed value: the version of events that is understood.
-VERSION = "servingrom.telemetry.v1"
-
-
 def validated(lines: DataFrame, schema: str, seq: str = "seq", payload: str = "payload", nullable: tuple[str, ...] = (), version: str | None = None, attempt: str | None = None) -> DataFrame:
     """Typed rows of JSON lines (column ``value``), with ``line`` and ``damage``: why a line isn't an event, else null.
 
@@ -46,16 +42,16 @@ def validated(lines: DataFrame, schema: str, seq: str = "seq", payload: str = "p
     return rows.select("line", *more, damage.alias("damage"), *(F.col(f"x.{n}").alias(n) for n in names))
 
 
-def event_rows(lines: DataFrame) -> DataFrame:
-    """Lines as events with the whole envelope."""
-    return validated(lines, ENVELOPE, "event_seq", nullable=NULLABLE, version=VERSION, attempt="attempt_id")
+def event_rows(lines: DataFrame, version: str | None = None) -> DataFrame:
+    """Lines as events with the whole envelope; with ``version``, events of another one are damaged."""
+    return validated(lines, ENVELOPE, "event_seq", nullable=NULLABLE, version=version, attempt="attempt_id")
 
 
-def read_events(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+def read_events(spark: SparkSession, path: str, glob: str = "*.jsonl", version: str | None = None) -> DataFrame:
     """All lines under a run's folder as validated events, with their source_file and the component whose folder they are in (source_component)."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
     file = F.col("_metadata.file_path")
-    return event_rows(raw.select("value", file.alias("source_file"), F.element_at(F.split(file, "/"), -2).alias("source_component")))
+    return event_rows(raw.select("value", file.alias("source_file"), F.element_at(F.split(file, "/"), -2).alias("source_component")), version)
 
 
 def ordered(events: DataFrame, wall: bool = False) -> DataFrame:

@@ -13,10 +13,10 @@ from tidemark.operators.linear import importable
 from tidemark.sources.logs import event_rows
 
 
-def read(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFrame:
+def read(spark: SparkSession, path: str, files_at_once: int = 100, version: str | None = None) -> DataFrame:
     """Validated events of JSON-line files as they appear under path."""
     raw = spark.readStream.option("maxFilesPerTrigger", files_at_once).option("recursiveFileLookup", "true").text(path)
-    return event_rows(raw.select("value"))
+    return event_rows(raw.select("value"), version)
 
 
 def window_counts(events: DataFrame, period: str, late: str) -> DataFrame:
