@@ -71,14 +71,15 @@ def test_toxicity_by_hand(spark):
     plain = [a + b + c + d for a in "bdfgk" for b in "aeiou" for c in "lmnr" for d in ("", "ot")]
     text = lambda *more: " ".join(rng.sample(plain, 25) + list(more))
     rows = [(i, text(rng.choice(["vilewort", "viler", "grimbad"]))) for i in range(150)] + [(i, text()) for i in range(150, 500)] + [(i, text("vilewort", "garden")) for i in range(500, 530)]
+    rows += [(i, rows[0][1]) for i in range(600, 680)]  # copies of one toxic document count once, labels of none not at all
     df = spark.createDataFrame([*rows, (900, None), (901, ""), (902, "V1LEW0RT vіlеwort"), (903, "garden vilewort")], "doc_id long, text string")
-    labels = {i: int(i < 150) for i, _ in rows}
+    labels = {i: int(i < 150 or i >= 600) for i, _ in rows} | {i: 1 for i in range(5000, 5040)}
     lexicon = toxicity.learn(df, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
     seen = {y: Counter() for y in (0, 1)}
     unique = {(t, labels[i]) for i, t in rows}
     for t, y in unique:
         seen[y].update({e for w in set(t.split()) if len(w) > 2 for e in [f" {w} ", *(f" {w[:k]}" for k in range(4, 10) if len(w) >= k)]})
-    n1, n0 = sum(labels.values()), len(labels) - sum(labels.values())
+    n1, n0 = (sum(label == y for _, label in unique) for y in (1, 0))
     assert lexicon.weights and all(w == pytest.approx(math.log((seen[1][e] + 0.5) / (n1 + 1)) - math.log((seen[0][e] + 0.5) / (n0 + 1))) for e, w in lexicon.weights.items())
 
     def naive(text):

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, column, texts
+from tidemark.llm.common import by_batch, column, dropped, saved, texts
 
 #: Labelled rows of each label to learn from, entries of the lexicon, exception phrases.
 FIT_DOCS, ENTRIES, EXCEPTIONS = 20_000, 2_000, 500
@@ -125,7 +125,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return Lexicon({})
     kept = docs.sparkSession.createDataFrame(chosen, f"{key} long, _label int")
     sample = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).join(F.broadcast(kept), key)
-    sample = sample.dropDuplicates(["text", "_label"])  # copies would make chance words look telling
+    # copies would make chance words look telling; the sample, which is bounded, is read several times
+    sample, sample_path = saved(docs.sparkSession, sample.dropDuplicates(["text", "_label"]).select("text", "_label"), "sample")
+    sizes = {r[0]: r[1] for r in sample.groupBy("_label").count().collect()}
 
     def counting(give):
         def make():
@@ -133,7 +135,6 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 n = [Counter(), Counter()]
                 for x, y in zip(texts(batch), column(batch, "_label").to_pylist(), strict=True):
                     n[y].update(give(x))
-                    n[y][""] += 1
                 found = list(n[0].keys() | n[1].keys())
                 return {"entry": found, "other": np.array([n[0][w] for w in found], np.int64), "toxic": np.array([n[1][w] for w in found], np.int64)}
 
@@ -142,26 +143,26 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         counts = by_batch(sample, ["text", "_label"], make, "entry string, other long, toxic long")
         return counts.groupBy("entry").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
 
-    n1 = sum(y for _, y in chosen)
-    n0 = len(chosen) - n1
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     weight = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("other") + 0.5) / (n0 + 1.0))
     t, o = F.col("toxic"), F.col("other")
-    share = n1 / len(chosen)
+    share = n1 / max(1, n0 + n1)
     g2 = 2 * (F.when(t > 0, t * F.log(t / ((t + o) * share))).otherwise(0.0) + F.when(o > 0, o * F.log(o / ((t + o) * (1.0 - share)))).otherwise(0.0))
-    found = counting(features).where("entry <> ''").withColumn("w", weight).where((F.col("w") >= LEAST_WEIGHT) & (g2 >= LEAST_G2)) if 0 < n1 < len(chosen) else kept.where("false").selectExpr("'' entry", "0D w")
+    found = counting(features).withColumn("w", weight).where((F.col("w") >= LEAST_WEIGHT) & (g2 >= LEAST_G2)) if n0 and n1 else kept.where("false").selectExpr("'' entry", "0D w")
     lexicon = Lexicon({r.entry: r.w for r in found.orderBy(F.desc("w"), "entry").limit(ENTRIES).collect()})
 
     def pairs(x):
         x = folded(x)
         return {p for s in lexicon.matches(x) for p in lexicon.phrases(x, s) if p}
 
-    benign = counting(pairs).where(f"entry <> '' and other >= 3 and other * {n1 + 1} > toxic * {n0 + 1}")
+    benign = counting(pairs).where(f"other >= 3 and other * {n1 + 1} > toxic * {n0 + 1}")
     lexicon = Lexicon(lexicon.weights, {r.entry for r in benign.orderBy(F.desc("other"), "entry").limit(EXCEPTIONS).collect()})
 
     def make_sums():
         return lambda b: dict(zip(("rate", "total"), np.array([lexicon.sums(x) for x in texts(b)]).T, strict=True)) | {"_label": column(b, "_label")}
 
     rows = by_batch(sample, ["text", "_label"], make_sums, "rate double, total double, _label int").collect()
+    dropped(docs.sparkSession, sample_path)
     return Lexicon(lexicon.weights, lexicon.exceptions, _curve(np.array([[1.0, r[0], r[1]] for r in rows]), np.array([r[2] for r in rows], float)))
 
 
