@@ -2,19 +2,21 @@
 
 Texts are linked if their sets of five-word shingles have a Jaccard of 0.8 or more. Equal sets are first
 reduced to one text. The others are candidates by their fingerprints: at that similarity a fingerprint
-differs in about ten bits, and ``RADIUS`` allows for twice as many. Without more, a radius that wide would
+differs in about ten bits, and ``RADIUS`` allows for more than twice as many. Fingerprints of short texts scatter more, so
+sets of at most ``FEW`` shingles are candidates whatever their bits. Without more, a radius that wide would
 compare everything with everything, so tiles are cut first: each set has ``BANDS`` keys, each the hash of
 ``BAND_ROWS`` minima of the set under as many orders, and texts are in a common tile where they have a key in
-common. Of sets at the threshold three in a hundred thousand have none (of more similar ones fewer yet, and
-fewer than one pair in a thousand differs in more bits than the radius), while texts that only quote the same
-passage, however many there are, hardly ever have one.
+common. What is lost, of pairs at exactly 0.8: about three in a hundred thousand have no key in common, and of those
+with more than ``FEW`` shingles fewer than one in a hundred thousand differs in more bits than the radius (tests
+measure both); of more similar pairs fewer yet. Texts that only quote the same passage hardly ever have a key in common.
 
 First, each text meets one hub of each of its keys, so that a group of like texts gives as many candidates
 as it has texts, and whole sets decide on each. What is then left are keys whose texts are still in different
-components. Texts that such keys connect are laid out in tiles with their sets; in a tile, or between two,
-fingerprints are compared in numpy by exclusive-or and bit counts (pairs of tiles whose population counts are
-further apart than the radius are skipped), whole sets decide on the candidates at once, and what leaves the
-tile is a forest of the links that hold, never pairs of a group.
+components. Texts that such keys connect are one group if a tile holds them; otherwise each of their keys is a
+group. A group is laid out in tiles in the order of population counts, ties dealt by hash, and pairs of its tiles
+whose counts are further apart than the radius are skipped before any set is sent. In a tile, or between two,
+fingerprints are compared in numpy by exclusive-or and bit counts, whole sets decide on the candidates at once, and
+what leaves the tile is a forest of the links that hold, never pairs of a group.
 
 Defined results: A-Z is folded; texts with fewer words than a shingle are hashed as a whole; a null or empty
 text has no words, and texts without words are equal; repeated rows get equal results, rows with a null key
@@ -30,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import BROADCAST_ROWS, PIECE_BYTES, by_batch, column, dropped, freed, importable, lists, mixed, saved, spread_join, texts
@@ -37,7 +40,9 @@ from tidemark.llm.graphs import components, least_keys
 
 SHINGLE_WORDS, SEED = 5, 42
 #: Bits that fingerprints of like texts may differ in; rows of a tile at most, but for the unevenness of hashing.
-RADIUS, TILE = 20, 2048
+RADIUS, TILE = 24, 2048
+#: Shingles up to which sets are candidates whatever their fingerprints.
+FEW = 32
 #: Keys of a set, and minima in each.
 BANDS, BAND_ROWS = 20, 4
 #: Rounds in which texts meet hubs.
@@ -149,7 +154,10 @@ def forest(p: np.ndarray, fp: np.ndarray, c: np.ndarray, h: list[np.ndarray], le
     out = []
     same = bool(left.all())
     for i in np.flatnonzero(left):
-        near = (np.bitwise_count((fp ^ fp[i]).view(np.uint64)) <= radius) & (root[group] != root[group[i]])
+        near = np.bitwise_count((fp ^ fp[i]).view(np.uint64)) <= radius
+        if n[i] <= FEW:
+            near |= n <= FEW
+        near &= root[group] != root[group[i]]
         near &= np.arange(len(p)) > i if same else ~left
         if not near.any():
             continue
@@ -165,22 +173,42 @@ def forest(p: np.ndarray, fp: np.ndarray, c: np.ndarray, h: list[np.ndarray], le
     return out
 
 
-def tiled(rows: DataFrame, whole: DataFrame, radius: int, tile: int) -> DataFrame:
-    """(u, v): a forest of the links among texts of rows (s, p, fp, n, c) that keys s in several components connect; whole: (p, h)."""
+def tiled(rows: DataFrame, whole: DataFrame, radius: int, tile: int) -> tuple[DataFrame, list[str]]:
+    """(u, v): a forest of the links among texts of rows (s, p, fp, n, c) that keys s in several components connect, and the tables that it reads; whole: (p, h)."""
     spark = rows.sparkSession
-    open_, _ = saved(spark, rows.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("p").alias("hub")).where("lo <> hi").select("s", "hub"), "open")
-    kept, _ = saved(spark, spread_join(rows, open_, "s", "p"), "kept")
+    paths: list[str] = []
+
+    def kept_as(df: DataFrame, name: str) -> DataFrame:
+        found, path = saved(spark, df, name)
+        paths.append(path)
+        return found
+
+    open_ = kept_as(rows.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("p").alias("hub")).where("lo <> hi").select("s", "hub"), "open")
+    kept = kept_as(spread_join(rows, open_, "s", "p"), "kept")
     nodes = components(spark, kept.select(F.col("p").alias("u"), F.col("hub").alias("v")))
-    some = kept.select("p", "fp", "n", "c").distinct().join(nodes.select(F.col("node").alias("p"), F.col("root").alias("g")), "p")
-    some, _ = saved(spark, some, "some")
-    sizes = some.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") * 8 / PIECE_BYTES)).alias("parts"))
-    sizes, _ = saved(spark, sizes, "sizes")
-    texts_ = spread_join(some, sizes, "g", "p").withColumn("part", F.pmod(F.xxhash64("p"), F.col("parts"))).join(whole, "p")
-    # a text goes to each pair of tiles with its own: as the left one or as the other
-    last = F.col("parts") - 1
-    turns = F.concat(F.transform(F.sequence(F.col("part"), last), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"))), F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("part")), lambda i: i < F.col("part")), lambda i: F.struct(i.alias("i"), F.col("part").alias("j"))))
-    placed = texts_.withColumn("t", F.explode(turns)).select("g", "t.i", "t.j", (F.col("part") == F.col("t.i")).alias("left"), "p", "fp", "c", "h")
-    buckets = max(1, int(some.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) * 8 // PIECE_BYTES)
+    led = kept_as(kept.select("p").distinct().join(nodes.select(F.col("node").alias("p"), F.col("root").alias("g")), "p"), "led")
+    weight = F.greatest(F.lit(1), F.ceil(F.col("n") * 8 * tile / PIECE_BYTES))  # a tile is full by its texts or by their bytes
+    texts_ = kept_as(kept.select("p", "fp", "n", "c").distinct().join(led, "p").withColumn("w", weight), "texts")
+    large = kept_as(texts_.groupBy("g").agg(F.sum("w").alias("_w")).where(F.col("_w") > tile).select("g"), "large")
+    by_key = spread_join(texts_.select("p", "g"), large, "g", "p", "left_semi").select("p")
+    by_key = kept.select("s", "p", "fp", "n", "c").join(by_key, "p", "left_semi").withColumn("w", weight).select("p", "fp", "n", "c", "w", F.xxhash64("s", F.lit("key")).alias("g"))
+    ones = F.bit_count("fp").alias("ones")
+    grouped = kept_as(spread_join(texts_, large, "g", "p", "left_anti").unionByName(by_key).select("g", "p", "fp", "n", "c", "w", ones), "grouped")
+    # tiles in the order of population counts; what has the same count is dealt by hash
+    counts = grouped.groupBy("g", "ones").agg(F.sum("w").alias("_w"))
+    before = F.coalesce(F.sum("_w").over(W.partitionBy("g").orderBy("ones").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    places = kept_as(counts.select(F.xxhash64("g", "ones").alias("cell"), "_w", before.alias("_before")), "places")
+    part = F.floor((F.col("_before") + F.pmod(F.xxhash64("p"), F.col("_w"))) / tile)
+    laid = kept_as(spread_join(grouped.withColumn("cell", F.xxhash64("g", "ones")), places, "cell", "p").select("g", "p", "fp", "n", "c", "ones", part.alias("part")), "laid")
+    tiles = laid.groupBy("g", "part").agg(F.min("ones").alias("lo"), F.max("ones").alias("hi"), F.min("n").alias("least"))
+    left = tiles.select("g", F.col("part").alias("i"), F.col("hi").alias("_hi"), F.col("least").alias("_least"))
+    near = (F.col("lo") - F.col("_hi") <= radius) | (F.greatest("least", "_least") <= FEW)
+    pairs = left.join(tiles, "g").where((F.col("i") <= F.col("part")) & near).select("g", "i", F.col("part").alias("j"))
+    turns = pairs.withColumn("part", F.explode(F.array_distinct(F.array("i", "j")))).groupBy("g", "part").agg(F.collect_list(F.struct("i", "j")).alias("turns"))  # as many as the group has tiles
+    turns = kept_as(turns.select(F.xxhash64("g", "part").alias("tile"), "turns"), "turns")
+    placed = spread_join(laid.withColumn("tile", F.xxhash64("g", "part")), turns, "tile", "p").join(whole, "p").withColumn("t", F.explode("turns"))
+    placed = placed.select("g", "t.i", "t.j", (F.col("part") == F.col("t.i")).alias("left"), "p", "fp", "c", "h")
+    buckets = max(1, int(laid.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) * 8 // PIECE_BYTES)
     deal = F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(F.xxhash64("g"), F.lit(buckets))).otherwise(F.xxhash64("g", "i", "j"))
 
     def run(t: pa.Table) -> pa.Table:
@@ -192,14 +220,12 @@ def tiled(rows: DataFrame, whole: DataFrame, radius: int, tile: int) -> DataFram
         breaks = np.flatnonzero(np.any([np.diff(x[order]) != 0 for x in (g, i, j)], axis=0)) + 1
         h = t["h"].combine_chunks()
         for at in np.split(order, breaks):
-            ones = np.bitwise_count(fp[at].view(np.uint64)).astype(int)
-            l = left[at]  # noqa: E741
-            if l.all() or (ones[l].min() - ones[~l].max() <= radius and ones[~l].min() - ones[l].max() <= radius if l.any() else False):
-                found += forest(p[at], fp[at], c[at], [np.frombuffer(h[int(k)].as_buffer(), np.uint64) for k in at], l, radius)
+            if left[at].any():
+                found += forest(p[at], fp[at], c[at], [np.frombuffer(h[int(k)].as_buffer(), np.uint64) for k in at], left[at], radius)
         return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([y for _, y in found], pa.int64())})
 
     importable(spark)
-    return placed.groupBy(deal.alias("deal"), F.expr("i = 0 and j = 0").alias("whole")).applyInArrow(run, "u long, v long")
+    return placed.groupBy(deal.alias("deal"), F.expr("i = 0 and j = 0").alias("whole")).applyInArrow(run, "u long, v long"), paths
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, tile: int = TILE, stars: int = STARS) -> DataFrame:
@@ -216,7 +242,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
         return of.groupBy("s").agg(hub, F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s", "hub.*")
 
     def met(of: DataFrame) -> DataFrame:
-        near = f"c <> c2 and 5 * least(n, n2) >= 4 * greatest(n, n2) and bit_count(fp ^ fp2) <= {radius}"
+        near = f"c <> c2 and 5 * least(n, n2) >= 4 * greatest(n, n2) and (bit_count(fp ^ fp2) <= {radius} or greatest(n, n2) <= {FEW})"
         return of.where(near).select(F.col("p").alias("u"), F.col("p2").alias("v"), "x")
 
     first_hubs, hubs_path = saved(spark, hubs(rows, 0), "hubs")
@@ -244,6 +270,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
             one = met(joined).groupBy("u").agg(F.min(F.struct("x", "v")).alias("m")).select("u", "m.v")
         else:
             some, some_path = saved(spark, hubs(shared, turn), "hubs")
+            paths.append(some_path)
             one = met(spread_join(shared, some, "s", "p")).select("u", "v")
         pairs, pairs_path = saved(spark, one.distinct(), "pairs")
         more, more_path = saved(spark, similar(pairs, whole), "similar")
@@ -255,7 +282,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
         dropped(spark, joined_path)
         shared, joined_path = after, new_path
         freed(spark)
-    more, more_path = saved(spark, tiled(shared, whole, radius, tile), "tiled")
+    links_left, read = tiled(shared, whole, radius, tile)
+    more, more_path = saved(spark, links_left, "tiled")
+    dropped(spark, *read)
     paths.append(more_path)
     nodes = linked(more)
     freed(spark)
