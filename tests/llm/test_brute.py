@@ -75,6 +75,8 @@ def test_toxicity_by_hand(spark):
     df = spark.createDataFrame([*rows, (900, None), (901, ""), (902, "V1LEW0RT vіlеwort"), (903, "garden vilewort")], "doc_id long, text string")
     labels = {i: int(i < 150 or i >= 600) for i, _ in rows} | {i: 1 for i in range(5000, 5040)}
     lexicon = toxicity.learn(df, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    bare = toxicity.learn(df.where("doc_id < 250").repartition(8), spark.createDataFrame([(i, int(i < 150)) for i in range(250)], "doc_id long, toxic int"))
+    assert bare.weights and not bare.exceptions  # no task finds a phrase in clean documents
     seen = {y: Counter() for y in (0, 1)}
     unique = {(t, labels[i]) for i, t in rows}
     for t, y in unique:

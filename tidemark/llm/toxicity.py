@@ -25,6 +25,7 @@ from collections import Counter
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,7 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 for x, y in zip(texts(batch), column(batch, "_label").to_pylist(), strict=True):
                     n[y].update(give(x))
                 found = list(n[0].keys() | n[1].keys())
-                return {"entry": found, "other": np.array([n[0][w] for w in found], np.int64), "toxic": np.array([n[1][w] for w in found], np.int64)}
+                return {"entry": pa.array(found, pa.string()), "other": np.array([n[0][w] for w in found], np.int64), "toxic": np.array([n[1][w] for w in found], np.int64)}
 
             return run
 
