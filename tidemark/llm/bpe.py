@@ -22,8 +22,9 @@ import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import importable, lists
+from tidemark.llm.common import column, importable, lists, pieces, texts
 
 #: Characters after which a long text is cut at the next safe place.
 SPLIT_CHARS = 65_536
@@ -83,10 +84,23 @@ def decode(ids: Column, rank_file: str, pattern: str) -> Column:
 
 
 def round_trip(df: DataFrame, rank_file: str, pattern: str, text: str = "text", split_chars: int = SPLIT_CHARS) -> DataFrame:
-    """df with ``ids`` (array<int>) and ``decoded`` (binary)."""
+    """df with ``ids`` (array<int>) and ``decoded`` (binary), made for a bounded part of an Arrow batch at a time."""
     importable(df.sparkSession)
-    df = df.withColumn("ids", encode(F.col(text), rank_file, pattern, split_chars))
-    return df.withColumn("decoded", decode(F.col("ids"), rank_file, pattern))
+    kept = [f for f in df.schema.fields if f.name.lower() not in ("ids", "decoded")]
+    names = [f.name for f in kept]
+    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(rank_file, pattern)
+        for batch in batches:
+            for part in pieces(batch):
+                found = [ids_of(enc, x, split_chars) for x in texts(part, text)]
+                n = np.array([len(x) for x in found], np.int64)
+                ids = lists(np.concatenate(found).astype(np.int32), n, pa.int32())
+                decoded = pa.array([enc.decode_bytes(x.tolist()) for x in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(column(part, c) for c in names), ids, decoded], names=schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
