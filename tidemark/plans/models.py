@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import DAY_NS, ratio, signed, window_index
-from tidemark.operators import dynamics, linear, stats, survival as life, time
-from tidemark.plans.events import flows, staged
-from tidemark.plans.registry import Tables, query
+from tidemark.operators import dynamics, linear, rollouts, stats, survival as life, time
+from tidemark.plans.events import _FLOWS, _STAGES, flows, staged
+from tidemark.plans.registry import Tables, normal_equations, query
 from tidemark.plans.windows import WEEK, weekly
 
 _LONG = "lo AS (SELECT vec_id, label, CAST(i - 1 AS INTEGER) AS dim, CAST(v AS DOUBLE) AS v FROM (SELECT vec_id, label, unnest(embedding) AS v, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) z)"
@@ -159,30 +159,101 @@ def conservation_error(t: Tables) -> DataFrame:
     return rows.select(F.col("y")[0].alias("y"), predicted[0].alias("p")).agg(F.count("*").alias("n"), F.round(stats.nrmse(F.col("y"), F.col("p")), 9).alias("nrmse"))
 
 
-@query()
+#: Weekly arrivals of each run with tokens as disturbance and a stepped control; a row joined to the row before it.
+_STEP = f"""wk AS (SELECT run, arrival_ns // {WEEK} AS k, ln(1 + count(*)) AS z, ln(1 + sum(input_tokens)) AS d, (arrival_ns // {WEEK} // 7) % 3 * 0.2 + 0.3 AS u FROM att GROUP BY run, arrival_ns // {WEEK}),
+tr AS (SELECT *, lag(z) OVER w AS zb, lag(d) OVER w AS db, lead(z) OVER w AS y, row_number() OVER w AS i FROM wk WINDOW w AS (PARTITION BY run ORDER BY k)),
+st2 AS (SELECT run, k, i, z, zb, z - zb AS dz, d, db, CAST(u AS DOUBLE) AS u, z * u AS zu, 1.0 AS one, y FROM tr WHERE i > 1), fit AS (SELECT * FROM st2 WHERE y IS NOT NULL)"""
+
+
+def _stepped(t: Tables) -> DataFrame:
+    w = W.partitionBy("run").orderBy("k")
+    rows = weekly(t).select("run", "k", F.array(F.log1p("n")).alias("z"), F.array(F.log1p("tokens")).alias("d"), F.array((F.expr("k div 7") % 3 * 0.2 + 0.3).cast("double")).alias("u"), F.array(F.lead(F.log1p("n")).over(w)).alias("y"))
+    return dynamics.transitions(rows, "run", "k", ["z", "d"])
+
+
+@query(f"""{_STEP}, {normal_equations("fit", ["z", "dz", "d", "db", "u", "zu", "one"], ["y"], 1.0, 1)},
+e AS (SELECT y, z * b0_0 + dz * b1_0 + d * b2_0 + db * b3_0 + u * b4_0 + zu * b5_0 + b6_0 AS p FROM fit, th), r AS (SELECT b0_0 + b1_0 + 0.5 * b5_0 AS p, -b1_0 AS q FROM th)
+SELECT count(*) AS n, round(sqrt(sum((y - p) * (y - p)) / greatest(sum(y * y), 1e-30)), 6) AS nrmse,
+       (SELECT round(CASE WHEN p * p + 4 * q >= 0 THEN (abs(p) + sqrt(greatest(p * p + 4 * q, 0))) / 2 ELSE sqrt(greatest(-q, 0)) END, 6) FROM r) AS radius FROM e""")
 def dynamic_model(t: Tables) -> DataFrame:
-    """Weekly arrivals with tokens as disturbance and a stepped control: bilinear, one step ahead. Tests hold the model against numpy."""
-    rows = weekly(t).select("run", "k", F.array(F.log1p("n")).alias("z"), F.array(F.log1p("tokens")).alias("d"), F.array((F.expr("k div 7") % 3 * 0.2 + 0.3).cast("double")).alias("u"), F.array(F.lead(F.log1p("n")).over(W.partitionBy("run").orderBy("k"))).alias("y"))
-    rows = dynamics.transitions(rows, "run", "k", ["z", "d"]).where("y[0] is not null")
+    """Bilinear, one step ahead; SQL has the spectral radius at a control of 0.5 by the roots of the state's two lags."""
+    rows = _stepped(t).where("y[0] is not null")
     blocks = dynamics.dynamics("z", "d", "u", bilinear=True)
     model = dynamics.fitted(rows, blocks, F.col("y"), 1.0)
     return rows.select(F.col("y")[0].alias("y"), model.column(blocks)[0].alias("p")).agg(F.count("*").alias("n"), F.round(stats.nrmse(F.col("y"), F.col("p")), 6).alias("nrmse")).withColumn("radius", F.lit(round(dynamics.dynamic_radius(model, 0.5), 6)))
 
 
-@query()
+#: The model's own free run from each run's second week, row by row.
+_FREE = f"""{_STEP}, {normal_equations("fit", ["z", "dz", "d", "db", "u", "one"], ["y"], 1.0, 1)},
+fr AS (SELECT * FROM (WITH RECURSIVE walk AS (
+    SELECT run, i, z AS p, zb AS pb FROM st2 WHERE i = 2
+    UNION ALL SELECT w.run, s.i + 1, w.p * b0_0 + (w.p - w.pb) * b1_0 + s.d * b2_0 + s.db * b3_0 + s.u * b4_0 + b5_0, w.p FROM walk w JOIN st2 s ON s.run = w.run AND s.i = w.i, th)
+    SELECT * FROM walk))"""
+
+
+def _rolled(t: Tables) -> DataFrame:
+    """(run, k, z, predicted, first) of the free run."""
+    rows = _stepped(t)
+    model = dynamics.fitted(rows.where("y[0] is not null"), dynamics.dynamics("z", "d", "u"), F.col("y"), 1.0)
+    columns = {"d": F.col("d"), "d_before": F.col("d_before"), "u": F.col("u")}
+    found = rollouts.free(rows, "run", "k", rollouts.lagged(model), columns, F.concat("z", "z_before"))
+    return rows.select("run", "k", "z", F.first("z").over(W.partitionBy("run").orderBy("k").rowsBetween(W.unboundedPreceding, 0)).alias("first")).join(found, ["run", "k"])
+
+
+@query(f"{_FREE} SELECT st2.run, st2.k, round(p, 6) AS predicted FROM fr JOIN st2 ON st2.run = fr.run AND st2.i = fr.i")
+def lag_rollout(t: Tables) -> DataFrame:
+    """A fitted model with lag, disturbances and control, run freely through each run."""
+    return _rolled(t).select("run", "k", F.round(F.col("predicted")[0], 6).alias("predicted"))
+
+
+@query(f"""{_FREE}, x AS (SELECT st2.run, st2.z AS a, fr.p, first_value(st2.z) OVER (PARTITION BY st2.run ORDER BY st2.i) AS h FROM fr JOIN st2 ON st2.run = fr.run AND st2.i = fr.i),
+g AS (SELECT run, count(*) AS n, sqrt(sum((a - p) * (a - p)) / greatest(sum(a * a), 1e-30)) AS e, sqrt(sum((a - h) * (a - h)) / greatest(sum(a * a), 1e-30)) AS s FROM x GROUP BY run)
+SELECT run, n, round(e, 6) AS nrmse, round(s, 6) AS persistence, round(CASE WHEN s > 0 THEN 1 - e / s END, 5) AS skill FROM g""")
+def rollout_skill(t: Tables) -> DataFrame:
+    """The free run's error and what it saves of the error of standing still, by run."""
+    return rollouts.evaluated(_rolled(t), ["run"], "z", "predicted", "first").select("run", "n", F.round("nrmse", 6).alias("nrmse"), F.round("persistence", 6).alias("persistence"), F.round("skill", 5).alias("skill"))
+
+
+_FLOW_ROWS = f"""fx AS (SELECT side, k, CAST(count(*) FILTER (WHERE flow = 'kv_ready') AS DOUBLE) AS i, CAST(count(*) FILTER (WHERE flow = 'admission') AS DOUBLE) AS y FROM fl WHERE flow IN ('kv_ready', 'admission') GROUP BY side, k),
+fw AS (SELECT side, k, i, y, coalesce(sum(i - y) OVER (PARTITION BY side ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM fx),
+ft AS (SELECT *, sum(s) OVER (PARTITION BY k) AS ts, sum(i) OVER (PARTITION BY k) AS ti FROM fw),
+fd AS (SELECT {", ".join(f"CASE WHEN stddev_pop({c}) < 1e-12 THEN 1 ELSE stddev_pop({c}) END AS d{c}" for c in ("s", "i", "ts", "ti", "y"))} FROM ft),
+fs AS (SELECT s, i, y, s / ds AS xs, i / di AS xi, ts / dts AS xts, ti / dti AS xti, y / dy AS xy, dy FROM ft, fd)"""
+
+
+@query(f"""{_STAGES}, {_FLOWS}, {_FLOW_ROWS}, {normal_equations("fs", ["xs", "xi", "xts", "xti"], ["xy"], 1.0)},
+p AS (SELECT y, least(greatest((xs * b0_0 + xi * b1_0 + xts * b2_0 + xti * b3_0) * dy, 0), greatest(s + i, 0)) AS p, greatest(s + i, 0) AS most FROM fs, th)
+SELECT count(*) AS n, round(sqrt(sum((y - p) * (y - p)) / greatest(sum(y * y), 1e-30)), 6) AS nrmse, count(*) FILTER (WHERE p < 0 OR p > most) AS beyond FROM p""")
 def flow_model(t: Tables) -> DataFrame:
-    """Admissions of each side by what waits and what becomes ready, on both sides. Tests hold the model against numpy."""
-    w = flows(t).where("flow in ('kv_ready', 'admission')").groupBy("side", "k").pivot("flow", ["kv_ready", "admission"]).agg(F.sum("n")).fillna(0)
-    waiting = F.sum(F.col("kv_ready") - F.col("admission")).over(W.partitionBy("side").orderBy("k").rowsBetween(W.unboundedPreceding, -1))
-    own = w.withColumn("waiting", F.coalesce(waiting, F.lit(0)))
-    total = own.groupBy("k").agg(F.sum("waiting").alias("tw"), F.sum("kv_ready").alias("tr"))
-    one = lambda c: F.array(F.col(c).cast("double"))
-    rows = own.join(total, "k").select(one("waiting").alias("s"), one("kv_ready").alias("i"), one("tw").alias("ts"), one("tr").alias("ti"), one("admission").alias("y"))
+    """Admissions of each side by what waits and what becomes ready, on both sides."""
+    rows = _flow_rows(t)
     found = dynamics.flow(rows, "s", "i", "ts", "ti", "y", 1.0)
     p = found.column(*(F.col(c) for c in ("s", "i", "ts", "ti")))[0]
     return rows.select(F.col("y")[0].alias("y"), p.alias("p"), (F.col("s")[0] + F.col("i")[0]).alias("most")).agg(F.count("*").alias("n"), F.round(stats.nrmse(F.col("y"), F.col("p")), 6).alias("nrmse"), F.count_if((F.col("p") < 0) | (F.col("p") > F.greatest("most", F.lit(0.0)))).alias("beyond"))
 
 
+def _flow_rows(t: Tables, inflow: str = "kv_ready", outflow: str = "admission") -> DataFrame:
+    """(side, k, s, i, ts, ti, y): what a stage has and gets, on this side and on both, and what leaves it."""
+    w = flows(t).where(F.col("flow").isin(inflow, outflow)).groupBy("side", "k").pivot("flow", [inflow, outflow]).agg(F.sum("n")).fillna(0)
+    stock = F.sum(F.col(inflow) - F.col(outflow)).over(W.partitionBy("side").orderBy("k").rowsBetween(W.unboundedPreceding, -1))
+    own = w.withColumn("stock", F.coalesce(stock, F.lit(0)))
+    total = own.groupBy("k").agg(F.sum("stock").alias("ts"), F.sum(inflow).alias("ti"))
+    one = lambda c: F.array(F.col(c).cast("double"))
+    return own.join(total, "k").select("side", "k", one("stock").alias("s"), one(inflow).alias("i"), one("ts").alias("ts"), one("ti").alias("ti"), one(outflow).alias("y"))
+
+
+@query()
+def flow_rollout(t: Tables) -> DataFrame:
+    """Three stages run freely on what is routed: fitted flows, clipped to what there is. Tests hold it against a walk in numpy."""
+    chain = ("route", "kv_ready", "admission", "terminal")
+    models = [dynamics.flow(_flow_rows(t, a, b), "s", "i", "ts", "ti", "y", 1.0) for a, b in zip(chain[:-1], chain[1:], strict=True)]
+    routed = flows(t).where("flow = 'route'").groupBy("k").pivot("side", [0, 1]).agg(F.sum("n")).fillna(0)
+    rows = routed.select(F.lit("all").alias("run"), "k", F.array(F.col("0").cast("double"), F.col("1").cast("double")).alias("inflow"), F.array_repeat(F.lit(0.0), 6).alias("start"))
+    found = rollouts.flow_rollout(rows, "run", "k", "inflow", "start", models)
+    names = [f"{stage}_{side}" for stage in ("handoff", "waiting", "running") for side in (0, 1)]
+    return found.select("k", *(F.round(F.col("stocks")[i], 6).alias(n) for i, n in enumerate(names)))
+
+
 @query(f"""wk AS (SELECT run, arrival_ns // {WEEK} AS k, CAST(count(*) AS DOUBLE) AS n FROM att GROUP BY ALL), p AS (SELECT n AS x, lead(n) OVER (PARTITION BY run ORDER BY k) AS y FROM wk), q AS (SELECT x, y FROM p WHERE y IS NOT NULL),
 m AS (SELECT count(*) AS c, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM q)
 SELECT round((sxy - sx * sy / c) / (sxx - sx * sx / c + 10), 6) AS slope, round((sy - (sxy - sx * sy / c) / (sxx - sx * sx / c + 10) * sx) / c, 5) AS intercept FROM m""")

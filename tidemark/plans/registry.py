@@ -106,3 +106,16 @@ def query(sql: str | None = None, name: str | None = None):
         return f
 
     return put
+
+
+def normal_equations(rows: str, features: list[str], targets: list[str], penalty: float, free: int = 0) -> str:
+    """CTEs that fit targets by ridge regression on features; the last, th, has b{feature}_{target}. The last ``free`` features aren't penalised."""
+    n, m = len(features), len(targets)
+    sums = [f"sum(CAST({x} AS DOUBLE) * {y}){f' + {penalty}' if i == j and i < n - free else ''} AS a{i}_{j}" for i, x in enumerate(features) for j, y in enumerate(features)]
+    sums += [f"sum(CAST({x} AS DOUBLE) * {y}) AS b{i}_{k}" for i, x in enumerate(features) for k, y in enumerate(targets)]
+    found = [f"el0 AS (SELECT {', '.join(sums)} FROM {rows})"]
+    for p in range(n):  # elimination, one pivot at a time
+        of = lambda x, i, j, p=p: f"{x}{p}_{j} / a{p}_{p}" if i == p else f"{x}{i}_{j} - a{i}_{p} * {x}{p}_{j} / a{p}_{p}"
+        columns = [f"{of('a', i, j)} AS a{i}_{j}" for i in range(n) for j in range(p + 1, n)] + [f"{of('b', i, k)} AS b{i}_{k}" for i in range(n) for k in range(m)]
+        found.append(f"{'th' if p == n - 1 else f'el{p + 1}'} AS (SELECT {', '.join(columns)} FROM el{p})")
+    return ", ".join(found)
