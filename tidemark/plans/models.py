@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import DAY_NS, ratio, signed, window_index
-from tidemark.operators import dynamics, linear, rollouts, stats, survival as life, time
+from tidemark.operators import attribution, dynamics, linear, rollouts, stats, survival as life, time
 from tidemark.plans.events import _FLOWS, _STAGES, flows, staged
 from tidemark.plans.registry import Tables, normal_equations, query
 from tidemark.plans.windows import WEEK, weekly
@@ -470,3 +470,84 @@ def authority_groups(t: Tables) -> DataFrame:
     return g.select("workload", "run", "levels", "n", (F.size(F.array_except(wanted, "_s")) == 0).alias("excited"))
 
 
+
+
+#: Hazards by age in days of two stages, and what is left of a cohort at each age; from age 9 on the hazard stays the same.
+_AGES = 9
+
+
+def _aged(stage: str, start: str, end: str) -> str:
+    bins = lambda x: f"CASE WHEN {x} < 2 THEN 0 WHEN {x} < 5 THEN 1 WHEN {x} < 9 THEN 2 ELSE 3 END"
+    return f"""{stage}_n AS (SELECT side, greatest(CAST(ceil(({end} - {start}) / {float(DAY_NS)}) AS BIGINT), 1) AS n FROM st), {stage}_g AS (SELECT side, n, unnest(generate_series(0, n - 1)) AS s FROM {stage}_n),
+{stage}_h AS (SELECT side, {bins("s")} AS bin, (count(*) FILTER (WHERE s = n - 1) + 0.5) / (count(*) + 1.0) AS h FROM {stage}_g GROUP BY ALL),
+{stage}_s AS (SELECT a.side, age, coalesce(h, 0) AS h, coalesce(exp(sum(ln(1 - coalesce(h, 0))) OVER (PARTITION BY a.side ORDER BY age ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS alive
+    FROM (SELECT DISTINCT side, unnest(generate_series(0, (SELECT max(arrival_ns) // {DAY_NS} - min(arrival_ns) // {DAY_NS} + 60 FROM att))) AS age FROM att) a LEFT JOIN {stage}_h ON {stage}_h.side = a.side AND {stage}_h.bin = {bins("age")})"""
+
+
+def _flowed(stage: str, inflow: str) -> str:
+    """Stock and outflow of a stage on every day from inflow (side, k, n)."""
+    return f"""{stage} AS (SELECT d.side, d.k, coalesce(sum(n * alive) FILTER (WHERE i.k < d.k), 0) AS stock, coalesce(sum(n * alive * h), 0) AS outflow
+    FROM days d LEFT JOIN {inflow} i ON i.side = d.side AND i.k <= d.k LEFT JOIN {stage}_s s ON s.side = d.side AND s.age = d.k - i.k GROUP BY ALL)"""
+
+
+_DAYS = f"days AS (SELECT DISTINCT side, unnest(generate_series((SELECT min(route_ns) // {DAY_NS} FROM st), (SELECT max(route_ns) // {DAY_NS} + 30 FROM st))) AS k FROM st), fed AS (SELECT side, route_ns // {DAY_NS} AS k, count(*) AS n FROM st GROUP BY ALL)"
+
+
+def _hazards(t: Tables, start: str, end: str) -> DataFrame:
+    return life.hazard_by_step(life.hazard(staged(t), ["side"], start, end, "expected_tokens", _EDGES, DAY_NS, 0.5), ["side"], _EDGES, _AGES)
+
+
+def _days(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """What is routed on each day, and each side's days."""
+    fed = staged(t).groupBy("side", window_index("route_ns", DAY_NS).alias("k")).agg(F.count("*").alias("n"))
+    ends = fed.agg(F.min("k").alias("lo"), (F.max("k") + 30).alias("hi")).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)).cast(f"array<{fed.schema['side'].dataType.simpleString()}>")))
+    return fed, ends.join(fed.select("side").distinct(), "side")
+
+
+@query(f"""{_STAGES}, {_DAYS}, {_aged("handoff", "route_ns", "ready_ns")}, {_aged("waiting", "ready_ns", "admission_ns")}, {_flowed("handoff", "fed")}, passed AS (SELECT side, k, outflow AS n FROM handoff), {_flowed("waiting", "passed")}
+SELECT side, k, 'handoff' AS stage, round(stock, 5) AS stock, round(outflow, 5) AS outflow FROM handoff UNION ALL SELECT side, k, 'waiting', round(stock, 5), round(outflow, 5) FROM waiting""")
+def cohort_cascade(t: Tables) -> DataFrame:
+    """Two stages by their hazards, day by day: what leaves the first enters the second."""
+    fed, days = _days(t)
+    found = life.cascade(fed, {"handoff": _hazards(t, "route_ns", "ready_ns"), "waiting": _hazards(t, "ready_ns", "admission_ns")}, ["side"], days)
+    return found.select("side", "k", "stage", F.round("stock", 5).alias("stock"), F.round("outflow", 5).alias("outflow"))
+
+
+_WAIT_FED = f"wfed AS (SELECT side, ready_ns // {DAY_NS} AS k, count(*) AS n, sum(expected_tokens) AS tokens FROM st GROUP BY ALL), wdays AS (SELECT side, unnest(generate_series(min(k), max(k) + 30)) AS k FROM wfed GROUP BY side)"
+
+
+@query(f"""{_STAGES}, {_WAIT_FED}, {_aged("waiting", "ready_ns", "admission_ns")}
+SELECT d.side, d.k, CASE WHEN d.k - i.k < 2 THEN 0 WHEN d.k - i.k < 5 THEN 1 WHEN d.k - i.k < 9 THEN 2 ELSE 3 END AS bin, round(sum(n * alive), 5) AS requests, round(sum(tokens * alive), 3) AS tokens
+FROM wdays d JOIN wfed i ON i.side = d.side AND i.k < d.k JOIN waiting_s s ON s.side = d.side AND s.age = d.k - i.k GROUP BY ALL HAVING round(sum(n * alive), 5) >= 0.001""")
+def age_hist_predicted(t: Tables) -> DataFrame:
+    """What waits on each day by the age that the hazards let it have, in requests and in tokens; bins of a thousandth of a request or more."""
+    fed = staged(t).groupBy("side", window_index("ready_ns", DAY_NS).alias("k")).agg(F.count("*").alias("n"), F.sum("expected_tokens").alias("tokens"))
+    days, steps = fed.groupBy("side").agg(F.min("k").alias("lo"), (F.max("k") + 30).alias("hi")), _hazards(t, "ready_ns", "admission_ns")
+    requests = life.predicted_ages(fed, steps, ["side"], days, _EDGES).withColumnRenamed("n", "requests")
+    tokens = life.predicted_ages(fed, steps, ["side"], days, _EDGES, mass="tokens").withColumnRenamed("n", "tokens")
+    both = requests.join(tokens, ["side", "k", "bin"]).select("side", "k", "bin", F.round("requests", 5).alias("requests"), F.round("tokens", 3).alias("tokens"))
+    return both.where("requests >= 0.001")
+
+
+def _kernel_sql(name: str, start: str, end: str) -> str:
+    """Constant and weight of log1p of a delay by the standardised logarithm of the tokens expected."""
+    return f"""{name}_x AS (SELECT ln(1 + expected_tokens) AS f, ln(1 + ({end} - {start}) / 1e9) AS y FROM st), {name}_m AS (SELECT avg(f) AS m, stddev_pop(f) AS s FROM {name}_x),
+{name}_k AS (SELECT avg(y) AS c, sum((f - m) / s * y) / (count(*) + 10) AS w, any_value(m) AS m, any_value(s) AS s FROM {name}_x, {name}_m)"""
+
+
+@query(f"""{_STAGES}, {_kernel_sql("hk", "route_ns", "ready_ns")}, {_kernel_sql("wk", "ready_ns", "admission_ns")},
+pd AS (SELECT st.*, greatest(CAST(trunc((exp(hk_k.c + hk_k.w * (ln(1 + expected_tokens) - hk_k.m) / hk_k.s) - 1) * 1e9) AS BIGINT), 0) AS hp, greatest(CAST(trunc((exp(wk_k.c + wk_k.w * (ln(1 + expected_tokens) - wk_k.m) / wk_k.s) - 1) * 1e9) AS BIGINT), 0) AS wp FROM st, hk_k, wk_k),
+ww AS ({" UNION ALL ".join(f"SELECT '{w}' AS world, side, route_ns, route_ns + {'hp' if h else 'ready_ns - route_ns'} AS a, route_ns + {'hp' if h else 'ready_ns - route_ns'} + {'wp' if q else 'admission_ns - ready_ns'} AS b, terminal_ns FROM pd" for w, (h, q) in attribution.WORLDS.items())}),
+iv AS (SELECT world, side, 'handoff' AS stage, route_ns AS x, a AS y FROM ww UNION ALL SELECT world, side, 'waiting', a, b FROM ww UNION ALL SELECT world, side, 'running', b, greatest(terminal_ns, b) FROM ww),
+ik AS (SELECT world, side, stage, (x + {WEEK - 1}) // {WEEK} AS lo, (y + {WEEK - 1}) // {WEEK} AS hi FROM iv), c AS (SELECT world, side, stage, unnest(generate_series(lo, hi - 1)) AS k FROM ik WHERE lo < hi),
+g AS (SELECT side, stage, k, {", ".join(f"count(*) FILTER (WHERE world = '{w}') AS w_{w}" for w in attribution.WORLDS)} FROM c GROUP BY ALL),
+e AS ({" UNION ALL ".join(f"SELECT '{w}' AS world, stage, w_observed AS a, w_{w} AS p FROM g" for w in attribution.WORLDS)})
+SELECT world, stage, count(*) AS n, round(sqrt(sum((a - p) * (a - p)) / greatest(sum(a * a), 1e-30)), 6) AS nrmse, round(avg(p - a), 6) AS bias, round(avg(CASE WHEN a = p THEN 1.0 ELSE 0.0 END), 9) AS exact FROM e GROUP BY ALL""")
+def event_attribution(t: Tables) -> DataFrame:
+    """Weekly inventories of three stages by observed and by predicted delays: the error of each stage's kernel alone and of both."""
+    rows, f = staged(t), F.log1p(F.col("expected_tokens").cast("double"))
+    seconds = lambda a, b: (F.col(b) - F.col(a)) / 1e9
+    kernel = lambda a, b: (dynamics.delay(rows, seconds(a, b), [f], 10.0).column([f]) * 1e9).cast("long")
+    predicted = rows.select("side", "route_ns", "ready_ns", "admission_ns", "terminal_ns", kernel("route_ns", "ready_ns").alias("handoff_ns"), kernel("ready_ns", "admission_ns").alias("waiting_ns"))
+    found = attribution.errors(attribution.worlds(predicted), ["side"], WEEK, 1 << 40)
+    return found.select("world", "stage", "n", F.round("nrmse", 6).alias("nrmse"), F.round("bias", 6).alias("bias"), F.round("exact", 9).alias("exact"))

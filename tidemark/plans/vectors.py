@@ -103,9 +103,11 @@ _STATES = ("PREFILL_WAITING", "DECODE_WAITING", "DECODE_RUNNING")
 
 
 @query(f"""{_OUTPUTS}, {AT}, sc AS (SELECT k, count(*) FILTER (WHERE state = 'PREFILL_WAITING') AS pw, {", ".join(f"count(*) FILTER (WHERE state = '{st}' AND side = {i}) AS {n}{i}" for st, n in (("DECODE_WAITING", "dw"), ("DECODE_RUNNING", "dr")) for i in (0, 1))} FROM s GROUP BY k),
-kp AS (SELECT wo.*, row_number() OVER (ORDER BY wo.k) - 1 AS i, coalesce(pw, 0) AS pw, coalesce(dw0, 0) AS dw0, coalesce(dw1, 0) AS dw1, coalesce(dr0, 0) AS dr0, coalesce(dr1, 0) AS dr1 FROM wo LEFT JOIN sc ON sc.k = wo.k)
+rq AS (SELECT s.k, s.side, greatest(s.expected_tokens - coalesce(sum(e.n), 0), 0) AS rest FROM s LEFT JOIN em e ON e.request_id = s.request_id AND e.component <> 'prefill' AND e.ts_ns <= s.k * {WEEK} WHERE s.state = 'DECODE_RUNNING' GROUP BY s.k, s.side, s.request_id, s.expected_tokens),
+rk AS (SELECT k, coalesce(sum(rest) FILTER (WHERE side = 0), 0) AS rest0, coalesce(sum(rest) FILTER (WHERE side = 1), 0) AS rest1 FROM rq GROUP BY k),
+kp AS (SELECT wo.*, coalesce(rest0, 0) AS rest0, coalesce(rest1, 0) AS rest1, row_number() OVER (ORDER BY wo.k) - 1 AS i, coalesce(pw, 0) AS pw, coalesce(dw0, 0) AS dw0, coalesce(dw1, 0) AS dw1, coalesce(dr0, 0) AS dr0, coalesce(dr1, 0) AS dr1 FROM wo LEFT JOIN sc ON sc.k = wo.k LEFT JOIN rk ON rk.k = wo.k)
 SELECT i // 25 AS slow, CAST(sum(completed) AS BIGINT) AS completed, CAST(sum(completed_output) AS BIGINT) AS completed_output, round(sum(completed_output) / 5.0, 6) AS throughput, round(sum(good_output) / 5.0, 6) AS goodput,
-       round(sum(ttft_sum) / nullif(sum(completed), 0), 4) AS ttft_mean, round(sum(tpot_sum) / nullif(sum(completed), 0), 4) AS tpot_mean, {", ".join(f"round(CAST(sum({c}) AS DOUBLE) * CAST(0.2 AS DOUBLE), 6) AS {c}_integral" for c in ("pw", "dw0", "dw1", "dr0", "dr1"))},
+       round(sum(ttft_sum) / nullif(sum(completed), 0), 4) AS ttft_mean, round(sum(tpot_sum) / nullif(sum(completed), 0), 4) AS tpot_mean, {", ".join(f"round(CAST(sum({c}) AS DOUBLE) * CAST(0.2 AS DOUBLE), 6) AS {c}_integral" for c in ("pw", "dw0", "dw1", "dr0", "dr1", "rest0", "rest1"))}, round(CAST(sum(rest0 - rest1) AS DOUBLE) * CAST(0.2 AS DOUBLE), 6) AS rest_imbalance,
        round(CAST(sum(dw0 - dw1) AS DOUBLE) * CAST(0.2 AS DOUBLE), 6) AS dw_imbalance, round(CAST(sum(dr0 - dr1) AS DOUBLE) * CAST(0.2 AS DOUBLE), 6) AS dr_imbalance,
        CAST(sum(kv_bytes) AS BIGINT) AS kv_bytes, CAST(sum(prefill_scheduled) AS BIGINT) AS prefill_scheduled, CAST(sum(decode_scheduled) AS BIGINT) AS decode_scheduled FROM kp GROUP BY 1 HAVING count(*) = 25""")
 def slow_kpis(t: Tables) -> DataFrame:
@@ -113,11 +115,15 @@ def slow_kpis(t: Tables) -> DataFrame:
     at = time.dense_inventory(states.intervals(t.life).where(F.col("state").isin(*_STATES)), ["state", "side"], "start_ns", "end_ns", WEEK, {"n": F.lit(1).cast("long")}, last_boundary(t))
     of = lambda state, side=None: F.sum(F.when((F.col("state") == state) & (F.lit(True) if side is None else F.col("side") == side), F.col("n")))
     counts = at.groupBy("k").agg(of("PREFILL_WAITING").alias("pw"), of("DECODE_WAITING", 0).alias("dw0"), of("DECODE_WAITING", 1).alias("dw1"), of("DECODE_RUNNING", 0).alias("dr0"), of("DECODE_RUNNING", 1).alias("dr1"))
-    x = window_outputs(t).join(counts, "k", "left").fillna(0).withColumn("_i", F.row_number().over(W.orderBy("k")) - 1)  # one row for each window of one calendar
+    # what is left of each running request falls with its emissions; the sums' changes are held from boundary to boundary
+    running = states.intervals(t.life).where("state = 'DECODE_RUNNING'").select("request_id", "side", "start_ns", "end_ns", "expected_tokens")
+    left = vectors.falling(running, t.em.where("component <> 'prefill'").select("request_id", "ts_ns", "n"), "request_id", "expected_tokens", "n")
+    rest = time.dense_inventory(left, ["side"], "start_ns", "end_ns", WEEK, {"rest": F.greatest("left", F.lit(0))}, last_boundary(t)).groupBy("k").pivot("side", [0, 1]).agg(F.sum("rest")).select("k", F.col("0").alias("rest0"), F.col("1").alias("rest1"))
+    x = window_outputs(t).join(counts, "k", "left").join(rest, "k", "left").fillna(0).withColumn("_i", F.row_number().over(W.orderBy("k")) - 1)  # one row for each window of one calendar
     held = lambda c: F.round(F.sum(c).cast("double") * 0.2, 6)
     g = x.groupBy(window_index("_i", 25).alias("slow")).agg(
         F.count("*").alias("_n"), F.sum("completed").alias("completed"), F.sum("completed_output").alias("completed_output"), F.round(F.sum("completed_output") / 5.0, 6).alias("throughput"), F.round(F.sum("good_output") / 5.0, 6).alias("goodput"),
-        F.round(ratio(F.sum("ttft_sum"), F.sum("completed")), 4).alias("ttft_mean"), F.round(ratio(F.sum("tpot_sum"), F.sum("completed")), 4).alias("tpot_mean"), *(held(c).alias(f"{c}_integral") for c in ("pw", "dw0", "dw1", "dr0", "dr1")),
+        F.round(ratio(F.sum("ttft_sum"), F.sum("completed")), 4).alias("ttft_mean"), F.round(ratio(F.sum("tpot_sum"), F.sum("completed")), 4).alias("tpot_mean"), *(held(c).alias(f"{c}_integral") for c in ("pw", "dw0", "dw1", "dr0", "dr1", "rest0", "rest1")), held(F.col("rest0") - F.col("rest1")).alias("rest_imbalance"),
         held(F.col("dw0") - F.col("dw1")).alias("dw_imbalance"), held(F.col("dr0") - F.col("dr1")).alias("dr_imbalance"), F.sum("kv_bytes").alias("kv_bytes"), F.sum("prefill_scheduled").alias("prefill_scheduled"), F.sum("decode_scheduled").alias("decode_scheduled"),
     )
     return g.where("_n = 25").drop("_n")
