@@ -66,3 +66,18 @@ def test_text_sources(spark):
     assert sorted(r.error or "" for r in observations.observations(lines).collect()) == ["", "not_json"]
     config = spark.createDataFrame([(1, "model: 'm1'"), (2, "model: m2"), (3, "other = 3")], "n int, value string")
     assert sorted(map(tuple, observations.config_values(config, ["model", "other"]).collect())) == [("model", "m1"), ("other", "3")]
+
+
+@pytest.mark.parametrize("most", [64, 1000, 1 << 27])
+def test_lines_have_their_numbers_however_files_are_split(spark, tmp_path, most):
+    texts = {"a.jsonl": ["x" * (i % 37) for i in range(500)], "b.jsonl": [""], "c.jsonl": ["y", "", "", "z"], "sub/a.jsonl": ["é" * 50] * 20}
+    for name, lines in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    try:
+        found = [(r.source_file.split(tmp_path.name + "/")[1], r.line, r.value) for r in logs.numbered(spark, str(tmp_path), "*.jsonl").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(found) == sorted((name, i + 1, x) for name, lines in texts.items() for i, x in enumerate(lines))

@@ -1,11 +1,15 @@
 """One run from JSON lines to sealed windows, and what keeps a run from being sealed."""
 
 import json
+import os
+import random
 
 import pytest
 
+from tidemark.operators import events as rules
 from tidemark.operators import replay
 from tidemark.sources import logs, sinks
+from tidemark.streaming import events as stream
 from tidemark.streaming.events import finished_traces, read, to_table
 
 KV = {"tp_rank": 0, "tp_size": 1, "actual_bytes": 64}
@@ -126,3 +130,33 @@ def test_traces_finish_once_in_a_stream(spark, tmp_path):
     to_table(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     rows = {r.trace_id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert sorted(rows) == ["t0", "t1"] and (rows["t0"].request_arrival, rows["t0"].decode_first_byte, rows["t0"].terminal_event, rows["t0"].terminal_mono_ns) == (1000, 1035, "request_complete", 1047)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_streamed_lifecycles_are_those_of_the_batch(spark, tmp_path, seed):
+    """Lines in any order, cut to any files; traces that end, that don't, that end twice or break rules."""
+    write(tmp_path / "raw", skip={(1, "request_complete"), (2, "prefill_http_submit")}, extra=["{bad"])
+    rng = random.Random(seed)
+    lines = [json.loads(x) for f in (tmp_path / "raw").rglob("*.jsonl") for x in f.read_text().splitlines() if x.startswith("{\"")]
+    more = []
+    for k in range(3, 40):
+        for x in lines:
+            if x["trace_id"] == f"t{k % 3}" and rng.random() < 0.95:
+                more.append(x | {"trace_id": f"t{k}", "request_id": f"q{k}", "ts_wall_ns": x["ts_wall_ns"] + k, "ts_mono_ns": x["ts_mono_ns"] + k, "event_seq": x["event_seq"] + 1000 * k})
+    every = [x | {"ts_wall_ns": 1_700_000_000_000_000_000 + 1_000_000 * x["ts_wall_ns"]} for x in lines + more]
+    rng.shuffle(every)
+    files = tmp_path / "stream"
+    files.mkdir()
+    cuts = [0, *sorted(rng.sample(range(1, len(every)), 5)), len(every)]
+    beat = every[0] | {"event_type": "heartbeat", "trace_id": None, "ts_wall_ns": every[0]["ts_wall_ns"] + 10**14, "event_seq": 10**6}
+    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        (files / f"{i}.jsonl").write_text("".join(json.dumps(x) + "\n" for x in every[a:b]))
+        os.utime(files / f"{i}.jsonl", (1000 + i, 1000 + i))
+    (files / "9.jsonl").write_text(json.dumps(beat) + "\n")
+    done = stream.lifecycles(stream.completed(stream.read(spark, str(files), 1), "100 seconds"), str(tmp_path / "out"), str(tmp_path / "check"))
+    done.awaitTermination()
+    assert [p["stateOperators"][0]["numRowsTotal"] for p in done.recentProgress][-1] == 0
+    events = logs.event_rows(spark.read.text(str(files))).where("damage is null")
+    plain = lambda df: sorted(str([(c, sorted(v, key=str) if isinstance(v, list) else v) for c, v in sorted(r.asDict().items()) if c not in ("batch", "process_instance_id")]) for r in df.collect())
+    for name, make in (("attempts", rules.attempts), ("traces", rules.traces), ("violations", rules.lifecycle_violations)):
+        assert plain(spark.read.parquet(str(tmp_path / "out" / name)).drop("batch")) == plain(make(events)), name

@@ -10,7 +10,7 @@ from tidemark.functions.expressions import DAY_NS, UUID, boundary_at_or_after, r
 from tidemark.operators import engine, events, states, stats, time
 from tidemark.plans.registry import Tables, query
 from tidemark.plans.windows import AT, BOUNDS, WEEK, bounds, last_boundary, weekly
-from tidemark.sources import logs
+from tidemark.sources import logs, sinks
 
 DAMAGE = "event_id % 97 <> 0"  # leaves gaps in the sequences
 
@@ -37,6 +37,20 @@ def proxy(t: Tables) -> DataFrame:
     )
 
 
+@query("""x AS (SELECT *, process // 50 AS bucket, (seq - 1) // 1000000 AS part FROM ev)
+SELECT bucket, part, row_number() OVER (PARTITION BY bucket, part ORDER BY process, seq) AS line, CASE WHEN event_id % 50 = 0 THEN NULL ELSE event_id END AS event_id, CASE WHEN event_id % 50 = 0 THEN 'not_json' END AS damage FROM x""")
+def scan_files(t: Tables) -> DataFrame:
+    """The log of each fifty processes, written to files of a million events of each and read back with damage, file and line."""
+    good = F.to_json(F.struct("event_type", "ts_ns", "seq", "event_id", F.lit("{}").alias("payload")))
+    rows = t.ev.select("process", "seq", F.expr("process div 50").alias("bucket"), F.expr("(seq - 1) div 1000000").alias("part"), F.when(F.col("event_id") % 50 == 0, F.lit("{bad")).otherwise(good).alias("value"))
+    path = sinks.scratch(t.spark, "log")
+    rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "process", "seq").select("bucket", "part", "value").write.partitionBy("bucket", "part").text(path)
+    lines = logs.numbered(t.spark, path).withColumnRenamed("line", "_line")
+    place = lambda name: F.regexp_extract("source_file", f"/{name}=([0-9]+)/", 1).cast("long").alias(name)
+    found = logs.validated(lines.select("value", place("bucket"), place("part"), "_line"), "event_type string, ts_ns bigint, seq bigint, event_id bigint, payload string")
+    return found.select("bucket", "part", F.col("_line").alias("line"), "event_id", "damage")
+
+
 @query("SELECT run_id, event_type, count(*) AS n, CAST(sum(k) AS BIGINT) AS k, round(sum(value), 4) AS total FROM ev GROUP BY ALL")
 def scan_events(t: Tables) -> DataFrame:
     lines = t.ev.select(F.to_json(F.struct("run_id", "event_type", "event_id", "ts_ns", "seq", "value", F.struct("k").alias("payload"))).alias("value"))

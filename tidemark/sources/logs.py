@@ -6,6 +6,7 @@ Bad lines become rows with a reason, never exceptions. Payloads stay text, so th
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,11 +48,23 @@ def event_rows(lines: DataFrame, version: str | None = None) -> DataFrame:
     return validated(lines, ENVELOPE, "event_seq", nullable=NULLABLE, version=version, attempt="attempt_id")
 
 
-def read_events(spark: SparkSession, path: str, glob: str = "*.jsonl", version: str | None = None) -> DataFrame:
-    """All lines under a run's folder as validated events, with their source_file and the component whose folder they are in (source_component)."""
+def numbered(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(value, source_file, line) of every line under path; lines count from 1 in each file, empty ones too.
+
+    Spark deals files to tasks by byte ranges. Rows of one range are in one task and in order, so a line's place there is
+    its running number less the range's first; lines of the ranges before it are counted by an aggregation of a row for each.
+    """
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
-    file = F.col("_metadata.file_path")
-    return event_rows(raw.select("value", file.alias("source_file"), F.element_at(F.split(file, "/"), -2).alias("source_component")), version)
+    rows = raw.select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_n"))
+    ranges = rows.groupBy("source_file", "_block").agg(F.min("_n").alias("_first"), F.count("*").alias("_lines"))
+    before = F.coalesce(F.sum("_lines").over(W.partitionBy("source_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(ranges.select("source_file", "_block", "_first", before.alias("_before")), ["source_file", "_block"]).select("value", "source_file", (F.col("_before") + F.col("_n") - F.col("_first") + 1).alias("line"))
+
+
+def read_events(spark: SparkSession, path: str, glob: str = "*.jsonl", version: str | None = None) -> DataFrame:
+    """All lines under a run's folder as validated events, with their source_file, source_line and the component whose folder they are in (source_component)."""
+    raw = numbered(spark, path, glob)
+    return event_rows(raw.select("value", "source_file", F.col("line").alias("source_line"), F.element_at(F.split("source_file", "/"), -2).alias("source_component")), version)
 
 
 def ordered(events: DataFrame, wall: bool = False) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The event log as a stream: window counts with a watermark, sequence gaps with state, replayable batches."""
+"""The event log as a stream: window counts with a watermark, sequence gaps and whole lifecycles with state, replayable batches."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.linear import importable
-from tidemark.sources.logs import event_rows
+from tidemark.operators.events import attempts, lifecycle_violations, traces
+from tidemark.sources.logs import ENVELOPE, event_rows
 
 
 def read(spark: SparkSession, path: str, files_at_once: int = 100, version: str | None = None) -> DataFrame:
@@ -92,3 +93,45 @@ def finished_traces(events: DataFrame) -> DataFrame:
     kept = events.where("damage is null and trace_id is not null").select("run_id", "trace_id", "event_type", "ts_mono_ns")
     out = "run_id string, trace_id string, terminal_event string, terminal_mono_ns long, " + ", ".join(f"{c} long" for c in TIMES)
     return kept.groupBy("run_id", "trace_id").applyInPandasWithState(follow, out, ", ".join(f"{c} long" for c in TIMES) + ", over boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def completed(events: DataFrame, late: str = "10 seconds", grace_s: float = 10.0, idle_s: float = 3600.0) -> DataFrame:
+    """(run_id, trace_id, value) of every event of each trace that is over, as JSON lines; a trace's lines come together, once.
+
+    A trace is over once the watermark is ``grace_s`` beyond its last event if it has ended, ``idle_s`` if it hasn't; then its
+    state goes. Its events may come in any order and in any batches until then. What comes for it afterwards is a trace of its own.
+    """
+    importable(events.sparkSession)
+
+    def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            lines = list(state.get[0])
+            state.remove()
+            yield pd.DataFrame({"run_id": key[0], "trace_id": key[1], "value": lines})
+            return
+        lines, last, ended = (list(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], 0, False)
+        for p in parts:
+            lines += p["value"].tolist()
+            last = max(last, int(p["ts_wall_ns"].max()) // 1_000_000)
+            ended = ended or bool(p["event_type"].isin(ENDS).any())
+        state.update((lines, last, ended))
+        state.setTimeoutTimestamp(max(last + int(1000 * (grace_s if ended else idle_s)), state.getCurrentWatermarkMs() + 1))
+
+    ts = F.timestamp_micros(F.call_function("div", F.col("ts_wall_ns"), F.lit(1000).cast("long")))
+    names = [f.split()[0] for f in ENVELOPE.split(", ")]
+    rows = events.where("damage is null").withColumn("_ts", ts).withWatermark("_ts", late)
+    # the time is in the condition so that events without a trace move the watermark too
+    rows = rows.where(F.when(F.col("_ts").isNotNull(), F.col("trace_id")).isNotNull()).select("run_id", "trace_id", "_ts", "ts_wall_ns", "event_type", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("value"))
+    return rows.groupBy("run_id", "trace_id").applyInPandasWithState(follow, "run_id string, trace_id string, value string", "lines array<string>, last long, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def lifecycles(stream: DataFrame, path: str, checkpoint: str) -> object:
+    """Writes attempts, traces and violations of completed() traces under path, by the batch operators; a batch that is replayed overwrites its own folders."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        found = event_rows(batch.select("value")).where("damage is null").persist()
+        for name, make in (("attempts", attempts), ("traces", traces), ("violations", lifecycle_violations)):
+            make(found).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        found.unpersist()
+
+    return each_batch(stream, put, checkpoint)
