@@ -130,3 +130,29 @@ def test_pipeline_keeps_what_it_should(spark):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_every_operator_is_registered():
     assert sorted(int(n.split("_")[0][2:]) for n in queries()) == list(range(1, 11))
+
+
+def test_queries_that_open_one_point_are_dealt_to_its_copies(spark, monkeypatch):
+    """One vector far longer than all others is in every list: every query opens it."""
+    rng = np.random.default_rng(12)
+    v = rng.standard_normal((400, 6))
+    v[7] *= 100
+    rows = spark.createDataFrame([(i, x.tolist(), "x", 1, 2.0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, p string, part int, score double")
+    plain = sorted(map(tuple, ann.nearest(rows, rows.select("vec_id")).collect()))
+    groups = []
+    monkeypatch.setattr(ann, "HOT_ROWS", 16)
+    saved = ann.saved
+
+    def seen(spark, df, name):
+        found = saved(spark, df, name)
+        if name == "hot":
+            groups.append(sorted((r.p, r.parts) for r in found[0].collect()))
+        return found
+
+    monkeypatch.setattr(ann, "saved", seen)
+    assert sorted(map(tuple, ann.nearest(rows, rows.select("vec_id")).collect())) == plain
+    assert any(parts >= 5 for found in groups for p, parts in found if p == 7)
+    s = v @ v.T
+    for q in range(0, 400, 20):
+        want = [int(i) for i in sorted(range(400), key=lambda i: (-s[q, i], i)) if i != q][:20]
+        assert [r[2] for r in plain if r[0] == q] == want

@@ -262,3 +262,36 @@ def test_lm_is_a_distribution_and_its_base_is_exact(spark, docs):
     shares = [(c[w] + 1) / 10**vocabulary.rare for w in c if w is not None and w not in [x for x, i in zip(vocabulary.head, vocabulary.id, strict=False) if i >= 2]]
     assert sum(shares) + 1 / 10**vocabulary.rare == pytest.approx(1)
     assert lmscore.score(docs.where("false"), train, sample=1).count() == 0
+
+
+def test_lm_score_is_the_product_over_tokens(spark, docs):
+    """The composed score against a loop over tokens in double precision: states carried through the text, class times word, a rare word's share."""
+    train = docs.where("doc_id % 3 <> 0")
+    counts = lmscore.counted(train)
+    known = lmscore.vocabulary_of(counts, head=6, vocabulary=6)
+    weights = lmscore.trained(train, known, sample=1)
+    p = {k: v.astype(float) for k, v in weights.items()}
+    c = {r.word: r.c for r in counts.collect()}
+    own = {bytes(w): int(i) for w, i in zip(known.head, known.id, strict=False)}
+    per, size = lmscore.gru.PER_CLASS, p["U"].shape[0]
+    sigmoid, soft = lambda x: 1 / (1 + np.exp(-x)), lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+
+    def slow(text):
+        h, last, total = np.zeros(size), lmscore.END, 0.0
+        for w in [*lmscore.tokens(text), b""]:
+            gx, gu = p["T"][last], h @ p["U"]
+            z, r = sigmoid(gx[:size] + gu[:size]), sigmoid(gx[size : 2 * size] + gu[size : 2 * size])
+            n = np.tanh(gx[2 * size :] + r * gu[2 * size :])
+            h = (1 - z) * n + z * h
+            i = lmscore.END if w == b"" else own.get(w, lmscore.RARE)
+            k = i // per
+            total += soft(h @ p["C"] + p["c"])[k] / np.log(10)
+            total += soft(p["W"][k * per : (k + 1) * per] @ h + p["w"][k * per : (k + 1) * per])[i - k * per] / np.log(10)
+            if i == lmscore.RARE:
+                total += np.log10(c.get(w, 0) + 1) - known.rare
+            last = i
+        return total
+
+    got = {r.doc_id: r.score for r in lmscore.scored(docs, counts, known, weights).collect()}
+    for r in docs.collect():
+        assert got[r.doc_id] == pytest.approx(slow(r.text), rel=2e-4, abs=1e-3)

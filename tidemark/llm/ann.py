@@ -9,7 +9,8 @@ that are nearer than a point's worst replace it. Rounds end when hardly anything
 
 A query is a point of the index; greedy search starts there, keeps its ``BEAM`` best points, and in each
 hop opens the ``OPENED`` best that weren't open yet, by a join with the graph's lists, until none is left.
-Queries travel to the lists, not the lists to the queries. At last, the beam is scored anew in double
+Queries travel to the lists, not the lists to the queries; a list that more than ``HOT_ROWS`` queries open in one
+hop is copied, and they are dealt to its copies. At last, the beam is scored anew in double
 precision on the original vectors.
 
 All tables are partitioned by the hash of a point in buckets of bounded size; nothing goes to the driver
@@ -17,8 +18,8 @@ but counts. The graph's lists carry vectors in half precision, each with a power
 
 Defined results: vectors that are null or zero, or have null or non-finite components, and rows with a
 null id take no part; vectors of another length than the most frequent one take no part either; of rows
-that repeat an id, the smallest vector counts; ties go to the smaller id; a query without candidates gives
-no rows; an empty table gives an empty one; other columns of the input play no part.
+that repeat an id, the smallest vector counts; ties go to the smaller id; a query whose part of the graph
+holds fewer points than an answer gets as many as it holds, one without candidates gets no rows; an empty table gives an empty one; other columns of the input play no part.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, column, dropped, freed, importable, lists, mixed, saved
+from tidemark.llm.common import BROADCAST_ROWS, by_batch, column, dropped, freed, importable, lists, mixed, saved
 
 NEIGHBOURS, BEAM, OPENED, TOP = 24, 800, 100, 20
 #: Points of a bucket, of a group at the start, groupings at the start, rounds, share of changes that ends them.
 BUCKET, GROUP, STARTS, ROUNDS, LEAST_CHANGE = 2048, 512, 3, 5, 0.01
 #: Reverse neighbours that join at a point in a round, and nearest candidates that a point takes from one meeting.
 REVERSE, TAKEN = 24, 5
+#: Queries that open one copy of a list in one hop, but for the unevenness of hashing.
+HOT_ROWS = 4096
 
 
 def _half(x: pa.Array, n: int) -> np.ndarray:
@@ -230,17 +233,17 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, top: int = TOP
     state, path = saved(spark, state, "state")
 
     def meet(frontier: pa.Table, lists_: pa.Table) -> pa.Table:
-        row = {p: k for k, p in enumerate(lists_["p"].to_pylist())} if frontier.num_rows else {}
+        row = {x: k for k, x in enumerate(zip(lists_["p"].to_pylist(), lists_["part"].to_pylist(), strict=True))} if frontier.num_rows else {}
         if not row:
             return pa.table({"q": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "s": pa.array([], pa.float32())})
-        q, p, least = (frontier[c].to_numpy() for c in ("q", "p", "least"))
+        q, p, part, least = (frontier[c].to_numpy() for c in ("q", "p", "part", "least"))
         x = _half(frontier["h"], frontier.num_rows)
         near, hs = lists_["near"].combine_chunks(), lists_["hs"].combine_chunks()
-        order = np.argsort(p, kind="stable")
-        ends = np.append(np.flatnonzero(np.concatenate([[True], np.diff(p[order]) != 0])), len(p))
+        order = np.lexsort((part, p))
+        ends = np.append(np.flatnonzero(np.concatenate([[True], (np.diff(p[order]) != 0) | (np.diff(part[order]) != 0)])), len(p))
         out = []
         for a, c in zip(ends[:-1], ends[1:], strict=True):
-            k = row.get(int(p[order[a]]))
+            k = row.get((int(p[order[a]]), int(part[order[a]])))
             if k is not None:
                 i, n = order[a:c], near[k].values.to_numpy()
                 s = x[i] @ _half(hs[k].values, len(n)).T
@@ -272,10 +275,18 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, top: int = TOP
         frontier = state.select("q", "h", full.alias("least"), F.explode(F.slice(waiting, 1, opened)).alias("x")).select("q", "h", "least", F.col("x.near").alias("p"))
         if frontier.isEmpty():
             break
-        found = frontier.groupBy(_bucket("p", b).alias("b")).cogroup(lists_.groupBy(_bucket("p", b).alias("b"))).applyInArrow(meet, "q long, n long, s float")
+        # by inner product the largest vectors are in nearly every list: many queries open the same points at once
+        hot, hot_path = saved(spark, frontier.groupBy("p").count().where(F.col("count") > HOT_ROWS).select("p", F.ceil(F.col("count") / HOT_ROWS).alias("parts")), "hot")
+        ours, theirs = frontier.withColumn("part", F.lit(0).cast("long")), lists_.withColumn("part", F.lit(0).cast("long"))
+        if n_hot := hot.count():
+            hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+            ours = frontier.join(hot, "p", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("q"), "parts"), F.lit(0))).drop("parts")
+            theirs = lists_.join(hot, "p", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        bucket = F.when(F.col("part") == 0, _bucket("p", b)).otherwise(F.pmod(F.xxhash64("p", "part"), F.lit(b))).alias("b")
+        found = ours.groupBy(bucket).cogroup(theirs.groupBy(bucket)).applyInArrow(meet, "q long, n long, s float")
         after = state.groupBy(_bucket("q", b).alias("b")).cogroup(found.groupBy(_bucket("q", b).alias("b"))).applyInArrow(advance, _STATE)
         after, new_path = saved(spark, after, "state")
-        dropped(spark, path)
+        dropped(spark, path, hot_path)
         freed(spark)
         state, path = after, new_path
     dropped(spark, lists_path)
