@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import bin_equal, bin_irregular, boundary_after, boundary_at_or_after, or_else, seed_of, side_of, window_index
-from tidemark.operators import engine, events, linear, snapshots, states, stats, survival, time, workloads
+from tidemark.operators import engine, events, linear, snapshots, states, stats, survival, time, vectors, workloads
 from tidemark.sources import logs
 
 
