@@ -29,24 +29,55 @@ _PHASES = {"HANDOFF_WAITING": ("handoff_wait", "prefill_terminal_ns"), "KV_QUEUE
 _AGE_BIN = _case("{x}", [d * DAY_NS for d in DAYS[1:]], len(DAYS) - 1)
 
 
-@query(f"""{AT}, z AS (SELECT *, {_DEC} AS worker, {_bins("input_tokens")} AS x FROM s),
-g AS (SELECT z.request_id, z.k, CAST(coalesce(sum(e.n), 0) AS BIGINT) AS generated FROM z LEFT JOIN em e ON e.request_id = z.request_id AND e.component <> 'prefill' AND e.ts_ns < z.t WHERE z.state = 'DECODE_RUNNING' AND worker IS NOT NULL GROUP BY z.request_id, z.k),
+#: Emissions, and what memberships of an engine say was there before: computed tokens of a prefill, context of a decode.
+_MARKS = "mk AS (SELECT request_id, ts_ns, seq, n, component, 40 * coalesce(sum(n) OVER (PARTITION BY request_id, component ORDER BY ts_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM em)"
+#: The context of a decode, from nothing known (its request's input) up, and the slack between tokens against a limit of 6 days.
+CONTEXTS, PAUSE, PAUSES = [0, 500, 1000, 2000, 4000], 6, [-30, -10, 0, 3]
+
+
+def marks(t: Tables) -> DataFrame:
+    """(request_id, ts_ns, seq, generated, emitted_ns, computed, context_0, context_1) of each emission and membership."""
+    before = F.coalesce(F.sum("n").over(W.partitionBy("request_id", "component").orderBy("ts_ns", "seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) * 40
+    of = lambda kind, v: F.when(F.col("component") == kind, v)
+    decoded = F.col("component") != "prefill"
+    return t.em.select("request_id", "ts_ns", "seq", F.when(decoded, F.col("n")).alias("generated"), F.when(decoded, F.col("ts_ns")).alias("emitted_ns"), of("prefill", before).alias("computed"), *(of(f"decode-{i}", before).alias(f"context_{i}") for i in (0, 1)))
+
+
+@query(f"""{AT}, {_MARKS}, z AS (SELECT *, {_DEC} AS worker, {_bins("input_tokens")} AS x FROM s),
+j AS (SELECT z.request_id, z.k, CAST(coalesce(sum(e.n) FILTER (WHERE component <> 'prefill'), 0) AS BIGINT) AS generated, max(e.ts_ns) FILTER (WHERE component <> 'prefill') AS emitted_ns,
+             arg_max(before, ROW(e.ts_ns, e.seq)) FILTER (WHERE component = 'prefill') AS computed, arg_max(before, ROW(e.ts_ns, e.seq)) FILTER (WHERE component = worker) AS context
+      FROM z LEFT JOIN mk e ON e.request_id = z.request_id AND e.ts_ns < z.t WHERE z.state IN ('PREFILL_RUNNING', 'DECODE_WAITING', 'DECODE_RUNNING') GROUP BY z.request_id, z.k),
+g AS (SELECT z.*, generated, emitted_ns, coalesce(computed, 0) AS computed, coalesce(nullif(context, 0), input_tokens) AS context, {_case("coalesce(nullif(context, 0), input_tokens)", [str(c) for c in CONTEXTS[1:]], len(CONTEXTS) - 1)} AS c FROM z JOIN j ON j.request_id = z.request_id AND j.k = z.k),
 a AS (SELECT k, 'prefill_wait' AS block, '' AS worker, x, {_AGE_BIN.format(x="t - submit_ns")} AS y, 1 AS n, input_tokens AS mass FROM z WHERE state = 'PREFILL_WAITING'
       UNION ALL SELECT k, 'prefill_slack', '', x, {_case(f"{LIMIT * DAY_NS} - (t - arrival_ns)", [f"{s * DAY_NS}" for s in SLACKS], len(SLACKS))}, 1, input_tokens FROM z WHERE state IN ('PREFILL_WAITING', 'PREFILL_RUNNING')
       {" ".join(f"UNION ALL SELECT k, '{b}', worker, 0, {_AGE_BIN.format(x=f'coalesce(t - {anchor}, 0)')}, 1, expected_tokens FROM z WHERE state = '{state}' AND worker IS NOT NULL" for state, (b, anchor) in _PHASES.items())}
-      UNION ALL SELECT z.k, 'decode_running', worker, x, {_case("generated / greatest(expected_tokens, 1)", [str(p) for p in PROGRESS[1:]], len(PROGRESS) - 1)}, 1, greatest(expected_tokens - generated, 0) FROM z JOIN g ON g.request_id = z.request_id AND g.k = z.k)
+      UNION ALL SELECT k, 'prefill_running', '', x, {_case("computed / greatest(input_tokens, 1)", [str(p) for p in PROGRESS[1:]], len(PROGRESS) - 1)}, 1, greatest(input_tokens - computed, 0) FROM g WHERE state = 'PREFILL_RUNNING'
+      UNION ALL SELECT k, 'first_token_pending', worker, c, 0, 1, context FROM g WHERE state = 'DECODE_WAITING' AND worker IS NOT NULL AND emitted_ns IS NULL
+      UNION ALL SELECT k, 'decode_wait', worker, c, {_case(f"{PAUSE * DAY_NS} - (t - emitted_ns)", [f"{s * DAY_NS}" for s in PAUSES], len(PAUSES))}, 1, context FROM g WHERE state = 'DECODE_WAITING' AND worker IS NOT NULL AND emitted_ns IS NOT NULL
+      UNION ALL SELECT k, b, worker, c, {_case("generated / greatest(expected_tokens, 1)", [str(p) for p in PROGRESS[1:]], len(PROGRESS) - 1)}, 1, CASE b WHEN 'decode_running' THEN greatest(greatest(expected_tokens, 1) - generated, 0) ELSE context END
+      FROM g, (SELECT unnest(['decode_running', 'decode_context']) AS b) WHERE state = 'DECODE_RUNNING' AND worker IS NOT NULL)
 SELECT k, block, worker, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, count(*) AS n, CAST(sum(mass) AS BIGINT) AS mass FROM a WHERE y IS NOT NULL GROUP BY k, block, worker, x, y""")
 def state_blocks(t: Tables) -> DataFrame:
     """Every two-dimensional block of the state, a row for each cell that isn't empty: intervals cut where a cell ends, then deltas."""
     spans = states.intervals(t.life).withColumn("worker", F.expr(_DEC)).withColumn("x", bin_irregular("input_tokens", LENGTHS))
-    days = [d * DAY_NS for d in DAYS]
+    days, slacks, pauses = ([d * DAY_NS for d in x] for x in (DAYS, SLACKS, PAUSES))
     is_ = lambda *x: F.col("state").isin(*x)
     none, x, prompt, routed = F.lit(""), F.col("x"), F.col("input_tokens"), F.col("worker").isNotNull()
-    of = [(is_("PREFILL_WAITING"), vectors.aged("prefill_wait", "submit_ns", days, none, x, prompt)), (is_("PREFILL_WAITING", "PREFILL_RUNNING"), vectors.slack("prefill_slack", "arrival_ns", LIMIT * DAY_NS, [s * DAY_NS for s in SLACKS], none, x, prompt))]
+    of = [(is_("PREFILL_WAITING"), vectors.aged("prefill_wait", "submit_ns", days, none, x, prompt)), (is_("PREFILL_WAITING", "PREFILL_RUNNING"), vectors.slack("prefill_slack", "arrival_ns", LIMIT * DAY_NS, slacks, none, x, prompt))]
     of += [(is_(state) & routed, vectors.aged(block, anchor, days, F.col("worker"), F.lit(0), F.col("expected_tokens"))) for state, (block, anchor) in _PHASES.items()]
-    emitted = t.em.where("component <> 'prefill'").select("request_id", "ts_ns", "n")
-    running = spans.where("state = 'DECODE_RUNNING' and worker is not null")
-    pieces = vectors.cells(spans, of).unionByName(vectors.progressing(running, "decode_running", emitted, "request_id", "expected_tokens", PROGRESS, F.col("worker"), x))
+
+    known = spans.where(is_("PREFILL_RUNNING") | (is_("DECODE_WAITING", "DECODE_RUNNING") & routed))
+    known = vectors.tracked(known, marks(t), "request_id", ["generated"], ["emitted_ns", "computed", "context_0", "context_1"], "seq")
+    met = F.when(F.col("worker") == "decode-0", F.col("context_0")).otherwise(F.col("context_1"))
+    known = known.withColumn("computed", F.coalesce("computed", F.lit(0))).withColumn("context", F.coalesce(F.nullif(met, F.lit(0)), prompt)).withColumn("c", bin_irregular("context", [*CONTEXTS, None]))
+    context, c, worker, expected, begun = F.col("context"), F.col("c"), F.col("worker"), F.greatest("expected_tokens", F.lit(1)), F.col("emitted_ns").isNotNull()
+    prefilled, decoded = (vectors.share_bin(F.col(a) / b, PROGRESS) for a, b in (("computed", F.greatest(prompt, F.lit(1))), ("generated", expected)))
+    running = F.concat(vectors.whole("decode_running", worker, c, decoded, F.greatest(expected - F.col("generated"), F.lit(0))), vectors.whole("decode_context", worker, c, decoded, context))
+    further = [
+        (is_("PREFILL_RUNNING"), vectors.whole("prefill_running", none, x, prefilled, F.greatest(prompt - F.col("computed"), F.lit(0)))), (is_("DECODE_WAITING") & ~begun, vectors.whole("first_token_pending", worker, c, F.lit(0), context)),
+        (is_("DECODE_WAITING") & begun, vectors.slack("decode_wait", "emitted_ns", PAUSE * DAY_NS, pauses, worker, c, context)), (is_("DECODE_RUNNING"), running),
+    ]
+    pieces = vectors.cells(spans, of).unionByName(vectors.cells(known, further))
     amounts = {"n": F.lit(1).cast("long"), "mass": F.col("mass")}
     return time.dense_inventory(pieces, ["block", "worker", "x", "y"], "start_ns", "end_ns", WEEK, amounts, last_boundary(t)).where("n > 0").select("k", "block", "worker", "x", "y", "n", "mass")
 
