@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import DAY_NS, ratio, signed, window_index
-from tidemark.operators import attribution, dynamics, linear, rollouts, stats, survival as life, time
+from tidemark.operators import attribution, dynamics, linear, representation, rollouts, stats, survival as life, time
 from tidemark.plans.events import _FLOWS, _STAGES, flows, staged
 from tidemark.plans.registry import Tables, normal_equations, query
 from tidemark.plans.windows import WEEK, weekly
+from tidemark.sources.sinks import scratch
 
 _LONG = "lo AS (SELECT vec_id, label, CAST(i - 1 AS INTEGER) AS dim, CAST(v AS DOUBLE) AS v FROM (SELECT vec_id, label, unnest(embedding) AS v, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) z)"
 _FS = "fs AS (SELECT dim, count(*) AS n, avg(v) AS mean, stddev_pop(v) AS std, count(*) FILTER (WHERE v <> 0) AS nonzero, min(v) AS lo, max(v) AS hi FROM lo GROUP BY dim)"
@@ -123,6 +124,64 @@ def pod_moments(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(width, float((v**2).sum() / v.sum() ** 2))], "dims long, c double").select("dims", F.round("c", 9).alias("concentration"))
 
 
+#: Of 64 components, 0 to 15 mirror 16 to 31; the others stand alone, balanced by blocks of 16.
+_HALVES = f"""{_NORM}, pr AS (SELECT a.vec_id, a.dim, (a.v + b.v) / 2 AS m, (a.v - b.v) / 2 AS h FROM lo a JOIN lo b ON a.vec_id = b.vec_id AND b.dim = a.dim + 16 WHERE a.dim < 16),
+ps AS (SELECT dim, avg(m) AS mm, stddev_pop(m) AS ms, avg(h) AS hm, stddev_pop(h) AS hs FROM pr GROUP BY dim),
+nr AS (SELECT vec_id, 'common' AS part, 'block ' || block AS block, CASE WHEN active THEN (v - mean) / std * weight ELSE 0 END AS z FROM lo JOIN nw ON lo.dim = nw.dim WHERE lo.dim >= 32
+       UNION ALL SELECT vec_id, 'common', 'means', (m - mm) / ms FROM pr JOIN ps ON pr.dim = ps.dim UNION ALL SELECT vec_id, 'difference', 'halves', (h - hm) / hs FROM pr JOIN ps ON pr.dim = ps.dim)"""
+
+
+def represented(t: Tables) -> tuple[representation.Representation, list[str]]:
+    """The representation of all vectors with every mode, and the blocks of the common part's components."""
+    names = [f"{'a.' if i < 16 else 'b.' if i < 32 else 'c.'}{i % 16 if i < 32 else i}" for i in range(64)]
+    blocks = [f"block {i // 16}" for i in range(64)]
+    pairs = representation.paired(names, [("a.", "b.")])
+    return representation.fit(t.embeddings, "embedding", pairs, blocks, (48, 16)), [blocks[i] for i in pairs.rest] + ["means"] * 16
+
+
+@query(f"{_HALVES} SELECT vec_id, round(sum(z * z) FILTER (WHERE part = 'common'), 4) AS common, round(sum(z * z) FILTER (WHERE part = 'difference'), 4) AS difference FROM nr GROUP BY vec_id")
+def frozen_encode(t: Tables) -> DataFrame:
+    """Energy of each vector's coordinates by part; with all modes it is that of what is normalised, which SQL has."""
+    found, _ = represented(t)
+    z = t.embeddings.select("vec_id", representation.matrix(found.encode, F.col("embedding")).alias("z"))
+    energy = lambda a, n: F.round(F.aggregate(F.slice("z", a, n), F.lit(0.0), lambda s, x: s + x * x), 4)
+    return z.select("vec_id", energy(1, 48).alias("common"), energy(49, 16).alias("difference"))
+
+
+@query(f"""{_LONG}, w AS (SELECT a.vec_id, a.dim, round(a.v, 4) AS v, round(a.v - b.v, 4) AS d FROM lo a LEFT JOIN lo b ON b.vec_id = a.vec_id AND b.dim = a.dim + 16 AND a.dim < 16)
+SELECT vec_id, dim, CASE WHEN v = 0 THEN 0 ELSE v END AS v, CASE WHEN d = 0 THEN 0 ELSE d END AS difference FROM w""")
+def frozen_decode(t: Tables) -> DataFrame:
+    """Vectors encoded with a representation that was written and read again, and decoded: they come back whole."""
+    path = scratch(t.spark, "representation")
+    digest = representation.frozen(t.spark, represented(t)[0], path)
+    found = representation.thawed(t.spark, path, digest)
+    z = t.embeddings.select("vec_id", representation.matrix(found.encode, F.col("embedding")).alias("z"))
+    back = z.select("vec_id", representation.matrix(found.decode, F.col("z")).alias("x"), representation.matrix(found.differences, F.col("z")).alias("d"))
+    plain = lambda c: F.when(F.round(c, 4) == 0, 0.0).otherwise(F.round(c, 4))  # noqa: E731  # no zero below zero
+    return back.select("vec_id", F.posexplode("x").alias("dim", "v"), "d").select("vec_id", "dim", plain(F.col("v")).alias("v"), plain(F.get("d", F.col("dim"))).alias("difference"))
+
+
+@query(f"{_HALVES} SELECT part, block, round(sum(z * z) / count(DISTINCT vec_id), 5) AS energy FROM nr GROUP BY part, block")
+def mode_shares(t: Tables) -> DataFrame:
+    """Energy by block: each mode's energy times the block's share of it, over all modes."""
+    found, blocks = represented(t)
+    of = {"common": blocks, "difference": ["halves"] * 16}
+    rows = [(part, b, float(s @ getattr(found, f"{part}_energy"))) for part, names in of.items() for b, s in found.shares(part, names).items()]
+    return t.spark.createDataFrame(rows, "part string, block string, energy double").select("part", "block", F.round("energy", 5).alias("energy"))
+
+
+_FAMILIES = {"low": (range(4), range(16, 20)), "mid": (range(4, 12), range(20, 28)), "one": ((12,), (28,)), "rest": (range(32, 64), ())}
+
+
+@query(f"{_LONG} SELECT vec_id, " + ", ".join(f"round(coalesce(sum(v) FILTER (WHERE dim IN ({', '.join(map(str, a))})), 0) - {'coalesce(sum(v) FILTER (WHERE dim IN (' + ', '.join(map(str, b)) + ')), 0)' if b else '0'}, 5) AS {n}" for n, (a, b) in _FAMILIES.items()) + " FROM lo GROUP BY vec_id")
+def descriptor_sums(t: Tables) -> DataFrame:
+    """Sums of mirrored components, left less right, by family of names; the last descriptor has no right side."""
+    names = [f"{'a' if i < 16 else 'b'}.{('low', 'mid', 'mid', 'one')[i % 16 // 4] if i % 16 < 13 else 'other'}.{i % 16}" if i < 32 else f"c.{i}" for i in range(64)]
+    of = representation.families(names, ["low", "mid", "one"], [("a.", "b.")]) | {"rest": (list(range(32, 64)), [])}
+    found = t.embeddings.select("vec_id", *representation.descriptors("embedding", of))
+    return found.select("vec_id", *(F.round(c, 5).alias(c) for c in of))
+
+
 @query(f"""{_STAY}, x AS (SELECT ln(1 + mass) AS f, (b - a) / 1e9 AS d FROM sy), m AS (SELECT count(*) AS n, avg(f) AS m, stddev_pop(f) AS s FROM x), y AS (SELECT (f - m) / s AS z, d, ln(1 + d) AS y, n FROM x, m),
 k AS (SELECT avg(y) AS c, sum(z * y) / (count(*) + 10) AS w FROM y) SELECT round(c, 6) AS constant, round(w, 6) AS weight, round(sqrt(avg(pow(exp(c + w * z) - 1 - d, 2))) / 86400, 6) AS error_days FROM y, k GROUP BY c, w""")
 def delay_kernel(t: Tables) -> DataFrame:
