@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import DAY_NS, ratio, signed, window_index
-from tidemark.operators import attribution, dynamics, linear, representation, rollouts, stats, survival as life, time
+from tidemark.operators import attribution, dynamics, linear, protocol, representation, rollouts, stats, survival as life, time
 from tidemark.plans.events import _FLOWS, _STAGES, flows, staged
 from tidemark.plans.registry import Tables, normal_equations, query
 from tidemark.plans.windows import WEEK, weekly
@@ -610,3 +610,53 @@ def event_attribution(t: Tables) -> DataFrame:
     predicted = rows.select("side", "route_ns", "ready_ns", "admission_ns", "terminal_ns", kernel("route_ns", "ready_ns").alias("handoff_ns"), kernel("ready_ns", "admission_ns").alias("waiting_ns"))
     found = attribution.errors(attribution.worlds(predicted), ["side"], WEEK, 1 << 40)
     return found.select("world", "stage", "n", F.round("nrmse", 6).alias("nrmse"), F.round("bias", 6).alias("bias"), F.round("exact", 9).alias("exact"))
+
+
+_SPLIT = "CASE run % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END"
+_GRID = [(rank, penalty) for rank in (1, 2) for penalty in (0.01, 1.0, 100.0)]
+_TOLERANCE = 0.005
+
+
+def _candidate(rank: int, penalty: float, learned: str, errors: str) -> str:
+    """A query of a candidate's errors: fitted on the rows with a split among ``learned``."""
+    features = [f"x{i}" for i in range(rank)] + ["one"]
+    fit = normal_equations(f"(SELECT * FROM fr WHERE split IN ({learned}))", features, ["y"], penalty, 1)
+    of = " + ".join(f"b{i}_0 * {f}" for i, f in enumerate(features))
+    error = lambda s: f"sqrt(sum(pow(y - ({of}), 2)) FILTER (WHERE split = '{s}') / sum(y * y) FILTER (WHERE split = '{s}')) AS {s}"
+    return f"(WITH {fit} SELECT {rank} AS rank, CAST({penalty} AS DOUBLE) AS penalty, {', '.join(map(error, errors.split()))} FROM fr, th)"
+
+
+@query(f"""wk AS (SELECT run, arrival_ns // {WEEK} AS k, CAST(count(*) AS DOUBLE) AS n, sum(input_tokens) / 1000.0 AS m FROM att GROUP BY ALL),
+fr AS (SELECT * FROM (SELECT {_SPLIT} AS split, n AS x0, CAST(m AS DOUBLE) AS x1, lead(n) OVER (PARTITION BY run ORDER BY k) AS y, 1 AS one FROM wk) z WHERE y IS NOT NULL),
+ca AS ({" UNION ALL ".join(_candidate(r, p, "'train'", "train validation") for r, p in _GRID)}), te AS ({" UNION ALL ".join(_candidate(r, p, "'train', 'validation'", "test") for r, p in _GRID)}),
+ch AS (SELECT rank, penalty FROM ca WHERE validation <= (SELECT min(validation) FROM ca) + {_TOLERANCE} ORDER BY rank, validation, penalty DESC LIMIT 1),
+me AS (SELECT sqrt(sum(pow(y - m, 2)) / sum(y * y)) AS e FROM fr, (SELECT avg(y) AS m FROM fr WHERE split <> 'test') WHERE split = 'test')
+SELECT ca.rank, ca.penalty, round(train, 6) AS train, round(validation, 6) AS validation, ch.rank IS NOT NULL AS chosen, CASE WHEN ch.rank IS NOT NULL THEN round(test, 6) END AS test, CASE WHEN ch.rank IS NOT NULL THEN round(1 - test / e, 6) END AS skill
+FROM ca JOIN te ON ca.rank = te.rank AND ca.penalty = te.penalty LEFT JOIN ch ON ca.rank = ch.rank AND ca.penalty = ch.penalty, me""")
+def frozen_scan(t: Tables) -> DataFrame:
+    """Models of the next week's arrivals: candidates of a scan, the one that is frozen, and its error on the test, read after that."""
+    y = F.lead("n").over(W.partitionBy("run").orderBy("k"))
+    rows = weekly(t).select(F.expr(_SPLIT).alias("split"), F.array(F.col("n").cast("double"), F.col("tokens") / 1000).alias("x"), F.array(y.cast("double")).alias("y"), y.isNotNull().alias("_is")).where("_is").drop("_is")
+    p = protocol.Protocol(t.spark, scratch(t.spark, "scan"), rows)
+    protocol.scanned(p, "x", "y", sorted({c for _, c in _GRID}), sorted({r for r, _ in _GRID}), _TOLERANCE)
+    best = protocol.tested(p, "x", "y")
+    same = lambda c: (c["rank"], c["penalty"]) == (best["rank"], best["penalty"])
+    found = [(c["rank"], c["penalty"], c["train"], c["validation"], same(c), best["test"] if same(c) else None, best["skill"] if same(c) else None) for c in p.candidates()]
+    names = ("train", "validation", "test", "skill")
+    return t.spark.createDataFrame(found, "rank int, penalty double, train double, validation double, chosen boolean, test double, skill double").withColumns({c: F.round(c, 6) for c in names})
+
+
+@query(f"""wk AS (SELECT run, arrival_ns // {WEEK} AS k, count(*) AS n, sum(input_tokens) AS m FROM att GROUP BY ALL), ou AS (SELECT run, terminal_ns // {WEEK} AS k, count(*) AS done, sum(expected_tokens) AS out FROM life WHERE terminal_event = 'request_complete' AND terminal_ns IS NOT NULL GROUP BY ALL),
+jo AS (SELECT wk.run, row_number() OVER (PARTITION BY wk.run ORDER BY wk.k) - 1 AS i, n, m / 1000.0 AS m, coalesce(done, 0) AS done, coalesce(out, 0) / 1000.0 AS out FROM wk LEFT JOIN ou ON ou.run = wk.run AND ou.k = wk.k),
+bl AS (SELECT run, i // 25 AS block, CAST(sum(n) AS DOUBLE) / 25 AS n, CAST(sum(m) AS DOUBLE) / 25 AS m, 1 AS one, CAST(sum(done) AS DOUBLE) AS done, CAST(sum(out) AS DOUBLE) AS out FROM jo GROUP BY run, i // 25 HAVING count(*) = 25),
+{normal_equations("bl", ["n", "m", "one"], ["done", "out"], 1.0, 1)}
+SELECT run, block, done, round(b0_0 * n + b1_0 * m + b2_0, 3) AS done_predicted, round(out, 3) AS out, round(b0_1 * n + b1_1 * m + b2_1, 3) AS out_predicted FROM bl, th""")
+def slow_head(t: Tables) -> DataFrame:
+    """Outputs of twenty-five windows from the means of what arrived in them."""
+    ended = t.life.where("terminal_event = 'request_complete' and terminal_ns is not null")
+    outputs = ended.groupBy("run", window_index("terminal_ns", WEEK).alias("k")).agg(F.count("*").alias("done"), (F.sum("expected_tokens") / 1000.0).alias("out"))
+    rows = weekly(t).select("run", "k", "n", (F.col("tokens") / 1000.0).alias("m")).join(outputs, ["run", "k"], "left").fillna(0)
+    blocks = protocol.slow_rows(rows, ["run"], "k", 25, ["n", "m"], ["done", "out"])
+    head = dynamics.fitted(blocks, {"x": F.col("x")}, F.col("y"), 1.0)
+    p = head.column({"x": F.col("x")})
+    return blocks.select("run", "block", F.col("y")[0].alias("done"), F.round(p[0], 3).alias("done_predicted"), F.round(F.col("y")[1], 3).alias("out"), F.round(p[1], 3).alias("out_predicted"))
