@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,6 +74,33 @@ def run_rules(windows: DataFrame, applied: DataFrame, fast: int, levels: list[fl
     return out.unionByName(violations(back, "control_generation_not_strictly_monotonic", F.lit(None), F.col("n")))
 
 
+def state_rules(runs: DataFrame, events: DataFrame, slow: DataFrame, writers: DataFrame, health: DataFrame, blocks: int, split: str, topology: str) -> DataFrame:
+    """What must hold around a control run's signal, a violation for each code of a run.
+
+    runs: (run_id, base_valid, drained, errors, split, topology, pod_before, pod_after, restarts_before, restarts_after); events: (run_id, event_type);
+    slow: (run_id, complete: the row has all control fields); writers: (run_id, enqueued, written, dropped); health: (run_id, status).
+    Each table is counted by run in one shuffle of all of them. What isn't known of a run is a violation.
+    """
+    count = lambda df, **of: df.select("run_id", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.when(c, 1).otherwise(0).alias("v")) for n, c in of.items()))).alias("x")).select("run_id", "x.*")
+    is_ = lambda kind: F.col("event_type") == kind
+    facts = [
+        count(events, rejects=is_("actuator_rejected"), fallbacks=is_("actuator_safety_fallback")), count(slow, slow=F.lit(True), gone=~F.coalesce("complete", F.lit(False))),
+        count(writers, drops=F.coalesce(F.col("dropped") != 0, F.lit(True)), unequal=~F.col("written").eqNullSafe(F.col("enqueued"))), count(health, sick=~F.col("status").eqNullSafe(F.lit(200))),
+    ]
+    names = ["rejects", "fallbacks", "slow", "gone", "drops", "unequal", "sick"]
+    sums = reduce(DataFrame.unionByName, facts).groupBy("run_id").agg(*(F.sum(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in names))
+    g = runs.join(sums, "run_id", "left").fillna(0, names)
+    same = lambda a, b: F.col(a).eqNullSafe(b)
+    rules = {
+        "base_snapshot_invalid": ~same("base_valid", F.lit(True)), "slow_window_count": F.col("slow") != blocks, "slow_control_fields_missing": F.col("gone") > 0, "control_reject_present": F.col("rejects") > 0,
+        "safety_fallback_present": F.col("fallbacks") > 0, "inventory_not_drained": ~same("drained", F.lit(True)), "topology_drift": ~same("topology", F.lit(topology)), "writer_drop_nonzero": F.col("drops") > 0,
+        "writer_counter_mismatch": F.col("unequal") > 0, "workload_error_present": ~same("errors", F.lit(0)), "health_sample_failure": F.col("sick") > 0, "invalid_split": ~same("split", F.lit(split)),
+        "pod_uid_changed": F.col("pod_before").isNull() | ~same("pod_before", F.col("pod_after")), "pod_restart_detected": ~(same("restarts_before", F.lit(0)) & same("restarts_after", F.lit(0))),
+    }
+    codes = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())))
+    return violations(g.select("run_id", F.explode(codes).alias("c")), F.col("c"), F.lit(None), F.lit(None))
+
+
 def smoke_rules(events: DataFrame, fields: list[str], types: list[str]) -> DataFrame:
     """events: (run_id, event_type, event_seq, ts_ns, trace_id, attempt_id, decoder, command_id, applied_ns, fields: array of names present).
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import window_index
-from tidemark.operators import control, engine, internal, snapshots, time
+from tidemark.operators import control, engine, gates, internal, snapshots, time
 from tidemark.plans.events import DAMAGE, log, stage_intervals, transfer_events
 from tidemark.plans.registry import Tables, query
 from tidemark.plans.windows import BOUNDS, WEEK, bounds
@@ -252,3 +252,67 @@ def dq_control_smoke_rules(t: Tables) -> DataFrame:
         (F.col("ts_ns") + F.when(F.col("process") % 5 == 0, F.lit(1_000_000_000_000_000)).otherwise(0)).alias("applied_ns"), fields.alias("fields"),
     )
     return control.smoke_rules(rows, ["u", "generation"], ["actuator_applied", "actuator_rejected"]).drop("detail")
+
+
+_RUN_STATE = {"base_snapshot_invalid": "n % 3 = 0", "inventory_not_drained": "open > 0", "workload_error_present": "p > 0", "invalid_split": "run_id % 5 = 0", "topology_drift": "run_id % 11 = 0", "pod_uid_changed": "run_id % 13 = 0", "pod_restart_detected": "run_id % 17 = 0"}
+
+
+@query(f"""r AS (SELECT client AS run_id, count(*) AS n, count(*) FILTER (WHERE status = 'O') AS open, count(*) FILTER (WHERE status = 'P') AS p FROM att GROUP BY client),
+s AS (SELECT client AS run_id, count(DISTINCT arrival_ns // {25 * WEEK}) AS b, bool_or(input_tokens % 40 = 0) AS gone FROM att GROUP BY client), e AS (SELECT process AS run_id, bool_or(event_type = 'error' AND k % 5 = 0) AS rejected, bool_or(event_type = 'error' AND k % 7 = 0) AS fell, max(k) AS m, count(*) AS c FROM ev GROUP BY process),
+v AS ({" UNION ALL ".join(f"SELECT run_id, '{c}' AS code FROM r WHERE {x}" for c, x in _RUN_STATE.items())}
+      UNION ALL SELECT run_id, 'slow_window_count' FROM s WHERE b <> 9 UNION ALL SELECT run_id, 'slow_control_fields_missing' FROM s WHERE gone
+      UNION ALL SELECT r.run_id, x.code FROM r JOIN e ON e.run_id = r.run_id, (SELECT unnest(['control_reject_present', 'safety_fallback_present', 'writer_drop_nonzero', 'writer_counter_mismatch', 'health_sample_failure']) AS code) x
+                WHERE CASE x.code WHEN 'control_reject_present' THEN rejected WHEN 'safety_fallback_present' THEN fell WHEN 'writer_drop_nonzero' THEN c % 2 = 0 WHEN 'writer_counter_mismatch' THEN c % 3 = 0 ELSE m > 90 END)
+SELECT CAST(run_id AS VARCHAR) AS run_id, code FROM v""")
+def dq_control_state_rules(t: Tables) -> DataFrame:
+    """Runs are clients: their orders tell drain, errors and slow windows, the events of the user with their number the rest."""
+    r = F.col("run_id")
+    runs = t.att.groupBy(F.col("client").alias("run_id")).agg((F.count("*") % 3 != 0).alias("base_valid"), (F.count_if(F.col("status") == "O") == 0).alias("drained"), F.count_if(F.col("status") == "P").alias("errors"))
+    runs = runs.select("*", F.when(r % 5 == 0, "train").otherwise("held-out").alias("split"), F.when(r % 11 == 0, "2-2-4").otherwise("2-2-2").alias("topology"), F.lit("p").alias("pod_before"), F.when(r % 13 == 0, "q").otherwise("p").alias("pod_after"), F.lit(0).alias("restarts_before"), F.when(r % 17 == 0, 1).otherwise(0).alias("restarts_after"))
+    slow = t.att.groupBy(F.col("client").alias("run_id"), window_index("arrival_ns", 25 * WEEK).alias("k")).agg((F.count_if(F.col("input_tokens") % 40 == 0) == 0).alias("complete"))
+    kind = F.explode(F.array_compact(F.array(F.when(F.col("k") % 5 == 0, "actuator_rejected"), F.when(F.col("k") % 7 == 0, "actuator_safety_fallback"))))
+    events = t.ev.where("event_type = 'error'").select(F.col("process").alias("run_id"), kind.alias("event_type"))
+    c = t.ev.groupBy(F.col("process").alias("run_id")).agg(F.count("*").alias("n"))
+    writers = c.select("run_id", F.col("n").alias("enqueued"), F.when(F.col("n") % 3 == 0, F.col("n") - 1).otherwise(F.col("n")).alias("written"), F.when(F.col("n") % 2 == 0, 2).otherwise(0).alias("dropped"))
+    health = t.ev.select(F.col("process").alias("run_id"), F.when(F.col("k") > 90, 503).otherwise(200).alias("status"))
+    return control.state_rules(runs, events, slow, writers, health, 9, "held-out", "2-2-2").select("run_id", "code")
+
+
+_SIGNALS = ["input_tokens", "expected_tokens"]
+
+
+def _effects(name: str, keys: str) -> str:
+    """SQL: means and effects of the signals by keys, at sides 0 and 1."""
+    of = "SELECT {keys}, '{s}' AS signal, avg({v}) FILTER (WHERE side = 0) AS low, avg({v}) FILTER (WHERE side = 1) AS high, count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS b, var_samp({v}) FILTER (WHERE side = 0) AS va, var_samp({v}) FILTER (WHERE side = 1) AS vb FROM att GROUP BY {keys}"
+    parts = " UNION ALL ".join(of.format(keys=keys, s=s, v=v) for s, v in [("route", "client % 10"), *((x, x) for x in _SIGNALS)])
+    return f"{name} AS (SELECT *, CASE WHEN a >= 2 AND b >= 2 THEN (high - low) / sqrt(nullif((a - 1) * va + (b - 1) * vb, 0) / (a + b - 2)) END AS effect FROM ({parts}) z)"
+
+
+def _signals(t: Tables, keys: list[str]) -> DataFrame:
+    of = {"route": F.col("client") % 10} | {s: F.col(s) for s in _SIGNALS}
+    rows = t.att.select("workload", "run", "side", F.explode(F.array(*(F.struct(F.lit(n).alias("signal"), c.cast("double").alias("v")) for n, c in of.items()))).alias("x")).select("workload", "run", "side", "x.*")
+    return gates.responses(rows, [*keys, "signal"], "side", "v", 0, 1)
+
+
+@query(f"""{_effects("f", "workload, run")}, r AS (SELECT workload, run, bool_or(coalesce(high > low AND effect >= 0.25, FALSE)) AS ok FROM f WHERE signal <> 'route' GROUP BY workload, run)
+SELECT workload, count(*) AS runs, count(*) FILTER (WHERE ok) AS passed, count(*) FILTER (WHERE ok) >= 2 AS ok FROM r GROUP BY workload""")
+def pilot_gate(t: Tables) -> DataFrame:
+    """Working points are workloads, runs are years, control is the side that serves."""
+    return gates.authority(_signals(t, ["workload", "run"]).where("signal <> 'route'"), ["workload"], "run")
+
+
+@query(f"""{_effects("f", "workload, run")}, {_effects("kn", "workload")},
+j AS (SELECT f.workload, f.run, f.signal, f.low, f.high, f.effect, kn.low AS l, kn.high AS h, 0.2 * abs(kn.high - kn.low) AS m FROM f LEFT JOIN kn ON kn.workload = f.workload AND kn.signal = f.signal)
+SELECT workload, run, coalesce(bool_or(high > low) FILTER (WHERE signal = 'route'), FALSE) AS route_ok, coalesce(bool_or(high > low AND effect >= 0.25 AND l - m <= low AND high <= h + m) FILTER (WHERE signal <> 'route'), FALSE) AS state_ok FROM j GROUP BY workload, run""")
+def heldout_interpolation(t: Tables) -> DataFrame:
+    """Years of a workload against what is known of it over all years."""
+    return gates.interpolated(_signals(t, ["workload", "run"]), _signals(t, ["workload"]), ["workload"], "run", "signal", "route")
+
+
+@query("""l AS (SELECT workload, run, client % 4 AS level, avg(side) AS route, avg(input_tokens) AS a, avg(expected_tokens) AS b FROM att GROUP BY workload, run, client % 4),
+c AS (SELECT workload, run, CASE WHEN stddev_pop(route) > 0 THEN corr(level, route) END AS route, greatest(corr(level, a), corr(level, b)) AS state FROM l GROUP BY workload, run)
+SELECT workload, run, round(route, 6) AS route, round(state, 6) AS state, coalesce(route >= 0.7 AND state >= 0.5, FALSE) AS ok FROM c""")
+def heldout_robustness(t: Tables) -> DataFrame:
+    """Levels are clients modulo four; the routes are the mean side."""
+    rows = t.att.groupBy("workload", "run", (F.col("client") % 4).alias("level")).agg(F.avg("side").alias("r"), *(F.avg(s).alias(s) for s in _SIGNALS))
+    return gates.robust(rows, ["workload", "run"], "level", "r", _SIGNALS).select("workload", "run", F.round("route", 6).alias("route"), F.round("state", 6).alias("state"), "ok")
