@@ -26,10 +26,11 @@ def pct_linear(x: Column | str, q: float) -> Column:
 
 
 def pct_floor_by(df: DataFrame, keys: list[str], value: str, qs: list[float], names: list[str]) -> DataFrame:
-    """Floor-index percentiles by rank, so no group has to fit in one row."""
+    """(keys, names): sorted values at places floor((n - 1) q), from counts of distinct values in order; equal values are counted before the shuffle."""
+    counts = df.where(col(value).isNotNull()).groupBy(*keys, col(value).alias("_v")).agg(F.count("*").alias("_c"))
     w = W.partitionBy(*keys)
-    ranked = df.where(col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), F.count("*").over(w).alias("_n"))
-    return ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("_i") == F.floor((F.col("_n") - 1) * F.lit(q)), F.col("_v"))).alias(n) for q, n in zip(qs, names, strict=True)))
+    upto = counts.withColumn("_u", F.sum("_c").over(w.orderBy("_v").rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    return upto.groupBy(*keys).agg(*(F.min(F.when(F.col("_u") > F.floor((F.col("_n") - 1) * q), F.col("_v"))).alias(n) for q, n in zip(qs, names, strict=True)))
 
 
 def percentiles(df: DataFrame, keys: list[str], value: Column | str, qs: dict[str, float]) -> DataFrame:

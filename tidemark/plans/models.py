@@ -102,13 +102,17 @@ def project_dot(t: Tables) -> DataFrame:
     return z.select("vec_id", F.round(F.col("z")[0], 5).alias("z0"), F.round(F.col("z")[1], 5).alias("z1"))
 
 
+def _balanced(t: Tables, width: int) -> DataFrame:
+    """The vectors normalised by blocks of sixteen, where they are: a scale is as wide as a vector, so none is taken apart."""
+    scale = representation.scale_of(t.embeddings, "embedding", [str(i // 16) for i in range(width)])
+    return t.embeddings.select(representation.matrix(scale.to, F.col("embedding")).alias("z"))
+
+
 @query()
 def pod_energy(t: Tables) -> DataFrame:
     """Energy captured by rank, from the spectrum of the normalised vectors."""
     width = len(t.embeddings.select("embedding").first()[0])
-    rows = linear.normalized(linear.long_form(t.embeddings, "embedding", ["vec_id"]), normalizer(t), ["vec_id"])
-    wide = rows.groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "z"))), lambda x: x["z"]).alias("z"))
-    found = linear.captured(linear.pod(wide, "z", width), [4, 16, 32, width])
+    found = linear.captured(linear.pod(_balanced(t, width), "z", width), [4, 16, 32, width])
     return t.spark.createDataFrame(found, "rank int, energy double, error double")
 
 
@@ -118,9 +122,7 @@ SELECT count(DISTINCT i) AS dims, round(sum(g * g) / pow(sum(g) FILTER (WHERE i
 def pod_moments(t: Tables) -> DataFrame:
     """The sum of squared eigenvalues over the square of their sum, from the spectrum; SQL has them as the moments' norm and trace."""
     width = len(t.embeddings.select("embedding").first()[0])
-    rows = linear.normalized(linear.long_form(t.embeddings, "embedding", ["vec_id"]), normalizer(t), ["vec_id"])
-    wide = rows.groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "z"))), lambda x: x["z"]).alias("z"))
-    v = linear.pod(wide, "z", width).eigenvalues
+    v = linear.pod(_balanced(t, width), "z", width).eigenvalues
     return t.spark.createDataFrame([(width, float((v**2).sum() / v.sum() ** 2))], "dims long, c double").select("dims", F.round("c", 9).alias("concentration"))
 
 
