@@ -86,6 +86,7 @@ def scale_of(df: DataFrame, vector: str, blocks: Sequence[str] | None = None) ->
 
 def matrix(f, vector: Column) -> Column:
     """f of the batch's vectors as a matrix, by an Arrow function; null vectors stay null."""
+    linear.importable(SparkSession.active())
 
     @F.pandas_udf("array<double>")
     def run(x: pd.Series) -> pd.Series:
@@ -163,7 +164,6 @@ class Representation:
 
 def fit(df: DataFrame, vector: str, pairs: Pairs, blocks: Sequence[str], ranks: tuple[int, int]) -> Representation:
     """Learns from the rows of df: scales, then bases of so many modes. ``blocks`` are those of all components; they balance the rest."""
-    linear.importable(df.sparkSession)
     left, right, rest = (np.array(x, int) for x in (pairs.left, pairs.right, pairs.rest))
     known = df.where(F.col(vector).isNotNull())
     halves = known.select(
