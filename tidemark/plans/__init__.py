@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import events, models, rules, vectors, windows  # noqa: F401  they register their queries
+from tidemark.plans import events, models, replays, rules, vectors, windows  # noqa: F401  they register their queries
 from tidemark.plans.registry import ORACLES, QUERIES
 
 
