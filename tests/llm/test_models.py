@@ -156,3 +156,17 @@ def test_queries_that_open_one_point_are_dealt_to_its_copies(spark, monkeypatch)
     for q in range(0, 400, 20):
         want = [int(i) for i in sorted(range(400), key=lambda i: (-s[q, i], i)) if i != q][:20]
         assert [r[2] for r in plain if r[0] == q] == want
+
+
+def test_few_queries_need_no_count_of_the_lists_they_open(spark, monkeypatch):
+    """No list is opened by more queries than there are, so a hop of fewer than HOT_ROWS of them counts nothing."""
+    v = np.random.default_rng(13).standard_normal((120, 6))
+    rows, names, saved = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), [], ann.saved
+
+    def seen(spark, df, name):
+        names.append(name)
+        return saved(spark, df, name)
+
+    monkeypatch.setattr(ann, "saved", seen)
+    found = ann.nearest(rows, rows.select("vec_id")).count()
+    assert found == 120 * 20 and names.count("state") > 1 and "hot" not in names

@@ -14,7 +14,7 @@ hop is copied, and they are dealt to its copies. At last, the beam is scored ane
 precision on the original vectors.
 
 All tables are partitioned by the hash of a point in buckets of bounded size; nothing goes to the driver
-but counts. The graph's lists carry vectors in half precision, each with a power of two of its own.
+but counts. Each step's plans and tasks are garbage in the driver, which is collected after each table that is saved. The graph's lists carry vectors in half precision, each with a power of two of its own.
 
 Defined results: vectors that are null or zero, or have null or non-finite components, and rows with a
 null id take no part; vectors of another length than the most frequent one take no part either; of rows
@@ -137,6 +137,7 @@ def _start(spark: SparkSession, pts: DataFrame, n: int, buckets: int, k: int, se
         return run
 
     keyed, path = saved(spark, by_batch(pts, ["p", "h"], make_keys, "p long, h binary, g long"), "groups")
+    freed(spark)
     parts = keyed.groupBy("g").count().select("g", F.ceil(F.col("count") / (2 * GROUP)).alias("parts"))
     dealt = keyed.join(parts, "g").select("p", "h", F.xxhash64("g", F.pmod(F.xxhash64("p"), F.col("parts"))).alias("g"))
 
@@ -155,6 +156,7 @@ def build(spark: SparkSession, pts: DataFrame, k: int = NEIGHBOURS, rounds: int
     """The index of some points."""
     importable(spark)
     pts, _ = saved(spark, pts, "points")
+    freed(spark)
     n = pts.count()
     buckets = max(1, -(-n // BUCKET))
     if not n:
@@ -228,6 +230,7 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, top: int = TOP
     b = index.buckets
     lists_ = index.graph.select("p", F.explode("near").alias("n")).join(index.points.select(F.col("p").alias("n"), "h"), "n")
     lists_, lists_path = saved(spark, lists_.groupBy("p").agg(F.collect_list("n").alias("near"), F.collect_list("h").alias("hs")), "lists")
+    freed(spark)
     state = queries.select("q").distinct().join(index.points.select(F.col("p").alias("q"), "h"), "q")
     state = state.select("q", "h", F.array("q").alias("near"), F.array(F.lit(float("inf")).cast("float")).alias("score"), F.array(F.lit(False)).alias("open"))
     state, path = saved(spark, state, "state")
@@ -269,6 +272,7 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, top: int = TOP
         return pa.table({"q": ids, "h": pa.array([h[i] for i in ids.tolist()], pa.binary()), "near": lists(n, n_of, pa.int64()), "score": lists(s.astype(np.float32), n_of, pa.float32()), "open": lists(~closed.astype(bool), n_of, pa.bool_())})
 
     importable(spark)
+    crowded = state.count() > HOT_ROWS  # no more queries open a list than there are
     while True:
         waiting = F.filter(F.arrays_zip("near", "open"), lambda x: ~x["open"])
         full = F.when(F.size("near") > beam, F.element_at("score", -1)).otherwise(F.lit(float("-inf"))).cast("float")
@@ -276,17 +280,19 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, top: int = TOP
         if frontier.isEmpty():
             break
         # by inner product the largest vectors are in nearly every list: many queries open the same points at once
-        hot, hot_path = saved(spark, frontier.groupBy("p").count().where(F.col("count") > HOT_ROWS).select("p", F.ceil(F.col("count") / HOT_ROWS).alias("parts")), "hot")
-        ours, theirs = frontier.withColumn("part", F.lit(0).cast("long")), lists_.withColumn("part", F.lit(0).cast("long"))
-        if n_hot := hot.count():
-            hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
-            ours = frontier.join(hot, "p", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("q"), "parts"), F.lit(0))).drop("parts")
-            theirs = lists_.join(hot, "p", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        ours, theirs, used = frontier.withColumn("part", F.lit(0).cast("long")), lists_.withColumn("part", F.lit(0).cast("long")), [path]
+        if crowded:
+            hot, hot_path = saved(spark, frontier.groupBy("p").count().where(F.col("count") > HOT_ROWS).select("p", F.ceil(F.col("count") / HOT_ROWS).alias("parts")), "hot")
+            used.append(hot_path)
+            if n_hot := hot.count():
+                hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+                ours = frontier.join(hot, "p", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("q"), "parts"), F.lit(0))).drop("parts")
+                theirs = lists_.join(hot, "p", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
         bucket = F.when(F.col("part") == 0, _bucket("p", b)).otherwise(F.pmod(F.xxhash64("p", "part"), F.lit(b))).alias("b")
         found = ours.groupBy(bucket).cogroup(theirs.groupBy(bucket)).applyInArrow(meet, "q long, n long, s float")
         after = state.groupBy(_bucket("q", b).alias("b")).cogroup(found.groupBy(_bucket("q", b).alias("b"))).applyInArrow(advance, _STATE)
         after, new_path = saved(spark, after, "state")
-        dropped(spark, path, hot_path)
+        dropped(spark, *used)
         freed(spark)
         state, path = after, new_path
     dropped(spark, lists_path)
@@ -300,6 +306,7 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: st
     copies = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).join(queries.select(F.col(key).cast("long").alias("id")).distinct(), "id", "left_semi")
     asked = copies.groupBy("id").agg(F.min("v").alias("v")).withColumn("v", F.transform("v", lambda x: x + 0.0))
     asked, _ = saved(spark, asked.join(index.points.select("p", "v"), "v").select("id", F.col("p").alias("q")), "asked")
+    freed(spark)
     beams = search(spark, index, asked.select("q"), top)
     pairs = beams.select("q", F.explode("near").alias("p"))
     own = index.points.select(F.col("p").alias("q"), F.col("v").alias("w"))
