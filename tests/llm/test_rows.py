@@ -150,6 +150,30 @@ def test_divergence_by_hand(spark):
     assert divergence.divergence(df.where("false")).count() == 0
 
 
+def test_shards_of_divergence_follow_the_rows(spark, monkeypatch):
+    """Partial sums have a row for every pair of sources in every shard: more shuffle partitions may not make more of them."""
+    rows = [(" ".join(f"w{chr(97 + (i * j) % 26)}{chr(97 + j)}" for j in range(1, 12)), "en", f"s{i % 6}") for i in range(120)]
+    df, made, saved = spark.createDataFrame(rows, "text string, lang string, source string"), [], divergence.saved
+
+    def seen(spark, df, name):
+        found = saved(spark, df, name)
+        if name == "partial":
+            made.append(found[0].where("part = 'pair'").count())
+        return found
+
+    monkeypatch.setattr(divergence, "saved", seen)
+    monkeypatch.setattr(divergence, "LEAST_ROWS", 100)
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (3, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(map(tuple, divergence.divergence(df).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] and made[0] == made[1] > 30
+    assert [divergence.shards_of(n) for n in (0, 10, 101, 10**6, 10**9)] == [1, 1, 2, 16, 4000]
+
+
 def test_counts_beyond_64_bits():
     """2e10 occurrences times 10^9 don't fit in 64 bits."""
     import pyarrow as pa

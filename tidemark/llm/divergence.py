@@ -1,11 +1,13 @@
 """How far the sources of a language diverge in their terms (operator 13).
 
 Terms are the runs of ASCII letters and characters beyond ASCII, A-Z lower-cased. Each task counts its
-documents' terms with DuckDB in bounded pieces; the counts are dealt to shards by (language, term) and merged, so
-that neither a large source nor a large language nor a frequent term is one shard's work. In each shard DuckDB
+documents' terms with DuckDB in bounded pieces; the counts are dealt by (language, term) and merged, so
+that neither a large source nor a large language nor a frequent term is one task's work. In each part DuckDB
 keeps the terms of ``least_docs`` documents of the language; Spark adds up what every source and language needs
-from all shards (its occurrences and the language's number of terms). Then DuckDB makes each shard's partial sums
-for all pairs of sources and its best terms of each source, and Spark merges the sums and the rankings.
+from all of them (its occurrences and the language's number of terms). Then the kept rows are dealt to shards by
+(language, term), DuckDB makes each shard's partial sums for all pairs of sources and its best terms of each source,
+and Spark merges the sums and the rankings. A shard gives a row for every pair, so there are as many shards as the
+kept rows need, however many partitions Spark shuffles to.
 
 A term counts for every pair of its language's sources, also where neither has it. Those that neither has all
 give the same, and those that one of them has depend on its count alone, so a shard counts counts; only sources
@@ -26,7 +28,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ from tidemark.llm.common import column, importable, pieces, saved, texts
 LEAST_DOCS, MOST_TERMS = 3, 200
 #: Distinct (document, term) pairs that a task counts at once; memory that DuckDB takes in a task before it spills.
 PAIRS, MEMORY = 1_000_000, "400MB"
+#: Rows of a shard, but for the unevenness of hashing; fewer, but so many at least, while there are no more than ``FEW`` shards.
+SHARD_ROWS, LEAST_ROWS, FEW = 250_000, 10_000, 16
 #: Every byte of ASCII that isn't a letter becomes a blank; A-Z become a-z.
 _FOLD = bytes(i if i > 127 or chr(i).islower() else i + 32 if chr(i).isupper() else 32 for i in range(256))
 
@@ -97,23 +100,22 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
 
-_KEPT = pa.schema({"shard": pa.int32(), "lang": pa.string(), "source": pa.string(), "term": pa.string(), "n": pa.int64(), "total": pa.int64(), "first": pa.bool_()})
+_KEPT = pa.schema({"lang": pa.string(), "source": pa.string(), "term": pa.string(), "n": pa.int64(), "total": pa.int64(), "first": pa.bool_()})
 _KEEP = """
-SELECT {shard} AS shard, lang, source, term, n, total, source = first AS first
+SELECT lang, source, term, n, total, source = first AS first
 FROM counts JOIN (SELECT lang, term, CAST(sum(n) AS BIGINT) AS total, min(source) AS first FROM counts GROUP BY lang, term HAVING sum(docs) >= {least}) USING (lang, term)
 """
 
 
 def kept_terms(counts: DataFrame, least_docs: int) -> DataFrame:
-    """(shard, lang, source, term, n, total, first) of the kept terms; a partition of counts is a shard and has all of its terms' rows."""
+    """(lang, source, term, n, total, first) of the kept terms; a partition of counts has all of its terms' rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId()
         whole = list(batches)
         if whole:
-            yield from _batches(_sql(_KEEP.format(shard=shard, least=least_docs), counts=pa.Table.from_batches(whole)), _KEPT)
+            yield from _batches(_sql(_KEEP.format(least=least_docs), counts=pa.Table.from_batches(whole)), _KEPT)
 
-    return counts.mapInArrow(run, "shard int, lang string, source string, term string, n long, total long, first boolean")
+    return counts.mapInArrow(run, "lang string, source string, term string, n long, total long, first boolean")
 
 
 #: n, v: a source's occurrences and its language's terms; p0, p: what an absent and a present term have there.
@@ -149,6 +151,10 @@ UNION ALL SELECT lang, source, 'term', item, CAST(value AS DECIMAL(38, 0)) FROM
 _PARTIAL = pa.schema({"lang": pa.string(), "source": pa.string(), "part": pa.string(), "item": pa.string(), "value": pa.decimal128(38, 0)})
 
 
+def shards_of(rows: int) -> int:
+    return max(1, min(FEW, -(-rows // LEAST_ROWS)), -(-rows // SHARD_ROWS))
+
+
 def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, most_terms: int = MOST_TERMS) -> DataFrame:
     """(lang, source, part, item, value, rank); docs: (text, lang, source)."""
     spark = docs.sparkSession
@@ -164,7 +170,8 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, most_terms: int =
         .select("lang", "source", "n", F.sum("firsts").over(lang).alias("v"), F.sum("n").over(lang).alias("lang_n")),
         "groups",
     )
-    shards = (kept.agg(F.max("shard")).first()[0] or 0) + 1
+    shards = shards_of(kept.count())
+    kept = kept.withColumn("shard", F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int"))
     everywhere = groups.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def shard_sums(one: pa.Table, two: pa.Table) -> pa.Table:
