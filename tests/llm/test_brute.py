@@ -23,6 +23,19 @@ def test_tokens_are_those_of_a_fresh_tokenizer():
         assert got.tolist() == fresh.encode(text, add_special_tokens=False).ids + [2], repr(text)
 
 
+def test_parts_that_come_again_outlast_a_full_store(monkeypatch):
+    fresh, parts, rng = Tokenizer.from_file(BPE_JSON), rans.Parts(BPE_JSON, 2), random.Random(9)
+    monkeypatch.setattr(rans, "_PARTS", 40)
+    made, add = [], parts._add
+    monkeypatch.setattr(parts, "_add", lambda new: (made.extend(new), add(new)))
+    for k in range(40):
+        texts = [" ".join(f"x{rng.randrange(10**6)}é" for _ in range(9)), "q <|endoftext|>\n" + "z" * 60, None] + ["a word that comes often"] * (k % 3 > 0)
+        ids, n = parts.batch(texts)
+        for text, got in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+            assert got.tolist() == fresh.encode(text or "", add_special_tokens=False).ids + [2], repr(text)
+    assert Counter(made)["often"] == 1 and len(parts.rows) < 60
+
+
 def test_language_by_hand(spark):
     rng = random.Random(4)
     stems = {"aa": ["kato", "melin", "sura", "ovi"], "bb": ["kratz", "melun", "sturm", "ove"], "cc": ["ïlha", "çava", "melo", "sur"]}

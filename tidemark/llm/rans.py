@@ -10,7 +10,7 @@ carry the CRC-32 of their ids, which decoding verifies.
 
 Texts are cut where no match of the tokenizer's pre-split pattern can span (before a blank or line end
 after a character that isn't white space); each part that is new to a worker is encoded once by the
-tokenizers library, so the ids are those of the whole text. That holds for the literals of special tokens
+tokenizers library, many together with line ends between them, so the ids are those of the whole text. That holds for the literals of special tokens
 too, which the library replaces by their ids wherever they stand: they have no white space.
 
 The number of files grows with the bytes of text.
@@ -46,6 +46,8 @@ _HEAD = struct.Struct("<4sIIHBxII")
 _MAGIC = b"TRN1"
 #: Parts of texts that a worker keeps, their ids, and the longest part that it keeps.
 _PARTS, _IDS, _LONGEST = 500_000, 8_000_000, 48
+#: New parts that are encoded together.
+_JOINED = 256
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 _ODD = re.compile(r"\s\s|\x00")
 
@@ -135,21 +137,68 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
+class _Rows(dict):
+    """Part -> row; a part that it lacks gets the next row and is listed in ``new``."""
+
+    def __init__(self, *found):
+        super().__init__(*found)
+        self.new, self.next = [], len(self)
+
+    def __missing__(self, key: str) -> int:
+        row = self[key] = self.next
+        self.next += 1
+        self.new.append(key)
+        return row
+
+
 class Parts:
-    """Ids of texts by their parts, each new part being encoded once; one flat store of ids, with a place for each part."""
+    """Ids of texts by their parts, each new part being encoded once; one flat store of ids, with a place for each part.
+
+    When the store is full, the parts stay that have come again since it was last made room in.
+    """
 
     def __init__(self, path: str, end_id: int):
         self.encode, self.end = tokenizer(path), end_id
         self.kind = np.dtype("<u2" if max(self.encode.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+        line = self.encode.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
         self._clear()
 
     def _clear(self) -> None:
-        self.rows: dict[str, int] = {"": 0}
+        self.rows = _Rows({"": 0})
         self.ids, self.used = np.zeros(1 << 16, self.kind), 1
         self.ids[0] = self.end
-        self.at, self.n = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64)
+        self.at, self.n, self.again = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64), np.zeros(1 << 16, bool)
         self.count = 1
 
+    def _trim(self) -> None:
+        """Leaves the end id and the parts that came again; nothing else, if those fill half of the store."""
+        again = self.again[: self.count]
+        again[0] = True
+        at, n = self.at[: self.count][again], self.n[: self.count][again]
+        used, count = int(n.sum()), len(n)
+        if count > _PARTS // 2 or used > _IDS // 2:
+            return self._clear()
+        upto = np.cumsum(n)
+        ids = self.ids[np.repeat(at - (upto - n), n) + np.arange(used)]
+        row = np.cumsum(again) - 1
+        # a part that was too long to be kept has a row but no key
+        kept = sorted((int(row[k]), x) for x, k in self.rows.items() if again[k])
+        self._clear()
+        self._grow(count, used)
+        self.rows = _Rows({x: k for k, x in kept})
+        self.rows.next = count
+        self.ids[:used], self.at[:count], self.n[:count] = ids, upto - n, n
+        self.used, self.count = used, count
+
+    def _grow(self, count: int, ids: int) -> None:
+        """Makes room for so many more."""
+        if self.used + ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(ids, len(self.ids)), self.kind)])
+        if self.count + count > len(self.at):
+            more = max(count, len(self.at))
+            self.at, self.n, self.again = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.at, self.n, self.again))
+
     @staticmethod
     def keys(text: str) -> list[str]:
         """Parts; one that begins with NUL is literal, one with a line end too, others lack their blank."""
@@ -161,25 +210,39 @@ class Parts:
             found[-1] = "\0 "  # a blank at the end
         return found
 
-    def _add(self, new: list[str]) -> None:
+    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The parts' ids, one after another, and how many each has.
+
+        Parts with a blank are encoded together with line ends between them, each of which is an id of its own: no match spans them.
+        """
+        if self.line is not None and all(k[0] not in "\0\n" for k in new):
+            joined = ["\n".join([" " + k for k in new[i : i + _JOINED]]) + "\n" for i in range(0, len(new), _JOINED)]
+            flat = np.concatenate([np.array(e.ids, np.int64) for e in self.encode.encode_batch_fast(joined, add_special_tokens=False)])
+            ends = np.flatnonzero(flat == self.line)
+            if len(ends) == len(new):
+                return flat[flat != self.line], np.diff(ends, prepend=-1) - 1
         found = [e.ids for e in self.encode.encode_batch_fast([k[1:] if k[0] == "\0" else k if k[0] == "\n" else " " + k for k in new], add_special_tokens=False)]
         n = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(n.sum())
-        if self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), self.kind)])
-        if self.count + len(new) > len(self.at):
-            more = max(len(new), len(self.at))
-            self.at, self.n = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.at, self.n))
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), self.kind, total)
-        self.at[self.count : self.count + len(new)] = self.used + np.cumsum(n) - n
-        self.n[self.count : self.count + len(new)] = n
-        self.rows.update(zip(new, range(self.count, self.count + len(new)), strict=True))
-        self.used, self.count = self.used + total, self.count + len(new)
+        return np.fromiter((i for x in found for i in x), np.int64, int(n.sum())), n
+
+    def _add(self, new: list[str]) -> None:
+        """Ids of the parts whose rows come next."""
+        plain = np.fromiter((k[0] not in "\0\n" for k in new), bool, len(new))
+        for some in (plain, ~plain):
+            at = np.flatnonzero(some)
+            if not len(at):
+                continue
+            ids, n = self._encoded([new[k] for k in at.tolist()])
+            self._grow(len(new), len(ids))
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.at[self.count + at], self.n[self.count + at] = self.used + np.cumsum(n) - n, n
+            self.used += len(ids)
+        self.count += len(new)
 
     def batch(self, found: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, one after another, and how many each has (with the end id)."""
-        if len(self.rows) > _PARTS or self.used > _IDS:
-            self._clear()
+        if self.count > _PARTS or self.used > _IDS:
+            self._trim()
         keys: list[str] = []
         ends = []
         for x in found:
@@ -188,13 +251,14 @@ class Parts:
                 keys += part[1:] if part[0] == "\0" else part
             keys.append("")
             ends.append(len(keys))
-        new = list(set(keys).difference(self.rows))
-        if new:
-            self._add(new)
         row = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
-        for k in new:
-            if len(k) > _LONGEST:  # long parts hardly come again
-                del self.rows[k]
+        self.again[row[row < self.count]] = True
+        if new := self.rows.new:
+            self.rows.new = []
+            self._add(new)
+            for k in new:
+                if len(k) > _LONGEST:  # long parts hardly come again; the text goes, the row stays taken
+                    del self.rows[k]
         n = self.n[row]
         upto = np.cumsum(n)
         place = np.repeat(self.at[row] - (upto - n), n)
