@@ -170,3 +170,14 @@ def test_few_queries_need_no_count_of_the_lists_they_open(spark, monkeypatch):
     monkeypatch.setattr(ann, "saved", seen)
     found = ann.nearest(rows, rows.select("vec_id")).count()
     assert found == 120 * 20 and names.count("state") > 1 and "hot" not in names
+
+
+def test_sums_of_the_softmax_hold_for_logits_of_any_size():
+    rng = np.random.default_rng(14)
+    for most in (1, gru._SAFE, 500):
+        x = rng.uniform(-most, most, (50, 64)).astype(np.float32)
+        x[0], own = -most, rng.integers(0, 64, 50)
+        exact = x.astype(float) - np.log(np.exp(x - x.max(axis=1, keepdims=True).astype(float)).sum(axis=1, keepdims=True)) - x.max(axis=1, keepdims=True)
+        p, log_p = gru._softmax(x.copy(), own, True)
+        assert np.allclose(log_p, exact[np.arange(50), own], rtol=1e-5, atol=1e-4) and np.allclose(p, np.exp(exact), atol=1e-4)
+        assert np.allclose(gru._summed(p), p.sum(axis=0), atol=1e-4)

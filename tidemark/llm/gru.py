@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 
 HIDDEN, PER_CLASS, WINDOW, LANES = 32, 64, 16, 128
+#: Logits up to here need no shift before exp().
+_SAFE = 60
 
 
 def initial(counts: np.ndarray, hidden: int = HIDDEN, seed: int = 2) -> dict[str, np.ndarray]:
@@ -44,8 +46,9 @@ def _states(p: dict, x: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = No
     size, out = h.shape[1], np.empty((*x.shape, h.shape[1]), np.float32)
     if keep is not None:
         keep |= {"h": np.empty_like(out), "zr": np.empty((*x.shape, 2 * size), np.float32), "n": np.empty_like(out), "g": np.empty_like(out)}
+    starts = None if fresh is None else fresh.any(axis=1)
     for t in range(len(x)):
-        if fresh is not None and fresh[t].any():
+        if starts is not None and starts[t]:
             h = np.where(fresh[t][:, None], np.float32(0), h)
         gx, gu = p["T"][x[t]], h @ p["U"]
         zr = _logistic(gx[:, : 2 * size] + gu[:, : 2 * size])
@@ -59,13 +62,19 @@ def _states(p: dict, x: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = No
 
 def _softmax(x: np.ndarray, own: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities in place of x (if ``whole``), and the logarithm of each row's own."""
-    x -= x.max(axis=1, keepdims=True)
+    if x.size and not -_SAFE <= x.min() <= x.max() <= _SAFE:  # else no sum leaves the range of single precision
+        x -= x.max(axis=1, keepdims=True)
     found = x[np.arange(len(x)), own]
     np.exp(x, out=x)
-    total = x.sum(axis=1, keepdims=True)
+    total = x @ np.ones(x.shape[1], x.dtype)
     if whole:
-        x /= total
-    return x, found - np.log(total[:, 0])
+        x /= total[:, None]
+    return x, found - np.log(total)
+
+
+def _summed(e: np.ndarray) -> np.ndarray:
+    """The sum of the rows; as a product it takes a fraction of the time of sum(axis=0)."""
+    return np.ones(len(e), e.dtype) @ e
 
 
 def _output(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -78,7 +87,7 @@ def _output(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None) ->
     if grad is not None:
         e[np.arange(len(y)), cls] -= 1
         grad["C"] += h.T @ e
-        grad["c"] += e.sum(axis=0)
+        grad["c"] += _summed(e)
         dh = e @ p["C"].T
     ends = np.searchsorted(cls, np.arange(len(p["c"]) + 1))
     for k in np.flatnonzero(np.diff(ends)):
@@ -89,7 +98,7 @@ def _output(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None) ->
         if grad is not None:
             e[np.arange(len(own)), own] -= 1
             grad["W"][rows] += e.T @ h[at]
-            grad["w"][rows] += e.sum(axis=0)
+            grad["w"][rows] += _summed(e)
             dh[at] += e @ w
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
