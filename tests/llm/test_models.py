@@ -181,3 +181,22 @@ def test_sums_of_the_softmax_hold_for_logits_of_any_size():
         p, log_p = gru._softmax(x.copy(), own, True)
         assert np.allclose(log_p, exact[np.arange(50), own], rtol=1e-5, atol=1e-4) and np.allclose(p, np.exp(exact), atol=1e-4)
         assert np.allclose(gru._summed(p), p.sum(axis=0), atol=1e-4)
+
+
+def test_one_softmax_serves_all_classes_of_a_window(monkeypatch):
+    """Its cost follows the tokens, not the classes; results are those of each class by itself."""
+    rng, calls, softmax = np.random.default_rng(15), [], gru._softmax
+    p = gru.initial(rng.integers(1, 50, 640).astype(float), hidden=8)
+    p["W"], p["C"] = (rng.standard_normal(p[k].shape).astype(np.float32) for k in ("W", "C"))
+    h, y = rng.standard_normal((300, 8)).astype(np.float32), rng.integers(0, 640, 300)
+    monkeypatch.setattr(gru, "_softmax", lambda *a: calls.append(len(a[0])) or softmax(*a))
+    grad = {}
+    found, _ = gru._output(p, h, y, grad)
+    assert calls == [300, 300]
+    soft = lambda x: x - np.log(np.exp(x).sum())
+    for i in range(300):
+        k = y[i] // 64
+        rows = slice(64 * k, 64 * k + 64)
+        assert found[i] == pytest.approx(soft(h[i] @ p["C"] + p["c"])[k] + soft(p["W"][rows] @ h[i] + p["w"][rows])[y[i] - 64 * k], rel=1e-4)
+    assert {k: grad[k].shape for k in grad} == {k: p[k].shape for k in ("C", "c", "W", "w")}
+    assert (gru._order(np.array([70_000, 3, 70_000, 2]), 80_000) == [3, 1, 0, 2]).all()

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -295,3 +296,17 @@ def test_lm_score_is_the_product_over_tokens(spark, docs):
     got = {r.doc_id: r.score for r in lmscore.scored(docs, counts, known, weights).collect()}
     for r in docs.collect():
         assert got[r.doc_id] == pytest.approx(slow(r.text), rel=2e-4, abs=1e-3)
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_lm_words_of_many_texts_are_those_of_each(kind):
+    ascii_and_more = "".join(f"A{chr(i)}b" for i in range(128)) + "x\u0085Y\u00a0z \u2003\u00c4"
+    some = ["left out", " \t Aa\r\n  bB\x0b\x0c", None, "", " ", "\u0130I", ascii_and_more, "end "]
+    flat, n = lmscore.words_of(pa.array(some, kind).slice(1))
+    each = [lmscore.tokens(x) for x in some[1:]]
+    assert n.tolist() == [len(x) for x in each] and flat.to_pylist() == [w for x in each for w in x]
+    place = lmscore.rows_in(pa.array([b"bb", b"aa"]), flat)
+    assert place.tolist() == [{b"bb": 0, b"aa": 1}.get(w, -1) for x in each for w in x]
+    assert [x.tolist() for x in lmscore.sequences(np.arange(5, 8), np.array([2, 0, 1]))] == [[5, 6, lmscore.END], [lmscore.END], [7, lmscore.END]]
+    none, n = lmscore.words_of(pa.array([], kind))
+    assert len(none) == len(n) == 0

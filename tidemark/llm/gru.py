@@ -34,29 +34,36 @@ def initial(counts: np.ndarray, hidden: int = HIDDEN, seed: int = 2) -> dict[str
     }
 
 
-def _logistic(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 def _states(p: dict, x: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, keep: dict | None = None) -> np.ndarray:
     """States after each step of the inputs x (steps, lanes); a lane's state is zero before a step that is ``fresh``.
 
     ``keep`` gets what backpropagation needs.
     """
-    size, out = h.shape[1], np.empty((*x.shape, h.shape[1]), np.float32)
-    if keep is not None:
-        keep |= {"h": np.empty_like(out), "zr": np.empty((*x.shape, 2 * size), np.float32), "n": np.empty_like(out), "g": np.empty_like(out)}
+    size, kind = h.shape[1], p["U"].dtype
+    # a logistic is 0.5 * tanh(0.5 * x) + 0.5: the inner half is taken beforehand
+    zr, n = p["T"][:, : 2 * size][x], p["T"][:, 2 * size :][x]
+    zr *= 0.5
+    u_zr, u_n = 0.5 * p["U"][:, : 2 * size], p["U"][:, 2 * size :].copy()
+    out, g, prod = np.empty((*x.shape, size), kind), np.empty((*x.shape, size), kind), np.empty((x.shape[1], 2 * size), kind)
+    before = np.empty_like(out) if keep is not None else None
     starts = None if fresh is None else fresh.any(axis=1)
     for t in range(len(x)):
         if starts is not None and starts[t]:
             h = np.where(fresh[t][:, None], np.float32(0), h)
-        gx, gu = p["T"][x[t]], h @ p["U"]
-        zr = _logistic(gx[:, : 2 * size] + gu[:, : 2 * size])
-        n = np.tanh(gx[:, 2 * size :] + zr[:, size:] * gu[:, 2 * size :])
-        if keep is not None:
-            keep["h"][t], keep["zr"][t], keep["n"][t], keep["g"][t] = h, zr, n, gu[:, 2 * size :]
-        h = n + zr[:, :size] * (h - n)
-        out[t] = h
+        if before is not None:
+            before[t] = h
+        gates, new = zr[t], n[t]
+        gates += np.matmul(h, u_zr, out=prod)
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        new += gates[:, size:] * np.matmul(h, u_n, out=g[t])
+        np.tanh(new, out=new)
+        h = np.subtract(h, new, out=out[t])
+        h *= gates[:, :size]
+        h += new
+    if keep is not None:
+        keep |= {"h": before, "zr": zr, "n": n, "g": g}
     return out
 
 
@@ -64,7 +71,7 @@ def _softmax(x: np.ndarray, own: np.ndarray, whole: bool) -> tuple[np.ndarray, n
     """Probabilities in place of x (if ``whole``), and the logarithm of each row's own."""
     if x.size and not -_SAFE <= x.min() <= x.max() <= _SAFE:  # else no sum leaves the range of single precision
         x -= x.max(axis=1, keepdims=True)
-    found = x[np.arange(len(x)), own]
+    found = x.ravel()[np.arange(0, x.size, x.shape[1]) + own]
     np.exp(x, out=x)
     total = x @ np.ones(x.shape[1], x.dtype)
     if whole:
@@ -77,32 +84,45 @@ def _summed(e: np.ndarray) -> np.ndarray:
     return np.ones(len(e), e.dtype) @ e
 
 
+def _order(ids: np.ndarray, most: int) -> np.ndarray:
+    """The stable order of ids below ``most``; of 16 bits, numpy makes it by a radix sort."""
+    return np.argsort(ids.astype(np.uint16) if most <= 1 << 16 else ids, kind="stable")
+
+
 def _output(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log probability of y given the states h; with ``grad``, also adds up gradients and returns that of h."""
+    """Log probability of y given the states h; with ``grad``, also gives the outputs' gradients and returns that of h."""
+    classes, size, kind = len(p["c"]), h.shape[1], p["U"].dtype
+    order = _order(y // PER_CLASS, classes)
+    y = y[order]
     cls = y // PER_CLASS
-    order = np.argsort(cls, kind="stable")
-    h, y, cls = h[order], y[order], cls[order]
-    e, log_p = _softmax(h @ p["C"] + p["c"], cls, grad is not None)
-    dh = None
-    if grad is not None:
-        e[np.arange(len(y)), cls] -= 1
-        grad["C"] += h.T @ e
-        grad["c"] += _summed(e)
-        dh = e @ p["C"].T
-    ends = np.searchsorted(cls, np.arange(len(p["c"]) + 1))
-    for k in np.flatnonzero(np.diff(ends)):
-        at, rows = slice(ends[k], ends[k + 1]), slice(k * PER_CLASS, (k + 1) * PER_CLASS)
-        own, w = y[at] - k * PER_CLASS, p["W"][rows]
-        e, log_w = _softmax(h[at] @ w.T + p["w"][rows], own, grad is not None)
-        log_p[at] += log_w
-        if grad is not None:
-            e[np.arange(len(own)), own] -= 1
-            grad["W"][rows] += e.T @ h[at]
-            grad["w"][rows] += _summed(e)
-            dh[at] += e @ w
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    return log_p[back], None if dh is None else dh[back]
+    own = y - cls * PER_CLASS
+    bounds = np.searchsorted(cls, np.arange(classes + 1)).tolist()
+    spans = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+    s = np.ones((len(y), size + 1), kind)  # the last place is the bias
+    s[:, :size] = h[order]
+    words = np.concatenate([p["W"], p["w"][:, None]], axis=1).reshape(classes, PER_CLASS, size + 1)
+    e_class, e_word = s @ np.concatenate([p["C"], p["c"][None]]), np.empty((len(y), PER_CLASS), kind)
+    for k, at in spans:
+        np.matmul(s[at], words[k].T, out=e_word[at])
+    e_class, log_p = _softmax(e_class, cls, grad is not None)
+    e_word, log_w = _softmax(e_word, own, grad is not None)
+    found = np.empty_like(log_p)
+    found[order] = log_p + log_w
+    if grad is None:
+        return found, None
+    e_class.ravel()[np.arange(0, e_class.size, classes) + cls] -= 1
+    e_word.ravel()[np.arange(0, e_word.size, PER_CLASS) + own] -= 1
+    by_class, by_word = s.T @ e_class, np.zeros_like(words)
+    of_words = np.empty((len(y), size), kind)
+    for k, at in spans:
+        np.matmul(e_word[at].T, s[at], out=by_word[k])
+        np.matmul(e_word[at], words[k, :, :size], out=of_words[at])
+    grad["C"], grad["c"] = by_class[:size], by_class[size]
+    grad["W"], grad["w"] = by_word[..., :size].reshape(-1, size), by_word[..., size].ravel()
+    of_words += e_class @ p["C"].T
+    dh = np.empty_like(of_words)
+    dh[order] = of_words
+    return found, dh
 
 
 def windows(texts: list[np.ndarray], first: int, window: int | None = None, lanes: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -164,45 +184,52 @@ class Trainer:
             h = self._step(x, y, doc >= 0, fresh, np.zeros((x.shape[1], self.p["U"].shape[0]), np.float32) if h is None else h[: x.shape[1]])
 
     def _step(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> np.ndarray:
-        p, size, keep = self.p, h.shape[1], {}
-        grad = {k: np.zeros_like(v) for k, v in p.items() if k != "T"}
+        p, size, keep, grad = self.p, h.shape[1], {}, {}
         s = _states(p, x, h, fresh, keep)
         if mask.all():
             ds = _output(p, s.reshape(-1, size), y.ravel(), grad)[1].reshape(s.shape)
         else:
             ds = np.zeros_like(s)
             ds[mask] = _output(p, s[mask], y[mask], grad)[1]
-        z, r = keep["zr"][..., :size], keep["zr"][..., size:]
-        of_n = (1 - z) * (1 - keep["n"] ** 2)
-        of_z, of_r = (keep["h"] - keep["n"]) * z * (1 - z), of_n * keep["g"] * r * (1 - r)
-        # what each step's input and state get, for a unit at the step's output
-        units, back, dx, turned = np.concatenate([of_z, of_r, of_n], axis=2).reshape(*x.shape, 3, size), np.zeros_like(h), np.empty((*x.shape, 3, size), np.float32), p["U"].T.copy()
-        ends = fresh.any(axis=1)
-        du = np.empty_like(dx)
+        z, r, n = keep["zr"][..., :size], keep["zr"][..., size:], keep["n"]
+        of_n = (1 - z) * (1 - n * n)
+        # what the products with a step's state get, for a unit at the step's output
+        units = np.empty((*x.shape, 3, size), s.dtype)
+        of_r = units[..., 2, :]
+        np.multiply((keep["h"] - n) * z, 1 - z, out=units[..., 0, :])
+        np.multiply(of_n, r, out=of_r)
+        np.multiply(of_r * keep["g"], 1 - r, out=units[..., 1, :])
+        back, turned, ends = np.zeros_like(h, s.dtype), p["U"].T.copy(), fresh.any(axis=1)
         for t in range(len(x) - 1, -1, -1):
-            d = ds[t] + back
-            np.multiply(units[t], d[:, None], out=dx[t])
-            du[t, :, :2] = dx[t, :, :2]
-            np.multiply(dx[t, :, 2], r[t], out=du[t, :, 2])
-            back = d * z[t] + du[t].reshape(len(d), -1) @ turned
+            d, unit = ds[t], units[t]
+            d += back
+            unit *= d[:, None]
+            np.matmul(unit.reshape(len(d), -1), turned, out=back)
+            back += d * z[t]
             if ends[t]:
                 back[fresh[t]] = 0
-        grad["U"] += keep["h"].reshape(-1, size).T @ du.reshape(-1, 3 * size)
-        n = int(mask.sum())
-        self.seen += n
-        order = np.argsort(x, axis=None, kind="stable")
+        grad["U"] = keep["h"].reshape(-1, size).T @ units.reshape(-1, 3 * size)
+        np.multiply(of_n, ds, out=of_r)  # the input isn't behind the reset gate
+        count = int(mask.sum())
+        self.seen += count
+        order = _order(x.ravel(), len(p["w"]))
         of = x.ravel()[order]
         starts = np.flatnonzero(np.diff(of, prepend=-1))
-        dt = np.add.reduceat(dx.reshape(-1, 3 * size)[order], starts, axis=0)
+        dt = np.add.reduceat(units.reshape(-1, 3 * size)[order], starts, axis=0)
         for k, g in grad.items():
-            self._move(p[k], self.squares[k], g / n, ...)
-        self._move(p["T"], self.squares["T"], dt / n, of[starts])
+            self._move(p[k], self.squares[k], g / count, ...)
+        self._move(p["T"], self.squares["T"], dt / count, of[starts])
         return s[-1]
 
     def _move(self, value: np.ndarray, squares: np.ndarray, g: np.ndarray, at) -> None:
         np.clip(g, -1, 1, out=g)
-        squares[at] += g * g
-        value[at] -= self.rate * g / np.sqrt(squares[at])
+        total = squares[at]
+        total += g * g
+        if at is not ...:
+            squares[at] = total
+        g *= self.rate
+        g /= np.sqrt(total)
+        value[at] -= g
 
 
 def packed(p: dict[str, np.ndarray]) -> np.ndarray:

@@ -19,24 +19,24 @@ play no part.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import gru
-from tidemark.llm.common import by_batch, column, dropped, importable, saved, texts
+from tidemark.llm.common import by_batch, column, dropped, importable, pieces, saved
 
 HEAD, VOCABULARY = 300_000, 2048
 SAMPLE, ROUNDS, ROUND_TOKENS = 1, 2, 1 << 24
 #: Texts, and their tokens, that are dealt to lanes together.
 _TEXTS, _TOKENS = 4096, 1 << 21
-#: Counts that a task holds before it hands them on; models that one task adds up.
-_HELD, _FAN_IN = 400_000, 16
+#: Bytes of words that a task holds before it counts them and hands the counts on; models that one task adds up.
+_HELD, _FAN_IN = 1 << 25, 16
 END, RARE = 0, 1  # ids; the words follow
 
 
@@ -45,24 +45,37 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def words_of(found: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The ``tokens`` of some texts, one text after another, and how many each has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(found, "")))
+    flat = split.flatten()
+    real = pc.greater(pc.binary_length(flat), 0)  # there are empty strings around blanks at a text's ends
+    upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return flat.filter(real).cast(pa.binary()), np.diff(upto[split.offsets.to_numpy()])
+
+
 def counted(training: DataFrame, text: str = "text") -> DataFrame:
     """(word: binary, c: long); the end is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
+        held, ends = [], 0
 
         def out():
-            row = pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], names=["word", "c"])
-            n.clear()
-            return row
+            found = pc.value_counts(pa.chunked_array(held, pa.binary()))
+            held.clear()
+            return pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["word", "c"])
 
         for batch in batches:
-            for x in texts(batch):
-                n.update(tokens(x))
-                n[b""] += 1
-                if len(n) > _HELD:
+            for piece in pieces(batch):
+                flat, n = words_of(column(piece, "text"))
+                held.append(flat)
+                ends += len(n)
+                if sum(x.nbytes for x in held) > _HELD:
                     yield out()
-        yield out()
+        if held:
+            yield out()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([ends], pa.int64())], names=["word", "c"])
 
     importable(training.sparkSession)
     return training.select(F.col(text).alias("text")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -81,6 +94,7 @@ class Vocabulary:
         self.id = np.full(len(head) + 1, RARE, np.int64)
         self.id[own] = np.arange(2, 2 + len(own))
         self.id[self.end] = END
+        self.words, self.own = pa.array(head, pa.binary()), pa.array([head[k] for k in own], pa.binary())
         rare_n, rare_v = n_tokens - int(self.c[own].sum()) - int(self.c[self.end] if ends is not None else 0), n_words - len(own) - (ends is not None)
         self.rare = np.log10(rare_n + rare_v + 1)
         self.counts = np.zeros(-(-max(2 + len(own), 2) // gru.PER_CLASS) * gru.PER_CLASS)
@@ -92,24 +106,17 @@ class Vocabulary:
         return float(np.log10(self.n + self.v + 1))
 
 
-class _Rows(dict):
-    def __missing__(self, key):
-        return -1
-
-
-def rows_of(vocabulary: Vocabulary) -> _Rows:
-    return _Rows({w: k for k, w in enumerate(vocabulary.head)})
-
-
-def ids_of(found: list[list[bytes]], rows: _Rows, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in the head of all words (-1: none), one text after another, and the words in each text."""
-    flat = [w for x in found for w in x]
-    return np.fromiter(map(rows.__getitem__, flat), np.int64, len(flat)), np.array([len(x) for x in found], np.int64)
+def rows_in(words: pa.Array, flat: pa.Array) -> np.ndarray:
+    """The place of each word of ``flat`` among ``words`` (-1: none)."""
+    return pc.fill_null(pc.index_in(flat, value_set=words), -1).to_numpy()
 
 
-def sequences(row: np.ndarray, n: np.ndarray, vocabulary: Vocabulary) -> list[np.ndarray]:
-    """Model ids of each text, with its end."""
-    return [np.append(x, END) for x in np.split(vocabulary.id[row], np.cumsum(n)[:-1])]
+def sequences(ids: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Model ids of each text, with its end, from those of all words."""
+    upto = np.cumsum(n + 1)
+    out = np.full(len(ids) + len(n), END, np.int32)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+    return [out[a:b] for a, b in zip((upto - n - 1).tolist(), upto.tolist(), strict=True)]
 
 
 def vocabulary_of(counts: DataFrame, head: int = HEAD, vocabulary: int = VOCABULARY) -> Vocabulary:
@@ -132,22 +139,21 @@ def trained(training: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", te
     weights, squares = gru.initial(vocabulary.counts), None
     rows_from = training.where(F.pmod(F.xxhash64(F.lit("lm"), key), F.lit(sample)) == 0)
     for k in range(rounds):
-        start = spark.sparkContext.broadcast((vocabulary, weights, squares))
+        start = spark.sparkContext.broadcast((vocabulary.own, weights, squares))
         part = rows_from.where(F.pmod(F.xxhash64(F.lit("round"), key), F.lit(rounds)) == k).select(F.col(text).alias("text"))
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            vocabulary, weights, squares = start.value
-            rows, trainer, held = rows_of(vocabulary), gru.Trainer(weights, squares), []
+            own, weights, squares = start.value
+            trainer, held = gru.Trainer(weights, squares), []
 
             def learn():
                 trainer.train(held, END)
                 held.clear()
 
             for batch in batches:
-                found = texts(batch)
-                for i in range(0, len(found), 256):  # the words of so many texts are held at once
-                    row, n = ids_of([tokens(x) for x in found[i : i + 256]], rows, vocabulary)
-                    held += [x.astype(np.int32) for x in sequences(row, n, vocabulary)]
+                for i in range(0, batch.num_rows, 256):  # the words of so many texts are held at once
+                    flat, n = words_of(column(batch.slice(i, 256), "text"))
+                    held += sequences(np.where((row := rows_in(own, flat)) < 0, RARE, row + 2), n)
                     if len(held) >= _TEXTS or sum(map(len, held)) >= _TOKENS:
                         learn()
             if held:
@@ -185,41 +191,27 @@ def scored(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weights:
     spark = docs.sparkSession
 
     def make():
-        rows, task, done = rows_of(vocabulary), TaskContext.get().partitionId(), 0
+        task, done = TaskContext.get().partitionId(), 0
         log_c = np.log10(vocabulary.c + 1.0)
         rare = vocabulary.id == RARE
 
         def run(batch):
             nonlocal done
-            found = texts(batch)
-            out = {k: [] for k in ("base", "score", "known")}
-            tail, lm = [], []
-            lengths = []
-            for i in range(0, len(found), 1024):  # the words of so many texts are held at once
-                part = [tokens(x) for x in found[i : i + 1024]]
-                row, n = ids_of(part, rows, vocabulary)
-                lengths.append(n + 1)
-                doc = np.repeat(np.arange(len(part)), n)
-                total = lambda x, doc=doc, size=len(part): np.bincount(doc, x, size)
-                out["base"].append(total(log_c[row]) + log_c[vocabulary.end])
-                out["known"].append(total(vocabulary.c[row] > 0) + (vocabulary.c[vocabulary.end] > 0))
-                lm += [x.astype(np.int32) for x in sequences(row, n, vocabulary)]
-                out["score"].append(total(np.where(rare[row], log_c[row] - vocabulary.rare, 0.0)))
-                outside = np.flatnonzero(row < 0)
-                flat = [w for x in part for w in x]
-                per = [Counter() for _ in part]
-                for at, k in zip(outside.tolist(), doc[outside].tolist(), strict=True):
-                    per[k][flat[at]] += 1
-                tail += per
-            model = gru.log_likelihood(weights, lm, END) / np.log(10)
-            n = len(found)
-            row_id = (task << 33) + done + np.arange(n)
-            done += n
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+            size = batch.num_rows
+            flat, n = words_of(column(batch, text))
+            row, doc = rows_in(vocabulary.words, flat), np.repeat(np.arange(size), n)
+            total = lambda x: np.bincount(doc, x, size)
+            outside = np.flatnonzero(row < 0)
+            tail = pa.table({"doc": doc[outside], "word": flat.take(pa.array(outside))}).group_by(["doc", "word"], use_threads=False).aggregate([([], "count_all")]).sort_by("doc").combine_chunks()
+            of_tail = pa.StructArray.from_arrays([tail["word"].combine_chunks(), tail["count_all"].combine_chunks().cast(pa.int32())], names=["word", "n"])
+            model = gru.log_likelihood(weights, sequences(vocabulary.id[row], n), END) / np.log(10)
+            row_id = (task << 33) + done + np.arange(size)
+            done += size
             return {
-                "_row": row_id, key: column(batch, key), "n_tokens": np.concatenate(lengths),
-                "n_known": np.concatenate(out["known"]).astype(np.int64), "base": np.concatenate(out["base"]), "score": np.concatenate(out["score"]) + model,
-                "tail": pa.array([[{"word": w, "n": k} for w, k in x.items()] for x in tail], kind),
+                "_row": row_id, key: column(batch, key), "n_tokens": n + 1,
+                "n_known": total(vocabulary.c[row] > 0).astype(np.int64) + (vocabulary.c[vocabulary.end] > 0), "base": total(log_c[row]) + log_c[vocabulary.end],
+                "score": total(np.where(rare[row], log_c[row] - vocabulary.rare, 0.0)) + model,
+                "tail": pa.ListArray.from_arrays(pa.array(np.searchsorted(tail["doc"].to_numpy(), np.arange(size + 1)), pa.int32()), of_tail),
             }
 
         return run
