@@ -2,9 +2,12 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -36,6 +39,29 @@ def test_parts_that_come_again_outlast_a_full_store(monkeypatch):
     assert Counter(made)["often"] == 1 and len(parts.rows) < 60
 
 
+def test_parts_of_odd_texts_are_those_of_others(monkeypatch):
+    """A text with two blanks in a row, or one at its end, shares the parts of plain texts; blanks are those of Python's \\s."""
+    fresh, parts = Tokenizer.from_file(BPE_JSON), rans.Parts(BPE_JSON, 2)
+    made, add = [], parts._add
+    monkeypatch.setattr(parts, "_add", lambda new: (made.extend(new), add(new)))
+    texts = ["a word often", None, "q\n\n word often\n word  often ", "", "word often\u2003\u3000 often", "\x85 often\x1c\n", " word\tq often\nq", "e \x00often"]
+    for some in ([texts[0]], texts[1:], texts):
+        ids, n = parts.batch(some)
+        for text, got in zip(some, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+            assert got.tolist() == fresh.encode(text or "", add_special_tokens=False).ids + [2], repr(text)
+    assert max(Counter(made).values()) == 1 and "\0 often" not in made and "\0 word" not in made
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    assert [x for x, odd in zip(every, pc.match_substring_regex(pa.array(every), rans._SPACE).to_pylist(), strict=True) if odd] == [x for x in every if re.match(r"\s", x)]
+
+
+def test_blocks_end_with_the_document_that_fills_them(spark):
+    docs = spark.createDataFrame([(i, "a b c " * (i % 7)) for i in range(200)], "doc_id long, text string")
+    rows = rans.blocks(docs, BPE_JSON, 2, files=1, block_ids=50).orderBy("block").collect()
+    assert [k for r in rows for k in r["keys"]] == list(range(200)) and [r.block for r in rows] == list(range(len(rows)))
+    assert all(sum(r.lengths) >= 50 > sum(r.lengths[:-1]) for r in rows[:-1]) and len(rows) > 20
+    assert [r.start for r in rows] == [0, *np.cumsum([sum(r.lengths) for r in rows])[:-1]] and all(len(r.ids) == 2 * sum(r.lengths) for r in rows)
+
+
 def test_language_by_hand(spark):
     rng = random.Random(4)
     stems = {"aa": ["kato", "melin", "sura", "ovi"], "bb": ["kratz", "melun", "sturm", "ove"], "cc": ["ïlha", "çava", "melo", "sur"]}

@@ -31,12 +31,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import by_batch, column, dropped, freed, importable, lists, saved, texts
+from tidemark.llm.common import by_batch, column, dropped, freed, importable, lists, pieces, saved
 
 LANES, CHECKPOINT, SCALE_BITS = 512, 128, 20
 #: Ids after which a block ends with the document; bytes of text in a file at most and at least, before there are as many as shuffle partitions.
@@ -45,11 +46,13 @@ _LOW = np.uint64(1) << np.uint64(31)
 _HEAD = struct.Struct("<4sIIHBxII")
 _MAGIC = b"TRN1"
 #: Parts of texts that a worker keeps, their ids, and the longest part that it keeps.
-_PARTS, _IDS, _LONGEST = 500_000, 8_000_000, 48
+_PARTS, _IDS, _LONGEST = 1_500_000, 8_000_000, 48
 #: New parts that are encoded together.
 _JOINED = 256
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
-_ODD = re.compile(r"\s\s|\x00")
+#: What \\s is to Python, for Arrow's regular expressions; texts in which a blank or line end isn't always a cut, or that end with a blank.
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD = rf"{_SPACE}{_SPACE}|\x00| \z"
 
 
 def frequencies(counts: np.ndarray, bits: int = SCALE_BITS) -> np.ndarray:
@@ -137,20 +140,6 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
-class _Rows(dict):
-    """Part -> row; a part that it lacks gets the next row and is listed in ``new``."""
-
-    def __init__(self, *found):
-        super().__init__(*found)
-        self.new, self.next = [], len(self)
-
-    def __missing__(self, key: str) -> int:
-        row = self[key] = self.next
-        self.next += 1
-        self.new.append(key)
-        return row
-
-
 class Parts:
     """Ids of texts by their parts, each new part being encoded once; one flat store of ids, with a place for each part.
 
@@ -165,7 +154,7 @@ class Parts:
         self._clear()
 
     def _clear(self) -> None:
-        self.rows = _Rows({"": 0})
+        self.rows = pa.array([""])
         self.ids, self.used = np.zeros(1 << 16, self.kind), 1
         self.ids[0] = self.end
         self.at, self.n, self.again = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64), np.zeros(1 << 16, bool)
@@ -181,13 +170,10 @@ class Parts:
             return self._clear()
         upto = np.cumsum(n)
         ids = self.ids[np.repeat(at - (upto - n), n) + np.arange(used)]
-        row = np.cumsum(again) - 1
-        # a part that was too long to be kept has a row but no key
-        kept = sorted((int(row[k]), x) for x, k in self.rows.items() if again[k])
+        rows = self.rows.filter(pa.array(again))
         self._clear()
         self._grow(count, used)
-        self.rows = _Rows({x: k for k, x in kept})
-        self.rows.next = count
+        self.rows = rows
         self.ids[:used], self.at[:count], self.n[:count] = ids, upto - n, n
         self.used, self.count = used, count
 
@@ -200,24 +186,32 @@ class Parts:
             self.at, self.n, self.again = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.at, self.n, self.again))
 
     @staticmethod
-    def keys(text: str) -> list[str]:
-        """Parts; one that begins with NUL is literal, one with a line end too, others lack their blank."""
-        if _ODD.search(text):
-            return ["\0" + x for x in _CUT.split(text)]
-        found = text.replace("\n", " \n").split(" ")
-        found[0] = "\0" + found[0]
-        if not found[-1]:
-            found[-1] = "\0 "  # a blank at the end
-        return found
-
-    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _cut(text: str) -> list[str]:
+        """Keys of an odd text's parts, and the empty key."""
+        return [x if x[0] == "\n" else x[1:] if x[0] == " " and "\n" not in x and x[1:2] not in ("", "\0") else "\0" + x for x in _CUT.split(text)] + [""]
+
+    def keys(self, found: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Keys of all texts' parts, each text's with the empty key at its end, and how many each has.
+
+        A key that begins with NUL is literal, one with a line end too, others lack their blank.
+        """
+        found = pc.fill_null(found.cast(pa.string()), "")
+        parts = pc.split_pattern(pc.binary_join_element_wise("\0", pc.replace_substring(found, "\n", " \n"), " ", ""), " ")
+        odd = np.flatnonzero(pc.match_substring_regex(found, _ODD).to_numpy(zero_copy_only=False))
+        if len(odd):
+            of = np.arange(len(found))
+            of[odd] = len(found) + np.arange(len(odd))
+            parts = pa.concat_arrays([parts, pa.array([self._cut(x) for x in found.take(pa.array(odd)).to_pylist()], parts.type)]).take(pa.array(of))
+        return parts.flatten(), pc.list_value_length(parts).to_numpy()
+
+    def _encoded(self, new: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
         """The parts' ids, one after another, and how many each has.
 
-        Parts with a blank are encoded together with line ends between them, each of which is an id of its own: no match spans them.
+        Parts with a blank (``plain``) are encoded together with line ends between them, each of which is an id of its own: no match spans them.
         """
-        if self.line is not None and all(k[0] not in "\0\n" for k in new):
-            joined = ["\n".join([" " + k for k in new[i : i + _JOINED]]) + "\n" for i in range(0, len(new), _JOINED)]
-            flat = np.concatenate([np.array(e.ids, np.int64) for e in self.encode.encode_batch_fast(joined, add_special_tokens=False)])
+        if self.line is not None and plain:
+            joined = [" " + "\n ".join(new[i : i + _JOINED]) + "\n" for i in range(0, len(new), _JOINED)]
+            flat = np.concatenate([np.array(self.encode.encode_batch_fast([x], add_special_tokens=False)[0].ids, np.int32) for x in joined])
             ends = np.flatnonzero(flat == self.line)
             if len(ends) == len(new):
                 return flat[flat != self.line], np.diff(ends, prepend=-1) - 1
@@ -227,43 +221,49 @@ class Parts:
 
     def _add(self, new: list[str]) -> None:
         """Ids of the parts whose rows come next."""
-        plain = np.fromiter((k[0] not in "\0\n" for k in new), bool, len(new))
+        plain = np.array([k[0] not in "\0\n" for k in new])
+        self._grow(len(new), 0)
         for some in (plain, ~plain):
             at = np.flatnonzero(some)
             if not len(at):
                 continue
-            ids, n = self._encoded([new[k] for k in at.tolist()])
+            ids, n = self._encoded([new[k] for k in at.tolist()], some is plain)
             self._grow(len(new), len(ids))
             self.ids[self.used : self.used + len(ids)] = ids
             self.at[self.count + at], self.n[self.count + at] = self.used + np.cumsum(n) - n, n
             self.used += len(ids)
         self.count += len(new)
 
-    def batch(self, found: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _keep(self, new: pa.Array) -> None:
+        """Keeps the parts that were added last, but for long ones: they hardly come again."""
+        short = pc.less_equal(pc.utf8_length(new), _LONGEST).to_numpy(zero_copy_only=False)
+        rows = slice(self.count - len(new), self.count)
+        at, n = self.at[rows][short], self.n[rows][short]
+        self.count = rows.start + len(at)
+        self.at[rows.start : self.count], self.n[rows.start : self.count] = at, n
+        self.rows = pa.concat_arrays([self.rows, new.filter(pa.array(short))])
+
+    def batch(self, found: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, one after another, and how many each has (with the end id)."""
         if self.count > _PARTS or self.used > _IDS:
             self._trim()
-        keys: list[str] = []
-        ends = []
-        for x in found:
-            if x:
-                part = self.keys(x)
-                keys += part[1:] if part[0] == "\0" else part
-            keys.append("")
-            ends.append(len(keys))
-        row = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
-        self.again[row[row < self.count]] = True
-        if new := self.rows.new:
-            self.rows.new = []
-            self._add(new)
-            for k in new:
-                if len(k) > _LONGEST:  # long parts hardly come again; the text goes, the row stays taken
-                    del self.rows[k]
+        flat, n_keys = self.keys(found if isinstance(found, pa.Array) else pa.array(found, pa.string()))
+        row = pc.fill_null(pc.index_in(flat, value_set=self.rows), -1).to_numpy().copy()
+        missing = np.flatnonzero(row < 0)
+        self.again[row[row >= 0] if len(missing) else row] = True
+        new = None
+        if len(missing):
+            coded = flat.take(pa.array(missing)).dictionary_encode()
+            row[missing], new = self.count + coded.indices.to_numpy(), coded.dictionary
+            self._add(new.to_pylist())
         n = self.n[row]
         upto = np.cumsum(n)
         place = np.repeat(self.at[row] - (upto - n), n)
-        place += np.arange(upto[-1])
-        return self.ids[place], np.diff(upto[np.array(ends) - 1], prepend=0)
+        place += np.arange(len(place))
+        ids = self.ids[place]
+        if new is not None:
+            self._keep(new)
+        return ids, np.diff(np.concatenate([[0], upto])[np.cumsum(n_keys)], prepend=0)
 
 
 @lru_cache(maxsize=1)
@@ -290,28 +290,25 @@ def blocks(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: s
 
         def out():
             nonlocal held, block, start
-            keys, lengths = [k for k, _ in held for k in k], np.concatenate([n for _, (n, _) in held])
-            ids = np.concatenate([i for _, (_, i) in held])
+            keys, lengths, ids = pa.concat_arrays([k for k, _, _ in held]), np.concatenate([n for _, n, _ in held]), np.concatenate([i for _, _, i in held])
             row = pa.RecordBatch.from_arrays(
-                [pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([keys], pa.list_(pa.int64())), lists(lengths, np.array([len(lengths)]), pa.int64()), pa.array([ids.tobytes()])],
+                [pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (keys, pa.array(lengths, pa.int64()))), pa.array([ids.tobytes()])],
                 names=["file", "block", "start", "keys", "lengths", "ids"],
             )
             block, start, held = block + 1, start + len(ids), []
             return row
 
         for batch in batches:
-            keys, found = column(batch, "k").to_pylist(), texts(batch, "t")
-            i = 0
-            while i < len(found):
-                j, chars = i, 0
-                while j < len(found) and (j == i or chars + len(found[j] or "") < 600_000):
-                    chars += len(found[j] or "")
-                    j += 1
-                ids, n = parts.batch(found[i:j])
-                held.append((keys[i:j], (n, ids)))
-                i = j
-                if sum(len(x) for _, (_, x) in held) >= block_ids:
-                    yield out()
+            for piece in pieces(batch):
+                ids, n = parts.batch(column(piece, "t"))
+                upto, i = np.concatenate([[0], np.cumsum(n)]), 0
+                while i < len(n):  # up to the document that fills the block
+                    room = block_ids - sum(len(x) for _, _, x in held)
+                    j = min(len(n), int(np.searchsorted(upto, upto[i] + room)))
+                    held.append((column(piece, "k").slice(i, j - i), n[i:j], ids[upto[i] : upto[j]]))
+                    if upto[j] - upto[i] >= room:
+                        yield out()
+                    i = j
         if held:
             yield out()
 
