@@ -258,8 +258,10 @@ class Parts:
             self._add(new.to_pylist())
         n = self.n[row]
         upto = np.cumsum(n)
-        place = np.repeat(self.at[row] - (upto - n), n)
-        place += np.arange(len(place))
+        size = int(upto[-1]) if len(upto) else 0
+        kind = np.int32 if max(size, len(self.ids)) < 1 << 31 else np.int64
+        place = np.repeat((self.at[row] - (upto - n)).astype(kind), n)
+        place += np.arange(size, dtype=kind)
         ids = self.ids[place]
         if new is not None:
             self._keep(new)
