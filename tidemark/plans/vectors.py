@@ -36,11 +36,16 @@ CONTEXTS, PAUSE, PAUSES = [0, 500, 1000, 2000, 4000], 6, [-30, -10, 0, 3]
 
 
 def marks(t: Tables) -> DataFrame:
-    """(request_id, ts_ns, seq, generated, emitted_ns, computed, context_0, context_1) of each emission and membership."""
+    """(request_id, ts_ns, seq, generated, emitted_ns, computed, context_0, context_1) of each emission and membership.
+
+    Those of a component that agree in time and number are one: nothing tells which came first, so none is before the others.
+    """
+    # requests are dealt once: all that follows up to the join with their spans is by request
+    em = t.em.repartition("request_id").groupBy("request_id", "component", "ts_ns", "seq").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("request_id", "component").orderBy("ts_ns", "seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) * 40
     of = lambda kind, v: F.when(F.col("component") == kind, v)
     decoded = F.col("component") != "prefill"
-    return t.em.select("request_id", "ts_ns", "seq", F.when(decoded, F.col("n")).alias("generated"), F.when(decoded, F.col("ts_ns")).alias("emitted_ns"), of("prefill", before).alias("computed"), *(of(f"decode-{i}", before).alias(f"context_{i}") for i in (0, 1)))
+    return em.select("request_id", "ts_ns", "seq", F.when(decoded, F.col("n")).alias("generated"), F.when(decoded, F.col("ts_ns")).alias("emitted_ns"), of("prefill", before).alias("computed"), *(of(f"decode-{i}", before).alias(f"context_{i}") for i in (0, 1)))
 
 
 @query(f"""{AT}, {_MARKS}, z AS (SELECT *, {_DEC} AS worker, {_bins("input_tokens")} AS x FROM s),
