@@ -4,6 +4,7 @@ import datetime
 
 import pytest
 
+from tidemark.operators import time
 from tidemark.plans import all_oracles, all_queries
 from tidemark.plans.registry import Tables
 
@@ -38,3 +39,22 @@ def test_memberships_at_one_time_do_not_come_before_each_other(spark, tmp_path,
     assert found == wanted
     assert {r[0] for r in found} > {"prefill_running", "decode_wait", "decode_context"}
     assert Tables(spark, str(tmp_path)).em.groupBy("request_id", "component", "ts_ns", "seq").count().where("count > 1").count() > 0
+
+
+def test_nearest_sample_asks_only_stretches_between_centres(spark, tmp_path):
+    """Samples on centres and on hours, hours without any, an event without a time; no frame of a window shrinks row by row."""
+    at = lambda minutes: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minutes)
+    kinds = [("click", 5), ("error", 30), ("view", 65), ("click", 200), ("error", 269), ("error", 271), ("click", 330), ("view", 725), ("error", 840), ("click", 2000)]
+    events = [(i, at(m), i % 3, kind, 1.0, '{"k": 1}') for i, (kind, m) in enumerate(kinds)] + [(90, None, 1, "error", 1.0, '{"k": 1}')]
+    tables = {"orders": (ORDERS, []), "lineitem": (LINES, []), "events": (EVENTS, events)}
+    found, wanted = against_sql(spark, tmp_path, "nearest_sample", tables)
+    assert found == wanted and len(found) == 9
+    plan = all_queries()["nearest_sample"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan and plan.count("relation [") + plan.count("relation parquet") <= 1
+
+
+def test_nearest_frames_only_grow(spark):
+    left, right = spark.createDataFrame([("a", 5), ("a", 11), ("b", 1)], "k string, t long"), spark.createDataFrame([("a", 5), ("a", 9), ("a", 14)], "k string, u long")
+    found = time.nearest(left, right, ["k"], "t", "u")
+    assert sorted(map(tuple, found.collect())) == [("a", 5, 0), ("a", 11, 2), ("b", 1, None)]
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -60,9 +60,9 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, ri
     both = left.select(*keys, F.col(left_ts).alias("_t"), F.struct(*left.columns).alias("_left"), F.lit(None).cast("long").alias("_r")).unionByName(
         right.select(*keys, F.col(right_ts).alias("_t"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType).alias("_left"), F.col(right_ts).alias("_r"))
     )
-    w = W.partitionBy(*keys).orderBy("_t")
-    before = F.last("_r", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, 0))
-    after = F.first("_r", ignorenulls=True).over(w.rangeBetween(0, W.unboundedFollowing))
+    # both frames only grow: one that shrinks is gone through anew for each row
+    before = F.last("_r", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_t").rangeBetween(W.unboundedPreceding, 0))
+    after = F.last("_r", ignorenulls=True).over(W.partitionBy(*keys).orderBy(F.desc("_t")).rangeBetween(W.unboundedPreceding, 0))
     out = both.withColumn("_b", before).withColumn("_a", after).where("_left is not null")
     return out.select("_left.*", F.least(F.col("_t") - F.col("_b"), F.col("_a") - F.col("_t")).alias("gap"))
 

@@ -239,21 +239,19 @@ def control_windows(t: Tables) -> DataFrame:
 s AS (SELECT ts_ns FROM ev WHERE event_type = 'error'), w AS (SELECT DISTINCT ts_ns // {HOUR} AS k FROM ev)
 SELECT k, (SELECT min(abs(s.ts_ns - (k * {HOUR} + {HOUR // 2}))) FROM s) AS gap FROM w""")
 def nearest_sample(t: Tables) -> DataFrame:
-    centres = t.ev.select(F.lit(0).alias("one"), window_index("ts_ns", HOUR).alias("k")).distinct().withColumn("centre", F.col("k") * HOUR + HOUR // 2)
-    # windows and samples of one day form a key, with its neighbours' edge samples brought along
-    return _nearest_by_day(centres, t.ev.where("event_type = 'error'").select("ts_ns"))
-
-
-def _nearest_by_day(centres: DataFrame, samples: DataFrame) -> DataFrame:
-    """Nearest sample of each centre, day by day: each day also gets the last sample before and the first after it."""
-    day = lambda x: window_index(x, DAY_NS)
-    edge = samples.groupBy(day("ts_ns").alias("day")).agg(F.min("ts_ns").alias("lo"), F.max("ts_ns").alias("hi"))
-    days = centres.select(day("centre").alias("day")).distinct().join(edge, "day", "full")
-    w = W.orderBy("day")  # one row for each day
-    days = days.select("day", F.last("hi", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.first("lo", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("after"))
-    extra = days.select("day", F.explode(F.array("before", "after")).alias("ts_ns")).where("ts_ns is not null")
-    near = samples.select(day("ts_ns").alias("day"), "ts_ns").unionByName(extra)
-    return time.nearest(centres.withColumn("day", day("centre")), near, ["day"], "centre", "ts_ns").select("k", "gap")
+    """Only the first and the last sample of each half hour can be nearest to a centre: what is sorted is a row for each stretch between two centres."""
+    half = HOUR // 2
+    sample = F.when(F.col("event_type") == "error", F.col("ts_ns"))
+    halves = t.ev.groupBy(window_index("ts_ns", half).alias("h")).agg(F.min(sample).alias("lo"), F.max(sample).alias("hi"))
+    # a half hour belongs to the hour whose centre asks, and to the stretch from the last centre before it to the next
+    none = F.lit(None).cast("long")
+    parts = F.array(F.struct(window_index("h", 2).alias("k"), F.lit(True).alias("asked"), none.alias("lo"), none.alias("hi")), F.struct(window_index(F.col("h") - 1, 2).alias("k"), F.lit(False).alias("asked"), F.col("lo"), F.col("hi")))
+    stretches = halves.select(F.inline(parts)).groupBy("k").agg(F.max("asked").alias("asked"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    before = F.max("hi").over(W.orderBy("k").rowsBetween(W.unboundedPreceding, -1))
+    after = F.min("lo").over(W.orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0))  # from the last on: a frame that only grows
+    centre = F.col("k") * HOUR + half
+    found = stretches.select("k", "asked", before.alias("_b"), after.alias("_a")).where("asked")
+    return found.select("k", F.least(centre - F.col("_b"), F.col("_a") - centre).alias("gap"))
 
 
 @query(f"""
