@@ -3,8 +3,9 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.operators import time
+from tidemark.operators import time, vectors
 from tidemark.plans import all_oracles, all_queries
 from tidemark.plans.registry import Tables
 
@@ -58,3 +59,26 @@ def test_nearest_frames_only_grow(spark):
     found = time.nearest(left, right, ["k"], "t", "u")
     assert sorted(map(tuple, found.collect())) == [("a", 5, 0), ("a", 11, 2), ("b", 1, None)]
     assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_intervals_are_cut_in_one_pass_and_only_where_they_count(spark, tmp_path):
+    """The scan of requests isn't repeated for those that enter and those that leave, and marks take one window."""
+    for table, (schema, values) in {"orders": (ORDERS, []), "lineitem": (LINES, [])}.items():
+        spark.createDataFrame(values, schema).coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+    plan = all_queries()["state_blocks"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().lower()
+    steps = [line.strip(" +-:") for line in plan.splitlines()]
+    assert (sum(s.startswith("relation") for s in steps), sum(s.startswith("window") for s in steps)) == (3, 2)
+
+
+def test_cells_are_the_bins_that_a_span_passes(spark):
+    spans = [(i, s, e, a) for i, (s, e, a) in enumerate([(0, 5, 0), (3, 30, 1), (3, None, 1), (12, 13, 0), (7, 40, None), (0, 100, 50), (10, 11, 0), (9, 10, 0), (20, 21, 40)])]
+    df = spark.createDataFrame(spans, "id long, start_ns long, end_ns long, at long")
+    none, one = F.lit(""), F.lit(1)
+    of = [(F.col("id") >= 0, vectors.aged("aged", "at", [0, 10, 20], none, one, one)), (F.col("id") >= 0, vectors.slack("slack", "at", 15, [0, 10, 20], none, one, one)), (F.col("id") == 3, vectors.whole("whole", none, one, F.lit(7), one))]
+    found = {(r.id, r.block, t): r.y for r in vectors.cells(df, of, ["id"]).collect() for t in range(r.start_ns, r.end_ns or 60)}
+    wanted = {(3, "whole", 12): 7}
+    for i, s, e, a in spans:
+        for t in range(s, e or 60):
+            wanted[i, "aged", t] = 0 if a is None else sum(t - a >= x for x in (10, 20))
+            wanted[i, "slack", t] = 3 if a is None else sum(15 - (t - a) >= x for x in (0, 10, 20))
+    assert found == wanted

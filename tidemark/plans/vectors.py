@@ -36,16 +36,19 @@ CONTEXTS, PAUSE, PAUSES = [0, 500, 1000, 2000, 4000], 6, [-30, -10, 0, 3]
 
 
 def marks(t: Tables) -> DataFrame:
-    """(request_id, ts_ns, seq, generated, emitted_ns, computed, context_0, context_1) of each emission and membership.
+    """(request_id, ts_ns, seq, generated, emitted_ns, and by component the tokens: as a sum, and as those of the last mark) of each emission and membership.
 
     Those of a component that agree in time and number are one: nothing tells which came first, so none is before the others.
     """
     # requests are dealt once: all that follows up to the join with their spans is by request
-    em = t.em.repartition("request_id").groupBy("request_id", "component", "ts_ns", "seq").agg(F.sum("n").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("request_id", "component").orderBy("ts_ns", "seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) * 40
-    of = lambda kind, v: F.when(F.col("component") == kind, v)
+    em = t.em.repartition("request_id").groupBy("request_id", "component", "ts_ns", "seq").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     decoded = F.col("component") != "prefill"
-    return em.select("request_id", "ts_ns", "seq", F.when(decoded, F.col("n")).alias("generated"), F.when(decoded, F.col("ts_ns")).alias("emitted_ns"), of("prefill", before).alias("computed"), *(of(f"decode-{i}", before).alias(f"context_{i}") for i in (0, 1)))
+    by = [F.when(F.col("component") == kind, F.col("n")).alias(f"{name}_{part}") for part in ("all", "last") for kind, name in _KINDS.items()]
+    return em.select("request_id", "ts_ns", "seq", F.when(decoded, F.col("n")).alias("generated"), F.when(decoded, F.col("ts_ns")).alias("emitted_ns"), *by)
+
+
+#: Components and the names of what is known by them.
+_KINDS = {"prefill": "prefill", "decode-0": "decode_0", "decode-1": "decode_1"}
 
 
 @query(f"""{AT}, {_MARKS}, z AS (SELECT *, {_DEC} AS worker, {_bins("input_tokens")} AS x FROM s),
@@ -64,7 +67,7 @@ a AS (SELECT k, 'prefill_wait' AS block, '' AS worker, x, {_AGE_BIN.format(x="t
 SELECT k, block, worker, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, count(*) AS n, CAST(sum(mass) AS BIGINT) AS mass FROM a WHERE y IS NOT NULL GROUP BY k, block, worker, x, y""")
 def state_blocks(t: Tables) -> DataFrame:
     """Every two-dimensional block of the state, a row for each cell that isn't empty: intervals cut where a cell ends, then deltas."""
-    spans = states.intervals(t.life).withColumn("worker", F.expr(_DEC)).withColumn("x", bin_irregular("input_tokens", LENGTHS))
+    spans = time.seen(states.intervals(t.life), "start_ns", "end_ns", WEEK).withColumn("worker", F.expr(_DEC)).withColumn("x", bin_irregular("input_tokens", LENGTHS))
     days, slacks, pauses = ([d * DAY_NS for d in x] for x in (DAYS, SLACKS, PAUSES))
     is_ = lambda *x: F.col("state").isin(*x)
     none, x, prompt, routed = F.lit(""), F.col("x"), F.col("input_tokens"), F.col("worker").isNotNull()
@@ -72,12 +75,14 @@ def state_blocks(t: Tables) -> DataFrame:
     of += [(is_(state) & routed, vectors.aged(block, anchor, days, F.col("worker"), F.lit(0), F.col("expected_tokens"))) for state, (block, anchor) in _PHASES.items()]
 
     known = spans.where(is_("PREFILL_RUNNING") | (is_("DECODE_WAITING", "DECODE_RUNNING") & routed))
-    known = vectors.tracked(known, marks(t), "request_id", ["generated"], ["emitted_ns", "computed", "context_0", "context_1"], "seq")
-    met = F.when(F.col("worker") == "decode-0", F.col("context_0")).otherwise(F.col("context_1"))
-    known = known.withColumn("computed", F.coalesce("computed", F.lit(0))).withColumn("context", F.coalesce(F.nullif(met, F.lit(0)), prompt)).withColumn("c", bin_irregular("context", [*CONTEXTS, None]))
+    known = time.seen(vectors.tracked(known, marks(t), "request_id", ["generated", *(f"{n}_all" for n in _KINDS.values())], ["emitted_ns", *(f"{n}_last" for n in _KINDS.values())], "seq"), "start_ns", "end_ns", WEEK)
+    # what was before a component's last mark: all its tokens so far without that mark's
+    before = lambda n: (F.col(f"{n}_all") - F.col(f"{n}_last")) * 40
+    met = F.when(F.col("worker") == "decode-0", before("decode_0")).otherwise(before("decode_1"))
+    known = known.withColumn("computed", F.coalesce(before("prefill"), F.lit(0))).withColumn("context", F.coalesce(F.nullif(met, F.lit(0)), prompt)).withColumn("c", bin_irregular("context", [*CONTEXTS, None]))
     context, c, worker, expected, begun = F.col("context"), F.col("c"), F.col("worker"), F.greatest("expected_tokens", F.lit(1)), F.col("emitted_ns").isNotNull()
     prefilled, decoded = (vectors.share_bin(F.col(a) / b, PROGRESS) for a, b in (("computed", F.greatest(prompt, F.lit(1))), ("generated", expected)))
-    running = F.concat(vectors.whole("decode_running", worker, c, decoded, F.greatest(expected - F.col("generated"), F.lit(0))), vectors.whole("decode_context", worker, c, decoded, context))
+    running = vectors.whole("decode_running", worker, c, decoded, F.greatest(expected - F.col("generated"), F.lit(0))) + vectors.whole("decode_context", worker, c, decoded, context)
     further = [
         (is_("PREFILL_RUNNING"), vectors.whole("prefill_running", none, x, prefilled, F.greatest(prompt - F.col("computed"), F.lit(0)))), (is_("DECODE_WAITING") & ~begun, vectors.whole("first_token_pending", worker, c, F.lit(0), context)),
         (is_("DECODE_WAITING") & begun, vectors.slack("decode_wait", "emitted_ns", PAUSE * DAY_NS, pauses, worker, c, context)), (is_("DECODE_RUNNING"), running),
