@@ -81,7 +81,10 @@ def state_blocks(t: Tables) -> DataFrame:
     met = F.when(F.col("worker") == "decode-0", before("decode_0")).otherwise(before("decode_1"))
     known = known.withColumn("computed", F.coalesce(before("prefill"), F.lit(0))).withColumn("context", F.coalesce(F.nullif(met, F.lit(0)), prompt)).withColumn("c", bin_irregular("context", [*CONTEXTS, None]))
     context, c, worker, expected, begun = F.col("context"), F.col("c"), F.col("worker"), F.greatest("expected_tokens", F.lit(1)), F.col("emitted_ns").isNotNull()
-    prefilled, decoded = (vectors.share_bin(F.col(a) / b, PROGRESS) for a, b in (("computed", F.greatest(prompt, F.lit(1))), ("generated", expected)))
+    # as columns: written out in each cell, they would make a method too long for the compiler of the JVM
+    known = known.withColumn("_part", F.col("computed") / F.greatest(prompt, F.lit(1))).withColumn("_share", F.col("generated") / expected)
+    known = known.withColumn("_prefilled", vectors.share_bin(F.col("_part"), PROGRESS)).withColumn("_decoded", vectors.share_bin(F.col("_share"), PROGRESS))
+    prefilled, decoded = F.col("_prefilled"), F.col("_decoded")
     running = vectors.whole("decode_running", worker, c, decoded, F.greatest(expected - F.col("generated"), F.lit(0))) + vectors.whole("decode_context", worker, c, decoded, context)
     further = [
         (is_("PREFILL_RUNNING"), vectors.whole("prefill_running", none, x, prefilled, F.greatest(prompt - F.col("computed"), F.lit(0)))), (is_("DECODE_WAITING") & ~begun, vectors.whole("first_token_pending", worker, c, F.lit(0), context)),
