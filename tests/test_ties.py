@@ -82,3 +82,13 @@ def test_cells_are_the_bins_that_a_span_passes(spark):
             wanted[i, "aged", t] = 0 if a is None else sum(t - a >= x for x in (10, 20))
             wanted[i, "slack", t] = 3 if a is None else sum(15 - (t - a) >= x for x in (0, 10, 20))
     assert found == wanted
+
+
+def test_snapshots_replay_a_log_that_is_written_once(spark, tmp_path):
+    """What the branches of the replay read is the log, not the tables that it is made of."""
+    start = datetime.datetime(1996, 1, 1)
+    tables = {"orders": (ORDERS, [(i, i, "O", 30_000.0, start, "5-LOW") for i in range(3)]), "lineitem": (LINES, [(i, 1, 1, 2.0, start + DAY) for i in range(3)])}
+    for table, (schema, values) in tables.items():
+        spark.createDataFrame(values, schema).coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+    read = all_queries()["snapshot_vectors"](spark, str(tmp_path)).inputFiles()
+    assert read and not any(str(tmp_path) in file for file in read)
